@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, quality, toxicity
+from . import bpe, decontaminate, jaccard, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op3_jaccard_join(spark, sf_dir):
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark, sf_dir):
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,6 +44,7 @@ def op10_quality(spark, sf_dir):
 
 
 QUERIES = {
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_toxicity": op4_toxicity,
     "op5_decontamination": op5_decontamination,
     "op8_bpe": op8_bpe,
