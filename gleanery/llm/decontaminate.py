@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .spans import joined
 from .textcore import ALNUM_OR_HIGH, LOWER_ASCII, span_hash, text_slices, utf8, word_spans
 
 WINDOW = 13
@@ -122,16 +123,6 @@ def shard_matches(tests: TestSuffixes, data: np.ndarray, offsets: np.ndarray) ->
     return count, of, start, start + tests.length[window], tests.item[window]
 
 
-def joined(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spans that touch or overlap, as one."""
-    if not len(start):
-        return start, end
-    order = np.argsort(start, kind="stable")
-    start, end = start[order], np.maximum.accumulate(end[order])
-    new = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]]))
-    return start[new], end[np.concatenate([new[1:] - 1, [len(end) - 1]])]
-
-
 def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES):
     """(item ids, texts) of the benchmark in blocks of about `limit` bytes."""
     ids, texts, size = [], [], 0
