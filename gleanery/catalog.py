@@ -1,11 +1,665 @@
-"""The registered queries of the engine's own operators, with their SQL."""
+"""The registered queries of the engine's own operators, with the SQL that DuckDB checks them by.
+
+Doubles are rounded to six places on both sides, as sums differ in their last bits.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleanery.adapters import COLLECTED, ORDER, ORDER_SQL, REVIEWS_SQL, reviews, table
+from gleanery.functions import text as tx
+from gleanery.functions.lexicon import NEGATIVE, POSITIVE
+from gleanery.operators import clean, graph, history, metrics, provenance, ranking, segments
+from gleanery.plans import benchmark, ml, scorer, stats
+from gleanery.sources.reviews import align, union_categories
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql if sql.lstrip().startswith("WITH") or "FROM r" not in sql else f"WITH {REVIEWS_SQL} {sql}"
+        return f
+
+    return add
+
+
+def queries() -> dict:
+    return QUERIES
+
+
+def oracle_sql() -> dict[str, str]:
+    return ORACLE
+
+
+def _r6(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def _events_history(spark, sf_dir):
+    return history.prior_history(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], {"prior_avg_value": "value"}, "prior_count")
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events_history(spark, sf_dir)
+    return rows.groupBy("event_type").agg(F.count("*").alias("events"), F.round(F.avg("prior_count"), 6).alias("avg_prior_count"), F.round(F.avg("prior_avg_value"), 6).alias("avg_prior_value")).orderBy("event_type")
+
+
+# --- history, splits -------------------------------------------------------
+
+_EV = "OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+@_query(f"SELECT event_type, count(*) AS events, round(avg(c), 6) AS avg_prior_count, round(avg(v), 6) AS avg_prior_value FROM (SELECT event_type, count(*) {_EV} AS c, avg(value) {_EV} AS v FROM events) GROUP BY event_type")
+def flagship_history_by_type(spark, sf_dir):
+    return entry(spark, sf_dir)
+
+
+@_query(f"SELECT event_id, count(*) {_EV} AS prior_count, round(avg(value) {_EV}, 6) AS prior_avg_value FROM events")
+def prior_history_user(spark, sf_dir):
+    return _r6(_events_history(spark, sf_dir).select("event_id", "prior_count", "prior_avg_value"), "prior_avg_value")
+
+
+@_query("SELECT event_id, count(*) OVER w AS prior_count FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+def prior_history_strict(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    return history.prior_history(rows, "user_id", ["us"], {}, "prior_count", strict=True).select("event_id", "prior_count")
+
+
+_IT = f"OVER (PARTITION BY parent_asin ORDER BY {ORDER_SQL} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_ID = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, ts"
+_IDS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "ts"]
+
+
+@_query(f"SELECT {_ID}, count(*) {_IT} AS product_prior_review_count, round(avg(rating) {_IT}, 6) AS product_prior_avg_rating FROM r")
+def prior_history_item(spark, sf_dir):
+    rows = history.prior_history(reviews(spark, sf_dir), "parent_asin", ORDER, {"product_prior_avg_rating": "rating"}, "product_prior_review_count")
+    return _r6(rows.select(*_IDS, "product_prior_review_count", "product_prior_avg_rating"), "product_prior_avg_rating")
+
+
+@_query(f"SELECT event_id, CAST(count(*) {_EV} = 0 AS INT) AS is_first, round(ln(1 + count(*) {_EV}), 6) AS log_prior_count, round(coalesce(avg(value) {_EV}, 0.0), 6) AS prior_avg_value FROM events")
+def no_history_flags(spark, sf_dir):
+    rows = history.no_history_flags(_events_history(spark, sf_dir), "prior_count", ["prior_avg_value"], "is_first")
+    return _r6(rows.select("event_id", "is_first", "log_prior_count", "prior_avg_value"), "log_prior_count", "prior_avg_value")
+
+
+@_query(f"SELECT {_ID}, round(avg(helpful_vote) OVER (PARTITION BY user_id), 6) AS LEAKY_user_avg_helpful, count(*) OVER (PARTITION BY user_id) AS LEAKY_user_review_count FROM r")
+def leaky_history(spark, sf_dir):
+    return _r6(history.whole_history(reviews(spark, sf_dir), "user_id", "helpful_vote").select(*_IDS, "LEAKY_user_avg_helpful", "LEAKY_user_review_count"), "LEAKY_user_avg_helpful")
+
+
+@_query("""SELECT split, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, round(avg(label), 6) AS base_rate FROM (
+  SELECT ts, CAST(helpful_vote >= 1 AS INT) AS label, CASE WHEN ts < a THEN 'train' WHEN ts < b THEN 'val' ELSE 'test' END AS split FROM r, (SELECT quantile_disc(ts, 0.70) AS a, quantile_disc(ts, 0.85) AS b FROM r)) GROUP BY split""")
+def temporal_split_counts(spark, sf_dir):
+    rows = history.temporal_split(clean.targets(reviews(spark, sf_dir)), "ts")
+    return rows.groupBy("split").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.round(F.avg("label"), 6).alias("base_rate"))
+
+
+@_query("SELECT count(*) AS reviews, count(DISTINCT user_id) AS users FROM r WHERE user_id % 10 < 3")
+def cluster_sample_users(spark, sf_dir):
+    return reviews(spark, sf_dir).filter(F.col("user_id") % 10 < 3).agg(F.count("*").alias("reviews"), F.countDistinct("user_id").alias("users"))
+
+
+@_query()
+def hash_split(spark, sf_dir):
+    rows = history.hash_split(reviews(spark, sf_dir), "user_id", 0.8)
+    return rows.groupBy("in_train").agg(F.count("*").alias("reviews"), F.countDistinct("user_id").alias("users"))
+
+
+# --- cleaning, targets -----------------------------------------------------
+
+
+def _dirty(spark, sf_dir):
+    """The review frame with faults planted by arithmetic."""
+    n = F.col("l_orderkey") + F.col("l_linenumber")
+    rows = reviews(spark, sf_dir)
+    return rows.withColumns({"asin": F.col("parent_asin").cast("string"), "rating": F.when(n % 17 == 0, 9.0).otherwise(F.col("rating")), "timestamp": F.when(n % 19 == 0, F.lit(-1)).otherwise(F.col("ts")), "text": F.when(n % 23 == 0, "N/A").when(n % 29 == 0, "  ").when(n % 31 == 0, "short").otherwise(F.concat(F.lit("a review of part "), "title")), "helpful_vote": F.when(n % 37 == 0, -1).otherwise(F.col("helpful_vote"))})
+
+
+_DIRTY = """, d AS (SELECT *, l_orderkey + l_linenumber AS n, CASE WHEN (l_orderkey + l_linenumber) % 17 = 0 THEN 9.0 ELSE rating END AS rt, CASE WHEN (l_orderkey + l_linenumber) % 19 = 0 THEN -1 ELSE ts END AS tm FROM r),
+e AS (SELECT *, CASE WHEN n % 23 = 0 THEN NULL WHEN n % 29 = 0 THEN '  ' WHEN n % 31 = 0 THEN 'short' ELSE 'a review of part ' || title END AS text, CASE WHEN n % 37 = 0 THEN -1 ELSE helpful_vote END AS v,
+  CASE WHEN NOT (rt BETWEEN 1 AND 5) THEN 0 WHEN tm <= 0 THEN 1 ELSE 2 END AS early FROM d),
+f AS (SELECT *, row_number() OVER (PARTITION BY user_id, parent_asin, tm, early ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, ts) AS turn FROM e),
+g AS (SELECT *, CASE WHEN early < 2 THEN early WHEN turn > 1 THEN 2 WHEN text IS NULL OR trim(text) = '' THEN 3 WHEN length(text) < 20 THEN 4 WHEN v < 0 THEN 5 ELSE 6 END AS stage FROM f)"""
+
+
+@_query(f"{_DIRTY} SELECT k AS step_no, step, (SELECT count(*) FROM g WHERE stage >= k) AS rows FROM (VALUES {', '.join(f'({k}, {s!r})' for k, s in enumerate(clean.STEPS))}) AS t(k, step), (SELECT 1 FROM r LIMIT 1)")
+def clean_audit(spark, sf_dir):
+    return clean.audit(clean.staged(_dirty(spark, sf_dir), _IDS))
+
+
+@_query(f"{_DIRTY} SELECT user_id, count(*) AS n, CAST(sum(v) AS BIGINT) AS votes FROM g WHERE stage = 6 AND user_id IN (SELECT user_id FROM r) GROUP BY user_id")
+def cleaned_by_user(spark, sf_dir):
+    return clean.clean(_dirty(spark, sf_dir), _IDS).groupBy("user_id").agg(F.count("*").alias("n"), F.sum("helpful_vote").alias("votes"))
+
+
+@_query("SELECT event_id, CASE WHEN t IN ('NA', 'null', 'None') THEN NULL ELSE t END AS token FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'NA' WHEN 1 THEN 'null' WHEN 2 THEN 'None' ELSE event_type END AS t FROM events)")
+def na_token_null(spark, sf_dir):
+    k = F.col("event_id") % 5
+    token = F.when(k == 0, "NA").when(k == 1, "null").when(k == 2, "None").otherwise(F.col("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", clean.nullify(token).alias("token"))
+
+
+@_query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS k FROM lineitem) WHERE k = 1")
+def dedupe_first(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    keep = F.row_number().over(W.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"))
+    return table(spark, sf_dir, "lineitem").withColumn("k", keep).filter("k = 1").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+
+
+@_query(f"SELECT count(*) AS n, min(d) AS least, max(d) AS most, round(avg(ln(1 + d)), 6) AS avg_log FROM (SELECT CAST(date_diff('day', CAST(event_time AS DATE), DATE '{COLLECTED}') AS DOUBLE) AS d FROM r) WHERE d >= 365")
+def exposure_censor(spark, sf_dir):
+    return clean.exposure(reviews(spark, sf_dir), COLLECTED).agg(F.count("*").alias("n"), F.min("exposure_days").alias("least"), F.max("exposure_days").alias("most"), F.round(F.avg("log_exposure_days"), 6).alias("avg_log"))
+
+
+@_query("SELECT year(event_time) AS year, count(*) AS n, round(avg(helpful_vote), 6) AS avg_votes, round(avg(CAST(helpful_vote >= 1 AS INT)), 6) AS share_any FROM r GROUP BY 1 HAVING count(*) >= 100")
+def exposure_by_year(spark, sf_dir):
+    return reviews(spark, sf_dir).groupBy(F.year("event_time").alias("year")).agg(F.count("*").alias("n"), F.round(F.avg("helpful_vote"), 6).alias("avg_votes"), F.round(F.avg((F.col("helpful_vote") >= 1).cast("int")), 6).alias("share_any")).filter("n >= 100")
+
+
+@_query("SELECT CAST(event_id AS VARCHAR) AS user_id, CAST(NULL AS VARCHAR) AS title, value AS rating, TRY_CAST(event_type AS BIGINT) AS timestamp FROM events")
+def schema_align(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("user_id"), F.col("value").alias("rating"), F.col("event_type").alias("timestamp"))
+    return align(rows).select("user_id", "title", "rating", "timestamp")
+
+
+@_query("SELECT label, count(*) AS n, round(avg(ln(1 + helpful_vote)), 6) AS avg_log FROM (SELECT *, CAST(helpful_vote >= 1 AS INT) AS label FROM r) GROUP BY label")
+def targets_binary_log(spark, sf_dir):
+    return clean.targets(reviews(spark, sf_dir)).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("log_helpful_vote"), 6).alias("avg_log"))
+
+
+@_query(f"SELECT {_ID}, count(*) OVER (PARTITION BY parent_asin) AS product_review_count, CASE WHEN count(*) OVER (PARTITION BY parent_asin) >= 5 THEN round(percent_rank() OVER (PARTITION BY parent_asin ORDER BY helpful_vote), 6) END AS within_product_pct_rank FROM r")
+def within_item_pct_rank(spark, sf_dir):
+    return _r6(clean.item_percentile(reviews(spark, sf_dir), "parent_asin", "helpful_vote").select(*_IDS, "product_review_count", "within_product_pct_rank"), "within_product_pct_rank")
+
+
+_TYPES = {"ECONOMY": "search", "STANDARD": "search", "MEDIUM": "search", "SMALL": "experience", "LARGE": "experience"}
+
+
+@_query("SELECT product_type, count(*) AS n FROM r GROUP BY product_type")
+def product_type_map(spark, sf_dir):
+    return clean.product_type(reviews(spark, sf_dir).drop("product_type"), mapping=_TYPES).groupBy("product_type").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT DISTINCT Category FROM r WHERE product_type = 'unmapped'")
+def unmapped_list(spark, sf_dir):
+    return clean.product_type(reviews(spark, sf_dir).drop("product_type"), mapping=_TYPES).filter("product_type = 'unmapped'").select("Category").distinct()
+
+
+@_query("SELECT event_type, count(*) AS n, count(props) AS with_props FROM (SELECT event_type, props FROM events WHERE event_type IN ('click', 'view') UNION ALL SELECT event_type, NULL FROM events WHERE event_type NOT IN ('click', 'view')) GROUP BY event_type")
+def union_categories_by_name(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    some = F.col("event_type").isin("click", "view")
+    parts = [e.filter(some).select("event_id", "event_type", "props"), e.filter(~some).select("event_type", "event_id")]
+    return union_categories(parts).groupBy("event_type").agg(F.count("*").alias("n"), F.count("props").alias("with_props"))
+
+
+@_query("SELECT Category, product_type, count(*) AS reviews, round(avg(helpful_vote), 6) AS avg_votes, round(100 * avg(CAST(helpful_vote >= 1 AS INT)), 6) AS pct_any FROM r GROUP BY 1, 2")
+def category_descriptives(spark, sf_dir):
+    rows = clean.targets(reviews(spark, sf_dir)).groupBy("Category", "product_type").agg(F.count("*").alias("reviews"), F.round(F.avg("helpful_vote"), 6).alias("avg_votes"), F.round(100 * F.avg("label"), 6).alias("pct_any"))
+    return rows.orderBy(F.desc("reviews"), "Category")
+
+
+@_query("SELECT event_id, CASE WHEN event_id % 3 = 0 OR event_id % 3 = 1 OR event_id % 7 = 0 THEN 0.0 ELSE value END AS x FROM events")
+def numeric_scrub(spark, sf_dir):
+    k = F.col("event_id")
+    bad = F.when(k % 3 == 0, F.lit(None).cast("double")).when(k % 3 == 1, F.lit(float("nan"))).when(k % 7 == 0, F.lit(float("inf"))).otherwise(F.col("value"))
+    return clean.scrub(table(spark, sf_dir, "events").select("event_id", bad.alias("x")), ["x"])
+
+
+# --- text features ---------------------------------------------------------
+
+_WC = r"CASE WHEN trim(text) = '' THEN 0.0::DOUBLE ELSE len(regexp_split_to_array(trim(text), '\s+'))::DOUBLE END"
+_SC = r"greatest(1.0::DOUBLE, (len(regexp_split_to_array(text, '[.!?]+')) - 1)::DOUBLE)"
+_T = rf"t AS (SELECT doc_id, text, source, lang, n_chars, length(text)::DOUBLE AS len, {_WC} AS wc, {_SC} AS sc, greatest(1.0::DOUBLE, {_WC}) AS w1, greatest(1.0::DOUBLE, length(text)::DOUBLE) AS c1 FROM documents)"
+
+
+def _drop(p):
+    return f"(length(text) - length(regexp_replace(text, '{p}', '', 'g')))::DOUBLE"
+
+
+def _hits(words):
+    return rf"len(regexp_extract_all(text, '(?i)\b({'|'.join(words)})\b'))::DOUBLE"
+
+
+def _docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").withColumn("title", F.col("source"))
+
+
+_STRUCT = "round(ln(1 + len), 6) AS log_review_length, len AS review_length, wc AS review_word_count, sc AS sentence_count, round(wc / sc, 6) AS avg_sentence_length, round(len / w1, 6) AS avg_word_length, length(source)::DOUBLE AS title_length, 1.0::DOUBLE AS title_word_count, 0.0::DOUBLE AS has_images"
+_LEX = rf"""round(len(list_distinct(regexp_split_to_array(lower(trim(text)), '\s+'))) / w1, 6) AS type_token_ratio, round(len(regexp_extract_all(text, '\b\w{{7,}}\b')) / w1, 6) AS long_word_ratio,
+  round({_drop('[A-Z]')} / c1, 6) AS uppercase_ratio, round({_drop('[0-9]')} / c1, 6) AS digit_ratio, round({_drop('[^\\w\\s]')} / c1, 6) AS punctuation_density, {_drop('!')} AS exclamation_count, {_drop('\\?')} AS question_count"""
+_FLESCH = "round(206.835::DOUBLE - 1.015::DOUBLE * wc / sc - 84.6::DOUBLE * greatest(1.0::DOUBLE, (len(regexp_split_to_array(lower(text), '[aeiouy]+')) - 1)::DOUBLE) / w1, 6)"
+
+
+@_query(f"WITH {_T} SELECT doc_id, {_STRUCT} FROM t")
+def feature_structural(spark, sf_dir):
+    return _r6(tx.structural(_docs(spark, sf_dir)).select("doc_id", *tx.BLOCKS["structural"]), "log_review_length", "avg_sentence_length", "avg_word_length")
+
+
+@_query(f"WITH {_T} SELECT doc_id, {_LEX} FROM t")
+def feature_lexical(spark, sf_dir):
+    rows = tx.lexical(tx.structural(_docs(spark, sf_dir))).select("doc_id", *[c for c in tx.BLOCKS["lexical"] if c != "flesch_reading_ease"])
+    return _r6(rows, "type_token_ratio", "long_word_ratio", "uppercase_ratio", "digit_ratio", "punctuation_density")
+
+
+@_query(f"WITH {_T} SELECT doc_id, {_FLESCH} AS flesch_reading_ease FROM t")
+def feature_readability(spark, sf_dir):
+    return _r6(tx.lexical(tx.structural(_docs(spark, sf_dir))).select("doc_id", "flesch_reading_ease"), "flesch_reading_ease")
+
+
+@_query(f"WITH {_T} SELECT doc_id, {_hits(POSITIVE)} AS positive_hits, {_hits(NEGATIVE)} AS negative_hits FROM t")
+def feature_lexicon(spark, sf_dir):
+    return tx.sentiment(tx.structural(_docs(spark, sf_dir))).select("doc_id", "positive_hits", "negative_hits")
+
+
+@_query(f"WITH {_T}, h AS (SELECT *, {_hits(POSITIVE)} AS p, {_hits(NEGATIVE)} AS n FROM t) SELECT doc_id, round(p / w1, 6) AS sentiment_positive_ratio, round(n / w1, 6) AS sentiment_negative_ratio, round((p - n) / greatest(1.0::DOUBLE, p + n), 6) AS sentiment_polarity FROM h")
+def sentiment_ratios(spark, sf_dir):
+    names = ["sentiment_positive_ratio", "sentiment_negative_ratio", "sentiment_polarity"]
+    return _r6(tx.sentiment(tx.structural(_docs(spark, sf_dir))).select("doc_id", *names), *names)
+
+
+@_query(f"SELECT {_ID}, abs(rating - 3.0) AS rating_extremity, CAST(rating IN (1.0, 5.0) AS DOUBLE) AS is_extreme_rating, CAST(rating IN (2.0, 3.0, 4.0) AS DOUBLE) AS is_moderate_rating, CASE WHEN images = '[]' THEN 0.0 ELSE 1.0 END::DOUBLE AS has_images FROM r")
+def feature_affective(spark, sf_dir):
+    rows = tx.affective(tx.structural(reviews(spark, sf_dir), text="title"))
+    return rows.select(*_IDS, "rating_extremity", "is_extreme_rating", "is_moderate_rating", "has_images")
+
+
+@_query(f"SELECT {_ID}, CAST(verified_purchase AS DOUBLE) AS verified_int, CASE WHEN c = 0 THEN 0.0::DOUBLE ELSE round(abs(rating - a), 6) END AS rating_deviation_from_product FROM (SELECT *, count(*) {_IT} AS c, avg(rating) {_IT} AS a FROM r)")
+def contextual_features(spark, sf_dir):
+    rows = history.prior_history(reviews(spark, sf_dir), "parent_asin", ORDER, {"product_prior_avg_rating": "rating"}, "product_prior_review_count")
+    rows = history.no_history_flags(rows, "product_prior_review_count", ["product_prior_avg_rating"], "is_first_review_of_product")
+    return _r6(tx.contextual(rows).select(*_IDS, "verified_int", "rating_deviation_from_product"), "rating_deviation_from_product")
+
+
+@_query(f"WITH {_T}, s AS (SELECT unnest([{{'f': 'review_length', 'x': len}}, {{'f': 'review_word_count', 'x': wc}}, {{'f': 'sentence_count', 'x': sc}}]) AS u FROM t) SELECT u.f AS feature, round(avg(u.x), 6) AS mean, round(stddev_samp(u.x), 6) AS std, min(u.x) AS min, max(u.x) AS max FROM s GROUP BY 1")
+def feature_summary(spark, sf_dir):
+    return _r6(tx.feature_summary(tx.structural(_docs(spark, sf_dir)), ["review_length", "review_word_count", "sentence_count"]), "mean", "std")
+
+
+@_query("SELECT doc_id, quality, round(CASE WHEN quality = 1 THEN (SELECT count(*) FILTER (WHERE quality = 0) / count(*) FILTER (WHERE quality = 1) FROM labels) ELSE 1.0 END::DOUBLE, 6) AS weight FROM labels")
+def class_weights(spark, sf_dir):
+    return _r6(ml.class_weights(table(spark, sf_dir, "labels"), "quality").select("doc_id", "quality", "weight"), "weight")
+
+
+@_query("""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: len(x) >= 2)) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY 1, 2),
+ df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= 10), n AS (SELECT count(*) AS n FROM documents) SELECT term, df, round(sum(tf * ln((n + 1.0) / (df + 1.0))), 6) AS tfidf_total FROM tf JOIN df USING (term), n GROUP BY term, df""")
+def tfidf_dictionary(spark, sf_dir):
+    """TF-IDF over a dictionary: the terms of ten documents or more, with ln((n + 1) / (df + 1))."""
+    d = table(spark, sf_dir, "documents")
+    tf = d.select("doc_id", F.explode(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) >= 2)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).filter("df >= 10")
+    n = d.agg(F.count("*").alias("n"))
+    return df.crossJoin(F.broadcast(n)).select("term", "df", F.round(F.col("total") * F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)), 6).alias("tfidf_total"))
+
+
+@_query()
+def tfidf_hashed(spark, sf_dir):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+
+    d = table(spark, sf_dir, "documents")
+    stages = ml.feature_stages(["n_chars"], text="text")
+    out = Pipeline(stages=stages).fit(d).transform(d)
+    return out.select("doc_id", F.round(F.aggregate(vector_to_array("_tfidf"), F.lit(0.0), lambda a, b: a + b), 6).alias("tfidf_total"))
+
+
+# --- metrics ---------------------------------------------------------------
+
+
+def _labelled(spark, sf_dir):
+    return table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id").select("doc_id", F.col("quality").alias("label"), F.col("n_chars").alias("score"))
+
+
+_C = """WITH l AS (SELECT doc_id, quality AS y, n_chars AS s FROM labels JOIN documents USING (doc_id)), g AS (SELECT s, count(*) AS n, sum(y) AS pos FROM l GROUP BY s),
+ c AS (SELECT *, sum(pos) OVER w AS tp, sum(n - pos) OVER w AS fp, (SELECT sum(y) FROM l) AS p, (SELECT count(*) - sum(y) FROM l) AS q FROM g WINDOW w AS (ORDER BY s DESC))"""
+
+
+@_query(f"{_C} SELECT round(CAST(sum(pos * tp::DOUBLE / (tp + fp)) / max(p) AS DOUBLE), 6) AS pr_auc FROM c")
+def ap_baseline(spark, sf_dir):
+    return _r6(metrics.average_precision(metrics.curve(_labelled(spark, sf_dir), "label", "score")), "pr_auc")
+
+
+@_query(f"{_C} SELECT round(CAST(sum(pos * (q - fp + (n - pos) / 2.0::DOUBLE)) / (max(p) * max(q)) AS DOUBLE), 6) AS roc_auc FROM c")
+def roc_auc_baseline(spark, sf_dir):
+    return _r6(metrics.roc_auc(metrics.curve(_labelled(spark, sf_dir), "label", "score")), "roc_auc")
+
+
+@_query(f"{_C} SELECT round(f1, 6) AS f1, s::DOUBLE AS threshold, round(tp::DOUBLE / (tp + fp), 6) AS precision, round(tp::DOUBLE / p, 6) AS recall FROM (SELECT *, 2.0::DOUBLE * tp / (tp + fp + p) AS f1 FROM c) ORDER BY f1 DESC, s DESC LIMIT 1")
+def best_f1_baseline(spark, sf_dir):
+    return _r6(metrics.best_f1(metrics.curve(_labelled(spark, sf_dir), "label", "score")), "f1", "precision", "recall")
+
+
+@_query("WITH l AS (SELECT doc_id, quality AS y, n_chars AS s FROM labels JOIN documents USING (doc_id)), k AS (SELECT y, row_number() OVER (ORDER BY s DESC, doc_id) AS i FROM l) SELECT round(avg(y) FILTER (WHERE i <= greatest(1, floor((SELECT count(*) FROM l) * 0.10))) / avg(y), 6) AS lift FROM k")
+def lift_at_10(spark, sf_dir):
+    return _r6(metrics.lift_at(_labelled(spark, sf_dir), "label", "score", "doc_id"), "lift")
+
+
+_O = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, ts"
+
+
+@_query(f"""SELECT round(avg(dcg / ideal), 6) AS ndcg, count(*) AS n_products_ranked FROM (SELECT parent_asin, count(*) AS n, sum(CASE WHEN i <= 5 THEN (pow(2.0, v) - 1) / log2(i + 1.0) END) AS dcg, sum(CASE WHEN j <= 5 THEN (pow(2.0, v) - 1) / log2(j + 1.0) END) AS ideal
+ FROM (SELECT parent_asin, helpful_vote::DOUBLE AS v, row_number() OVER (PARTITION BY parent_asin ORDER BY rating DESC, {_O}) AS i, row_number() OVER (PARTITION BY parent_asin ORDER BY helpful_vote DESC, {_O}) AS j FROM r) GROUP BY parent_asin) WHERE n >= 5 AND ideal > 0""")
+def ndcg_within_group(spark, sf_dir):
+    return _r6(metrics.ndcg(reviews(spark, sf_dir), "parent_asin", "helpful_vote", "rating", _IDS), "ndcg")
+
+
+# --- ranking, concentration ------------------------------------------------
+
+_P = ", s AS (SELECT parent_asin, count(*) AS n, avg(rating) AS a, avg(CAST(rating >= 4 AS DOUBLE)) AS p, sum(CAST(rating >= 4 AS DOUBLE)) AS np, avg(helpful_vote) AS h FROM r GROUP BY parent_asin HAVING count(*) >= 5)"
+_WIL = "(p + 3.8416::DOUBLE / (2 * n) - 1.96::DOUBLE * sqrt((p * (1 - p) + 3.8416::DOUBLE / (4 * n)) / n)) / (1 + 3.8416::DOUBLE / n)"
+_EB = ", q AS (SELECT avg(p) AS mu, var_samp(p) AS v FROM s), b AS (SELECT CASE WHEN v > 0 AND v < mu * (1 - mu) THEN mu * (mu * (1 - mu) / v - 1) ELSE 1.0 END AS al, CASE WHEN v > 0 AND v < mu * (1 - mu) THEN (1 - mu) * (mu * (1 - mu) / v - 1) ELSE 1.0 END AS be FROM q)"
+
+
+def _stats(spark, sf_dir):
+    return ranking.product_stats(reviews(spark, sf_dir), ["parent_asin"], "rating", "helpful_vote")
+
+
+@_query(f"{_P} SELECT parent_asin, n, round(a, 6) AS avg_rating, round(p, 6) AS p_positive, np AS n_positive, round(h, 6) AS avg_helpful FROM s WHERE parent_asin IN (SELECT parent_asin FROM r)")
+def product_stats(spark, sf_dir):
+    return _r6(_stats(spark, sf_dir), "avg_rating", "p_positive", "avg_helpful")
+
+
+@_query(f"{_P} SELECT parent_asin, round({_WIL}, 6) AS wilson FROM s WHERE parent_asin IN (SELECT parent_asin FROM r)")
+def wilson_rank(spark, sf_dir):
+    return _stats(spark, sf_dir).select("parent_asin", F.round(ranking.wilson(F.col("p_positive"), F.col("n")), 6).alias("wilson"))
+
+
+@_query(f"{_P}{_EB} SELECT parent_asin, round((np + al) / (n + al + be), 6) AS bayesian FROM s, b WHERE parent_asin IN (SELECT parent_asin FROM r)")
+def eb_rank(spark, sf_dir):
+    return _r6(ranking.with_bayes(_stats(spark, sf_dir)).select("parent_asin", "bayesian"), "bayesian")
+
+
+@_query(f"""{_P}{_EB}, z AS (SELECT parent_asin, n, round(a, 9) AS a, round({_WIL}, 9) AS w, round((np + al) / (n + al + be), 9) AS e FROM s, b), k AS (SELECT *, row_number() OVER (ORDER BY a DESC, parent_asin) AS i, row_number() OVER (ORDER BY w DESC, parent_asin) AS j, row_number() OVER (ORDER BY e DESC, parent_asin) AS l FROM z)
+ SELECT 'naive' AS ranking, count(*) FILTER (WHERE i <= 20) AS overlap, median(n) FILTER (WHERE i <= 20)::DOUBLE AS median_n FROM k UNION ALL SELECT 'wilson', count(*) FILTER (WHERE i <= 20 AND j <= 20), median(n) FILTER (WHERE j <= 20) FROM k UNION ALL SELECT 'bayesian', count(*) FILTER (WHERE i <= 20 AND l <= 20), median(n) FILTER (WHERE l <= 20) FROM k WHERE (SELECT count(*) FROM r) > 0""")
+def rank_overlap(spark, sf_dir):
+    rows = ranking.with_bayes(_stats(spark, sf_dir)).withColumn("wilson", ranking.wilson(F.col("p_positive"), F.col("n")))
+    rows = rows.withColumns({c: F.round(c, 9) for c in ("avg_rating", "wilson", "bayesian")})
+    return ranking.rank_overlap(rows, "parent_asin").withColumn("median_n", F.col("median_n").cast("double"))
+
+
+@_query(f"""SELECT b AS arrival_bucket, count(*) AS reviews, round(avg(helpful_vote), 6) AS avg_votes, round(100 * avg(CAST(helpful_vote >= 1 AS INT)), 6) AS pct_any, round(avg(rating), 6) AS avg_rating, CASE b WHEN '1-5 (earliest)' THEN 1 WHEN '6-20' THEN 2 WHEN '21-50' THEN 3 WHEN '51-200' THEN 4 ELSE 5 END AS bucket_no FROM (
+ SELECT *, CASE WHEN k <= 5 THEN '1-5 (earliest)' WHEN k <= 20 THEN '6-20' WHEN k <= 50 THEN '21-50' WHEN k <= 200 THEN '51-200' ELSE '200+ (latest)' END AS b FROM (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY {ORDER_SQL}) AS k FROM r)) GROUP BY b""")
+def arrival_bias(spark, sf_dir):
+    rows = history.arrival_position(clean.targets(reviews(spark, sf_dir)), "brand", ORDER)
+    out = ranking.arrival_bias(rows, {"avg_votes": F.avg("helpful_vote"), "pct_any": 100 * F.avg("label"), "avg_rating": F.avg("rating")})
+    return _r6(out, "avg_votes", "pct_any", "avg_rating")
+
+
+@_query("""SELECT round((2 * sum(i * v) / (max(n) * sum(v)) - (max(n) + 1.0) / max(n))::DOUBLE, 6) AS gini, round(sum(CASE WHEN i > floor(n * 0.99) THEN v END)::DOUBLE / sum(v), 6) AS top1_share, round(sum(CASE WHEN i > floor(n * 0.90) THEN v END)::DOUBLE / sum(v), 6) AS top10_share
+ FROM (SELECT helpful_vote::DOUBLE AS v, row_number() OVER (ORDER BY helpful_vote) AS i, count(*) OVER () AS n FROM r)""")
+def gini_votes(spark, sf_dir):
+    return _r6(ranking.gini(reviews(spark, sf_dir), "helpful_vote"), "gini", "top1_share", "top10_share")
+
+
+# --- provenance ------------------------------------------------------------
+
+
+@_query("""SELECT reviews, unique_reviewers, unique_products, round(reviews / unique_reviewers, 6) AS reviews_per_reviewer, round(reviews / unique_products, 6) AS reviews_per_product, round(100.0 * u1 / unique_reviewers, 6)::DOUBLE AS pct_single_review_users, round(100.0 * p1 / unique_products, 6)::DOUBLE AS pct_single_review_products, reviews / unique_reviewers < 1.15 AS is_review_level_sample FROM
+ (SELECT count(*) AS reviews, count(DISTINCT user_id) AS unique_reviewers, count(DISTINCT parent_asin) AS unique_products FROM r), (SELECT count(*) AS u1 FROM (SELECT user_id FROM r GROUP BY 1 HAVING count(*) = 1)), (SELECT count(*) AS p1 FROM (SELECT parent_asin FROM r GROUP BY 1 HAVING count(*) = 1))""")
+def provenance_summary(spark, sf_dir):
+    return _r6(provenance.summary(reviews(spark, sf_dir), "user_id", "parent_asin"), "reviews_per_reviewer", "reviews_per_product", "pct_single_review_users", "pct_single_review_products")
+
+
+@_query(f"SELECT analysis, CASE needs WHEN 'item' THEN rpp >= 1.5 WHEN 'user' THEN rpu >= 1.15 ELSE true END AS supported FROM (VALUES {', '.join(f'({a!r}, {n or str()!r})' for a, n in provenance.ANALYSES)}) AS t(analysis, needs), (SELECT count(*) / count(DISTINCT user_id) AS rpu, count(*) / count(DISTINCT parent_asin) AS rpp FROM r)")
+def support_matrix(spark, sf_dir):
+    return provenance.support_matrix(provenance.summary(reviews(spark, sf_dir), "user_id", "parent_asin"))
+
+
+@_query("SELECT reviews_written, n_users, round(100.0 * n_users / sum(n_users) OVER (), 6)::DOUBLE AS pct_of_reviewers FROM (SELECT c AS reviews_written, count(*) AS n_users FROM (SELECT user_id, count(*) AS c FROM r GROUP BY 1) GROUP BY 1) ORDER BY reviews_written LIMIT 10")
+def reviewer_frequency(spark, sf_dir):
+    return _r6(provenance.frequency(reviews(spark, sf_dir), "user_id"), "pct_of_reviewers")
+
+
+@_query("SELECT k, round(1 - pow(0.9::DOUBLE, k) - k * 0.1::DOUBLE * pow(0.9::DOUBLE, k - 1), 6) AS survives FROM (SELECT user_id, count(*) AS k FROM r GROUP BY 1) GROUP BY k")
+def singleton_theory(spark, sf_dir):
+    k = reviews(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("k")).select("k").distinct()
+    return k.select("k", F.round(provenance.history_survives(F.lit(0.1), F.col("k")), 6).alias("survives"))
+
+
+# --- graph -----------------------------------------------------------------
+
+_E = "e0 AS (SELECT 'u:' || o_custkey AS src, 'p:' || l_partkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey), e AS (SELECT * FROM e0 WHERE src IN (SELECT src FROM e0 GROUP BY 1 HAVING count(*) >= {u}) AND dst IN (SELECT dst FROM e0 GROUP BY 1 HAVING count(*) >= {p}))"
+_BOTH = "b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
+
+
+def _edges(spark, sf_dir, u=2, p=2):
+    return graph.bipartite(reviews(spark, sf_dir), "user_id", "parent_asin", "helpful_vote", u, p)
+
+
+@_query(f"WITH {_E.format(u=35, p=30)} SELECT count(*) AS edges, count(DISTINCT src) AS reviewers, count(DISTINCT dst) AS products FROM e")
+def bipartite_edges_pruned(spark, sf_dir):
+    return _edges(spark, sf_dir, 35, 30).agg(F.count("*").alias("edges"), F.countDistinct("src").alias("reviewers"), F.countDistinct("dst").alias("products"))
+
+
+def _pr_sql(rounds):
+    steps = ["v AS (SELECT src AS id FROM b GROUP BY 1)", "n AS (SELECT count(*) AS n FROM v)", "g AS (SELECT src, count(*) AS deg FROM b GROUP BY 1)", "r0 AS (SELECT id, 1.0::DOUBLE / n AS rank FROM v, n)"]
+    for k in range(rounds):
+        steps.append(f"r{k + 1} AS (SELECT dst AS id, 0.15::DOUBLE / max(n) + 0.85::DOUBLE * sum(rank / deg) AS rank FROM b JOIN r{k} ON b.src = r{k}.id JOIN g ON b.src = g.src, n GROUP BY dst)")
+    return f"WITH {_E.format(u=2, p=2)}, {_BOTH}, {', '.join(steps)}"
+
+
+@_query(f"{_pr_sql(3)} SELECT id, round(rank, 9) AS rank FROM r3")
+def pagerank_3(spark, sf_dir):
+    return graph.pagerank(_edges(spark, sf_dir), rounds=3).select("id", F.round("rank", 9).alias("rank"))
+
+
+@_query(f"{_pr_sql(3)} SELECT round(corr(rank, c), 6) AS corr_rank_activity, count(*) AS reviewers FROM r3 JOIN (SELECT src, count(*) AS c FROM e GROUP BY 1) a ON a.src = r3.id")
+def corr_rank_activity(spark, sf_dir):
+    e = _edges(spark, sf_dir)
+    activity = e.groupBy("src").agg(F.count("*").alias("c"))
+    ranks = graph.pagerank(e, rounds=3)
+    return ranks.join(activity, ranks["id"] == activity["src"]).agg(F.round(F.corr("rank", "c"), 6).alias("corr_rank_activity"), F.count("*").alias("reviewers"))
+
+
+def _sparse_edges(spark, sf_dir):
+    """A graph of many small components: customers and parts of the orders of one in fifty keys."""
+    rows = reviews(spark, sf_dir).filter(F.col("l_orderkey") % 50 == 0)
+    return graph.bipartite(rows, "user_id", "parent_asin", "helpful_vote", 1, 1)
+
+
+@_query("""WITH RECURSIVE e AS (SELECT 'u:' || o_custkey AS src, 'p:' || l_partkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 50 = 0), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+ c AS (SELECT src AS id, src AS root FROM b UNION SELECT b.dst, c.root FROM c JOIN b ON c.id = b.src WHERE c.root < b.dst) SELECT id, min(root) AS component FROM c GROUP BY id""")
+def components_full(spark, sf_dir):
+    return graph.components(_sparse_edges(spark, sf_dir))
+
+
+@_query(f"WITH {_E.format(u=2, p=2)} SELECT degree, count(*) AS vertices FROM (SELECT src, count(*) AS degree FROM e GROUP BY 1) GROUP BY 1")
+def degree_histogram(spark, sf_dir):
+    return graph.degree_histogram(_edges(spark, sf_dir))
+
+
+@_query()
+def graph_summary(spark, sf_dir):
+    e = _sparse_edges(spark, sf_dir)
+    return graph.summary(e, graph.components(e))
+
+
+# --- reviewer profiles, models ---------------------------------------------
+
+
+def _featured(spark, sf_dir):
+    """The review frame with history, features on titles, targets and exposure."""
+    rows = clean.exposure(clean.targets(reviews(spark, sf_dir).withColumn("text", F.col("title"))), COLLECTED)
+    rows = history.prior_history(rows, "user_id", ORDER, {"prior_avg_helpful": "helpful_vote", "prior_avg_rating": "rating", "prior_avg_length": F.length("text")}, "prior_review_count")
+    rows = history.no_history_flags(rows, "prior_review_count", ["prior_avg_helpful", "prior_avg_rating", "prior_avg_length"], "is_first_review_by_user")
+    rows = history.prior_history(rows, "parent_asin", ORDER, {"product_prior_avg_rating": "rating"}, "product_prior_review_count")
+    rows = history.no_history_flags(rows, "product_prior_review_count", ["product_prior_avg_rating"], "is_first_review_of_product")
+    return history.arrival_position(tx.add_features(rows), "brand", ORDER)
+
+
+@_query("""SELECT user_id, count(*) AS n_reviews, round(avg(rating), 6) AS avg_rating, round(avg(length(title)), 6) AS avg_length, round(avg(helpful_vote), 6) AS avg_helpful, CAST(sum(helpful_vote) AS BIGINT) AS total_helpful, round(avg(CAST(verified_purchase AS DOUBLE)), 6) AS verified_share,
+ count(DISTINCT parent_asin) AS n_products, round(avg(CAST(rating <= 2 AS DOUBLE)), 6) AS neg_share, round(avg(CAST(helpful_vote >= 1 AS DOUBLE)), 6) AS helpful_hit_rate FROM r GROUP BY user_id HAVING count(*) >= 3""")
+def reviewer_profiles(spark, sf_dir):
+    rows = clean.targets(reviews(spark, sf_dir)).withColumns({"verified_int": F.col("verified_purchase").cast("double"), "review_length": F.length("title")})
+    return _r6(segments.profiles(rows), "avg_rating", "avg_length", "avg_helpful", "verified_share", "neg_share", "helpful_hit_rate")
+
+
+@_query()
+def cluster_summary(spark, sf_dir):
+    rows = clean.targets(reviews(spark, sf_dir)).withColumns({"verified_int": F.col("verified_purchase").cast("double"), "review_length": F.length("title")})
+    found = segments.profiles(rows).cache()
+    scores, _, k, model = segments.sweep(found, range(2, 5))
+    table_ = segments.profile_clusters(model.transform(found)).orderBy("prediction")
+    names = segments.name_segments([r.asDict() for r in table_.collect()])  # a row per segment, six at most
+    return table_.withColumns({"segment": F.element_at(F.array(*map(F.lit, names)), F.row_number().over(_by("prediction"))), "k": F.lit(k), "silhouette": F.lit(scores[k])})
+
+
+def _by(column):
+    from pyspark.sql import Window as W
+
+    return W.orderBy(column)
+
+
+_MODEL_COLUMNS = ["rating", "rating_extremity", "verified_int", "has_images", "title_length", "log_exposure_days", "log_prior_review_count", "prior_avg_helpful"]
+
+
+@_query()
+def leakage_decomposition(spark, sf_dir):
+    rows = history.whole_history(_featured(spark, sf_dir), "user_id", "helpful_vote").withColumn("LEAKY_user_review_count", F.col("LEAKY_user_review_count").cast("double"))
+    rows = history.hash_split(history.temporal_split(rows, "ts"), "l_orderkey", 0.8).select(*_MODEL_COLUMNS, "LEAKY_user_avg_helpful", "LEAKY_user_review_count", "label", "split", "in_train", "l_orderkey").cache()
+    leaky = [*_MODEL_COLUMNS, "LEAKY_user_avg_helpful", "LEAKY_user_review_count"]
+    random, temporal = (rows.filter("in_train"), rows.filter("not in_train")), (rows.filter("split = 'train'"), rows.filter("split = 'test'"))
+    return ml.leakage_decomposition({"A random, leaky": (*random, leaky), "B temporal, leaky": (*temporal, leaky), "C random, honest": (*random, _MODEL_COLUMNS), "D temporal, honest": (*temporal, _MODEL_COLUMNS)}, "l_orderkey")
+
+
+@_query()
+def block_ablation(spark, sf_dir):
+    rows = history.temporal_split(_featured(spark, sf_dir), "ts").select(*tx.ALL_NUMERIC, "label", "split", "l_orderkey").cache()
+    out = ml.ablation(rows.filter("split = 'train'"), rows.filter("split = 'test'"), "l_orderkey")
+    return spark.createDataFrame([(r["model"], r["step"], r["n_features"], r["pr_auc"], r["marginal_pr_auc"], r["roc_auc"]) for r in out], "block string, step int, n_features int, pr_auc double, marginal_pr_auc double, roc_auc double")
+
+
+@_query()
+def model_comparison(spark, sf_dir):
+    rows = history.temporal_split(_featured(spark, sf_dir), "ts").select(*_MODEL_COLUMNS, "Category", "label", "split", "l_orderkey").cache()
+    zoo = {**ml.linear_classifiers(max_iter=20), **ml.tree_classifiers(trees=10, rounds=5)}
+    return ml.model_comparison(rows.filter("split = 'train'"), rows.filter("split = 'test'"), _MODEL_COLUMNS, "l_orderkey", category="Category", zoo=zoo)[1]
+
+
+@_query()
+def trivial_baselines(spark, sf_dir):
+    rows = history.temporal_split(_featured(spark, sf_dir), "ts").filter("split = 'test'")
+    return ml.baselines(rows, {"length": "review_length", "exposure": "log_exposure_days", "rating": "rating"}, "l_orderkey")
+
+
+@_query()
+def per_category(spark, sf_dir):
+    rows = history.temporal_split(_featured(spark, sf_dir), "ts").select(*_MODEL_COLUMNS, "Category", "label", "split", "l_orderkey").cache()
+    out = ml.per_category(rows.filter("split = 'train'"), rows.filter("split = 'test'"), _MODEL_COLUMNS, "Category", tiebreak="l_orderkey")
+    flat = [(r["model"], t, c, r["pr_auc"]) for r in out for t, c in r["coefficients"].items()]
+    return spark.createDataFrame(flat, "category string, term string, coefficient double, pr_auc double")
+
+
+@_query("SELECT Category, round(regr_slope(helpful_vote, rating), 6) AS slope, round(regr_intercept(helpful_vote, rating), 6) AS intercept, round(regr_r2(helpful_vote, rating), 6) AS r2 FROM r GROUP BY Category")
+def linear_regression_simple(spark, sf_dir):
+    y, x = F.col("helpful_vote"), F.col("rating")
+    return reviews(spark, sf_dir).groupBy("Category").agg(F.round(F.regr_slope(y, x), 6).alias("slope"), F.round(F.regr_intercept(y, x), 6).alias("intercept"), F.round(F.regr_r2(y, x), 6).alias("r2"))
+
+
+@_query("SELECT count(*) AS n, round(sqrt(avg((helpful_vote - rating) * (helpful_vote - rating))), 6) AS rmse, round(avg(abs(helpful_vote - rating)), 6) AS mae, round(1 - avg((helpful_vote - rating) * (helpful_vote - rating)) / var_pop(helpful_vote), 6) AS r2 FROM r")
+def regression_metrics(spark, sf_dir):
+    return _r6(ml.regression_metrics(reviews(spark, sf_dir), "helpful_vote", "rating"), "rmse", "mae", "r2")
+
+
+@_query()
+def regression_zoo(spark, sf_dir):
+    rows = history.temporal_split(_featured(spark, sf_dir), "ts").select(*_MODEL_COLUMNS, "log_helpful_vote", "split").cache()
+    return ml.regression_zoo(rows.filter("split = 'train'"), rows.filter("split = 'test'"), _MODEL_COLUMNS, "log_helpful_vote", ml.regressors(trees=10, rounds=5))
+
+
+# --- inference, registry ---------------------------------------------------
+
+
+@_query()
+def logit_inference(spark, sf_dir):
+    rows = reviews(spark, sf_dir).withColumns({"label": (F.col("helpful_vote") >= 1).cast("double"), "extremity": F.abs(F.col("rating") - 3), "verified_int": F.col("verified_purchase").cast("double")})
+    return spark.createDataFrame(stats.logit(rows, ["rating", "extremity", "verified_int"]))
+
+
+@_query()
+def claim_verdicts(spark, sf_dir):
+    frame = stats.estimation_frame(_featured(spark, sf_dir)).cache()
+    # terms without variation in this synthetic frame can't be estimated and come out as not testable
+    want = ["rating_extremity", "log_prior_review_count", "rating_deviation_from_product", "log_exposure_days", "log_arrival_position", "verified_int", "has_images", "is_experience", "extremity_x_experience"]
+    estimates = spark.createDataFrame(stats.logit(frame, want)).select("term", "coefficient", "p_value", "effect_at_mean")
+    return stats.verdicts(stats.registry_table(spark), estimates, stats.testability(frame))
+
+
+@_query(f"SELECT * FROM (VALUES {', '.join(f'({f.id!r}, {f.claim!r}, {f.term!r}, {f.expected!r}, ' + (f'{f.requires!r})' if f.requires else 'NULL)') for f in stats.REGISTRY)}) AS t(id, claim, term, expected, requires)")
+def registry_table(spark, sf_dir):
+    return stats.registry_table(spark)
+
+
+@_query("SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'NOT TESTABLE' WHEN p >= 0.001 THEN 'FAILS' WHEN coef <= 0 THEN 'REVERSES' WHEN abs(coef / 100) < 0.01 THEN 'WEAKENS' ELSE 'REPLICATES' END AS verdict FROM (SELECT event_id, CAST(event_id % 5 - 2 AS DOUBLE) AS coef, (event_id % 3) / 1500.0::DOUBLE AS p FROM events)")
+def verdict_rule(spark, sf_dir):
+    k = F.col("event_id")
+    coef = F.when(k % 7 != 0, (k % 5 - 2).cast("double"))
+    return table(spark, sf_dir, "events").select("event_id", stats.verdict(coef, (k % 3) / 1500.0, coef / 100, F.lit("positive")).alias("verdict"))
+
+
+@_query(f"WITH h AS (SELECT * FROM (SELECT *, count(*) {_IT} AS c, avg(rating) {_IT} AS a, count(*) OVER (PARTITION BY user_id ORDER BY {ORDER_SQL} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS u FROM r)) SELECT 'reviewer_history' AS requirement, round(avg(CAST(u > 0 AS DOUBLE)), 6) AS share, avg(CAST(u > 0 AS DOUBLE)) >= 0.1 AS testable FROM h UNION ALL SELECT 'product_history', round(avg(CAST(c > 0 AND rating <> a AS DOUBLE)), 6), avg(CAST(c > 0 AND rating <> a AS DOUBLE)) >= 0.1 FROM h".replace("WITH h AS", ", h AS"))
+def testability_checks(spark, sf_dir):
+    rows = history.prior_history(reviews(spark, sf_dir), "user_id", ORDER, {}, "prior_review_count")
+    rows = history.no_history_flags(rows, "prior_review_count", [], "is_first_review_by_user")
+    rows = history.prior_history(rows, "parent_asin", ORDER, {"product_prior_avg_rating": "rating"}, "product_prior_review_count")
+    rows = history.no_history_flags(rows, "product_prior_review_count", ["product_prior_avg_rating"], "is_first_review_of_product")
+    return _r6(stats.testability(tx.contextual(rows)), "share")
+
+
+@_query(f"SELECT {_ID}, round((rating - avg(rating) OVER ()) / stddev_samp(rating) OVER (), 6) AS z, round((rating - avg(rating) OVER ()) / stddev_samp(rating) OVER () * CAST(product_type = 'experience' AS INT), 6) AS z_x_experience FROM r")
+def zscore_interaction(spark, sf_dir):
+    rows = stats.standardised(reviews(spark, sf_dir).withColumn("z", F.col("rating")), ["z"])
+    return rows.select(*_IDS, F.round("z", 6).alias("z"), F.round(F.col("z") * (F.col("product_type") == "experience").cast("int"), 6).alias("z_x_experience"))
+
+
+# --- benchmark workloads, scorer -------------------------------------------
+
+
+@_query("SELECT o_orderpriority, count(*) AS rows, round(avg(o_totalprice), 4) AS avg_o_totalprice FROM orders GROUP BY 1")
+def bench_groupby(spark, sf_dir):
+    return benchmark.group_by(table(spark, sf_dir, "orders"), "o_orderpriority", ["o_totalprice"]).withColumn("avg_o_totalprice", F.round("avg_o_totalprice", 4))
+
+
+@_query("SELECT o_orderkey, row_number() OVER w AS position, round(avg(o_totalprice) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 4) AS prior_avg FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
+def bench_window(spark, sf_dir):
+    return benchmark.windowed_history(table(spark, sf_dir, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], "o_totalprice").select("o_orderkey", F.col("position").cast("long").alias("position"), F.round("prior_avg", 4).alias("prior_avg"))
+
+
+@_query(r"SELECT count(*) AS rows, count(*) FILTER (WHERE regexp_matches(text, '\d')) AS matching, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents")
+def bench_textscan(spark, sf_dir):
+    return benchmark.text_scan(table(spark, sf_dir, "documents"), "text")
+
+
+def _drafts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", "text", F.col("source").alias("title"), F.when(F.col("doc_id") % 4 == 0, '["i"]').otherwise("[]").alias("images"), (1 + F.col("doc_id") % 5).cast("double").alias("rating"), (F.col("doc_id") % 3 != 0).cast("double").alias("verified_int"), F.when(F.col("doc_id") % 2 == 0, "search").otherwise("experience").alias("product_type"))
+
+
+_S = rf"""WITH {_T}, f AS (SELECT doc_id, len, wc, sc, CAST(doc_id % 4 = 0 AS INT) AS img, 1 + doc_id % 5 AS rating, CAST(doc_id % 3 <> 0 AS INT) AS ver, doc_id % 2 = 0 AS search, len(list_distinct(regexp_split_to_array(lower(trim(text)), '\s+'))) / w1 AS ttr,
+ {_drop('[0-9]')} / c1 AS dig, {_drop('!')} AS exc, {_drop('[A-Z]')} / c1 AS up, 206.835::DOUBLE - 1.015::DOUBLE * wc / sc - 84.6::DOUBLE * greatest(1.0::DOUBLE, (len(regexp_split_to_array(lower(text), '[aeiouy]+')) - 1)::DOUBLE) / w1 AS fl FROM t),
+ g AS (SELECT *, CAST(rating IN (1, 5) AS INT) AS ext FROM f), z AS (SELECT *, 1 / (1 + exp(-(-1.2::DOUBLE + 0.55::DOUBLE * least(ln(1 + len) / 5, 1.5::DOUBLE) + 0.30::DOUBLE * ttr + 0.25::DOUBLE * ver + 0.40::DOUBLE * img + 0.20::DOUBLE * least(dig * 50, 1.0::DOUBLE) - 0.15::DOUBLE * ext - 0.10::DOUBLE * least(exc / 5, 1.0::DOUBLE) - greatest(up - 0.1::DOUBLE, 0.0::DOUBLE)))) AS p FROM g)"""
+
+
+@_query(f"{_S} SELECT doc_id, round(p, 6) AS probability, CASE WHEN p < 0.15 THEN '{scorer.BANDS[0][1]}' WHEN p < 0.35 THEN '{scorer.BANDS[1][1]}' WHEN p < 0.6 THEN '{scorer.BANDS[2][1]}' ELSE '{scorer.TOP_BAND}' END AS verdict FROM z")
+def scorer_probability(spark, sf_dir):
+    return _r6(scorer.score(_drafts(spark, sf_dir)).select("doc_id", "probability", "verdict"), "probability")
+
 
-def queries():
-    return {}
+@_query(f"{_S} SELECT doc_id, wc AS review_word_count, sc AS sentence_count, round(ttr, 6) AS type_token_ratio, round(fl, 6) AS flesch_reading_ease FROM z")
+def scorer_features(spark, sf_dir):
+    return _r6(scorer.features(_drafts(spark, sf_dir)).select("doc_id", "review_word_count", "sentence_count", "type_token_ratio", "flesch_reading_ease"), "type_token_ratio", "flesch_reading_ease")
 
 
-def oracle_sql():
-    return {}
+@_query(f"""{_S} SELECT doc_id, array_to_string(list_filter([CASE WHEN wc < 30 THEN 'Length:critical' END, CASE WHEN wc >= 30 AND wc < 80 THEN 'Length:moderate' END, CASE WHEN ttr > 0.85 AND wc > 40 THEN 'Specificity:good' END, CASE WHEN ttr < 0.55 THEN 'Specificity:moderate' END,
+ CASE WHEN dig < 0.005 AND wc > 40 THEN 'Concrete detail:moderate' END, CASE WHEN ext = 1 AND search THEN 'Rating:moderate' END, CASE WHEN exc > 3 THEN 'Tone:moderate' END, CASE WHEN up > 0.15 THEN 'Tone:moderate' END, CASE WHEN fl < 30 THEN 'Readability:moderate' END, CASE WHEN fl > 90 AND wc > 50 THEN 'Readability:good' END,
+ CASE WHEN ver = 0 THEN 'Verification:info' END, CASE WHEN img = 1 THEN 'Images:good' END, CASE WHEN img = 0 AND wc > 50 THEN 'Images:moderate' END], lambda x: x IS NOT NULL), ',') AS tips FROM z""")
+def scorer_tips(spark, sf_dir):
+    rows = scorer.score(_drafts(spark, sf_dir))
+    return rows.select("doc_id", F.array_join(F.transform("tips", lambda t: F.concat_ws(":", t["label"], t["severity"])), ",").alias("tips"))
