@@ -60,9 +60,9 @@ def flagship_history_by_type(spark, sf_dir):
     return entry(spark, sf_dir)
 
 
-@_query(f"SELECT event_id, count(*) {_EV} AS prior_count, round(avg(value) {_EV}, 6) AS prior_avg_value FROM events")
+@_query(f"SELECT event_id, count(*) {_EV} AS prior_count, round(avg(value) {_EV}, 9) AS prior_avg_value FROM events")
 def prior_history_user(spark, sf_dir):
-    return _r6(_events_history(spark, sf_dir).select("event_id", "prior_count", "prior_avg_value"), "prior_avg_value")
+    return _events_history(spark, sf_dir).select("event_id", "prior_count", F.round("prior_avg_value", 9).alias("prior_avg_value"))
 
 
 @_query("SELECT event_id, count(*) OVER w AS prior_count FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
@@ -82,10 +82,10 @@ def prior_history_item(spark, sf_dir):
     return _r6(rows.select(*_IDS, "product_prior_review_count", "product_prior_avg_rating"), "product_prior_avg_rating")
 
 
-@_query(f"SELECT event_id, CAST(count(*) {_EV} = 0 AS INT) AS is_first, round(ln(1 + count(*) {_EV}), 6) AS log_prior_count, round(coalesce(avg(value) {_EV}, 0.0), 6) AS prior_avg_value FROM events")
+@_query(f"SELECT event_id, CAST(count(*) {_EV} = 0 AS INT) AS is_first, round(ln(1 + count(*) {_EV}), 6) AS log_prior_count, round(coalesce(avg(value) {_EV}, 0.0), 9) AS prior_avg_value FROM events")
 def no_history_flags(spark, sf_dir):
     rows = history.no_history_flags(_events_history(spark, sf_dir), "prior_count", ["prior_avg_value"], "is_first")
-    return _r6(rows.select("event_id", "is_first", "log_prior_count", "prior_avg_value"), "log_prior_count", "prior_avg_value")
+    return _r6(rows.select("event_id", "is_first", "log_prior_count", F.round("prior_avg_value", 9).alias("prior_avg_value")), "log_prior_count")
 
 
 @_query(f"SELECT {_ID}, round(avg(helpful_vote) OVER (PARTITION BY user_id), 6) AS LEAKY_user_avg_helpful, count(*) OVER (PARTITION BY user_id) AS LEAKY_user_review_count FROM r")
