@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, passages, quality, suffixdedup, toxicity
+from . import bpe, chat, decontaminate, jaccard, licenses, passages, quality, suffixdedup, toxicity, unigram
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_licenses(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
+
+
 def op2_substring_dedup(spark, sf_dir):
     return passages.passage_classes(table(spark, sf_dir, "documents"))
 
@@ -43,21 +47,32 @@ def op6_suffix_dedup(spark, sf_dir):
     return suffixdedup.repeat_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark, sf_dir):
+    return unigram.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op8_bpe(spark, sf_dir):
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op9_chat(spark, sf_dir):
+    return chat.formatted(table(spark, sf_dir, "conversations"))
+
+
 def op10_quality(spark, sf_dir):
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_licenses": op1_licenses,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_toxicity": op4_toxicity,
     "op5_decontamination": op5_decontamination,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_token_counts": op7_token_counts,
     "op8_bpe": op8_bpe,
+    "op9_chat": op9_chat,
     "op10_quality": op10_quality,
 }
 
@@ -98,4 +113,23 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   NOT base_failed AND (n_all < {quality.MIN_CHARS} OR char_distance <= {quality.MAX_CHAR_DISTANCE}) AND (n_words < {quality.MIN_COMMON} OR word_distance <= {quality.MAX_WORD_DISTANCE}) AS kept, char_distance, word_distance FROM j
 """
 
-ORACLE_SQL = {"op5_decontamination": OP5_SQL, "op10_quality": OP10_SQL}
+_LITERAL = lambda t: "'" + t.replace("'", "''") + "'"
+
+
+def _canonical_sql(x: str) -> str:
+    x = rf"regexp_replace(lower(coalesce({x}, '')), '(?m)^[ \t]*(copyright|\(c\)|©)[^\n]*$', '', 'g')"
+    x = f"' ' || regexp_replace({x}, '[^a-z0-9]+', ' ', 'g') || ' '"
+    for other, one in licenses.SPELLINGS.items():
+        x = f"replace(replace({x}, ' {other} ', ' {one} '), ' {other}s ', ' {one}s ')"
+    return f"sha256(trim(regexp_replace({x}, ' +', ' ', 'g')))"
+
+
+OP1_SQL = rf"""
+WITH k AS (SELECT {_canonical_sql("t")} AS d, min(id) AS id FROM (VALUES {", ".join(f"({_LITERAL(n)}, {_LITERAL(t)})" for n, ts in licenses.KNOWN.items() for t in ts)}) AS v(id, t) GROUP BY 1),
+d AS (SELECT row_number() OVER () AS row, doc_id, text, {_canonical_sql("text")} AS digest FROM documents),
+l AS (SELECT row, {_canonical_sql("x")} AS d FROM (SELECT row, unnest(string_split(coalesce(text, ''), chr(10))) AS x FROM d) WHERE regexp_matches(lower(x), 'licen[cs]')),
+n AS (SELECT row, count(*) AS n, list_sort(list_distinct(list(k.id))) AS ids FROM l JOIN k ON l.d = k.d GROUP BY row)
+SELECT doc_id, digest, k.id AS license_id, coalesce(n, 0) AS n_notices, coalesce(ids, CAST([] AS VARCHAR[])) AS notice_ids FROM d LEFT JOIN k ON k.d = digest LEFT JOIN n ON n.row = d.row
+"""
+
+ORACLE_SQL = {"op1_licenses": OP1_SQL, "op5_decontamination": OP5_SQL, "op10_quality": OP10_SQL}
