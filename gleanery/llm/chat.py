@@ -24,6 +24,7 @@ ROLES = ["system", "user", "assistant"]
 # Words that mark a speaker.
 MARKERS = {"system": "system", "instruction": "system", "user": "user", "human": "user", "q": "user", "assistant": "assistant", "bot": "assistant", "ai": "assistant", "a": "assistant"}
 MAX_SAMPLE = 2_000
+PRIOR = 8
 _MARKED = re.compile(r"^\s*(?:#+\s*|\[|<\|?)?(" + "|".join(MARKERS) + r")(?:\]|\|?>)?\s*:\s*", re.I)
 TURNS = "turns array<struct<role:string,text:string>>"
 _STATES = 2 * len(ROLES)
@@ -91,6 +92,9 @@ def fit(labelled: list[list[tuple[str, str, bool]]]) -> RoleModel:
     """From transcripts as lists of (line, role, begins a turn)."""
     start, move = np.ones(_STATES), np.ones((_STATES, _STATES))
     emit = [np.ones((_STATES, n)) for n in (_MARKS, 2, _SHAPES)]
+    for role in range(len(ROLES)):  # before any data: a marker names its role, and a line that goes on has none
+        emit[0][2 * role, 1 + role] += PRIOR
+        emit[0][2 * role + 1, 0] += PRIOR
     for transcript in labelled:
         numbers, _, rows = observe([line for line, _, _ in transcript])
         states = [2 * ROLES.index(transcript[k][1]) + (not transcript[k][2]) for k in numbers]

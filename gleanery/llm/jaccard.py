@@ -356,7 +356,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The row with the least doc_id of every component, columns as given; rows without an id stay if no linked row has one."""
+    """The row with the least doc_id of every component, columns as given; rows without an id can't be told apart, and all stay if one of them is linked with no id."""
     kept = jaccard_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
     stays = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
     return stays.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(stays.filter("doc_id is null"))
