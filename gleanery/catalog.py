@@ -158,7 +158,7 @@ def exposure_censor(spark, sf_dir):
     return clean.exposure(reviews(spark, sf_dir), COLLECTED).agg(F.count("*").alias("n"), F.min("exposure_days").alias("least"), F.max("exposure_days").alias("most"), F.round(F.avg("log_exposure_days"), 6).alias("avg_log"))
 
 
-@_query("SELECT year(event_time) AS year, count(*) AS n, round(avg(helpful_vote), 6) AS avg_votes, round(avg(CAST(helpful_vote >= 1 AS INT)), 6) AS share_any FROM r GROUP BY 1 HAVING count(*) >= 100")
+@_query("SELECT CAST(year(event_time) AS INT) AS year, count(*) AS n, round(avg(helpful_vote), 6) AS avg_votes, round(avg(CAST(helpful_vote >= 1 AS INT)), 6) AS share_any FROM r GROUP BY 1 HAVING count(*) >= 100")
 def exposure_by_year(spark, sf_dir):
     return reviews(spark, sf_dir).groupBy(F.year("event_time").alias("year")).agg(F.count("*").alias("n"), F.round(F.avg("helpful_vote"), 6).alias("avg_votes"), F.round(F.avg((F.col("helpful_vote") >= 1).cast("int")), 6).alias("share_any")).filter("n >= 100")
 
