@@ -24,7 +24,7 @@ ROLES = ["system", "user", "assistant"]
 # Words that mark a speaker.
 MARKERS = {"system": "system", "instruction": "system", "user": "user", "human": "user", "q": "user", "assistant": "assistant", "bot": "assistant", "ai": "assistant", "a": "assistant"}
 MAX_SAMPLE = 2_000
-PRIOR = 8
+PRIOR, MARK_PRIOR, TINY = 8, 100, 1e-12
 _MARKED = re.compile(r"^\s*(?:#+\s*|\[|<\|?)?(" + "|".join(MARKERS) + r")(?:\]|\|?>)?\s*:\s*", re.I)
 TURNS = "turns array<struct<role:string,text:string>>"
 _STATES = 2 * len(ROLES)
@@ -93,8 +93,9 @@ def fit(labelled: list[list[tuple[str, str, bool]]]) -> RoleModel:
     start, move = np.ones(_STATES), np.ones((_STATES, _STATES))
     emit = [np.ones((_STATES, n)) for n in (_MARKS, 2, _SHAPES)]
     for role in range(len(ROLES)):  # before any data: a marker names its role, and a line that goes on has none
-        emit[0][2 * role, 1 + role] += PRIOR
-        emit[0][2 * role + 1, 0] += PRIOR
+        emit[0][2 * role, 1 + role] += MARK_PRIOR
+        emit[0][2 * role + 1, 0] += MARK_PRIOR
+        move[2 * role : 2 * role + 2, 2 * role + 1] += PRIOR
     for transcript in labelled:
         numbers, _, rows = observe([line for line, _, _ in transcript])
         states = [2 * ROLES.index(transcript[k][1]) + (not transcript[k][2]) for k in numbers]
@@ -105,6 +106,9 @@ def fit(labelled: list[list[tuple[str, str, bool]]]) -> RoleModel:
         for state, row in zip(states, rows, strict=True):
             for table, value in zip(emit, row, strict=True):
                 table[state, value] += 1
+    own = np.arange(_STATES) // 2
+    move[(own[:, None] != own[None, :]) & (np.arange(_STATES) % 2 == 1)] = TINY  # a line goes on only with its own role's turn
+    start[1::2] = TINY
     log = lambda t: np.log(t / t.sum(axis=-1, keepdims=True))
     return RoleModel(log(start), log(move), [log(t) for t in emit])
 

@@ -13,7 +13,7 @@ def write(spark, folder):
     item, passage = text(20), text(70)
     docs = [(i, text(80), "en", "s", 0) for i in range(40)]
     docs += [(40, docs[0][1], "en", "s", 0), (41, f"{text(60)} scum idiot", "en", "s", 0), (42, f"{text(30)} {passage}", "en", "s", 0), (43, f"{passage} {text(30)}", "en", "s", 0), (44, f"{text(40)} {item}", "en", "s", 0), (45, None, "en", "s", None)]
-    docs += [(100 + i, text(30) + (" scum idiot" if i % 2 else " nice"), "en", "t", 0) for i in range(200)]
+    docs += [(100 + i, text(30) + (" scum idiot" if i % 2 else ""), "en", "t", 0) for i in range(200)]
     docs = [(i, t, a, b, len(t) if t else None) for i, t, a, b, _ in docs]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(100 + i, 0, i % 2) for i in range(200)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
