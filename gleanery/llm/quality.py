@@ -33,7 +33,7 @@ def _let(value: Column, body) -> Column:
 
 
 def word_array(text: Column) -> Column:
-    return F.array_remove(F.split(F.translate(text, "\t\n\x0b\x0c\r", " " * 5), " "), "")
+    return F.array_remove(F.split(text, "[ \t-\r]+"), "")
 
 
 def repeated_words(words: Column, grams: Column) -> Column:
@@ -52,10 +52,10 @@ def repeated_words(words: Column, grams: Column) -> Column:
 def measured(docs: DataFrame, repeats: bool = True) -> DataFrame:
     """doc_id, lang, the base counts and the two histograms (`chars`, `common`) of every text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    split = docs.select("doc_id", "lang", text.alias("text"), word_array(text).alias("words"), F.regexp_replace(text, r"[^!-/:-@\[-`{-~]+", "").alias("marks"))
+    split = docs.select("doc_id", "lang", text.alias("text"), word_array(text).alias("words"), F.regexp_replace(text, r"\P{Punct}+", "").alias("marks"))
     hits = F.filter("words", lambda w: F.lower(w).isin(COMMON_WORDS))
     gram = lambda i: F.xxhash64(*[F.col("words")[i + k] for k in range(WINDOW)])
-    lines = F.filter(F.split("text", "\n"), lambda x: F.translate(x, " \t\x0b\x0c\r", "") != "")
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[^ \t-\r]"))
     counted = split.select(
         "doc_id",
         "lang",
@@ -67,10 +67,11 @@ def measured(docs: DataFrame, repeats: bool = True) -> DataFrame:
         F.length(F.regexp_replace("marks", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         F.length(F.regexp_replace("text", r"\P{Lu}+", "")).cast("long").alias("n_upper"),
         F.length(F.regexp_replace("text", "[^0-9]+", "")).cast("long").alias("n_digits"),
-        F.transform(hits, F.lower).alias("hits"),
+        F.size(hits).alias("n_hits"),
+        F.array_join(F.transform(hits, lambda w: F.concat(F.lit(" "), F.lower(w), F.lit(" "))), "").alias("hits"),
         *([_let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), F.when(F.size("words") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("words") - WINDOW), gram)).alias("grams")] if repeats else []),
     )
-    each = [F.size("hits") - F.size(F.array_remove("hits", w)) for w in COMMON_WORDS]
+    each = [(F.length("hits") - F.length(F.replace("hits", F.lit(f" {w} "), F.lit("")))) / (len(w) + 2) for w in COMMON_WORDS]
     spaces = F.col("n_all") - F.col("word_chars")
     return counted.select(
         "doc_id",
@@ -79,7 +80,7 @@ def measured(docs: DataFrame, repeats: bool = True) -> DataFrame:
         "n_all",
         *(["word_chars", "n_symbols", "n_dup_lines", repeated_words(F.col("words"), F.col("grams")).alias("n_repeat_words")] if repeats else []),
         F.array(*[x.cast("double") for x in (F.col("n_upper"), F.col("n_digits"), F.col("n_marks"), spaces, F.col("n_all") - F.col("n_upper") - F.col("n_digits") - F.col("n_marks") - spaces)]).alias("chars"),
-        F.array(*[x.cast("double") for x in (*each, F.size("words") - F.size("hits"))]).alias("common"),
+        F.array(*[x.cast("double") for x in (*each, F.size("words") - F.col("n_hits"))]).alias("common"),
     )
 
 
