@@ -24,20 +24,22 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .anchors import GRAM, LENGTH, anchors
 from .components import cells
 from .deepshallow import deep_shallow
 from .jaccard import grouped
-from .spans import joined
+from .spans import joined, last_change, once_a_row
 from .textcore import span_hash, text_slices
 
 MAX_GROUP = 4_000
 HELD_ROWS = 1 << 20
 REPEAT, PARTIAL, SAMPLE = 0, 1, 2
-_MARK = "gram long, text_key long, n_bytes long, at int, first int, last int, kind int"
+_MARK = "gram long, text_key long, n_bytes long, at int, first int, last int, again array<int>, kind int"
 
 
 def _keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -51,55 +53,59 @@ def _keyed(docs: DataFrame) -> DataFrame:
         for rows, data, offsets in text_slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(_keys(data, offsets)), pa.array(np.diff(offsets))], names=[*rows.schema.names, "text_key", "n_bytes"])
 
-    return docs.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), "text_key long, n_bytes long"]))
+    # keys that can't be null get no filter of their own, so both joins read one shuffle of the texts
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("text_key", T.LongType(), False), T.StructField("n_bytes", T.LongType(), False)]))
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
+    """A row per text and context; `again` holds the first window starts of its further occurrences in the text."""
+
     def run(batches):
         for _, data, offsets in text_slices(batches, "text"):
             row, at, first, last, gram, context = anchors(data, offsets)
+            keep, cuts, others = once_a_row(row, [gram, context], first)
+            again = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(others, pa.int32()))
+            row, at, first, last, gram, context = (x[keep] for x in (row, at, first, last, gram, context))
             key, size = _keys(data, offsets)[row], np.diff(offsets)[row]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram.view(np.int64), context.view(np.int64), key, size, at.astype(np.int32), first.astype(np.int32), last.astype(np.int32))], names=["gram", "context", "text_key", "n_bytes", "at", "first", "last"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (gram.view(np.int64), context.view(np.int64), key, size, at.astype(np.int32), first.astype(np.int32), last.astype(np.int32))), again], names=["gram", "context", "text_key", "n_bytes", "at", "first", "last", "again"])
 
-    return docs.select("text").mapInArrow(run, "gram long, context long, text_key long, n_bytes long, at int, first int, last int")
+    return docs.select("text").mapInArrow(run, "gram long, context long, text_key long, n_bytes long, at int, first int, last int, again array<int>")
 
 
 def _marked(rows: DataFrame) -> DataFrame:
     """Anchors that repeat: wholly (REPEAT), perhaps in part (PARTIAL), and one of each whole repeat to compare those with (SAMPLE)."""
 
-    def classify(x: list[np.ndarray], forced: bool):
-        gram, context = x[0], x[1]
+    def classify(x: pa.Table, forced: bool):
+        gram, context = np.asarray(x["gram"]), np.asarray(x["context"])
+        times = 1 + np.asarray(pc.list_value_length(x["again"]))
         new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])])
         run = np.cumsum(new) - 1
-        size = np.bincount(run)
-        whole = size[run] >= 2
+        whole = (np.bincount(run, times) >= 2)[run]
         group = np.cumsum(np.concatenate([[True], gram[1:] != gram[:-1]])) - 1
-        several = (np.bincount(group) >= 2)[group] | forced
+        several = (np.bincount(group, new) >= 2)[group] | forced
         partial = ~whole & several
         mixed = (np.bincount(group, partial) > 0)[group] | forced
         sample = whole & new & mixed
-        at = np.concatenate([np.flatnonzero(m) for m in (whole, partial, sample)])
-        kind = np.repeat([REPEAT, PARTIAL, SAMPLE], [np.count_nonzero(m) for m in (whole, partial, sample)])
-        return pa.RecordBatch.from_arrays([*(pa.array(c[at]) for k, c in enumerate(x) if k != 1), pa.array(kind.astype(np.int32))], names=["gram", "text_key", "n_bytes", "at", "first", "last", "kind"])
+        places = [np.flatnonzero(m) for m in (whole, partial, sample)]
+        kind = np.repeat([REPEAT, PARTIAL, SAMPLE], [len(m) for m in places]).astype(np.int32)
+        marks = x.drop_columns(["context"]).take(pa.array(np.concatenate(places))).append_column("kind", pa.array(kind))
+        yield from marks.combine_chunks().to_batches()
 
     def run(batches):
         held, part = None, False
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = [np.asarray(c) for c in batch.columns]
-            held = x if held is None else [np.concatenate(p) for p in zip(held, x, strict=True)]
-            gram, context = held[0], held[1]
-            cut = len(gram) - int(np.argmax(gram[::-1] != gram[-1])) if gram[0] != gram[-1] else 0
-            forced = False
-            if not cut and len(gram) > HELD_ROWS:  # a gram of very many rows: its contexts so far go as a part of it
-                cut, forced = len(gram) - int(np.argmax(context[::-1] != context[-1])) if context[0] != context[-1] else 0, True
+            x = pa.Table.from_batches([batch])
+            held = (x if held is None else pa.concat_tables([held, x])).combine_chunks()
+            forced, cut = False, last_change(np.asarray(held["gram"]))
+            if not cut and held.num_rows > HELD_ROWS:  # a gram of very many rows: its contexts so far go as a part of it
+                forced, cut = True, last_change(np.asarray(held["context"]))
             if cut:
-                yield classify([c[:cut] for c in held], forced or part)
-                part = forced
-                held = [c[cut:] for c in held]
+                yield from classify(held.slice(0, cut).combine_chunks(), forced or part)
+                part, held = forced, held.slice(cut)
         if held is not None:
-            yield classify(held, part)
+            yield from classify(held.combine_chunks(), part)
 
     return rows.repartition("gram").sortWithinPartitions("gram", "context").mapInArrow(run, _MARK)
 
@@ -108,17 +114,18 @@ def _contexts(marks: DataFrame, texts: DataFrame) -> DataFrame:
     """The marks with the bytes of their windows."""
     dealt = cells(marks, "gram", "context_id", MAX_GROUP)
     each = dealt.groupBy("text_key", "n_bytes").agg(F.collect_list(F.struct("cell.k", "cell.i", "cell.j", "at", "first", "last", "kind")).alias("marks"))
-    rows = texts.select("text", "text_key", "n_bytes").join(each, ["text_key", "n_bytes"]).select("text_key", "n_bytes", "text", "marks")
+    rows = texts.join(each, ["text_key", "n_bytes"])
+    where = {c: rows.columns.index(c) for c in ("text_key", "n_bytes", "marks")}
 
     def run(batches):
         for part, data, offsets in text_slices(batches, "text"):
-            lists = part.column(3)
+            lists = part.column(where["marks"])
             parent = np.asarray(lists.value_parent_indices())
             k, i, j, at, first, last, kind = (np.asarray(c) for c in lists.flatten().flatten())
             start, end = offsets[parent] + first, offsets[parent] + last + LENGTH
             raw = data.tobytes()
             cut = [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-            key, size = np.asarray(part.column(0))[parent], np.asarray(part.column(1))[parent]
+            key, size = (np.asarray(part.column(where[c]))[parent] for c in ("text_key", "n_bytes"))
             yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in (k, i, j, key, size, at, first, last, kind)), pa.array(cut, pa.binary())], names=["k", "i", "j", "text_key", "n_bytes", "at", "first", "last", "kind", "bytes"])
 
     found = rows.mapInArrow(run, "k long, i long, j long, text_key long, n_bytes long, at int, first int, last int, kind int, bytes binary")
@@ -188,7 +195,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     columns = [c for c in docs.columns if c.lower() not in ("n_bytes", "n_removed", "n_spans", "removed", "kept", "text_key", "repeats")]
     texts = _keyed(docs.select(*[F.col(f"`{c}`") for c in columns])).repartition("text_key", "n_bytes")
     marks = _marked(_anchor_rows(docs))
-    whole = marks.filter(F.col("kind") == REPEAT).select("text_key", "n_bytes", F.col("first").cast("long"), F.col("last").cast("long"))
+    every = F.explode(F.concat(F.array("first"), F.col("again"))).alias("start")
+    whole = marks.filter(F.col("kind") == REPEAT).select("text_key", "n_bytes", (F.col("last") - F.col("first")).alias("width"), every).select("text_key", "n_bytes", F.col("start").cast("long").alias("first"), (F.col("start") + F.col("width")).cast("long").alias("last"))
     partial = _partial_repeats(_contexts(marks.filter(F.col("kind") != REPEAT).withColumn("context_id", F.xxhash64("text_key", "n_bytes", "at")), texts))
     spans = whole.unionByName(partial).groupBy("text_key", "n_bytes").agg(F.collect_list(F.struct("first", "last")).alias("repeats"))
     rows = texts.join(spans, ["text_key", "n_bytes"], "left").select(*[F.col(f"`{c}`") for c in columns], "repeats")
