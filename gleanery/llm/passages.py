@@ -9,19 +9,21 @@ the leftmost minima of the windows of that many tokens.
 
 1. Compact windows of two hashes are joined on their intervals: each run of
    window starts with both minima fixed is one row, with the pair of minima as
-   signature, and a third minimum to sort by.  One shuffle deals the rows by
-   signature; a signature that is alone has no near-duplicate.
+   signature.  One shuffle deals the rows by signature; a signature that is
+   alone has no near-duplicate.
 2. Runs of one signature with equal tokens throughout repeat verbatim.
-3. The other runs of a signature, sorted by their third minimum, document and
-   place, are verified against up to PREDECESSORS rows before them: windows of
-   equal distance from the minimum are passages of one another if the Jaccard
-   similarity of their tokens is SIMILARITY or more.
+3. All different contents of a signature are compared, across documents:
+   windows of equal distance from the minimum are passages of one another if
+   the Jaccard similarity of their tokens is SIMILARITY or more.  Bitmaps bound
+   what a pair can share and drop most pairs.  Signatures of more than
+   MAX_GROUP contents are dealt over pairs of blocks.
 4. Of each verified pair, the passage in the document with the larger doc_id
-   is the repeat; the least of each class stays.  Pairs link a row to one
-   before it, so there are at most PREDECESSORS times as many as rows, and
-   classes of documents are the components of these links.
+   is the repeat; the least of each class stays.  A row's repeats all hold its
+   minimum, so they are one span, and links that connect what pairs connect
+   suffice: at most two for each row.  Classes of documents are the components
+   of these links.
 
-Verbatim repeats of 50 words share every signature, so none is missed; at a
+Verbatim repeats of 50 words share every signature and are compared, so none is missed; at a
 similarity of 0.8 a window shares both minima with probability 0.64, and a
 longer passage has several windows (tests measure recall).  Passages are
 compared across documents, not within one.
@@ -47,12 +49,13 @@ from .textcore import LOWER_ASCII, NOT_SPACE, chain, cut, mix, span_hash, text_s
 SHINGLE = 5
 TOKENS = 46
 SIMILARITY = 0.8
-PREDECESSORS = 6
+MAX_GROUP = 4_000
+PAIRS = 1 << 13
 HELD_ROWS = 1 << 20
 VERBATIM, PARTIAL, SAMPLE = 0, 1, 2
 NO_ID = -(1 << 63)
 _SEEDS = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)]
-_RUN = ["signature", "content", "third", "doc", "text_key", "at", "first", "last", "again"]
+_RUN = ["signature", "content", "doc", "text_key", "at", "first", "last", "again"]
 
 
 def _doubled(h: np.ndarray, m: int) -> np.ndarray:
@@ -79,28 +82,27 @@ def _least_places(tokens: np.ndarray, width: int, seed: int) -> np.ndarray:
 
 
 def signature_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, signature, content, third minimum, place of the first minimum, first and last window start) of a slice's runs; places count words in the row."""
+    """(row, signature, content, place of the first minimum, first and last window start) of a slice's runs; places count words in the row."""
     data = LOWER_ASCII[data]
     starts, ends, begin = word_spans(data, offsets, NOT_SPACE)
     count = np.maximum(np.diff(begin) - SHINGLE - TOKENS + 2, 0)
     if not count.any():
-        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.uint64, np.int64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64, np.int64))
     tokens = chain(span_hash(data, starts, ends, seed=2), SHINGLE)
-    picks = [_least_places(tokens, TOKENS, k) for k in range(3)]
+    picks = [_least_places(tokens, TOKENS, k) for k in range(2)]
     valid = np.repeat(begin[:-1] - (np.cumsum(count) - count), count) + np.arange(count.sum())
     one, two = picks[0][valid], picks[1][valid]
     row = np.repeat(np.arange(len(count)), count)
     new = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (row[1:] != row[:-1])]))
     first, last, at = valid[new], valid[np.append(new[1:], len(valid)) - 1], one[new]
     signature = mix(tokens[at] ^ mix(tokens[two[new]] + np.uint64(1)))
-    third = tokens[picks[2][np.clip(at - TOKENS // 2, first, last)]]
     block = _doubled(tokens, 32)
     content, end = (last - first).astype(np.uint64), last + TOKENS - 32
     for k in (0, 32, 64):
         content = mix((content ^ block[np.minimum(first + k, end)]) * _SEEDS[0])
     row = row[new]
     base = begin[row]
-    return row, signature, mix(content ^ block[end]), third, at - base, first - base, last - base
+    return row, signature, mix(content ^ block[end]), at - base, first - base, last - base
 
 
 def _keys(data, offsets):
@@ -129,15 +131,15 @@ def _runs(docs: DataFrame) -> DataFrame:
             found = signature_runs(data, offsets)
             keep, cuts, others = once_a_row(found[0], [found[1], found[2]], found[5])
             again = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(others, pa.int32()))
-            row, signature, content, third, at, first, last = (x[keep] for x in found)
+            row, signature, content, at, first, last = (x[keep] for x in found)
             doc = np.asarray(part.column(0), np.int64)[row]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (signature, content, third)), pa.array(doc), pa.array(_keys(data, offsets)[row]), *(pa.array(x.astype(np.int32)) for x in (at, first, last)), again], names=_RUN)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (signature, content)), pa.array(doc), pa.array(_keys(data, offsets)[row]), *(pa.array(x.astype(np.int32)) for x in (at, first, last)), again], names=_RUN)
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text").mapInArrow(run, "signature long, content long, third long, doc long, text_key long, at int, first int, last int, again array<int>")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text").mapInArrow(run, "signature long, content long, doc long, text_key long, at int, first int, last int, again array<int>")
 
 
 def _marked(runs: DataFrame) -> DataFrame:
-    """Runs whose signature repeats.  VERBATIM: equal to an earlier document's run (`other`); PARTIAL: content is alone; SAMPLE: the earliest of equal runs, where others share the signature."""
+    """Runs whose signature repeats.  VERBATIM: equal to an earlier document's run (`other`); PARTIAL: content is alone; SAMPLE: the earliest of equal runs, where other documents share the signature.  `many`: the signature may have more than MAX_GROUP contents."""
 
     def classify(x: pa.Table, forced: bool):
         signature, content, doc = (np.asarray(x[c]) for c in ("signature", "content", "doc"))
@@ -145,13 +147,15 @@ def _marked(runs: DataFrame) -> DataFrame:
         new = group_new | np.concatenate([[True], content[1:] != content[:-1]])
         run, group = np.cumsum(new) - 1, np.cumsum(group_new) - 1
         size, head = np.bincount(run), np.flatnonzero(new)
-        several = (np.bincount(group, new) >= 2)[group] | forced
+        contents, heads = np.bincount(group, new), np.flatnonzero(group_new)
+        several = ((contents >= 2) & (np.minimum.reduceat(doc, heads) != np.maximum.reduceat(doc, heads)))[group] | forced
+        many = (contents > MAX_GROUP)[group] | forced
         verbatim = (size[run] >= 2) & (doc != doc[head[run]])
         partial, sample = (size[run] == 1) & several, (size[run] >= 2) & new & several
         places = [np.flatnonzero(m) for m in (verbatim, partial, sample)]
         at = np.concatenate(places)
         kind = np.repeat([VERBATIM, PARTIAL, SAMPLE], [len(p) for p in places]).astype(np.int32)
-        marks = x.drop_columns(["content"]).take(pa.array(at)).append_column("kind", pa.array(kind)).append_column("other", pa.array(doc[head[run[at]]]))
+        marks = x.drop_columns(["content"]).take(pa.array(at)).append_column("kind", pa.array(kind)).append_column("other", pa.array(doc[head[run[at]]])).append_column("many", pa.array(many[at]))
         yield from marks.combine_chunks().to_batches()
 
     def run(batches):
@@ -170,12 +174,23 @@ def _marked(runs: DataFrame) -> DataFrame:
         if held is not None:
             yield from classify(held.combine_chunks(), part)
 
-    return runs.repartition("signature").sortWithinPartitions("signature", "content", "doc", "first").mapInArrow(run, "signature long, third long, doc long, text_key long, at int, first int, last int, again array<int>, kind int, other long")
+    return runs.repartition("signature").sortWithinPartitions("signature", "content", "doc", "first").mapInArrow(run, "signature long, doc long, text_key long, at int, first int, last int, again array<int>, kind int, other long, many boolean")
+
+
+def _dealt(marks: DataFrame) -> DataFrame:
+    """The marks that are compared, with cells (i, j) of their signature and their own block: each pair of blocks is a cell, so any two marks of a signature meet in one."""
+    rows = marks.filter(F.col("kind") != VERBATIM)
+    sizes = rows.filter("many").groupBy("signature").agg(F.ceil(F.count("*") / MAX_GROUP).cast("int").alias("blocks"))  # a row for MAX_GROUP marks or more
+    dealt = rows.join(F.broadcast(sizes), "signature", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    block = F.pmod(F.xxhash64("doc", "text_key", "first"), F.col("blocks")).cast("int")
+    meets = dealt.withColumn("block", block).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return meets.withColumn("i", F.least("block", "_o")).withColumn("j", F.greatest("block", "_o"))
 
 
 def _contexts(marks: DataFrame, texts: DataFrame) -> DataFrame:
     """The marks with the words of their runs."""
-    each = marks.groupBy("doc", "text_key").agg(F.collect_list(F.struct("signature", "third", "at", "first", "last", "again")).alias("marks"))
+    plain = ["signature", "i", "j", "block", "at", "first", "last"]
+    each = marks.groupBy("doc", "text_key").agg(F.collect_list(F.struct(*plain, "again")).alias("marks"))
     rows = texts.join(each, ["doc", "text_key"])
     where = {c: rows.columns.index(c) for c in ("doc", "text_key", "marks")}
 
@@ -184,85 +199,166 @@ def _contexts(marks: DataFrame, texts: DataFrame) -> DataFrame:
             starts, ends, begin = word_spans(data, offsets, NOT_SPACE)
             lists, raw = part.column(where["marks"]), data.tobytes()
             parent = np.asarray(lists.value_parent_indices())
-            *plain, again = lists.flatten().flatten()
-            signature, third, at, first, last = map(np.asarray, plain)
+            *columns, again = lists.flatten().flatten()
+            first, last = map(np.asarray, columns[-2:])
             a, b = starts[begin[parent] + first], ends[begin[parent] + last + TOKENS + SHINGLE - 2]
             cut = [raw[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
             doc, key = (np.asarray(part.column(where[c]))[parent] for c in ("doc", "text_key"))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in (signature, third, doc, key, at, first, last)), pa.array(cut, pa.binary()), again.cast(pa.list_(pa.int32()))], names=["signature", "third", "doc", "text_key", "at", "first", "last", "bytes", "again"])
-
-    return rows.mapInArrow(run, "signature long, third long, doc long, text_key long, at int, first int, last int, bytes binary, again array<int>")
-
-
-def similar_starts(x: np.ndarray, y: np.ndarray, cx: int, cy: int) -> tuple[int, int] | None:
-    """The first and last distance from the minima (at cx and cy) at which windows of x and y have SIMILARITY or more, pulled in to tokens that are equal."""
-    low, high = max(-cx, -cy), min(len(x) - TOKENS - cx, len(y) - TOKENS - cy)
-    if low > high:
-        return None
-    same = x[cx + low : cx + high + TOKENS] == y[cy + low : cy + high + TOKENS]
-    total = np.concatenate([[0], np.cumsum(same)])
-    common = total[TOKENS:] - total[:-TOKENS]
-    enough = (1 + SIMILARITY) * common >= 2 * SIMILARITY * TOKENS
-    if not enough.any():
-        best = int(np.argmax(common))
-        for o in {0, best, high - low}:
-            a, b = np.unique(x[cx + low + o :][:TOKENS]), np.unique(y[cy + low + o :][:TOKENS])
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            if both >= SIMILARITY * (len(a) + len(b) - both):
-                enough[o] = True
-        if not enough.any():
-            return None
-        return low + int(np.argmax(enough)), low + len(enough) - 1 - int(np.argmax(enough[::-1])) + TOKENS - 1
-    o, p = int(np.argmax(enough)), len(enough) - 1 - int(np.argmax(enough[::-1])) + TOKENS - 1
-    inside = np.flatnonzero(same[o : p + 1])
-    return low + o + int(inside[0]), low + o + int(inside[-1])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(doc), pa.array(key), pa.array(cut, pa.binary()), again.cast(pa.list_(pa.int32()))], names=[*plain, "doc", "text_key", "bytes", "again"])
+
+    return rows.mapInArrow(run, "signature long, i int, j int, block int, at int, first int, last int, doc long, text_key long, bytes binary, again array<int>")
+
+
+class Contexts:
+    """Runs' tokens in rows of SPAN places with the minimum at TOKENS - 1, and bitmaps that bound what two of them share."""
+
+    SPAN = 2 * TOKENS - 1
+
+    def __init__(self, tokens: np.ndarray, begin: np.ndarray, center: np.ndarray):
+        n, length = len(center), np.diff(begin)
+        row = np.repeat(np.arange(n), length)
+        self.low, self.high = TOKENS - 1 - center, length - 1 - center  # first and last start of a window
+        self.tokens = np.zeros((n, self.SPAN), np.uint64)
+        self.tokens[row, np.arange(len(row)) - begin[row] + self.low[row]] = tokens
+        bits = np.zeros((n, 1024), np.uint8)
+        bits[row, (mix(tokens ^ np.uint64(0x5151)) % np.uint64(1024)).astype(np.int64)] = 1
+        self.maps = np.packbits(bits, axis=1).view(np.uint64)
+        order = np.lexsort([tokens, row])
+        again = np.bincount(row[order][1:][(tokens[order][1:] == tokens[order][:-1]) & (row[order][1:] == row[order][:-1])], minlength=n)
+        self.spill = length - again - np.bitwise_count(self.maps).sum(axis=1, dtype=np.int64)
+        #: Windows that are similar share at least so many different tokens: all of one's but a ninth, or all that stand in equal places.
+        self.need = TOKENS - again - (TOKENS - int(np.ceil(2 * SIMILARITY * TOKENS / (1 + SIMILARITY) - 1e-9)))
+
+    def possible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        most = np.bitwise_count(self.maps[a] & self.maps[b]).sum(axis=1, dtype=np.int64) + np.minimum(self.spill[a], self.spill[b])
+        return most >= np.minimum(self.need[a], self.need[b])
+
+    def similar(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pair, first and last distance from the minima): where windows of a and b have SIMILARITY or more; pulled in to tokens that are equal, if windows match place by place."""
+        low, high = np.maximum(self.low[a], self.low[b]), np.minimum(self.high[a], self.high[b])
+        same = self.tokens[a] == self.tokens[b]
+        total = np.concatenate([np.zeros((len(a), 1), np.int16), np.cumsum(same, axis=1, dtype=np.int16)], axis=1)
+        start = np.arange(TOKENS)
+        within = (start >= low[:, None]) & (start <= high[:, None])
+        enough = ((1 + SIMILARITY) * (total[:, TOKENS:] - total[:, :-TOKENS]) >= 2 * SIMILARITY * TOKENS) & within
+        hit = enough.any(axis=1)
+        at = np.flatnonzero(hit)
+        first, end = enough[at].argmax(axis=1), 2 * (TOKENS - 1) - enough[at][:, ::-1].argmax(axis=1)
+        place = np.arange(self.SPAN)
+        inside = same[at] & (place >= first[:, None]) & (place <= end[:, None])
+        first, end = inside.argmax(axis=1), self.SPAN - 1 - inside[:, ::-1].argmax(axis=1)
+        pair, start = np.nonzero(within & ~hit[:, None])
+        ok = np.concatenate([np.zeros(0, bool), *(self._sets(a[pair[k : k + PAIRS]], b[pair[k : k + PAIRS]], start[k : k + PAIRS]) for k in range(0, len(pair), PAIRS))])
+        pair, start = pair[ok], start[ok]
+        head = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])[: len(pair)])
+        tail = np.append(head[1:], len(pair))[: len(head)] - 1
+        distance = np.concatenate([first, start[head]]) - TOKENS + 1, np.concatenate([end, start[tail] + TOKENS - 1]) - TOKENS + 1
+        return np.concatenate([at, pair[head]]), *distance
+
+    def _sets(self, a: np.ndarray, b: np.ndarray, start: np.ndarray) -> np.ndarray:
+        place = start[:, None] + np.arange(TOKENS)
+        x, y = np.sort(self.tokens[a[:, None], place], axis=1), np.sort(self.tokens[b[:, None], place], axis=1)
+        twice = lambda z: (z[:, 1:] == z[:, :-1]).sum(axis=1)
+        p, q = twice(x), twice(y)
+        both = twice(np.sort(np.concatenate([x, y], axis=1), axis=1)) - p - q
+        return both >= SIMILARITY * (2 * TOKENS - p - q - both)
+
+
+def _pairs(end: np.ndarray, most: int):
+    """Places a < b < end[a], in portions of about `most`."""
+    left = end - np.arange(len(end)) - 1
+    total, at = np.cumsum(left), 0
+    while at < len(end):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        a = np.repeat(np.arange(at, stop), left[at:stop])
+        if len(a):
+            yield a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(left[at:stop]) - left[at:stop], left[at:stop])
+        at = stop
+
+
+def _joined_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Puts the least label that the links a - b reach on all of their places."""
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            return
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
+def _compared(x: pa.Table) -> tuple[np.ndarray, ...]:
+    """(row, first and last distance from its minimum, other row) of rows sorted by cell and document: the repeats of each row and links that connect what pairs connect."""
+    signature, i, j, block, doc = (np.asarray(x[c]) for c in ("signature", "i", "j", "block", "doc"))
+    n, parts, sizes = len(doc), [], []
+    for _, data, offsets in text_slices(x.select(["bytes"]).to_batches(), "bytes"):
+        low = LOWER_ASCII[data]
+        starts, ends, begin = word_spans(low, offsets, NOT_SPACE)
+        chained = chain(span_hash(low, starts, ends, seed=2), SHINGLE)
+        size = np.diff(begin) - SHINGLE + 1
+        parts.append(chained[np.repeat(begin[:-1] - (np.cumsum(size) - size), size) + np.arange(size.sum())])
+        sizes.append(size)
+    contexts = Contexts(np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), np.asarray(x["at"], np.int64) - np.asarray(x["first"]))
+    new = np.flatnonzero(np.concatenate([[True], (signature[1:] != signature[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+    end = np.repeat(np.append(new[1:], n), np.diff(np.append(new, n)))
+    first, last, label, partner = np.full(n, TOKENS), np.full(n, -TOKENS), np.arange(n), np.full(n, -1)
+    for a, b in _pairs(end, 8 * PAIRS):
+        keep = np.flatnonzero((doc[a] != doc[b]) & ((i[a] == j[a]) | (block[a] != block[b])))
+        keep = keep[contexts.possible(a[keep], b[keep])]
+        for k in range(0, len(keep), PAIRS):
+            early, late = a[keep[k : k + PAIRS]], b[keep[k : k + PAIRS]]  # rows come in the order of doc
+            pair, lo, hi = contexts.similar(early, late)
+            early, late = early[pair], late[pair]
+            np.minimum.at(first, late, lo)
+            np.maximum.at(last, late, hi)
+            partner[early] = late
+            _joined_labels(label, early, late)
+    late = np.flatnonzero(last > -TOKENS)
+    only = np.flatnonzero((last == -TOKENS) & (label != np.arange(n)))
+    row = np.concatenate([late, partner[only]])
+    return row, first[row], last[row], np.concatenate([label[late], only])
 
 
 def _verified(contexts: DataFrame) -> DataFrame:
-    """(doc, text_key, first, end, other): a passage (words first to end) of `doc` near one of the smaller id `other`."""
+    """(doc, text_key, first, end, other): a passage (words first to end) of `doc` near one of a smaller id; `other` shares its class."""
     names = ["doc", "text_key", "first", "end", "other"]
 
+    def found(x: pa.Table):
+        row, lo, hi, other = _compared(x)
+        doc, key, at, first = (np.asarray(x[c], np.int64) for c in ("doc", "text_key", "at", "first"))
+        again = x["again"].combine_chunks().take(pa.array(row))
+        extra = np.asarray(again.value_parent_indices())
+        which = np.concatenate([np.arange(len(row)), extra])
+        start = np.concatenate([first[row], np.asarray(again.flatten(), np.int64)]) + (at - first)[row[which]]
+        columns = doc[row[which]], key[row[which]], start + lo[which], start + hi[which] + SHINGLE, doc[other[which]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+
     def run(batches):
-        found: list[list] = [[] for _ in names]
-        before: list[tuple] = []
+        held = None
         for batch in batches:
-            columns = batch.to_pydict()
-            slices = list(text_slices([pa.RecordBatch.from_arrays([batch.column(7)], names=["text"])], "text"))
-            tokens = []
-            for _, data, offsets in slices:
-                low = LOWER_ASCII[data]
-                starts, ends, begin = word_spans(low, offsets, NOT_SPACE)
-                all_tokens = chain(span_hash(low, starts, ends, seed=2), SHINGLE)
-                tokens += [all_tokens[a : b - SHINGLE + 1] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
-            for i in range(batch.num_rows):
-                signature, doc = columns["signature"][i], columns["doc"][i]
-                if before and before[-1][0] != signature:
-                    before = []
-                own = (signature, doc, columns["text_key"][i], columns["first"][i], columns["at"][i] - columns["first"][i], tokens[i], columns["again"][i] or [])
-                for other in reversed(before):
-                    if other[1] != doc and (span := similar_starts(own[5], other[5], own[4], other[4])):
-                        late = own if own[1] > other[1] else other
-                        for start in (late[3], *late[6]):
-                            base = start + late[4]
-                            for c, v in zip(found, (late[1], late[2], base + span[0], base + span[1] + SHINGLE, min(own[1], other[1])), strict=True):
-                                c.append(v)
-                before = [*before[-PREDECESSORS + 1 :], own]
-            if len(found[0]) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=names)
-                found = [[] for _ in names]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=names)
-
-    return contexts.repartition("signature").sortWithinPartitions("signature", "third", "doc", "first").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+            if not batch.num_rows:
+                continue
+            x = pa.Table.from_batches([batch])
+            held = (x if held is None else pa.concat_tables([held, x])).combine_chunks()
+            cut = max(last_change(np.asarray(held[c])) for c in ("signature", "i", "j")) if held.num_rows > 1 else 0
+            if cut:
+                yield from found(held.slice(0, cut).combine_chunks())
+                held = held.slice(cut)
+        if held is not None:
+            yield from found(held.combine_chunks())
+
+    cell = ["signature", "i", "j"]
+    return contexts.repartition(*cell).sortWithinPartitions(*cell, "doc", "first").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def repeated_passages(docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """(doc, text_key, first, end, other): passages that repeat one of a document of a smaller id."""
     texts = _documents(docs.select("doc_id", "text")) if texts is None else texts
-    marks = _marked(_runs(docs))
+    marks = cut(_marked(_runs(docs)))
     every = F.explode(F.concat(F.array("first"), F.col("again"))).alias("start")
     verbatim = marks.filter(F.col("kind") == VERBATIM).select("doc", "text_key", (F.col("last") - F.col("first")).alias("width"), "other", every)
     verbatim = verbatim.select("doc", "text_key", F.col("start").cast("long").alias("first"), (F.col("start") + F.col("width") + TOKENS + SHINGLE - 1).cast("long").alias("end"), "other")
-    return verbatim.unionByName(_verified(_contexts(marks.filter(F.col("kind") != VERBATIM), texts)))
+    return verbatim.unionByName(_verified(_contexts(_dealt(marks), texts)))
 
 
 def _word_spans_of(repeats: DataFrame) -> DataFrame:

@@ -189,6 +189,31 @@ def test_passages_that_repeat_are_cut_once(spark):
     assert passages.passage_classes(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [4000, 9])
+def test_passages_around_a_frequent_line_are_all_compared(spark, most, monkeypatch):
+    """Pairs share 51 words around one line that all documents hold, and one document repeats it in many contexts."""
+    monkeypatch.setattr(passages, "MAX_GROUP", most)
+    rng = random.Random(12)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    line, rows, near = words(36), [], set()
+    for k in range(60):
+        left, right = words(7), words(8)
+        for half in range(2):
+            middle = left + line + right
+            if half and k % 4 == 0:
+                middle[-1:] = words(1)
+                near.add(k)
+            rows.append((k + 1000 * half, " ".join(words(40) + middle + words(40))))
+    rows.append((500, " ".join(w for _ in range(40) for w in words(30) + line)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in passages.passage_classes(frame).collect()}
+    for k in range(60):
+        assert got[k].n_removed == 0 and got[k].class_id == got[k + 1000].class_id == k
+        spans = got[k + 1000].spans
+        assert spans[0] <= 40 and spans[1] >= 40 + (50 if k in near else 51)
+    assert got[500].n_removed == 0 and not got[500].repeats
+
+
 def test_near_passages_recall(spark):
     """Passages of 150 words with a few words changed: pairs of 0.8 or more are found."""
     rng = random.Random(9)
