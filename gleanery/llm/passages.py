@@ -7,10 +7,10 @@ and span l to r stands for all subsequences that hold c within l to r: a
 compact window.  Only nodes with a span of TOKENS or more matter, and those are
 the leftmost minima of the windows of that many tokens.
 
-1. Compact windows of two hashes are joined on their intervals: each run of
-   window starts with both minima fixed is one row, with the pair of minima as
-   signature.  One shuffle deals the rows by signature; a signature that is
-   alone has no near-duplicate.
+1. Each compact window of HASHES independent hashes is one row: the run of
+   window starts that have its minimum, with that minimum as signature.  One
+   shuffle deals the rows by signature; a signature that is alone has no
+   near-duplicate.
 2. Runs of one signature with equal tokens throughout repeat verbatim.
 3. All different contents of a signature are compared, across documents:
    windows of equal distance from the minimum are passages of one another if
@@ -23,10 +23,11 @@ the leftmost minima of the windows of that many tokens.
    suffice: at most two for each row.  Classes of documents are the components
    of these links.
 
-Verbatim repeats of 50 words share every signature and are compared, so none is missed; at a
-similarity of 0.8 a window shares both minima with probability 0.64, and a
-longer passage has several windows (tests measure recall).  Passages are
-compared across documents, not within one.
+Verbatim repeats of 50 words share every signature and are compared, so none is
+missed.  One minimum in common is enough: at a similarity of 0.8 all HASHES
+fail a window with probability 0.2 ** 3, 0.8 %, and a longer passage has several
+windows (tests measure recall).  Passages are compared across documents, not
+within one.
 
 Null and empty texts, and texts under 50 words, have no passages.  Repeated
 rows of the same doc_id and text count as one document.  A null doc_id sorts
@@ -49,6 +50,7 @@ from .textcore import LOWER_ASCII, NOT_SPACE, chain, cut, mix, span_hash, text_s
 SHINGLE = 5
 TOKENS = 46
 SIMILARITY = 0.8
+HASHES = 3
 MAX_GROUP = 4_000
 PAIRS = 1 << 13
 HELD_ROWS = 1 << 20
@@ -82,27 +84,26 @@ def _least_places(tokens: np.ndarray, width: int, seed: int) -> np.ndarray:
 
 
 def signature_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, signature, content, place of the first minimum, first and last window start) of a slice's runs; places count words in the row."""
+    """(row, signature, content, place of the minimum, first and last window start) of a slice's runs; places count words in the row."""
     data = LOWER_ASCII[data]
     starts, ends, begin = word_spans(data, offsets, NOT_SPACE)
     count = np.maximum(np.diff(begin) - SHINGLE - TOKENS + 2, 0)
     if not count.any():
         return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64, np.int64))
     tokens = chain(span_hash(data, starts, ends, seed=2), SHINGLE)
-    picks = [_least_places(tokens, TOKENS, k) for k in range(2)]
     valid = np.repeat(begin[:-1] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    one, two = picks[0][valid], picks[1][valid]
     row = np.repeat(np.arange(len(count)), count)
-    new = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (row[1:] != row[:-1])]))
-    first, last, at = valid[new], valid[np.append(new[1:], len(valid)) - 1], one[new]
-    signature = mix(tokens[at] ^ mix(tokens[two[new]] + np.uint64(1)))
-    block = _doubled(tokens, 32)
-    content, end = (last - first).astype(np.uint64), last + TOKENS - 32
-    for k in (0, 32, 64):
-        content = mix((content ^ block[np.minimum(first + k, end)]) * _SEEDS[0])
-    row = row[new]
-    base = begin[row]
-    return row, signature, mix(content ^ block[end]), at - base, first - base, last - base
+    block, found = _doubled(tokens, 32), []
+    for k in range(HASHES):
+        pick = _least_places(tokens, TOKENS, k)[valid]
+        new = np.flatnonzero(np.concatenate([[True], (pick[1:] != pick[:-1]) | (row[1:] != row[:-1])]))
+        first, last, at = valid[new], valid[np.append(new[1:], len(valid)) - 1], pick[new]
+        content, end = (last - first).astype(np.uint64), last + TOKENS - 32
+        for m in (0, 32, 64):
+            content = mix((content ^ block[np.minimum(first + m, end)]) * _SEEDS[0])
+        base = begin[row[new]]
+        found.append((row[new], mix(mix(tokens[at]) + np.uint64(k + 1)), mix(content ^ block[end]), at - base, first - base, last - base))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 def _keys(data, offsets):
