@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gleanery import catalog
 from gleanery.functions import text as tx
 from gleanery.operators import clean, graph, history, metrics, ranking, segments
 from gleanery.plans import benchmark, ml, report, runner, scorer, stats
@@ -161,6 +162,16 @@ def test_components_of_long_paths(spark):
     assert sorted(r["size"] for r in graph.component_sizes(labels).collect()) == [2, 40]
 
 
+def test_graph_summary_is_of_all_orders(spark, tmp_path):
+    lines = [(1, 1, 1), (1, 2, 2), (2, 1, 1), (2, 2, 2), (3, 1, 3), (3, 2, 3), (4, 1, 4)]
+    lines = [(o, n, p, 1, 1.0, 5.0, 0.0, "N", "O") for o, n, p in lines]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double, l_discount double, l_returnflag string, l_linestatus string").selectExpr("*", "date'1998-01-01' AS l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, 10 + k) for k in range(1, 5)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k, "b", "t", "n") for k in range(1, 5)], "p_partkey long, p_brand string, p_type string, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    row = catalog.graph_summary(spark, str(tmp_path)).first()
+    assert (row.vertices, row.reviewers, row.products, row.edges, row.components, row.largest) == (6, 3, 3, 6, 2, 4)
+
+
 def test_pagerank_sums_to_one(spark):
     edges = spark.createDataFrame([("u:1", "p:1"), ("u:1", "p:2"), ("u:2", "p:2"), ("u:3", "p:2")], "src string, dst string")
     ranks = {r.id: r["rank"] for r in graph.pagerank(edges, 4).collect()}
