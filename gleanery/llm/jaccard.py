@@ -1,13 +1,13 @@
 r"""N-gram Jaccard join with signature trees, exact at its threshold.
 
-A document's set holds its distinct 4-word shingles (words are runs of
-characters other than the space and \t-\r, ASCII lower-cased; all words as one
-shingle where there are fewer).  Documents link when
-100 * intersection >= 85 * union.
+A document's set holds its distinct shingles of `shingle` words (words are runs
+of characters other than the space and \t-\r, ASCII lower-cased; all words as
+one shingle where there are fewer).  Documents link when
+100 * intersection >= percent * union.  By default 4 words and 85.
 
 1. Equal sets become one node.  Every node lists the shingles that any partner
-   must share one of: the first s - ceil(0.85 s) + 1 in an order that puts the
-   most frequent ones last (a bounded list; any order is exact).
+   must share one of: the first s - ceil(percent * s / 100) + 1 in an order that
+   puts the most frequent ones last (a bounded list; any order is exact).
 2. Nodes that share such a shingle are compared by size and by the parity
    bitmap of their sets, whose differing bits never exceed the symmetric
    difference.  What passes joins nodes into clusters, a superset of the links.
@@ -15,8 +15,10 @@ shingle where there are fewer).  Documents link when
    a dual traversal drops pairs of tree nodes by the most that they can share
    or as already joined, and leaves are compared exactly.
 
-Groups of more than MAX_GROUP nodes are dealt over pairs of blocks, so no task
-holds an unbounded group.  Shingles are 64-bit hashes, sets 128-bit digests.
+Groups of more than MAX_GROUP nodes are dealt over pairs of blocks, and the
+nodes of a shingle are streamed beyond HELD_NODES, so no task holds an unbounded
+group.  Shingles are 64-bit hashes, sets 128-bit digests.  Only the texts of
+clustered nodes are shuffled: a Bloom filter of bounded size picks them before.
 
 Null or empty texts, and texts without words, have no set: n_shingles 0 and
 component_id their own doc_id.  Repeated rows get a row each.  A null doc_id
@@ -31,14 +33,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import cells, components
-from .textcore import LOWER_ASCII, NOT_SPACE, binaries, cut, mix, shingle_sets, span_hash, text_slices, word_spans
+from .members import bloom_words, maybe_in
+from .textcore import LOWER_ASCII, NOT_SPACE, binaries, cut, mix, one_of, shingle_sets, span_hash, text_slices, word_spans
 
 SHINGLE = 4
 PERCENT = 85
 FREQUENT = 1 << 16
 MAX_GROUP = 4_000
+HELD_NODES = 1 << 18
 LEAF = 32
 
 
@@ -60,13 +65,13 @@ def parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def frequent_shingles(docs: DataFrame) -> DataFrame:
+def frequent_shingles(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(h, n): at most FREQUENT shingles that slices of the documents repeat most, with counts."""
 
     def run(batches):
         seen, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for _, data, offsets in text_slices(batches, "text"):
-            sets = sets_of(data, offsets)
+            sets = sets_of(data, offsets, shingle)
             h, n = np.unique(np.concatenate(sets), return_counts=True)
             often = n >= 4
             seen, counts = np.concatenate([seen, h[often]]), np.concatenate([counts, n[often]])
@@ -85,9 +90,9 @@ def _summed(seen: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return h[top], n[top]
 
 
-def profiles(docs: DataFrame) -> DataFrame:
+def profiles(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, digest, sketch and keys (the prefix) of every row."""
-    often = frequent_shingles(docs).toArrow().combine_chunks().sort_by("h")
+    often = frequent_shingles(docs, shingle).toArrow().combine_chunks().sort_by("h")
     heavy = np.asarray(often["h"], np.int64).view(np.uint64)
     order = np.argsort(heavy)
     shared = docs.sparkSession.sparkContext.broadcast((heavy[order], np.asarray(often["n"], np.int64)[order]))  # at most FREQUENT entries
@@ -95,10 +100,10 @@ def profiles(docs: DataFrame) -> DataFrame:
     def run(batches):
         heavy, counts = shared.value
         for rows, data, offsets in text_slices(batches, "text"):
-            sets = sets_of(data, offsets)
+            sets = sets_of(data, offsets, shingle)
             keys = []
             for s in sets:
-                take = len(s) - -(-PERCENT * len(s) // 100) + 1 if len(s) else 0
+                take = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
                 if len(heavy) and take:
                     at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
                     weight = np.where(heavy[at] == s, counts[at], 0)
@@ -142,19 +147,34 @@ def sharing(nodes: DataFrame) -> DataFrame:
     rows = nodes.select(F.explode("keys").alias("key"), "node")
 
     def run(batches):
-        last_key, held = None, np.zeros(0, np.int64)
+        last_key, held, streamed = None, np.zeros(0, np.int64), False
         for batch in batches:
             if not batch.num_rows:
                 continue
             key, node = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            if streamed:  # a key of very many nodes goes on: its nodes pass as they come
+                n = int(np.argmin(key == last_key)) if key[-1] != last_key else len(key)
+                yield named(last_key, node[:n])
+                key, node = key[n:], node[n:]
+                if not len(key):
+                    continue
+                streamed = False
             if held.size:
                 key, node = np.concatenate([np.full(len(held), last_key), key]), np.concatenate([held, node])
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             last_key, held = key[-1], node[starts[-1] :]
             yield from emit(node, starts, starts[-1])
+            if held.size > HELD_NODES:
+                yield named(last_key, held)
+                held, streamed = held[:0], True
         if held.size:
             yield from emit(held, np.zeros(1, np.int64), len(held))
 
+    def named(key, node):
+        """The nodes under a group of the key alone."""
+        grp = mix(np.array([key], np.int64).view(np.uint64) ^ np.uint64(0xA5A5)).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(grp, len(node))), pa.array(node)], names=["grp", "node"])
+
     def emit(node, starts, stop):
         ends = np.append(starts[1:], stop)
         n = np.minimum(ends, stop) - starts
@@ -192,7 +212,7 @@ class Forest:
         self.edges.append((a, b))
 
 
-def likely_links(groups: DataFrame, nodes: DataFrame) -> DataFrame:
+def likely_links(groups: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): enough edges to connect all nodes of a group that size and parity bitmaps allow to link."""
     rows = cells(groups, "grp", "node", MAX_GROUP).join(nodes.select("node", "n_shingles", "sketch"), "node")
     flat = rows.select("cell.k", "cell.i", "cell.j", "node", "n_shingles", "sketch").repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "n_shingles")
@@ -207,15 +227,15 @@ def likely_links(groups: DataFrame, nodes: DataFrame) -> DataFrame:
             least = int(words.min())
             folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, least), axis=0) for x in raw])
             full = [np.frombuffer(x, np.uint64) for x in raw]
-            stop = np.searchsorted(100 * size, 85 * size, "left") if len(size) else []
+            stop = np.searchsorted(100 * size, percent * size, "left") if len(size) else []
             for i in range(1, len(node)):
                 lo = int(stop[i])
                 other = np.flatnonzero(forest.root[lo:i] != forest.root[i]) + lo
                 if not len(other):
                     continue
                 apart = np.bitwise_count(folded[other] ^ folded[i]).sum(axis=1, dtype=np.int64)
-                for j in other[185 * apart <= 15 * (size[other] + size[i])].tolist():
-                    if forest.root[i] != forest.root[j] and _may_link(full[i], full[j], int(size[i] + size[j])):
+                for j in other[(100 + percent) * apart <= (100 - percent) * (size[other] + size[i])].tolist():
+                    if forest.root[i] != forest.root[j] and _may_link(full[i], full[j], int(size[i] + size[j]), percent):
                         forest.join(i, j)
             left += [int(node[a]) for a, _ in forest.edges]
             right += [int(node[b]) for _, b in forest.edges]
@@ -227,11 +247,11 @@ def likely_links(groups: DataFrame, nodes: DataFrame) -> DataFrame:
     return flat.mapInArrow(run, "a long, b long")
 
 
-def _may_link(x: np.ndarray, y: np.ndarray, total: int) -> bool:
+def _may_link(x: np.ndarray, y: np.ndarray, total: int, percent: int) -> bool:
     if len(x) > len(y):
         x, y = y, x
     y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
-    return 185 * int(np.bitwise_count(x ^ y).sum()) <= 15 * total
+    return (100 + percent) * int(np.bitwise_count(x ^ y).sum()) <= (100 - percent) * total
 
 
 class SignatureTree:
@@ -241,8 +261,8 @@ class SignatureTree:
     the elements of the one with fewer beyond one a bit (its spill).
     """
 
-    def __init__(self, sets: list[np.ndarray]):
-        n = len(sets)
+    def __init__(self, sets: list[np.ndarray], percent: int = PERCENT):
+        n, self.percent = len(sets), percent
         self.size = np.array([len(s) for s in sets])
         bits = min(1 << 14, max(512, 1 << int(4 * self.size.max() - 1).bit_length()))
         maps = np.zeros((n, bits // 64), np.uint64)
@@ -265,10 +285,10 @@ class SignatureTree:
 
     def possible(self, level: int, a: int, b: int) -> bool:
         _, _, maps, low, high, spill = self.levels[level]
-        if 100 * high[a] < PERCENT * low[b] or 100 * high[b] < PERCENT * low[a]:
+        if 100 * high[a] < self.percent * low[b] or 100 * high[b] < self.percent * low[a]:
             return False
         most = min(int(np.bitwise_count(maps[a] & maps[b]).sum()) + min(spill[a], spill[b]), high[a], high[b])
-        return (100 + PERCENT) * most >= PERCENT * (low[a] + low[b])
+        return (100 + self.percent) * most >= self.percent * (low[a] + low[b])
 
     def links(self) -> Forest:
         """A forest that connects exactly the items that links connect."""
@@ -292,15 +312,15 @@ class SignatureTree:
         return forest
 
     def _leaves(self, a0: int, a1: int, b0: int, b1: int, forest: Forest, mark: np.ndarray) -> None:
-        size = self.size
+        size, percent = self.size, self.percent
         for x in range(a0, a1):
             ys = np.arange(max(b0, x + 1) if a0 == b0 else b0, b1)
             s = size[x]
-            ys = ys[(forest.root[ys] != forest.root[x]) & (100 * size[ys] >= PERCENT * s) & (100 * s >= PERCENT * size[ys])]
+            ys = ys[(forest.root[ys] != forest.root[x]) & (100 * size[ys] >= percent * s) & (100 * s >= percent * size[ys])]
             if not len(ys):
                 continue
             most = np.bitwise_count(self.maps[ys] & self.maps[x]).sum(axis=1, dtype=np.int64) + np.minimum(self.spill[ys], self.spill[x])
-            ys = ys[(100 + PERCENT) * most >= PERCENT * (size[ys] + s)]
+            ys = ys[(100 + percent) * most >= percent * (size[ys] + s)]
             if not len(ys):
                 continue
             own = self.ids[self.first[x] : self.first[x + 1]]
@@ -308,20 +328,30 @@ class SignatureTree:
             for y in ys.tolist():
                 if forest.root[x] != forest.root[y]:
                     both = int(np.count_nonzero(mark[self.ids[self.first[y] : self.first[y + 1]]]))
-                    if 100 * both >= PERCENT * (s + size[y] - both):
+                    if 100 * both >= percent * (s + size[y] - both):
                         forest.join(x, y)
             mark[own] = False
 
 
-def exact_links(clusters: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b): edges that connect exactly what links connect, from the texts of clustered nodes."""
+def _digested(docs: DataFrame, words: np.ndarray, shingle: int, name: str) -> DataFrame:
+    """The rows whose doc_id the Bloom filter may hold, with the digest of their set under `name`."""
+    shared, given = docs.sparkSession.sparkContext.broadcast(words), docs.columns
+    mark = one_of([*given, name], "hash")
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index(mark)
+            picked = batch.take(pa.array(np.flatnonzero(maybe_in(shared.value, np.asarray(batch.column(at))))))
+            for rows, data, offsets in text_slices([picked], "text"):
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array([digest(s) for s in sets_of(data, offsets, shingle)], pa.binary())], names=[*given, name])
+
+    return docs.select(*[F.col(f"`{c}`") for c in given], F.xxhash64("doc_id").alias(mark)).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())]))
 
-    def hashed(batches):
-        for rows, data, offsets in text_slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([digest(s) for s in sets_of(data, offsets)], pa.binary())], names=["doc_id", "text", "digest"])
 
-    texts = docs.select("doc_id", "text").mapInArrow(hashed, f"doc_id {dict(docs.dtypes)['doc_id']}, text string, digest binary")
-    wanted = clusters.join(nodes.select("node", "digest", F.col("doc_id").alias("rep")), "node")
+def exact_links(clusters: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(a, b): edges that connect exactly what links connect, from the texts of clustered nodes."""
+    wanted = cut(clusters.join(nodes.select("node", "digest", F.col("doc_id").alias("rep")), "node"))
+    texts = _digested(docs.select("doc_id", "text"), bloom_words(wanted.select(F.xxhash64("rep").alias("h"))), shingle, "digest")
     one = texts.join(wanted, (texts["digest"] == wanted["digest"]) & texts["doc_id"].eqNullSafe(wanted["rep"])).select("root", "node", "text").dropDuplicates(["node"])
     flat = cells(one, "root", "node", MAX_GROUP).select("cell.k", "cell.i", "cell.j", "node", "text").repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
 
@@ -329,9 +359,9 @@ def exact_links(clusters: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataF
         for table in grouped(batches, 3):
             node, sets = np.asarray(table["node"]), []
             for _, data, offsets in text_slices(table.to_batches(), "text"):
-                sets += sets_of(data, offsets)
+                sets += sets_of(data, offsets, shingle)
             order = np.lexsort([[int(s[0] >> np.uint64(1)) for s in sets], [len(s) for s in sets]])
-            forest = SignatureTree([sets[i] for i in order]).links()
+            forest = SignatureTree([sets[i] for i in order], percent).links()
             node = node[order]
             if forest.edges:
                 yield pa.RecordBatch.from_arrays([pa.array([int(node[a]) for a, _ in forest.edges]), pa.array([int(node[b]) for _, b in forest.edges])], names=["a", "b"])
@@ -339,24 +369,49 @@ def exact_links(clusters: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataF
     return flat.mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row: the least doc_id that links reach, its own included."""
-    rows = cut(profiles(docs))
+def _placed(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, digest, component_id of every row."""
+    rows = cut(profiles(docs, shingle, percent))
     filled = rows.filter("n_shingles > 0")
     nodes = cut(filled.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")).withColumn("node", F.monotonically_increasing_id()))
-    clusters = components(likely_links(sharing(nodes), nodes))
-    roots = components(exact_links(clusters, docs, nodes))
+    clusters = components(likely_links(sharing(nodes), nodes, percent))
+    roots = components(exact_links(clusters, docs, nodes, shingle, percent))
     named = nodes.select("node", "digest", "doc_id").join(roots, "node", "left").select("digest", "doc_id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of = named.join(least, "root").select("digest", "component_id")
-    return (
-        filled.select("doc_id", "n_shingles", "digest").join(of, "digest").select("doc_id", "n_shingles", "component_id")
-        .unionByName(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    )
+    plain = ["doc_id", "n_shingles", "digest"]
+    return filled.select(*plain).join(of, "digest").select(*plain, "component_id").unionByName(rows.filter("n_shingles = 0").select(*plain, F.col("doc_id").alias("component_id")))
+
+
+def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row: the least doc_id that links reach, its own included."""
+    return _placed(docs, shingle, percent).select("doc_id", "n_shingles", "component_id")
+
 
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The row with the least doc_id of every component, columns as given.
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The row with the least doc_id of every component, columns as given; rows without an id can't be told apart, and all stay if one of them is linked with no id."""
-    kept = jaccard_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    stays = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    return stays.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(stays.filter("doc_id is null"))
+    Rows of equal doc_id and equal set count once.  Rows without an id go if a
+    row with one is in their component.  Rows that stay surely (all but the
+    repeats and what the Bloom filter takes for one) are not shuffled.
+    """
+    stays, times, mark = (one_of(docs.columns, c) for c in ("stays", "times", "digest"))
+    placed = _placed(docs, shingle, percent).select("doc_id", "digest", F.col("doc_id").eqNullSafe(F.col("component_id")).alias(stays))
+    verdicts = placed.groupBy("doc_id", "digest").agg(F.first(stays).alias(stays), F.count("*").alias(times))
+    odd = cut(verdicts.filter(~F.col(stays) | (F.col(times) > 1)).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), stays))
+    words = bloom_words(odd.select(F.xxhash64("_id").alias("h")))
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    def surely(batches):
+        for batch in batches:
+            yield batch.take(pa.array(np.flatnonzero(~maybe_in(shared.value, np.asarray(batch.column(batch.num_columns - 1)))))).select(docs_columns)
+
+    docs_columns = docs.columns
+    own = [F.col(f"`{c}`") for c in docs_columns]
+    plain = docs.select(*own, F.xxhash64("doc_id").alias(mark)).mapInArrow(surely, docs.schema)
+    rest = _digested(docs, words, shingle, mark)
+    odd = odd.select(F.col("_id").alias(f"_{mark}_id"), F.col("_digest").alias(f"_{mark}_of"), stays)
+    judged = rest.join(odd, rest["doc_id"].eqNullSafe(odd[f"_{mark}_id"]) & (rest[mark] == odd[f"_{mark}_of"]), "left")
+    once = judged.filter(F.col(stays)).groupBy(f"_{mark}_id", f"_{mark}_of").agg(F.min_by(F.struct(*own), F.coalesce("text", F.lit(""))).alias("row"))
+    back = once.select(*[F.col("row")[c].alias(c) for c in docs_columns])
+    return plain.unionByName(judged.filter(F.col(stays).isNull()).select(*own)).unionByName(back)

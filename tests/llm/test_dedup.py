@@ -33,16 +33,16 @@ def corpus(seed=1):
     return rows
 
 
-def sets(rows):
+def sets(rows, q=4):
     out = {}
     for i, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        out[i] = {tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set()
+        out[i] = {tuple(w[k : k + q]) for k in range(len(w) - q + 1)} if len(w) >= q else {tuple(w)} if w else set()
     return out
 
 
-def brute_components(rows):
-    s = sets(rows)
+def brute_components(rows, q=4, percent=85):
+    s = sets(rows, q)
     root = {i: i for i in s}
 
     def find(x):
@@ -52,19 +52,41 @@ def brute_components(rows):
 
     for a in s:
         for b in s:
-            if a < b and s[a] and 100 * len(s[a] & s[b]) >= 85 * len(s[a] | s[b]):
+            if a < b and s[a] and 100 * len(s[a] & s[b]) >= percent * len(s[a] | s[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {i: (len(s[i]), find(i)) for i in s}
 
 
-@pytest.mark.parametrize("most", [4000, 7])
-def test_jaccard_components_against_brute_force(spark, most, monkeypatch):
+@pytest.mark.parametrize("most, q, percent", [(4000, 4, 85), (7, 4, 85), (4000, 5, 80)])
+def test_jaccard_components_against_brute_force(spark, most, q, percent, monkeypatch):
     monkeypatch.setattr(jaccard, "MAX_GROUP", most)
-    rows = corpus()
+    monkeypatch.setattr(jaccard, "HELD_NODES", 1 << 18 if most > 7 else 5)
+    rows = [*corpus(), (150, "very long " * 60_000)]
     frame = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, node int, KEYS int")
-    got = {r[0]: (r[1], r[2]) for r in jaccard.jaccard_components(frame).collect()}
-    assert got == brute_components(rows)
+    got = {r[0]: (r[1], r[2]) for r in jaccard.jaccard_components(frame, q, percent).collect()}
+    assert got == brute_components(rows, q, percent)
+
+
+def test_one_of_each_keeps_what_no_link_reaches(spark):
+    rows = corpus()
+    frame = spark.createDataFrame([(i, t, i, i, i) for i, t in rows], "doc_id long, text string, Stays int, DIGEST int, hash int")
+    kept = jaccard.one_of_each(frame, 5, 80)
+    assert kept.columns == frame.columns
+    component = brute_components(rows, 5, 80)
+    assert sorted(tuple(r) for r in kept.collect()) == sorted((i, t, i, i, i) for i, t in rows if component[i][1] == i)
+    text = spark.createDataFrame([(str(i), t) for i, t in rows], "doc_id string, text string")
+    assert jaccard.one_of_each(text, 5, 80).count() == kept.count()
+
+
+def test_bloom_words_lose_nothing(spark):
+    from gleanery.llm import members
+
+    for n in (0, 1, 3000):
+        words = members.bloom_words(spark.range(n).selectExpr("xxhash64(id) AS h"))
+        asked = spark.range(2 * n + 2000).selectExpr("xxhash64(id) AS h").toArrow()["h"].to_numpy()
+        found = members.maybe_in(words, asked)
+        assert found[:n].all() and found[n:].sum() < 0.1 * len(asked)
 
 
 def test_one_of_each_and_edges(spark):
@@ -72,7 +94,9 @@ def test_one_of_each_and_edges(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     assert jaccard.jaccard_components(frame).count() == len(rows)
     kept = sorted((str(r.doc_id), r.text) for r in jaccard.one_of_each(frame).collect())
-    assert kept == [("1", "a b c d e f"), ("3", "x y z w"), ("4", None), ("5", ""), ("None", "q r s t u"), ("None", "x y z w")]
+    assert kept == [("1", "a b c d e f"), ("3", "x y z w"), ("4", None), ("5", ""), ("None", "q r s t u")]
+    other = spark.createDataFrame([(7, "one text of its own words"), (7, "and quite some other words"), (7, "and quite some other words")], "doc_id long, text string")
+    assert jaccard.one_of_each(other).count() == 2 and jaccard.one_of_each(frame.limit(0)).count() == 0
     assert jaccard.jaccard_components(frame.limit(0)).count() == 0
 
 
