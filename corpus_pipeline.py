@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 
 from gleanery.llm import bpe, decontaminate, jaccard, passages, toxicity
 from gleanery.llm.catalog import table, vocabulary
-from gleanery.llm.textcore import one_of, shared_folder
+from gleanery.llm.textcore import one_of, remove_folder, shared_folder
+
+#: Near copies are held by the common rule: five-word shingles, a similarity of 0.8.
+SHINGLE, PERCENT = 5, 80
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,14 +29,15 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies, the one with the least doc_id."""
-    return jaccard.one_of_each(docs)
+    return jaccard.one_of_each(docs, SHINGLE, PERCENT)
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages that an earlier document has; drops documents of which no word is left."""
     cut = passages.without_repeats(docs)
     length = {c: F.length("text").cast(t) for c, t in docs.dtypes if c == "n_chars"}
-    return cut.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words"))).select(*[F.when(F.col("n_removed") > 0, length[c]).otherwise(F.col(c)).alias(c) if c in length else F.col(f"`{c}`") for c in docs.columns])
+    counts = [F.when(F.col("n_removed") > 0, length[c]).otherwise(F.col(c)).alias(c) if c in length else F.col(f"`{c}`") for c in docs.columns]
+    return cut.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words"))).select(*counts)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +46,11 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the token ids and their count, and drops the texts."""
+    """n_tokens, token_ids and decoded_sha256 in place of text and n_chars; other columns stay, but for ones of these names."""
+    made = [F.size("token_ids").cast("long").alias("n_tokens"), F.col("token_ids"), F.sha2("decoded", 256).alias("decoded_sha256")]
+    kept = [c for c in docs.columns if c.lower() not in ("text", "n_chars", "n_tokens", "token_ids", "decoded", "decoded_sha256")]
     coded = bpe.encode_decode(docs, vocabulary("word_bpe_49k.json"))
-    return coded.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return coded.select(*[F.col(f"`{c}`") for c in kept], *made)
 
 
 STAGES = [
@@ -60,11 +66,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's rows are written to the shared folder and read again."""
+    """All stages over documents; each one's rows are written to the shared folder and read again, and deleted once the next ones are written."""
     folder = os.path.join(shared_folder(spark), f"pipeline-{uuid.uuid4().hex}")
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}_{name}"
         stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove_folder(spark, before)
+        before = path
     return docs
