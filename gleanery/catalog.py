@@ -425,7 +425,8 @@ def singleton_theory(spark, sf_dir):
 
 # --- graph -----------------------------------------------------------------
 
-_E = "e0 AS (SELECT 'u:' || o_custkey AS src, 'p:' || l_partkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey), e AS (SELECT * FROM e0 WHERE src IN (SELECT src FROM e0 GROUP BY 1 HAVING count(*) >= {u}) AND dst IN (SELECT dst FROM e0 GROUP BY 1 HAVING count(*) >= {p}))"
+_E = f"""{REVIEWS_SQL}, e0 AS (SELECT 'u:' || user_id AS src, 'p:' || parent_asin AS dst, helpful_vote AS weight FROM r),
+ e AS (SELECT * FROM e0 WHERE src IN (SELECT src FROM e0 GROUP BY 1 HAVING count(*) >= {{u}}) AND dst IN (SELECT dst FROM e0 GROUP BY 1 HAVING count(*) >= {{p}}))"""
 _BOTH = "b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
 
 
@@ -445,29 +446,35 @@ def _pr_sql(rounds):
     return f"WITH {_E.format(u=2, p=2)}, {_BOTH}, {', '.join(steps)}"
 
 
+@_query(f"{_pr_sql(10)} SELECT id, round(rank, 9) AS rank FROM r10")
+def pagerank_full(spark, sf_dir):
+    return graph.pagerank(_edges(spark, sf_dir)).select("id", F.round("rank", 9).alias("rank"))
+
+
 @_query(f"{_pr_sql(3)} SELECT id, round(rank, 9) AS rank FROM r3")
 def pagerank_3(spark, sf_dir):
     return graph.pagerank(_edges(spark, sf_dir), rounds=3).select("id", F.round("rank", 9).alias("rank"))
 
 
-@_query(f"{_pr_sql(3)} SELECT round(corr(rank, c), 6) AS corr_rank_activity, count(*) AS reviewers FROM r3 JOIN (SELECT src, count(*) AS c FROM e GROUP BY 1) a ON a.src = r3.id")
+@_query(f"""{_pr_sql(10)}, a AS (SELECT src, count(*) AS c, sum(weight) AS v FROM e GROUP BY 1) SELECT round(corr(rank, c), 6) AS corr_rank_count, round(corr(rank, v), 6) AS corr_rank_votes, count(*) AS users,
+ CASE WHEN corr(rank, c) >= 0.85 THEN 'restates activity' WHEN corr(rank, c) >= 0.7 THEN 'overlaps with activity' WHEN corr(rank, c) IS NOT NULL THEN 'apart from activity' END AS centrality FROM r10 JOIN a ON a.src = r10.id""")
 def corr_rank_activity(spark, sf_dir):
     e = _edges(spark, sf_dir)
-    activity = e.groupBy("src").agg(F.count("*").alias("c"))
-    ranks = graph.pagerank(e, rounds=3)
-    return ranks.join(activity, ranks["id"] == activity["src"]).agg(F.round(F.corr("rank", "c"), 6).alias("corr_rank_activity"), F.count("*").alias("reviewers"))
+    activity = e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("c"), F.sum("weight").alias("v"))
+    return _r6(graph.activity_link(graph.pagerank(e), activity, "c", "v"), "corr_rank_count", "corr_rank_votes")
 
 
-def _sparse_edges(spark, sf_dir):
-    """A graph of many small components: customers and parts of the orders of one in fifty keys."""
-    rows = reviews(spark, sf_dir).filter(F.col("l_orderkey") % 50 == 0)
-    return graph.bipartite(rows, "user_id", "parent_asin", "helpful_vote", 1, 1)
+def _label_sql(rounds):
+    """Least labels of neighbours, over and over: as many rounds as the longest shortest path, and more."""
+    steps = ["l0 AS (SELECT DISTINCT src AS id, src AS c FROM b)"]
+    for k in range(rounds):
+        steps.append(f"l{k + 1} AS (SELECT b.dst AS id, least(min(s.c), any_value(d.c)) AS c FROM b JOIN l{k} s ON b.src = s.id JOIN l{k} d ON b.dst = d.id GROUP BY b.dst)")
+    return f"WITH {_E.format(u=2, p=2)}, {_BOTH}, {', '.join(steps)}"
 
 
-@_query("""WITH RECURSIVE e AS (SELECT 'u:' || o_custkey AS src, 'p:' || l_partkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 50 = 0), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
- c AS (SELECT src AS id, src AS root FROM b UNION SELECT b.dst, c.root FROM c JOIN b ON c.id = b.src WHERE c.root < b.dst) SELECT id, min(root) AS component FROM c GROUP BY id""")
+@_query(f"{_label_sql(12)} SELECT id, c AS component FROM l12")
 def components_full(spark, sf_dir):
-    return graph.components(_sparse_edges(spark, sf_dir))
+    return graph.components(_edges(spark, sf_dir))
 
 
 @_query(f"WITH {_E.format(u=2, p=2)} SELECT degree, count(*) AS vertices FROM (SELECT src, count(*) AS degree FROM e GROUP BY 1) GROUP BY 1")
@@ -475,10 +482,17 @@ def degree_histogram(spark, sf_dir):
     return graph.degree_histogram(_edges(spark, sf_dir))
 
 
-@_query()
+@_query(f"""{_label_sql(12)}, z AS (SELECT c, count(*) AS n FROM l12 GROUP BY 1)
+ SELECT sum(n)::BIGINT AS vertices, (SELECT count(*) FILTER (WHERE id[1] = 'u') FROM l12) AS reviewers, (SELECT count(*) FILTER (WHERE id[1] = 'p') FROM l12) AS products, count(*) AS components, max(n) AS largest, (SELECT count(*) FROM e) AS edges,
+  round(max(n)::DOUBLE / sum(n), 6) AS largest_share, max(n)::DOUBLE / sum(n) > 0.8 AS giant, round((SELECT count(*) FROM e)::DOUBLE / (SELECT count(*) FROM r), 6) AS edge_share, (SELECT count(*) FROM e)::DOUBLE / (SELECT count(*) FROM r) < 0.2 AS sparse, sum(n) < 50 OR (SELECT count(*) FROM e) < 50 AS too_small FROM z""")
 def graph_summary(spark, sf_dir):
     e = _edges(spark, sf_dir)
-    return graph.summary(e, graph.components(e))
+    return _r6(graph.guards(graph.summary(e, graph.components(e)), reviews(spark, sf_dir)), "largest_share", "edge_share")
+
+
+@_query(f"{_label_sql(12)} SELECT c AS component, count(*) AS size, round(count(*)::DOUBLE / (SELECT count(*) FROM l12), 6) AS share FROM l12 GROUP BY c ORDER BY size DESC, c LIMIT 10")
+def component_top(spark, sf_dir):
+    return _r6(graph.top_components(graph.components(_edges(spark, sf_dir))), "share")
 
 
 # --- reviewer profiles, models ---------------------------------------------
@@ -505,16 +519,11 @@ def reviewer_profiles(spark, sf_dir):
 def cluster_summary(spark, sf_dir):
     rows = clean.targets(reviews(spark, sf_dir)).withColumns({"verified_int": F.col("verified_purchase").cast("double"), "review_length": F.length("title")})
     found = segments.profiles(rows).cache()
-    scores, _, k, model = segments.sweep(found, range(2, 5))
-    table_ = segments.profile_clusters(model.transform(found)).orderBy("prediction")
-    names = segments.name_segments([r.asDict() for r in table_.collect()])  # a row per segment, six at most
-    return table_.withColumns({"segment": F.element_at(F.array(*map(F.lit, names)), F.row_number().over(_by("prediction"))), "k": F.lit(k), "silhouette": F.lit(scores[k])})
-
-
-def _by(column):
-    from pyspark.sql import Window as W
-
-    return W.orderBy(column)
+    scores, _, k, model = segments.sweep(found)
+    named = segments.name_segments(segments.profile_clusters(model.transform(found)))
+    rows = named.withColumns({"k": F.lit(k), "silhouette": F.lit(scores[k])}).collect()  # a row per segment, six at most
+    found.unpersist()
+    return spark.createDataFrame(rows, named.withColumns({"k": F.lit(k), "silhouette": F.lit(scores[k])}).schema)
 
 
 _MODEL_COLUMNS = ["rating", "rating_extremity", "verified_int", "has_images", "title_length", "log_exposure_days", "log_prior_review_count", "prior_avg_helpful"]
@@ -613,10 +622,15 @@ def testability_checks(spark, sf_dir):
     return _r6(stats.testability(tx.contextual(rows)), "share")
 
 
-@_query(f"SELECT {_ID}, round((rating - avg(rating) OVER ()) / stddev_samp(rating) OVER (), 6) AS z, round((rating - avg(rating) OVER ()) / stddev_samp(rating) OVER () * CAST(product_type = 'experience' AS INT), 6) AS z_x_experience FROM r")
+_Z = "round((rating - avg(rating) OVER ()) / stddev_samp(rating) OVER (), 6)"
+
+
+@_query(f"SELECT {_ID}, CASE WHEN z = 0 THEN 0 ELSE z END AS z, CASE WHEN z = 0 OR product_type IS DISTINCT FROM 'experience' THEN 0 ELSE z END AS z_x_experience FROM (SELECT *, {_Z} AS z FROM r)")
 def zscore_interaction(spark, sf_dir):
     rows = stats.standardised(reviews(spark, sf_dir).withColumn("z", F.col("rating")), ["z"])
-    return rows.select(*_IDS, F.round("z", 6).alias("z"), F.round(F.col("z") * (F.col("product_type") == "experience").cast("int"), 6).alias("z_x_experience"))
+    plain = lambda x: F.when(x == 0, 0.0).otherwise(x)  # noqa: E731  no negative zero
+    z = F.round("z", 6)
+    return rows.select(*_IDS, plain(z).alias("z"), plain(z * F.coalesce(F.col("product_type") == "experience", F.lit(False)).cast("int")).alias("z_x_experience"))
 
 
 # --- benchmark workloads, scorer -------------------------------------------
@@ -627,9 +641,12 @@ def bench_groupby(spark, sf_dir):
     return benchmark.group_by(table(spark, sf_dir, "orders"), "o_orderpriority", ["o_totalprice"]).withColumn("avg_o_totalprice", F.round("avg_o_totalprice", 4))
 
 
-@_query("SELECT o_orderkey, row_number() OVER w AS position, round(avg(o_totalprice) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 4) AS prior_avg FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
+@_query("""WITH o AS (SELECT *, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders)
+ SELECT o_orderkey, row_number() OVER w AS position, round(avg(cents) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) AS prior_avg FROM o WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
 def bench_window(spark, sf_dir):
-    return benchmark.windowed_history(table(spark, sf_dir, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], "o_totalprice").select("o_orderkey", F.col("position").cast("long").alias("position"), F.round("prior_avg", 4).alias("prior_avg"))
+    rows = table(spark, sf_dir, "orders").withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("long"))
+    found = benchmark.windowed_history(rows, "o_custkey", ["o_orderdate", "o_orderkey"], "cents")
+    return found.select("o_orderkey", F.col("position").cast("long").alias("position"), F.round("prior_avg", 6).alias("prior_avg"))
 
 
 @_query(r"SELECT count(*) AS rows, count(*) FILTER (WHERE regexp_matches(text, '\d')) AS matching, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents")
@@ -647,7 +664,7 @@ _S = rf"""WITH {_T}, f AS (SELECT doc_id, len, wc, sc, CAST(doc_id % 4 = 0 AS IN
  g AS (SELECT *, CAST(rating IN (1, 5) AS INT) AS ext FROM f), z AS (SELECT *, 1 / (1 + exp(-(-1.2::DOUBLE + 0.55::DOUBLE * least(ln(1 + len) / 5, 1.5::DOUBLE) + 0.30::DOUBLE * ttr + 0.25::DOUBLE * ver + 0.40::DOUBLE * img + 0.20::DOUBLE * least(dig * 50, 1.0::DOUBLE) - 0.15::DOUBLE * ext - 0.10::DOUBLE * least(exc / 5, 1.0::DOUBLE) - greatest(up - 0.1::DOUBLE, 0.0::DOUBLE)))) AS p FROM g)"""
 
 
-@_query(f"{_S} SELECT doc_id, round(p, 6) AS probability, CASE WHEN p < 0.15 THEN '{scorer.BANDS[0][1]}' WHEN p < 0.35 THEN '{scorer.BANDS[1][1]}' WHEN p < 0.6 THEN '{scorer.BANDS[2][1]}' ELSE '{scorer.TOP_BAND}' END AS verdict FROM z")
+@_query(f"{_S} SELECT doc_id, round(p, 6) AS probability, CASE WHEN p < 0.15 THEN '{scorer.OUTLOOKS[0]}' WHEN p < 0.35 THEN '{scorer.OUTLOOKS[1]}' WHEN p < 0.6 THEN '{scorer.OUTLOOKS[2]}' ELSE '{scorer.OUTLOOKS[3]}' END AS verdict FROM z")
 def scorer_probability(spark, sf_dir):
     return _r6(scorer.score(_drafts(spark, sf_dir)).select("doc_id", "probability", "verdict"), "probability")
 

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import cut, star_components
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Lineage cut at the cluster's checkpoint folder (a temporary one only where none is set)."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+# Fewer vertices or edges are no graph to speak of; below this share of reviews kept it is sparse;
+# the largest degree that the vertex cap asks for; the share of a giant component; correlations of rank and activity.
+LEAST_SIZE = 50
+SPARSE = 0.20
+MOST_DEGREE = 6
+GIANT = 0.80
+RESTATES, OVERLAPS = 0.85, 0.70
 
 
 def bipartite(df: DataFrame, user: str, item: str, weight: str, min_user: int = 2, min_item: int = 2) -> DataFrame:
@@ -33,32 +33,48 @@ def symmetric(edges: DataFrame) -> DataFrame:
 
 def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, cut_every: int = 3) -> DataFrame:
     """(id, rank), undirected; ranks sum to 1.  Each round is one join and one aggregation; the vertex table rides along in the union, so no outer join is needed."""
-    both = symmetric(edges)
+    both = cut(symmetric(edges))
     degree = both.groupBy("src").agg(F.count("*").alias("degree"))
-    links = _cut(both.join(degree, "src"))
-    n = max(1, vertices(edges).count())
-    ranks = links.select(F.col("src").alias("id")).distinct().withColumn("rank", F.lit(1.0 / n))
+    links = cut(both.join(degree, "src"))
+    n = max(1, degree.count())
+    ranks = degree.select(F.col("src").alias("id"), F.lit(1.0 / n).alias("rank"))
     for k in range(rounds):
         sent = links.join(ranks, links["src"] == ranks["id"]).select(F.col("dst").alias("id"), (F.col("rank") / F.col("degree")).alias("r"))
         ranks = sent.groupBy("id").agg(F.sum("r").alias("r")).select("id", ((1 - damping) / n + damping * F.col("r")).alias("rank"))
         if (k + 1) % cut_every == 0 and k + 1 < rounds:
-            ranks = _cut(ranks)
+            ranks = cut(ranks)
     return ranks
 
 
-def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(id, component): the least id reached.  Least label of the neighbours, then a pointer jump; runs to the fixed point, which it reports by raising if max_rounds did not reach it."""
-    both = _cut(symmetric(edges))
-    labels = vertices(edges).select("id", F.col("id").alias("component"))
-    for _ in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("component").alias("near"))
-        lower = labels.join(near, "id").select("id", F.least("component", "near").alias("c"), F.col("component").alias("was"))
-        jump = lower.select(F.col("id").alias("c"), F.col("c").alias("c2"))
-        new = _cut(lower.join(jump, "c").select("id", F.least("c", "c2").alias("component"), "was"))
-        labels = new.select("id", "component")
-        if not new.filter("component <> was").limit(1).count():
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component): the least id reached; a vertex with edges to itself alone is its own."""
+    rooted = star_components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return vertices(edges).join(rooted, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("component"))
+
+
+def top_components(labels: DataFrame, k: int = 10) -> DataFrame:
+    """The k largest components, and the share of all vertices that each holds; the least label first on ties."""
+    total = labels.agg(F.count("*").alias("_n"))
+    return component_sizes(labels).crossJoin(F.broadcast(total)).select("component", "size", (F.col("size") / F.col("_n")).alias("share")).orderBy(F.desc("size"), "component").limit(k)  # one row
+
+
+def capped(df: DataFrame, user: str, item: str, weight: str, most: int) -> tuple[DataFrame, int]:
+    """(edges, least degree): the bipartite graph under the first least degree from 2 to MOST_DEGREE that leaves `most` vertices or fewer, else under the last.
+
+    No row is sampled: a smaller graph is a denser core, and the degree says which.
+    """
+    for degree in range(2, MOST_DEGREE + 1):
+        edges = cut(bipartite(df, user, item, weight, degree, degree))
+        if vertices(edges).count() <= most:
+            break
+    return edges, degree
+
+
+def activity_link(ranks: DataFrame, activity: DataFrame, count: str, votes: str) -> DataFrame:
+    """One row: correlations of users' rank with their count and votes (activity: id and both), and what the first means."""
+    r = ranks.join(activity, "id").agg(F.corr("rank", count).alias("corr_rank_count"), F.corr("rank", votes).alias("corr_rank_votes"), F.count("*").alias("users"))
+    c = F.col("corr_rank_count")
+    return r.withColumn("centrality", F.when(c >= RESTATES, "restates activity").when(c >= OVERLAPS, "overlaps with activity").when(c.isNotNull(), "apart from activity"))
 
 
 def component_sizes(labels: DataFrame) -> DataFrame:
@@ -70,9 +86,17 @@ def degree_histogram(edges: DataFrame, side: str = "src") -> DataFrame:
 
 
 def summary(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row: vertices, edges, users, items, components, largest component and its share."""
+    """One row: vertices, edges, users, items, components, largest component, its share, and whether it is a giant one."""
     users, items = F.count_if(F.col("id").startswith("u:")), F.count_if(F.col("id").startswith("p:"))
     v = labels.agg(F.count("*").alias("vertices"), users.alias("reviewers"), items.alias("products"))
     c = component_sizes(labels).agg(F.count("*").alias("components"), F.max("size").alias("largest"))
     e = edges.agg(F.count("*").alias("edges"))
-    return v.crossJoin(F.broadcast(c)).crossJoin(F.broadcast(e)).withColumn("largest_share", F.col("largest") / F.col("vertices"))  # one row each
+    rows = v.crossJoin(F.broadcast(c)).crossJoin(F.broadcast(e)).withColumn("largest_share", F.col("largest") / F.col("vertices"))  # one row each
+    return rows.withColumn("giant", F.coalesce(F.col("largest_share") > GIANT, F.lit(False)))
+
+
+def guards(summary: DataFrame, reviews: DataFrame) -> DataFrame:
+    """The summary with edge_share (of the reviews, what pruning left), and whether the graph is `sparse` or `too_small` to read anything from."""
+    n = reviews.agg(F.greatest(F.count("*"), F.lit(1)).alias("_reviews"))
+    rows = summary.crossJoin(F.broadcast(n)).withColumn("edge_share", F.col("edges") / F.col("_reviews")).drop("_reviews")  # one row each
+    return rows.withColumns({"sparse": F.col("edge_share") < SPARSE, "too_small": (F.col("vertices") < LEAST_SIZE) | (F.col("edges") < LEAST_SIZE)})

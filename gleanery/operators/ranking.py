@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .running import running_totals
+
 Z = 1.96
 BUCKETS = [(5, "1-5 (earliest)"), (20, "6-20"), (50, "21-50"), (200, "51-200")]
 LAST_BUCKET = "200+ (latest)"
@@ -56,10 +57,9 @@ def arrival_bias(df: DataFrame, measures: dict[str, Column]) -> DataFrame:
 
 
 def _cumulated(df: DataFrame, value: str) -> DataFrame:
-    """Distinct values with counts and what lies below each; the ordered window is over distinct values, not rows."""
+    """Distinct values with counts and what lies below each."""
     groups = df.select(F.col(value).cast("double").alias("x")).filter("x is not null").groupBy("x").agg(F.count("*").alias("n"))
-    w = W.orderBy("x")
-    return groups.select("x", "n", (F.sum("n").over(w) - F.col("n")).alias("below"))
+    return running_totals(groups, "x", {"upto": "n"}).select("x", "n", (F.col("upto") - F.col("n")).alias("below"))
 
 
 def gini(df: DataFrame, value: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Micro fixtures and invariants of the engine's own operators."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gleanery import catalog
 from gleanery.functions import text as tx
-from gleanery.operators import clean, graph, history, metrics, ranking, segments
+from gleanery.operators import clean, graph, history, metrics, ranking, running, segments
 from gleanery.plans import benchmark, ml, report, runner, scorer, stats
 from gleanery.sources import reviews as src
 
@@ -172,6 +174,55 @@ def test_graph_summary_is_of_all_orders(spark, tmp_path):
     assert (row.vertices, row.reviewers, row.products, row.edges, row.components, row.largest) == (6, 3, 3, 6, 2, 4)
 
 
+def test_running_totals_equal_a_plain_scan(spark):
+    rng = random.Random(3)
+    keys = [None, *{round(rng.gauss(0, 50), 2) for _ in range(700)}]
+    rows = [(k, rng.randint(0, 9)) for k in keys]
+    df = spark.createDataFrame(rows, "k double, n long")
+    for down in (False, True):
+        got = {r.k: r.upto for r in running.running_totals(df, "k", {"upto": "n"}, down, 16).collect()}
+        order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0.0), reverse=down)
+        total, want = 0, {}
+        for k, n in order:
+            total += n
+            want[k] = total
+        assert got == want
+    assert running.running_totals(df.limit(0), "k", {"upto": "n"}).count() == 0
+
+
+def test_lift_breaks_ties_at_the_cut_only(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice([0.1, 0.2, 0.9, None]), int(rng.random() < 0.3)) for i in range(437)]
+    df = spark.createDataFrame(rows, "i long, p double, y int")
+    for share in (0.1, 0.02, 0.5, 1.0):
+        top = sorted(rows, key=lambda r: (-(r[1] if r[1] is not None else -1), r[0]))[: max(1, int(437 * share))]
+        want = sum(r[2] for r in top) / len(top) / (sum(r[2] for r in rows) / 437)
+        assert metrics.lift_at(df, "y", "p", "i", share).first().lift == pytest.approx(want)
+    assert metrics.lift_at(df.limit(0), "y", "p", "i").first().lift is None
+
+
+def test_evaluate_holds_every_measure(spark):
+    rng = random.Random(6)
+    df = spark.createDataFrame([(i, i % 20, rng.random(), rng.randint(0, 3)) for i in range(300)], "i long, g int, p double, rel int").withColumn("y", (F.col("rel") > 1).cast("int"))
+    row = metrics.evaluate(df, "y", "p", "i", "g", "rel").first()
+    assert row.n == 300 and row.n_products_ranked == 20 and 0 < row.ndcg < 1
+    assert row.pr_auc == pytest.approx(metrics.average_precision(metrics.curve(df, "y", "p")).first().pr_auc)
+
+
+def test_graph_cap_guards_and_centrality(spark):
+    df = spark.createDataFrame([(u, p, 1.0) for u in range(8) for p in range(u + 1)], "u int, p int, w double")
+    edges, degree = graph.capped(df, "u", "p", "w", 9)
+    assert degree > 2 and graph.vertices(edges).count() <= 9
+    row = graph.guards(graph.summary(edges, graph.components(edges)), df).first()
+    assert row.too_small and row.giant and row.edge_share == pytest.approx(edges.count() / df.count())
+    top = graph.top_components(graph.components(edges)).collect()
+    assert len(top) == 1 and top[0].share == 1.0
+    assert graph.capped(df, "u", "p", "w", 1)[1] == graph.MOST_DEGREE
+    ranks = spark.createDataFrame([("u:1", 0.1), ("u:2", 0.2), ("u:3", 0.3)], "id string, rank double")
+    activity = spark.createDataFrame([("u:1", 1, 5), ("u:2", 2, 1), ("u:3", 3, 9)], "id string, n int, v int")
+    assert graph.activity_link(ranks, activity, "n", "v").first().centrality == "restates activity"
+
+
 def test_pagerank_sums_to_one(spark):
     edges = spark.createDataFrame([("u:1", "p:1"), ("u:1", "p:2"), ("u:2", "p:2"), ("u:3", "p:2")], "src string, dst string")
     ranks = {r.id: r["rank"] for r in graph.pagerank(edges, 4).collect()}
@@ -228,10 +279,15 @@ def test_regression_metrics_and_mean(spark):
     assert out["linear", "all"].r2 > 0.99 and out["training mean", "all"].r2 == pytest.approx(0)
 
 
-def test_segment_names_are_distinct():
-    rows = [{m: v for m in segments.NAMES} for v in (1.0, 2.0, 9.0)]
-    assert len(set(segments.name_segments(rows))) == 3
-    assert segments.warnings(10, 1000, {2: 0.5, 3: 0.52})[0].startswith("too few")
+def test_segment_names_go_to_the_largest_gaps(spark):
+    rows = [(k, 5 * k + 6, *[v if m != "n_reviews" else 3.0 for m in segments.TRAITS]) for k, v in enumerate((1.0, 2.0, 9.0))]
+    summary = spark.createDataFrame(rows, f"prediction int, reviewers long, {', '.join(f'{m} double' for m in segments.TRAITS)}")
+    got = {r.prediction: r for r in segments.name_segments(summary).collect()}
+    assert len({r.segment for r in got.values()}) == 3 and got[2].segment == "write at length" and got[0].segment == "write briefly"
+    assert [got[k].isolated for k in range(3)] == [True, False, False]
+    alone = segments.name_segments(summary.limit(1)).first()
+    assert alone.segment == "write at length" and segments.name_segments(summary.limit(0)).count() == 0
+    assert len(segments.warnings(10, 1000, {2: 0.5, 3: 0.52}, 1)) == 4 and segments.warnings(500, 600, {2: 0.1, 3: 0.5}) == []
 
 
 # --- scorer, report, runner ------------------------------------------------
@@ -242,7 +298,7 @@ def test_one_draft_scores_like_a_table(spark, capsys):
     shown = scorer.main(["--text", text, "--rating", "5", "--category", "Electronics", "--unverified"], spark)
     row = spark.createDataFrame([(text.strip(), "", 5.0, "search", 0.0, "[]")], "text string, title string, rating double, product_type string, verified_int double, images string")
     scored = scorer.score(row).first()
-    assert f"{100 * scored.probability:.1f}%" in shown and scored.verdict in shown
+    assert f"{scored.probability:.3f}" in shown and scored.verdict in shown and len(scorer.ADVICE) == len(scorer.CONDITIONS)
     assert {"Rating", "Verification"} <= {t.label for t in scored.tips}
 
 
