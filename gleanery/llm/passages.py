@@ -12,11 +12,14 @@ the leftmost minima of the windows of that many tokens.
    shuffle deals the rows by signature; a signature that is alone has no
    near-duplicate.
 2. Runs of one signature with equal tokens throughout repeat verbatim.
-3. All different contents of a signature are compared, across documents:
-   windows of equal distance from the minimum are passages of one another if
-   the Jaccard similarity of their tokens is SIMILARITY or more.  Bitmaps bound
-   what a pair can share and drop most pairs.  Signatures of more than
-   MAX_GROUP contents are dealt over pairs of blocks.
+3. The different contents of a signature are compared, across documents: where
+   their intervals of window starts meet, windows of equal distance from the
+   minimum are passages of one another if the Jaccard similarity of their
+   tokens is SIMILARITY or more.  Runs of whose windows too few tokens stand in
+   any other document of the group drop out before, as do pairs of which all
+   that can repeat is known to and pairs that share too little by their
+   bitmaps.  Signatures of more than MAX_GROUP contents are dealt over pairs of
+   blocks.
 4. Of each verified pair, the passage in the document with the larger doc_id
    is the repeat; the least of each class stays.  A row's repeats all hold its
    minimum, so they are one span, and links that connect what pairs connect
@@ -31,14 +34,15 @@ within one.
 
 Null and empty texts, and texts under 50 words, have no passages.  Repeated
 rows of the same doc_id and text count as one document.  A null doc_id sorts
-before all others.
+before all others.  Ids that are no integers are ordered by their hash: the
+document of the larger hash is the repeat, and a class has its least id.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,10 +114,16 @@ def _keys(data, offsets):
     return span_hash(data, offsets[:-1], offsets[1:], seed=2).view(np.int64)
 
 
+def _number(docs: DataFrame) -> Column:
+    """A document's id as a long, NO_ID for none: the id itself, or a hash of one that is no integer."""
+    whole = isinstance(docs.schema["doc_id"].dataType, T.IntegralType)
+    return F.coalesce(F.col("doc_id").cast("long") if whole else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")), F.lit(NO_ID))
+
+
 def _documents(docs: DataFrame) -> DataFrame:
-    """doc (its id, NO_ID for none), text and text_key beside the given columns."""
+    """doc (its number), text and text_key beside the given columns."""
     columns = [c for c in docs.columns if c.lower() not in ("doc", "text_key")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in columns], _number(docs).alias("doc"))
 
     def run(batches):
         for part, data, offsets in text_slices(batches, "text"):
@@ -130,13 +140,13 @@ def _runs(docs: DataFrame) -> DataFrame:
     def run(batches):
         for part, data, offsets in text_slices(batches, "text"):
             found = signature_runs(data, offsets)
-            keep, cuts, others = once_a_row(found[0], [found[1], found[2]], found[5])
+            keep, cuts, others = once_a_row(found[0], [found[1], found[2]], found[4])
             again = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(others, pa.int32()))
             row, signature, content, at, first, last = (x[keep] for x in found)
             doc = np.asarray(part.column(0), np.int64)[row]
             yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (signature, content)), pa.array(doc), pa.array(_keys(data, offsets)[row]), *(pa.array(x.astype(np.int32)) for x in (at, first, last)), again], names=_RUN)
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text").mapInArrow(run, "signature long, content long, doc long, text_key long, at int, first int, last int, again array<int>")
+    return docs.select(_number(docs).alias("doc"), "text").mapInArrow(run, "signature long, content long, doc long, text_key long, at int, first int, last int, again array<int>")
 
 
 def _marked(runs: DataFrame) -> DataFrame:
@@ -210,51 +220,117 @@ def _contexts(marks: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "signature long, i int, j int, block int, at int, first int, last int, doc long, text_key long, bytes binary, again array<int>")
 
 
+def _supported(tokens: np.ndarray, group: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which tokens stand in runs of two documents or more of their group."""
+    if not len(tokens):
+        return np.zeros(0, bool)
+    key = mix(tokens ^ mix(group.astype(np.uint64) + np.uint64(1)))
+    order = np.argsort(key)
+    new = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+    docs = doc[order]
+    several = np.minimum.reduceat(docs, new) != np.maximum.reduceat(docs, new)
+    out = np.empty(len(tokens), bool)
+    out[order] = np.repeat(several, np.diff(np.append(new, len(order))))
+    return out
+
+
 class Contexts:
     """Runs' tokens in rows of SPAN places with the minimum at TOKENS - 1, and bitmaps that bound what two of them share."""
 
     SPAN = 2 * TOKENS - 1
 
-    def __init__(self, tokens: np.ndarray, begin: np.ndarray, center: np.ndarray):
+    def __init__(self, tokens: np.ndarray, begin: np.ndarray, center: np.ndarray, group: np.ndarray, doc: np.ndarray):
         n, length = len(center), np.diff(begin)
         row = np.repeat(np.arange(n), length)
         self.low, self.high = TOKENS - 1 - center, length - 1 - center  # first and last start of a window
+        place = np.arange(len(row)) - begin[row] + self.low[row]
         self.tokens = np.zeros((n, self.SPAN), np.uint64)
-        self.tokens[row, np.arange(len(row)) - begin[row] + self.low[row]] = tokens
+        self.tokens[row, place] = tokens
         bits = np.zeros((n, 1024), np.uint8)
         bits[row, (mix(tokens ^ np.uint64(0x5151)) % np.uint64(1024)).astype(np.int64)] = 1
         self.maps = np.packbits(bits, axis=1).view(np.uint64)
-        order = np.lexsort([tokens, row])
-        again = np.bincount(row[order][1:][(tokens[order][1:] == tokens[order][:-1]) & (row[order][1:] == row[order][:-1])], minlength=n)
+        order = np.lexsort([place, tokens, row])
+        same = (tokens[order][1:] == tokens[order][:-1]) & (row[order][1:] == row[order][:-1])
+        before = np.full(len(row), -1)  # the last place of the same token
+        before[order[1:][same]] = place[order[:-1][same]]
+        again = np.bincount(row[before >= 0], minlength=n)
         self.spill = length - again - np.bitwise_count(self.maps).sum(axis=1, dtype=np.int64)
-        #: Windows that are similar share at least so many different tokens: all of one's but a ninth, or all that stand in equal places.
-        self.need = TOKENS - again - (TOKENS - int(np.ceil(2 * SIMILARITY * TOKENS / (1 + SIMILARITY) - 1e-9)))
-
-    def possible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        most = np.bitwise_count(self.maps[a] & self.maps[b]).sum(axis=1, dtype=np.int64) + np.minimum(self.spill[a], self.spill[b])
-        return most >= np.minimum(self.need[a], self.need[b])
+        self.again = again > 0
+        #: By start of a window: its number of different tokens, and whether it is one.
+        start = np.arange(TOKENS)
+        self.within = (start >= self.low[:, None]) & (start <= self.high[:, None])
+        self.different = self._counted(row, place, before, np.ones(len(row), bool))
+        self.fewest = np.where(self.within, self.different, TOKENS).min(axis=1).astype(np.int64)
+        self._reach(row, place, before, _supported(tokens, group[row], doc[row]))
+
+    def _counted(self, row: np.ndarray, place: np.ndarray, before: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """By row and start of a window: how many different tokens of those in `which` it has; a token counts at its first place in the window."""
+        row, place, before = row[which], place[which], before[which]
+        first, last = np.maximum(before + 1, place - TOKENS + 1), np.minimum(place, TOKENS - 1)
+        some = first <= last
+        at, cells = row[some] * (TOKENS + 1), len(self.low) * (TOKENS + 1)
+        steps = np.bincount(at + first[some], minlength=cells) - np.bincount(at + last[some] + 1, minlength=cells)
+        return np.cumsum(steps.reshape(-1, TOKENS + 1), axis=1, dtype=np.int16)[:, :-1]
+
+    def _reach(self, row: np.ndarray, place: np.ndarray, before: np.ndarray, supported: np.ndarray) -> None:
+        """`alive`: rows with a window that may be similar to one of another document; `least` and `most`: how far from the minimum a repeat can reach.
+
+        A window can share only tokens that another document of the group has.
+        Where windows match place by place, ends of a repeat are such tokens.
+        """
+        may = self.within & (self._counted(row, place, before, supported) >= SIMILARITY * self.different - 1e-9)
+        self.alive = may.any(axis=1)
+        first, end = may.argmax(axis=1), 2 * (TOKENS - 1) - may[:, ::-1].argmax(axis=1)
+        grid = np.zeros((len(self.low), self.SPAN), bool)
+        grid[row, place] = supported
+        where = np.arange(self.SPAN)
+        inside = grid & (where >= first[:, None]) & (where <= end[:, None])
+        trim = ~self.again & self.alive
+        first[trim], end[trim] = inside[trim].argmax(axis=1), self.SPAN - 1 - inside[trim][:, ::-1].argmax(axis=1)
+        self.least, self.most = first - TOKENS + 1, end - TOKENS + 1
+
+    def shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The most different tokens that the two can share."""
+        return np.bitwise_count(self.maps[a] & self.maps[b]).sum(axis=1, dtype=np.int64) + np.minimum(self.spill[a], self.spill[b])
+
+    @staticmethod
+    def _enough(shared: np.ndarray, different: np.ndarray) -> np.ndarray:
+        """Whether sets of so many elements, together, that share so many have SIMILARITY or more."""
+        return (1 + SIMILARITY) * shared >= SIMILARITY * different - 1e-9
 
     def similar(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(pair, first and last distance from the minima): where windows of a and b have SIMILARITY or more; pulled in to tokens that are equal, if windows match place by place."""
-        low, high = np.maximum(self.low[a], self.low[b]), np.minimum(self.high[a], self.high[b])
-        same = self.tokens[a] == self.tokens[b]
-        total = np.concatenate([np.zeros((len(a), 1), np.int16), np.cumsum(same, axis=1, dtype=np.int16)], axis=1)
-        start = np.arange(TOKENS)
-        within = (start >= low[:, None]) & (start <= high[:, None])
-        enough = ((1 + SIMILARITY) * (total[:, TOKENS:] - total[:, :-TOKENS]) >= 2 * SIMILARITY * TOKENS) & within
+        shared = self.shared(a, b)
+        some = np.flatnonzero(self._enough(shared, self.fewest[a] + self.fewest[b]))
+        a, b, shared = a[some], b[some], shared[some]
+        within = self.within[a] & self.within[b]
+        different = self.different[a] + self.different[b]
+        plain = np.flatnonzero(~(self.again[a] | self.again[b]))
+        same = self.tokens[a[plain]] == self.tokens[b[plain]]
+        total = np.concatenate([np.zeros((len(plain), 1), np.int16), np.cumsum(same, axis=1, dtype=np.int16)], axis=1)
+        alike = total[:, TOKENS:] - total[:, :-TOKENS]
+        enough = self._enough(alike, 2 * TOKENS) & within[plain]
         hit = enough.any(axis=1)
         at = np.flatnonzero(hit)
         first, end = enough[at].argmax(axis=1), 2 * (TOKENS - 1) - enough[at][:, ::-1].argmax(axis=1)
         place = np.arange(self.SPAN)
         inside = same[at] & (place >= first[:, None]) & (place <= end[:, None])
         first, end = inside.argmax(axis=1), self.SPAN - 1 - inside[:, ::-1].argmax(axis=1)
-        pair, start = np.nonzero(within & ~hit[:, None])
+        # Windows share at most what is equal place by place and what the two share elsewhere.
+        low, high = np.maximum(self.low[a[plain]], self.low[b[plain]]), np.minimum(self.high[a[plain]], self.high[b[plain]])
+        every = np.arange(len(plain))
+        whole = np.where(low <= high, total[every, np.maximum(high, 0) + TOKENS] - total[every, np.minimum(low, TOKENS - 1)], 0)
+        bound = np.broadcast_to(shared[:, None], within.shape).copy()
+        bound[plain] = np.minimum(bound[plain], alike + np.maximum(shared[plain] - whole, 0)[:, None])
+        open_ = within & self._enough(bound, different)
+        open_[plain[hit]] = False
+        pair, start = np.nonzero(open_)
         ok = np.concatenate([np.zeros(0, bool), *(self._sets(a[pair[k : k + PAIRS]], b[pair[k : k + PAIRS]], start[k : k + PAIRS]) for k in range(0, len(pair), PAIRS))])
         pair, start = pair[ok], start[ok]
         head = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])[: len(pair)])
         tail = np.append(head[1:], len(pair))[: len(head)] - 1
         distance = np.concatenate([first, start[head]]) - TOKENS + 1, np.concatenate([end, start[tail] + TOKENS - 1]) - TOKENS + 1
-        return np.concatenate([at, pair[head]]), *distance
+        return some[np.concatenate([plain[at], pair[head]])], *distance
 
     def _sets(self, a: np.ndarray, b: np.ndarray, start: np.ndarray) -> np.ndarray:
         place = start[:, None] + np.arange(TOKENS)
@@ -299,15 +375,20 @@ def _compared(x: pa.Table) -> tuple[np.ndarray, ...]:
         size = np.diff(begin) - SHINGLE + 1
         parts.append(chained[np.repeat(begin[:-1] - (np.cumsum(size) - size), size) + np.arange(size.sum())])
         sizes.append(size)
-    contexts = Contexts(np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), np.asarray(x["at"], np.int64) - np.asarray(x["first"]))
-    new = np.flatnonzero(np.concatenate([[True], (signature[1:] != signature[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
-    end = np.repeat(np.append(new[1:], n), np.diff(np.append(new, n)))
+    new = np.concatenate([[True], (signature[1:] != signature[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+    group = np.cumsum(new) - 1
+    begin = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    contexts = Contexts(np.concatenate(parts), begin, np.asarray(x["at"], np.int64) - np.asarray(x["first"]), group, doc)
+    rows = np.flatnonzero(contexts.alive)
+    heads = np.flatnonzero(np.concatenate([[True], group[rows][1:] != group[rows][:-1]])[: len(rows)])
+    end = np.repeat(np.append(heads[1:], len(rows))[: len(heads)], np.diff(np.append(heads, len(rows))))
     first, last, label, partner = np.full(n, TOKENS), np.full(n, -TOKENS), np.arange(n), np.full(n, -1)
     for a, b in _pairs(end, 8 * PAIRS):
-        keep = np.flatnonzero((doc[a] != doc[b]) & ((i[a] == j[a]) | (block[a] != block[b])))
-        keep = keep[contexts.possible(a[keep], b[keep])]
-        for k in range(0, len(keep), PAIRS):
-            early, late = a[keep[k : k + PAIRS]], b[keep[k : k + PAIRS]]  # rows come in the order of doc
+        for k in range(0, len(a), PAIRS):
+            early, late = rows[a[k : k + PAIRS]], rows[b[k : k + PAIRS]]  # rows come in the order of doc
+            settled = (first[late] <= contexts.least[late]) & (last[late] >= contexts.most[late]) & (label[early] == label[late])  # all of late that can repeat does, and they are linked
+            keep = np.flatnonzero(~settled & (doc[early] != doc[late]) & ((i[early] == j[early]) | (block[early] != block[late])))
+            early, late = early[keep], late[keep]
             pair, lo, hi = contexts.similar(early, late)
             early, late = early[pair], late[pair]
             np.minimum.at(first, late, lo)
@@ -368,7 +449,7 @@ def _word_spans_of(repeats: DataFrame) -> DataFrame:
 
 def _counted(docs: DataFrame) -> DataFrame:
     """doc_id, doc, text_key and n_words of every row, without its text."""
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
+    rows = docs.select("doc_id", _number(docs).alias("doc"), "text")
 
     def run(batches):
         for part, data, offsets in text_slices(batches, "text"):
@@ -437,4 +518,9 @@ def passage_classes(docs: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     measured = rows.mapInArrow(_joined_spans, f"doc_id {kind}, doc long, n_words long, n_removed long, spans array<long>")
     named = measured.join(roots.withColumnsRenamed({"node": "doc"}), "doc", "left")
-    return named.select("doc_id", "n_words", "n_removed", "spans", F.col("root").isNotNull().alias("repeats"), F.when(F.coalesce("root", "doc") != NO_ID, F.coalesce("root", "doc")).alias("class_id"))
+    root = F.coalesce("root", "doc")
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        return named.select("doc_id", "n_words", "n_removed", "spans", F.col("root").isNotNull().alias("repeats"), F.when(root != NO_ID, root).cast(kind).alias("class_id"))
+    least = named.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
+    placed = named.join(least, "root", "left")
+    return placed.select("doc_id", "n_words", "n_removed", "spans", F.col("root").isNotNull().alias("repeats"), F.coalesce("least", "doc_id").alias("class_id"))

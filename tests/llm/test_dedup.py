@@ -267,3 +267,72 @@ def test_short_near_passages_recall(spark, n):
         rows += [(2 * k, " ".join(words(30) + base + words(30))), (2 * k + 1, " ".join(words(30) + near + words(30)))]
     got = {r.doc_id: r.class_id for r in passages.passage_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum(got[2 * k] == got[2 * k + 1] for k in range(400)) >= 0.97 * 400
+
+
+def test_every_place_of_a_repeat_is_cut(spark):
+    """A passage that stands several times in one document and once in an earlier one: each of its places goes, and nothing else."""
+    rng = random.Random(21)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, gaps = words(130), [words(90), words(70), words(60)]
+    later = gaps[0] + passage + gaps[1] + passage + gaps[2]
+    rows = [(1, " ".join(words(40) + passage + words(40))), (2, " ".join(later)), (3, "very long " + " ".join(words(150_000)))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in passages.passage_classes(frame).collect()}
+    assert got[2].spans == [90, 220, 290, 420] and got[2].n_removed == 260 and got[1].n_removed == got[3].n_removed == 0
+    cut = {r.doc_id: r.text.split() for r in passages.without_repeats(frame).collect()}
+    assert cut[2] == gaps[0] + gaps[1] + gaps[2] and cut[1] == rows[0][1].split()
+
+
+def test_all_short_verbatim_repeats_are_found(spark):
+    """Pairs that share exactly 50 words, in groups of documents around a common core; ids may be strings."""
+    rng = random.Random(22)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for g in range(6):
+        core = words(35)
+        for k in range(30):
+            shared = words(7) + core + words(8)
+            rows += [(2 * (30 * g + k) + half, " ".join(words(25) + shared + words(25))) for half in range(2)]
+    got = {r.doc_id: r for r in passages.passage_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[2 * k].class_id == got[2 * k + 1].class_id == 2 * k and got[2 * k + 1].spans == [25, 75] and not got[2 * k].n_removed for k in range(180))
+    named = {r.doc_id: r for r in passages.passage_classes(spark.createDataFrame([(f"d{i:03}", t) for i, t in rows], "doc_id string, text string")).collect()}
+    assert all(named[f"d{2 * k:03}"].class_id == named[f"d{2 * k + 1:03}"].class_id == f"d{2 * k:03}" for k in range(180))
+    assert sum(r.n_removed for r in named.values()) == 180 * 50
+
+
+def brute_similar(texts):
+    """Pairs of texts with windows of 50 words whose sets of five-word shingles have a similarity of 0.8 or more."""
+    windows = {}
+    for i, t in texts:
+        w = tokens_of(t)
+        grams = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+        windows[i] = [frozenset(grams[k : k + 46]) for k in range(len(grams) - 45)]
+    found = set()
+    for a in windows:
+        for b in windows:
+            if a < b and any(5 * len(x & y) >= 4 * len(x | y) for x in windows[a] for y in windows[b]):
+                found.add((a, b))
+    return found
+
+
+def test_classes_against_brute_force(spark):
+    """Short texts of few words, with repeated tokens: nearly all similar pairs share a class, and classes join nothing else."""
+    rng = random.Random(23)
+    base = [rng.choice(WORDS) for _ in range(70)]
+    rows = []
+    for k in range(60):
+        w = list(base) if k < 40 else [rng.choice(WORDS) for _ in range(70)]
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = rng.choice([[], [rng.choice(WORDS)], [rng.choice(WORDS)] * 2])
+        rows.append((k, " ".join(w)))
+    rows += [(60 + k, " ".join(["to"] * (30 + 5 * k) + ["of"] * 30)) for k in range(6)]
+    similar = brute_similar(rows)
+    got = {r.doc_id: r.class_id for r in passages.passage_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    root = {i: i for i, _ in rows}
+    for a, b in sorted(similar):
+        x, y = min(root[a], root[b]), max(root[a], root[b])
+        root = {i: x if r == y else r for i, r in root.items()}
+    assert all(root[i] == root[got[i]] for i in root)
+    linked = sum(got[a] == got[b] for a, b in similar)
+    assert len(similar) > 300 and linked >= 0.97 * len(similar)
