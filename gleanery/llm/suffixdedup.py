@@ -13,11 +13,14 @@ ordered:
    From the common prefixes of neighbours follow, for every pair, the windows
    that both hold; grams of more than MAX_GROUP contexts are dealt over pairs
    of blocks.
-3. The covered spans of each text are joined and cut out.
+3. The covered spans of each text are joined and cut out.  A Bloom filter of
+   bounded size picks the texts that have any; the others are not shuffled.
 
 Equal texts have equal results, so texts are known by a 64-bit hash and their
-length.  Grams and contexts are compared by 64-bit hashes in step 1 and byte by
-byte in step 2.  Null text: as the empty text, nothing to remove.
+length, and a task sends each different text once.  A text of LENGTH bytes or
+more that occurs again is one span, with no further work.  Grams and contexts
+are compared by 64-bit hashes in step 1 and byte by byte in step 2.  Null text:
+as the empty text, nothing to remove.
 """
 
 from __future__ import annotations
@@ -25,51 +28,60 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .anchors import GRAM, LENGTH, anchors
 from .components import cells
 from .deepshallow import deep_shallow
 from .jaccard import grouped
+from .members import bloom_words, maybe_in
 from .spans import joined, last_change, once_a_row
-from .textcore import span_hash, text_slices
+from .textcore import cut, text_slices
 
-MAX_GROUP = 4_000
+MAX_GROUP = 20_000
+EACH_AGAINST_ALL = 100
 HELD_ROWS = 1 << 20
 REPEAT, PARTIAL, SAMPLE = 0, 1, 2
 _MARK = "gram long, text_key long, n_bytes long, at int, first int, last int, again array<int>, kind int"
 
 
-def _keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    return span_hash(data, offsets[:-1], offsets[1:], seed=6).view(np.int64)
+_KEYS = ["text_key", "n_bytes"]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """The rows with text_key and n_bytes."""
+def _keyed() -> list[Column]:
+    """The hash and length that a text is known by."""
+    text = F.coalesce("text", F.lit(""))
+    return [F.xxhash64(text).alias("text_key"), F.octet_length(text).cast("long").alias("n_bytes")]
 
-    def run(batches):
-        for rows, data, offsets in text_slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(_keys(data, offsets)), pa.array(np.diff(offsets))], names=[*rows.schema.names, "text_key", "n_bytes"])
 
-    # keys that can't be null get no filter of their own, so both joins read one shuffle of the texts
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("text_key", T.LongType(), False), T.StructField("n_bytes", T.LongType(), False)]))
+def _once(seen: set, keys: np.ndarray) -> np.ndarray:
+    """The rows whose key was not seen before in this task."""
+    rows = []
+    for r, key in enumerate(keys.tolist()):
+        if key not in seen:
+            seen.add(key)
+            rows.append(r)
+    return np.array(rows, np.int64)
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
     """A row per text and context; `again` holds the first window starts of its further occurrences in the text."""
 
     def run(batches):
-        for _, data, offsets in text_slices(batches, "text"):
-            row, at, first, last, gram, context = anchors(data, offsets)
-            keep, cuts, others = once_a_row(row, [gram, context], first)
-            again = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(others, pa.int32()))
-            row, at, first, last, gram, context = (x[keep] for x in (row, at, first, last, gram, context))
-            key, size = _keys(data, offsets)[row], np.diff(offsets)[row]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (gram.view(np.int64), context.view(np.int64), key, size, at.astype(np.int32), first.astype(np.int32), last.astype(np.int32))), again], names=["gram", "context", "text_key", "n_bytes", "at", "first", "last", "again"])
+        seen: set[int] = set()
+        for batch in batches:
+            fresh = batch.take(pa.array(_once(seen, np.asarray(batch.column(1)))))
+            for part, data, offsets in text_slices([fresh], "text"):
+                row, at, first, last, gram, context = anchors(data, offsets)
+                keep, cuts, others = once_a_row(row, [gram, context], first)
+                again = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(others, pa.int32()))
+                row, at, first, last, gram, context = (x[keep] for x in (row, at, first, last, gram, context))
+                key, size = (np.asarray(part.column(c))[row] for c in (1, 2))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (gram.view(np.int64), context.view(np.int64), key, size, at.astype(np.int32), first.astype(np.int32), last.astype(np.int32))), again], names=["gram", "context", "text_key", "n_bytes", "at", "first", "last", "again"])
 
-    return docs.select("text").mapInArrow(run, "gram long, context long, text_key long, n_bytes long, at int, first int, last int, again array<int>")
+    rows = docs.filter(F.octet_length("text") >= LENGTH).select("text", *_keyed())
+    return rows.mapInArrow(run, "gram long, context long, text_key long, n_bytes long, at int, first int, last int, again array<int>")
 
 
 def _marked(rows: DataFrame) -> DataFrame:
@@ -110,11 +122,24 @@ def _marked(rows: DataFrame) -> DataFrame:
     return rows.repartition("gram").sortWithinPartitions("gram", "context").mapInArrow(run, _MARK)
 
 
-def _contexts(marks: DataFrame, texts: DataFrame) -> DataFrame:
+def _picked_texts(docs: DataFrame, words: np.ndarray) -> DataFrame:
+    """text, text_key and n_bytes of the texts that the Bloom filter may hold, each once a task."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            picked = batch.take(pa.array(np.flatnonzero(maybe_in(shared.value, np.asarray(batch.column(1))))))
+            yield picked.take(pa.array(_once(seen, np.asarray(picked.column(1)))))
+
+    return docs.select("text", *_keyed()).mapInArrow(run, "text string, text_key long, n_bytes long")
+
+
+def _contexts(marks: DataFrame, docs: DataFrame) -> DataFrame:
     """The marks with the bytes of their windows."""
     dealt = cells(marks, "gram", "context_id", MAX_GROUP)
-    each = dealt.groupBy("text_key", "n_bytes").agg(F.collect_list(F.struct("cell.k", "cell.i", "cell.j", "at", "first", "last", "kind")).alias("marks"))
-    rows = texts.join(each, ["text_key", "n_bytes"])
+    each = cut(dealt.groupBy(*_KEYS).agg(F.collect_set(F.struct("cell.k", "cell.i", "cell.j", "at", "first", "last", "kind")).alias("marks")))
+    rows = _picked_texts(docs, bloom_words(each.select("text_key"))).join(each, _KEYS)
     where = {c: rows.columns.index(c) for c in ("text_key", "n_bytes", "marks")}
 
     def run(batches):
@@ -147,6 +172,8 @@ def shared_windows(left: list[bytes], right: list[bytes], wanted: np.ndarray) ->
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
         shares.append((order, common, place))
+    if n > EACH_AGAINST_ALL:
+        return _by_classes(shares, wanted, most)
     out = []
     for x in wanted.tolist():
         reach = []
@@ -163,6 +190,19 @@ def shared_windows(left: list[bytes], right: list[bytes], wanted: np.ndarray) ->
     return out
 
 
+def _by_classes(shares: list[tuple], wanted: np.ndarray, most: int) -> list[np.ndarray]:
+    """The same for many texts: by distance d, texts that agree on d bytes backwards and on LENGTH - d forwards are neighbours in both orders."""
+    repeats = np.zeros((len(wanted), most), bool)
+    for d in range(most):
+        names = []
+        for (_, common, place), depth in zip(shares, (d, LENGTH - d), strict=True):
+            names.append((np.cumsum(common < depth) - 1)[place])
+        both = names[0] * len(names[0]) + names[1]
+        _, which, times = np.unique(both, return_inverse=True, return_counts=True)
+        repeats[:, d] = times[which][wanted] > 1
+    return [np.flatnonzero(r) for r in repeats]
+
+
 def _partial_repeats(contexts: DataFrame) -> DataFrame:
     """(text_key, n_bytes, first, last) of the repeated windows of partial contexts."""
 
@@ -190,16 +230,36 @@ def _partial_repeats(contexts: DataFrame) -> DataFrame:
     return contexts.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(run, "text_key long, n_bytes long, first long, last long")
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """Adds to every row: n_bytes, n_removed, n_spans, removed (first and end byte of each span, in turn) and kept (the remaining bytes)."""
-    columns = [c for c in docs.columns if c.lower() not in ("n_bytes", "n_removed", "n_spans", "removed", "kept", "text_key", "repeats")]
-    texts = _keyed(docs.select(*[F.col(f"`{c}`") for c in columns])).repartition("text_key", "n_bytes")
+def _spans(docs: DataFrame) -> DataFrame:
+    """text_key, n_bytes and repeats (first and last start of repeated windows) of every text that has any."""
+    copies = docs.filter(F.octet_length("text") >= LENGTH).select(*_keyed()).groupBy(*_KEYS).agg(F.count("*").alias("n")).filter("n > 1")
+    whole_text = copies.select(*_KEYS, F.lit(0).cast("long").alias("first"), (F.col("n_bytes") - LENGTH).alias("last"))
     marks = _marked(_anchor_rows(docs))
     every = F.explode(F.concat(F.array("first"), F.col("again"))).alias("start")
-    whole = marks.filter(F.col("kind") == REPEAT).select("text_key", "n_bytes", (F.col("last") - F.col("first")).alias("width"), every).select("text_key", "n_bytes", F.col("start").cast("long").alias("first"), (F.col("start") + F.col("width")).cast("long").alias("last"))
-    partial = _partial_repeats(_contexts(marks.filter(F.col("kind") != REPEAT).withColumn("context_id", F.xxhash64("text_key", "n_bytes", "at")), texts))
-    spans = whole.unionByName(partial).groupBy("text_key", "n_bytes").agg(F.collect_list(F.struct("first", "last")).alias("repeats"))
-    rows = texts.join(spans, ["text_key", "n_bytes"], "left").select(*[F.col(f"`{c}`") for c in columns], "repeats")
+    whole = marks.filter(F.col("kind") == REPEAT).select(*_KEYS, (F.col("last") - F.col("first")).alias("width"), every).select(*_KEYS, F.col("start").cast("long").alias("first"), (F.col("start") + F.col("width")).cast("long").alias("last"))
+    partial = _partial_repeats(_contexts(marks.filter(F.col("kind") != REPEAT).withColumn("context_id", F.xxhash64(*_KEYS, "at")), docs))
+    return cut(whole_text.unionByName(whole).unionByName(partial).groupBy(*_KEYS).agg(F.collect_set(F.struct("first", "last")).alias("repeats")))
+
+
+_MADE = ["n_bytes", "n_removed", "n_spans", "removed", "kept"]
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """Adds to every row: n_bytes, n_removed, n_spans, removed (first and end byte of each span, in turn) and kept (the remaining bytes)."""
+    columns = [c for c in docs.columns if c.lower() not in (*_MADE, "text_key", "repeats")]
+    kinds = dict(docs.dtypes)
+    own = ", ".join(f"`{c}` {kinds[c]}" for c in columns)
+    spans = _spans(docs.select("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(bloom_words(spans.select("text_key")))
+    rows = docs.select(*[F.col(f"`{c}`") for c in columns], *_keyed())
+
+    def picked(wanted: bool):
+        def run(batches):
+            for batch in batches:
+                held = maybe_in(shared.value, np.asarray(batch.column(len(columns))))
+                yield batch.take(pa.array(np.flatnonzero(held == wanted)))
+
+        return rows.mapInArrow(run, f"{own}, text_key long, n_bytes long")
 
     def run(batches):
         for part, data, offsets in text_slices(batches, "text"):
@@ -220,10 +280,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 removed.append(np.stack([start, end], 1).ravel().tolist())
                 n.append(int((end - start).sum()))
                 spans.append(len(start))
-            yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], pa.array(np.diff(offsets)), pa.array(n, pa.int64()), pa.array(spans, pa.int64()), pa.array(removed, pa.list_(pa.int64())), pa.array(kept, pa.binary())], names=[*columns, "n_bytes", "n_removed", "n_spans", "removed", "kept"])
-
-    kinds = dict(docs.dtypes)
-    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "n_bytes long, n_removed long, n_spans long, removed array<long>, kept binary"]))
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], pa.array(np.diff(offsets)), pa.array(n, pa.int64()), pa.array(spans, pa.int64()), pa.array(removed, pa.list_(pa.int64())), pa.array(kept, pa.binary())], names=[*columns, *_MADE])
+
+    joined_rows = picked(True).join(spans, _KEYS, "left").select(*[F.col(f"`{c}`") for c in columns], "repeats")
+    cut_rows = joined_rows.mapInArrow(run, f"{own}, n_bytes long, n_removed long, n_spans long, removed array<long>, kept binary")
+    zero = F.lit(0).cast("long")
+    kept = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    whole = picked(False).select(*[F.col(f"`{c}`") for c in columns], "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.array().cast("array<bigint>").alias("removed"), kept.alias("kept"))
+    return cut_rows.unionByName(whole)
 
 
 def repeat_digests(docs: DataFrame) -> DataFrame:

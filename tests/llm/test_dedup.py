@@ -156,6 +156,7 @@ def brute_removed(rows):
 @pytest.mark.parametrize("most", [4000, 3])
 def test_suffix_dedup_against_brute_force(spark, most, monkeypatch):
     monkeypatch.setattr(suffixdedup, "MAX_GROUP", most)
+    monkeypatch.setattr(suffixdedup, "EACH_AGAINST_ALL", 100 if most > 3 else 1)
     monkeypatch.setattr(suffixdedup, "HELD_ROWS", 1 << 20 if most > 3 else 5)
     rows = corpus(2)
     frame = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, Kept int")
@@ -336,3 +337,25 @@ def test_classes_against_brute_force(spark):
     assert all(root[i] == root[got[i]] for i in root)
     linked = sum(got[a] == got[b] for a, b in similar)
     assert len(similar) > 300 and linked >= 0.97 * len(similar)
+
+
+def test_many_contexts_by_classes_equal_each_against_all(monkeypatch):
+    rng = random.Random(31)
+    gram = bytes(rng.choice(b"abcd") for _ in range(suffixdedup.GRAM))
+    tails = [bytes(rng.choice(b"ab") for _ in range(136)) for _ in range(4)]
+    mixed = lambda: (lambda t, k: t[:k] + bytes(rng.choice(b"ab") for _ in range(136 - k)))(rng.choice(tails), rng.randrange(137))
+    left, right = [mixed() for _ in range(60)], [gram + mixed() for _ in range(60)]
+    wanted = np.arange(0, 60, 2)
+    plain = [x.tolist() for x in suffixdedup.shared_windows(left, right, wanted)]
+    monkeypatch.setattr(suffixdedup, "EACH_AGAINST_ALL", 1)
+    assert [x.tolist() for x in suffixdedup.shared_windows(left, right, wanted)] == plain and any(plain)
+
+
+def test_thousands_of_copies(spark):
+    """Copies of one text are whole repeats, and the text that shares a part with them loses that part."""
+    rng = random.Random(32)
+    page, tail = text(rng, 120), text(rng, 60)
+    rows = [(i, page) for i in range(3000)] + [(5000, page[:300] + tail), (5001, tail[:150]), (5002, None), (5003, page.upper() * 400)]
+    got = {r.doc_id: r for r in suffixdedup.repeat_digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()}
+    assert all(got[i].n_removed == len(page) and got[i].n_spans == 1 for i in range(3000))
+    assert 300 <= got[5000].n_removed < 330 and got[5001].n_removed == 0 and got[5003].n_removed == 400 * len(page)
