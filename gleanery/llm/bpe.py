@@ -19,19 +19,62 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import sys
 import unicodedata
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LONG_WORD = 400
 CACHED_WORDS = 150_000
 NEVER = 1 << 60
-_SPACES = "\t-\r \x85\xa0  -     　"
+# What the library's Unicode tables have that Python's may not, and white space as its patterns take it.
+SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+MORE_LETTERS = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5),
+    (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+MORE_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+#: Lower case by first and last code point and what is added.
+MORE_LOWER = [(0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B)]
+#: Its NFC is older: these marks are no marks to it, so they neither move nor compose.
+NO_MARKS = [
+    (0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA), (0x1715, 0x1715), (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA), (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC),
+    (0x10EFD, 0x10EFF), (0x10F46, 0x10F50), (0x10F82, 0x10F85), (0x11070, 0x11070), (0x1133B, 0x1133B), (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x11930, 0x11930), (0x1193D, 0x1193E), (0x11943, 0x11943), (0x119E0, 0x119E0),
+    (0x11A34, 0x11A34), (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45), (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F), (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE),
+    (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
+]
+
+
+def _class_of(kind: str, more: list[tuple[int, int]]) -> str:
+    """The members of a character class: Python's general category, and what the library has besides."""
+    member = np.fromiter((unicodedata.category(chr(c))[0] == kind for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+    for a, b in more:
+        member[a : b + 1] = True
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], member, [False]]).astype(np.int8))).reshape(-1, 2)
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.tolist())
+
+
 _ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+").findall
-_PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACES}\p{{L}}\p{{N}}]+").findall
+_LOWER = {c: c + more for a, b, more in MORE_LOWER for c in range(a, b + 1)}
+_RAISED = re.compile("[" + "".join(map(chr, _LOWER)) + "]").search
+_PARTS = re.compile("([" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in NO_MARKS) + "])")
+
+
+@cache
+def _pieces():
+    letters, numbers = _class_of("L", MORE_LETTERS), _class_of("N", MORE_NUMBERS)
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{SPACES}{letters}{numbers}]+").findall
+
+
+def normal(text: str) -> str:
+    """NFC and lower case as the library has them; each character by itself, so that a final sigma is none."""
+    text = unicodedata.normalize("NFC", text) if not _PARTS.search(text) else "".join(unicodedata.normalize("NFC", x) for x in _PARTS.split(text))
+    lower = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
+    return lower.translate(_LOWER) if _RAISED(lower) else lower
 
 
 def byte_symbols() -> list[str]:
@@ -134,8 +177,7 @@ class RankArrayBpe:
             if part.isascii():
                 pieces = _ASCII_PIECES(part.lower())
             else:
-                part = unicodedata.normalize("NFC", part)
-                pieces = _PIECES(part.lower() if "Σ" not in part else "".join(c.lower() for c in part))
+                pieces = _pieces()(normal(part))
             for piece in pieces:
                 out += self.cache.get(piece) or self.word_ids(piece)
         return out

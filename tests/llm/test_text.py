@@ -25,7 +25,7 @@ def coders():
         return bpe.RankArrayBpe(file.read()), tokenizers.Tokenizer.from_file(WORD_BPE)
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=400, deadline=None)
 @given(st.text(max_size=80))
 def test_bpe_matches_library(coders, text):
     mine, library = coders
@@ -34,6 +34,18 @@ def test_bpe_matches_library(coders, text):
     assert mine.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_matches_library_on_every_code_point(coders):
+    """Letters, numbers, white space, lower case, and how each character composes with marks around it."""
+    mine, library = coders
+    points = [c for c in (*range(0x40000), *range(0xE0000, 0xE0200), 0xF0000, 0x10FFFD) if not 0xD800 <= c < 0xE000]
+    for lo in range(0, len(points), 4000):
+        texts = [f":{chr(c)} {chr(c)}a a{chr(c)}\u0323\u0301{chr(c)}1" for c in points[lo : lo + 4000]]
+        for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert mine.encode(text) == want.ids, ascii(text)
+    for text in ("\U00011935\U00011930", "e\u0323\u08ca\u0301", "a\u0334\u1abf\u0323"):
+        assert mine.encode(text) == library.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("text", ["a" * 900, "ab" * 700 + "é" * 500, "<|startoftext|>Hi<|endoftext|>", "it's I'LL ΣΑΣ İ", "1²½ x\x1cy"])
 def test_bpe_long_and_special(coders, text):
     mine, library = coders
