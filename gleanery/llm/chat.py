@@ -3,11 +3,21 @@
 States are a role and whether the line begins a turn or goes on with one.  A
 line shows a marker class (a known speaker word before a colon, or none),
 whether it follows a blank line, and a class of its length and last character.
-Start, transition and emission tables are counts with one added, from a bounded
-sample of labelled transcripts; Viterbi recovers the roles, and consecutive
-lines of a turn become one message.  Parsing is a map over transcripts.
+Start, transition and emission tables are counts of labelled lines with one
+added, summed in Spark over all rows; a conversation is read by the model of
+the half of conversations that it is not in.  Viterbi recovers the roles, and
+the lines are rendered as turns.
 
-A null or empty transcript has no turns.
+Rows are dealt in ranges of (conversation, turn), so a conversation of any
+length is spread over tasks.  Where one crosses partitions, each part sends the
+best scores from its first to its last state, a matrix of fixed size; the chain
+of these matrices gives the states at the cuts, and the parts are read between
+them.  The result is the Viterbi path of the whole conversation.
+
+Turns with null text or a role other than ROLES are counted as skipped and
+leave the rest as it is; a conversation of such turns alone has no others.
+Turns of equal number are read in the order of role and text.  A null or empty
+transcript has no turns.
 """
 
 from __future__ import annotations
@@ -20,14 +30,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .textcore import cut
+
 ROLES = ["system", "user", "assistant"]
 # Words that mark a speaker.
 MARKERS = {"system": "system", "instruction": "system", "user": "user", "human": "user", "q": "user", "assistant": "assistant", "bot": "assistant", "ai": "assistant", "a": "assistant"}
-MAX_SAMPLE = 2_000
 PRIOR, MARK_PRIOR, TINY = 8, 100, 1e-12
 _MARKED = re.compile(r"^\s*(?:#+\s*|\[|<\|?)?(" + "|".join(MARKERS) + r")(?:\]|\|?>)?\s*:\s*", re.I)
 TURNS = "turns array<struct<role:string,text:string>>"
 _STATES = 2 * len(ROLES)
+_EVERY = np.arange(_STATES)
 _MARKS, _SHAPES = len(ROLES) + 1, 6
 
 
@@ -57,21 +69,33 @@ class RoleModel:
     move: np.ndarray
     emit: list[np.ndarray]
 
-    def viterbi(self, rows: np.ndarray) -> list[int]:
+    def _shown(self, rows: np.ndarray) -> np.ndarray:
+        return sum(table[:, rows[:, k]] for k, table in enumerate(self.emit)).T
+
+    def viterbi(self, rows: np.ndarray, entry: int = -1, end: int = -1) -> list[int]:
+        """The best states of the lines, after a line of state `entry` and up to one of state `end` where given."""
         if not len(rows):
             return []
-        shown = sum(table[:, rows[:, k]] for k, table in enumerate(self.emit)).T
-        score, back = self.start + shown[0], []
+        shown = self._shown(rows)
+        score, back = (self.start if entry < 0 else self.move[entry]) + shown[0], []
         for step in shown[1:]:
             ways = score[:, None] + self.move
             best = ways.argmax(axis=0)
             back.append(best)
-            score = ways[best, np.arange(_STATES)] + step
-        path = [int(score.argmax())]
+            score = ways[best, _EVERY] + step
+        path = [int(score.argmax()) if end < 0 else end]
         for best in reversed(back):
             path.append(int(best[path[-1]]))
         return path[::-1]
 
+    def between(self, rows: np.ndarray) -> np.ndarray:
+        """The best score of the lines by state of the first and of the last."""
+        shown = self._shown(rows)
+        best = np.where(np.eye(_STATES, dtype=bool), shown[0], -np.inf)
+        for step in shown[1:]:
+            best = (best[:, :, None] + self.move).max(axis=1) + step
+        return best
+
     def parse(self, transcript: str | None) -> list[dict]:
         """The turns in order: role and text."""
         if not transcript:
@@ -88,26 +112,31 @@ class RoleModel:
         return turns
 
 
-def fit(labelled: list[list[tuple[str, str, bool]]]) -> RoleModel:
-    """From transcripts as lists of (line, role, begins a turn)."""
-    start, move = np.ones(_STATES), np.ones((_STATES, _STATES))
-    emit = [np.ones((_STATES, n)) for n in (_MARKS, 2, _SHAPES)]
+_TABLES = [(_STATES,), (_STATES, _STATES), (_STATES, _MARKS), (_STATES, 2), (_STATES, _SHAPES)]
+
+
+def counted(segments) -> list[np.ndarray]:
+    """start, move and emission counts of segments, each the (states, features) of lines in turn."""
+    start, move, *emit = (np.zeros(shape, np.int64) for shape in _TABLES)
+    for states, rows in segments:
+        start[states[:1]] += 1
+        np.add.at(move, (states[:-1], states[1:]), 1)
+        for k, table in enumerate(emit):
+            np.add.at(table, (states, rows[:, k]), 1)
+    return [start, move, *emit]
+
+
+def fit(counts: list[np.ndarray] | None = None) -> RoleModel:
+    """The model of such counts."""
+    start, move, *emit = (np.ones(shape) for shape in _TABLES)
     for role in range(len(ROLES)):  # before any data: a marker names its role, and a line that goes on has none
         emit[0][2 * role, 1 + role] += MARK_PRIOR
         emit[0][2 * role + 1, 0] += MARK_PRIOR
         move[2 * role : 2 * role + 2, 2 * role + 1] += PRIOR
-    for transcript in labelled:
-        numbers, _, rows = observe([line for line, _, _ in transcript])
-        states = [2 * ROLES.index(transcript[k][1]) + (not transcript[k][2]) for k in numbers]
-        for a, b in zip(states, states[1:], strict=False):
-            move[a, b] += 1
-        if states:
-            start[states[0]] += 1
-        for state, row in zip(states, rows, strict=True):
-            for table, value in zip(emit, row, strict=True):
-                table[state, value] += 1
-    own = np.arange(_STATES) // 2
-    move[(own[:, None] != own[None, :]) & (np.arange(_STATES) % 2 == 1)] = TINY  # a line goes on only with its own role's turn
+    if counts:
+        start, move, *emit = (a + b for a, b in zip((start, move, *emit), counts, strict=True))
+    own = _EVERY // 2
+    move[(own[:, None] != own[None, :]) & (_EVERY % 2 == 1)] = TINY  # a line goes on only with its own role's turn
     start[1::2] = TINY
     log = lambda t: np.log(t / t.sum(axis=-1, keepdims=True))
     return RoleModel(log(start), log(move), [log(t) for t in emit])
@@ -134,44 +163,168 @@ def render(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.concat(F.lit("<|im_start|>"), t["role"], F.lit("\n"), t["text"], F.lit("<|im_end|>\n"))), "")
 
 
-def transcripts(turns: DataFrame, most: int = 1_000) -> DataFrame:
-    """conv_id, block, transcript, roles: the turns of each conversation as marked lines with a blank line between turns.
+def ordered_turns(turns: DataFrame) -> DataFrame:
+    """conv, conv_id, turn, role (its number), shown (a turn's lines, marked) and fold, in ranges of conversation and turn; `part` numbers the partitions.
 
-    Speaker words vary by conversation, and about a fifth of the turns have
-    none.  A conversation of over `most` turns, or of many rows of one turn, is
-    dealt into blocks, each a transcript of its own, so no group is unbounded.
+    Speaker words vary by conversation, and about a fifth of the turns have none.
     """
-    rows = turns.filter(F.col("text").isNotNull() & F.lower("role").isin(ROLES)).select("conv_id", "turn", F.lower("role").alias("role"), "text")
-    cell = F.floor(F.coalesce("turn", F.lit(0)) / most).cast("long")
-    counts = rows.groupBy("conv_id", cell.alias("cell")).agg(F.ceil(F.count("*") / (2 * most)).alias("parts")).filter("parts > 1").withColumnRenamed("conv_id", "_conv")
-    dealt = rows.withColumn("cell", cell)
-    dealt = dealt.join(counts, dealt["conv_id"].eqNullSafe(counts["_conv"]) & (dealt["cell"] == counts["cell"]), "left").select(dealt["conv_id"], dealt["cell"], "turn", "role", "text", F.coalesce("parts", F.lit(1)).alias("parts"))
-    words = F.when(F.col("conv_id") % 2 == 0, F.when(F.col("role") == "user", "User").when(F.col("role") == "assistant", "Assistant").otherwise("System")).otherwise(F.when(F.col("role") == "user", "Human").when(F.col("role") == "assistant", "AI").otherwise("Instruction"))
+    rows = _known(turns).filter("role IS NOT NULL")
+    words = F.when(F.pmod(F.xxhash64("conv_id"), F.lit(2)) == 0, _one_of(["System", "User", "Assistant"])).otherwise(_one_of(["Instruction", "Human", "AI"]))
     bare = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(5)) == 0
     body = F.regexp_replace("text", r"\n[ \t]*(?=\n|$)", "")
     shown = F.when(bare, body).otherwise(F.concat(words, F.lit(": "), body))
-    block = F.pmod(F.xxhash64("turn", "text"), F.col("parts"))
-    grouped = dealt.withColumns({"part": block, "shown": shown}).groupBy("conv_id", "cell", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "shown"))).alias("t"))
-    return grouped.select("conv_id", F.struct("cell", "part").alias("block"), F.array_join(F.transform("t", lambda x: x["shown"]), "\n\n").alias("transcript"), F.transform("t", lambda x: x["role"]).alias("roles"))
+    order = ["conv_id", "turn", "role", "tie"]
+    made = rows.select("conv_id", "turn", "role", F.xxhash64("text").alias("tie"), shown.alias("shown"), F.pmod(F.xxhash64("conv_id", F.lit(9)), F.lit(2)).cast("int").alias("fold"))
+    ranged = made.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    return cut(ranged.select(F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("")).alias("conv"), "conv_id", "turn", "tie", "role", "shown", "fold", "part"))
+
+
+def _known(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, text and role: its number, or null for a turn that is skipped."""
+    role = F.array_position(F.array(*map(F.lit, ROLES)), F.lower("role")).cast("int") - 1
+    return turns.select("conv_id", "turn", "text", F.when(F.col("text").isNotNull() & (role >= 0), role).alias("role"))
+
+
+def _one_of(words: list[str]) -> Column:
+    return F.element_at(F.array(*map(F.lit, words)), F.col("role") + 1)
+
+
+def _segments(batches):
+    """The rows of each conversation of a partition: (first row's part and fold, table)."""
+    held: list[pa.RecordBatch] = []
+    whole = lambda: pa.Table.from_batches(held).combine_chunks()
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        conv = batch.column(batch.schema.get_field_index("conv")).to_pylist()
+        at = batch.schema.get_field_index("conv")
+        heads = [0, *(k for k in range(1, len(conv)) if conv[k] != conv[k - 1])]
+        for a, b in zip(heads, [*heads[1:], len(conv)], strict=True):
+            if held and held[0].column(at)[0].as_py() != conv[a]:
+                yield whole()
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield whole()
+
+
+def _observed(table: pa.Table) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """(turn of each line, lines without markers, features, true states) of a conversation's rows."""
+    turn, texts, rows = [], [], []
+    for k, shown in enumerate(table["shown"].to_pylist()):
+        _, found, features = observe(shown.split("\n"))
+        turn += [k] * len(found)
+        texts += found
+        rows.append(features)
+    turn = np.array(turn, np.int64)
+    first = np.concatenate([[True], turn[1:] != turn[:-1]])[: len(turn)]
+    return turn, texts, np.concatenate(rows), 2 * np.asarray(table["role"], np.int64)[turn] + ~first
 
 
-def fit_on(marked: DataFrame, limit: int = MAX_SAMPLE) -> RoleModel:
-    """A model from at most `limit` transcripts with known roles, those of the least hashes."""
-    sample = marked.orderBy(F.xxhash64("conv_id"), "conv_id", "block").limit(limit).select("transcript", "roles").collect()
-    labelled = []
-    for row in sample:
-        lines = []
-        for turn, role in zip(row["transcript"].split("\n\n"), row["roles"], strict=False):
-            for k, line in enumerate(turn.split("\n")):
-                lines.append((line, role, k == 0))
-            lines.append(("", role, False))
-        labelled.append(lines)
-    return fit(labelled)
+def fit_on(rows: DataFrame) -> list[RoleModel]:
+    """By fold, the model of the other fold's conversations; the driver holds a table of counts and two states for each partition."""
+
+    def run(batches):
+        counts, edges, part = [counted([]), counted([])], [], 0
+        for table in _segments(batches):
+            _, _, features, states = _observed(table)
+            part, fold, conv = (table[c][0].as_py() for c in ("part", "fold", "conv"))
+            if len(states):
+                counts[fold] = [a + b for a, b in zip(counts[fold], counted([(states, features)]), strict=True)]
+                edges = [*edges[:1], (conv, fold, int(states[0]), int(states[-1]))]
+        for place, (conv, fold, first, last) in enumerate(edges):
+            yield pa.RecordBatch.from_pylist([{"part": part, "place": place, "conv": conv, "fold": fold, "first": first, "last": last}], _EDGES)
+        yield pa.RecordBatch.from_pylist([{"part": part, "counts": np.concatenate([t.ravel() for c in counts for t in c]).tolist()}], _EDGES)
+
+    found = rows.mapInArrow(run, "part int, place int, conv string, fold int, first int, last int, counts array<long>")
+    sums = found.filter("counts IS NOT NULL").select(F.posexplode("counts").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).orderBy("k").toArrow()["n"].to_numpy()
+    sizes = [int(np.prod(shape)) for shape in _TABLES]
+    tables = np.split(np.asarray(sums, np.int64) if len(sums) else np.zeros(2 * sum(sizes), np.int64), np.cumsum([*sizes, *sizes])[:-1])
+    tables = [t.reshape(shape) for t, shape in zip(tables, [*_TABLES, *_TABLES], strict=True)]
+    counts = [tables[: len(_TABLES)], tables[len(_TABLES) :]]
+    before = None
+    for edge in found.filter("conv IS NOT NULL").orderBy("part", "place").select("conv", "fold", "first", "last").collect():  # two a partition at most
+        if before and before["conv"] == edge["conv"]:  # one conversation over a cut: it goes on there
+            counts[edge["fold"]][0][edge["first"]] -= 1
+            counts[edge["fold"]][1][before["last"], edge["first"]] += 1
+        before = edge
+    return [fit(counts[1]), fit(counts[0])]
+
+
+_EDGES = pa.schema([("part", pa.int32()), ("place", pa.int32()), ("conv", pa.string()), ("fold", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("counts", pa.list_(pa.int64()))])
+
+
+def _states_at_cuts(rows: DataFrame, models: list[RoleModel]) -> dict[tuple[int, str], tuple[int, int]]:
+    """(state before, last state) of each part of a conversation that crosses partitions; two a partition at most."""
+
+    def run(batches):
+        before = None
+        first = True
+        for table in _segments(batches):
+            if first:
+                yield ends(table)
+            first, before = False, table if not first else None
+        if before is not None:
+            yield ends(before)
+
+    def ends(table):
+        part, fold, conv = (table[c][0].as_py() for c in ("part", "fold", "conv"))
+        features = _observed(table)[2]
+        best = models[fold].between(features).ravel().tolist() if len(features) else []
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([conv]), pa.array([fold], pa.int32()), pa.array([best], pa.list_(pa.float64()))], names=["part", "conv", "fold", "best"])
+
+    found = rows.mapInArrow(run, "part int, conv string, fold int, best array<double>").filter(F.size("best") > 0).collect()
+    parts: dict[str, list] = {}
+    for r in sorted(found, key=lambda r: r["part"]):
+        parts.setdefault(r["conv"], []).append(r)
+    cuts = {}
+    for conv, chain in parts.items():
+        if len(chain) < 2:
+            continue
+        model, ways, score = models[chain[0]["fold"]], [], None
+        for r in chain:
+            best = np.array(r["best"]).reshape(_STATES, _STATES)
+            enter = model.start[None, :] if score is None else score[:, None] + model.move
+            total = enter[:, :, None] + best[None, :, :]  # state before, first, last
+            reach = total.max(axis=1)
+            ways.append(reach.argmax(axis=0))
+            score = reach.max(axis=0)
+        last = int(score.argmax())
+        for r, back in zip(reversed(chain), reversed(ways), strict=True):
+            entry = int(back[last]) if r is not chain[0] else -1
+            cuts[r["part"], conv] = (entry, last)
+            last = entry
+    return cuts
+
+
+def read_turns(rows: DataFrame, models: list[RoleModel]) -> DataFrame:
+    """conv_id, turn, tie, recovered (the turn is read as one, in its role) and piece (its share of the canonical form)."""
+    cuts = _states_at_cuts(rows, models)
+    shared = rows.sparkSession.sparkContext.broadcast((models, cuts))
+
+    def run(batches):
+        models, cuts = shared.value
+        for table in _segments(batches):
+            part, fold, conv = (table[c][0].as_py() for c in ("part", "fold", "conv"))
+            entry, end = cuts.get((part, conv), (-1, -1))
+            turn, texts, features, truth = _observed(table)
+            states = np.array(models[fold].viterbi(features, entry, end), np.int64)
+            lines = np.bincount(turn, minlength=table.num_rows)
+            right = (np.bincount(turn, states == truth, table.num_rows) == lines) & (lines > 0)
+            pieces = [""] * table.num_rows
+            for k, (t, state, text) in enumerate(zip(turn.tolist(), states.tolist(), texts, strict=True)):
+                close = "<|im_end|>\n" if k or entry >= 0 else ""
+                pieces[t] += f"\n{text}" if state % 2 else f"{close}<|im_start|>{ROLES[state // 2]}\n{text}"
+            yield pa.RecordBatch.from_arrays([*(table[c].combine_chunks() for c in ("conv_id", "turn", "tie")), pa.array(right), pa.array(pieces)], names=["conv_id", "turn", "tie", "recovered", "piece"])
+
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, tie long, recovered boolean, piece string")
 
 
 def formatted(conversations: DataFrame) -> DataFrame:
-    """conv_id, n_turns, n_recovered (turns whose role, in order, is the one given), rendered_sha256, for each block of a conversation."""
-    marked = transcripts(conversations)
-    parsed = parse_transcripts(marked, fit_on(marked))
-    same = F.size(F.filter(F.zip_with("roles", F.transform("turns", lambda t: t["role"]), lambda a, b: a == b), lambda x: x))
-    return parsed.select("conv_id", F.size("roles").cast("long").alias("n_turns"), same.cast("long").alias("n_recovered"), F.sha2(render(F.col("turns")), 256).alias("rendered_sha256"))
+    """conv_id, n_turns, n_skipped, n_recovered (turns read in the role given) and rendered_sum (the sum of hashes of its canonical form's pieces), a row per conversation."""
+    rows = ordered_turns(conversations)
+    read = read_turns(rows, fit_on(rows)).select("conv_id", F.lit(1).alias("n"), F.col("recovered").cast("int").alias("ok"), F.xxhash64("turn", "tie", "piece").bitwiseAND(F.lit((1 << 32) - 1)).alias("h"))
+    skipped = _known(conversations).filter("role IS NULL").select("conv_id", F.lit(0).alias("n"), F.lit(0).alias("ok"), F.lit(0).cast("long").alias("h"))
+    every = read.unionByName(skipped).groupBy("conv_id")
+    return every.agg(F.sum("n").alias("n_turns"), F.sum(1 - F.col("n")).alias("n_skipped"), F.sum("ok").alias("n_recovered"), F.sum("h").alias("rendered_sum"))

@@ -1,6 +1,7 @@
 """Operators that map over rows, against brute force or the public libraries."""
 
 import hashlib
+import itertools
 import re
 import unicodedata
 
@@ -182,17 +183,60 @@ def test_licenses(spark):
     assert by[3].digest == by[4].digest == by[6].digest == hashlib.sha256(b"").hexdigest() and by[3].license_id is None
 
 
-def test_chat_roles_are_recovered(spark):
+def talk(conversations, turns=None):
     rng = np.random.default_rng(3)
     rows = []
-    for c in range(300):
-        for t in range(int(rng.integers(2, 8))):
-            rows.append((c, t, "user" if t % 2 == 0 else "assistant", "short question?" if t % 2 == 0 else "a long answer " * 30 + "\nwith a second line"))
-    rows += [(7, None, "user", None), (None, 0, "user", "hi"), (8, 1, "nobody", "x")]
-    out = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()
-    assert sum(r.n_recovered for r in out) >= 0.95 * sum(r.n_turns for r in out)
-    assert chat.fit([]).parse(None) == [] and chat.fit([]).parse("\n\n") == []
-    assert [t["role"] for t in chat.fit([]).parse("System: be nice\n\nUser: hi\nthere\n\nAssistant: hello")] == ["system", "user", "assistant"]
+    for c in range(conversations):
+        for t in range(turns or int(rng.integers(2, 8))):
+            rows.append((c, t, "user" if t % 2 == 0 else "assistant", f"short question {rng.integers(99)}?" if t % 2 == 0 else "a long answer " * int(rng.integers(20, 40)) + "\nwith a second line"))
+    return rows
+
+
+CHAT = "conv_id long, turn int, role string, text string"
+
+
+def test_chat_roles_are_recovered(spark):
+    rows = talk(300) + [(7, None, "user", None), (None, 0, "user", "hi"), (8, 1, "nobody", "x"), (900, 0, "tool", "{}"), (901, 0, "user", ""), (7, 0, "user", "short question 1?"), (7, 0, "user", "short question 1?")]
+    frame = spark.createDataFrame([(*r, 1, 2) for r in rows], f"{CHAT}, Part int, SHOWN int")
+    out = {r.conv_id: r for r in chat.formatted(frame).collect()}
+    assert sum(r.n_turns + r.n_skipped for r in out.values()) == len(rows) and len(out) == 303
+    assert sum(r.n_recovered for r in out.values()) >= 0.95 * sum(r.n_turns for r in out.values())
+    assert (out[900].n_turns, out[900].n_skipped, out[8].n_skipped, out[7].n_skipped) == (0, 1, 1, 1)
+    assert chat.formatted(frame.limit(0)).count() == 0
+    assert chat.fit().parse(None) == [] and chat.fit().parse("\n\n") == []
+    assert [t["role"] for t in chat.fit().parse("System: be nice\n\nUser: hi\nthere\n\nAssistant: hello")] == ["system", "user", "assistant"]
+
+
+def test_viterbi_is_the_best_of_all_paths():
+    rng = np.random.default_rng(8)
+    model = chat.fit(chat.counted([(rng.integers(0, 6, 40), np.stack([rng.integers(0, n, 40) for n in (4, 2, 6)], 1)) for _ in range(5)]))
+    for n in (1, 2, 4, 5):
+        rows = np.stack([rng.integers(0, k, n) for k in (4, 2, 6)], 1)
+
+        def score(path):
+            emitted = sum(table[s, v] for s, row in zip(path, rows) for table, v in zip(model.emit, row))
+            return model.start[path[0]] + sum(model.move[a, b] for a, b in zip(path, path[1:])) + emitted
+
+        best = max(itertools.product(range(6), repeat=n), key=score)
+        assert score(model.viterbi(rows)) == pytest.approx(score(best))
+        assert model.between(rows)[best[0], best[-1]] + model.start[best[0]] == pytest.approx(score(best))
+
+
+def test_a_conversation_over_many_partitions_is_one(spark):
+    """One of 2500 turns beside short ones: the same result in one partition as in twenty, and one row each."""
+    rows = [(5000, t, r, x) for _, t, r, x in talk(1, 2500)] + talk(60)
+    frame, found = spark.createDataFrame(rows, CHAT), []
+    for parts in ("1", "20"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        ordered = chat.ordered_turns(frame)
+        models = chat.fit_on(ordered)
+        found.append((sorted(map(tuple, chat.read_turns(ordered, models).collect())), models[0].move.tolist(), models[1].start.tolist(), ordered.rdd.getNumPartitions(), sorted(map(tuple, chat.formatted(frame).collect()))))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found[0][:3] == found[1][:3] and found[0][4] == found[1][4] and found[1][3] > 10
+    big = [r for r in found[1][4] if r[0] == 5000]
+    assert len(big) == 1 and big[0][1] == 2500
 
 
 def test_span_hash_tells_words_apart():
