@@ -48,6 +48,7 @@ from pyspark.sql import types as T
 
 from .anchors import window_least
 from .components import components
+from .members import bloom_words, maybe_in
 from .spans import joined, last_change, once_a_row
 from .textcore import LOWER_ASCII, NOT_SPACE, chain, cut, mix, span_hash, text_slices, word_spans
 
@@ -110,43 +111,52 @@ def signature_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, .
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-def _keys(data, offsets):
-    return span_hash(data, offsets[:-1], offsets[1:], seed=2).view(np.int64)
-
-
 def _number(docs: DataFrame) -> Column:
     """A document's id as a long, NO_ID for none: the id itself, or a hash of one that is no integer."""
     whole = isinstance(docs.schema["doc_id"].dataType, T.IntegralType)
     return F.coalesce(F.col("doc_id").cast("long") if whole else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")), F.lit(NO_ID))
 
 
-def _documents(docs: DataFrame) -> DataFrame:
-    """doc (its number), text and text_key beside the given columns."""
-    columns = [c for c in docs.columns if c.lower() not in ("doc", "text_key")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in columns], _number(docs).alias("doc"))
+def _keyed(docs: DataFrame) -> list[Column]:
+    """doc and text_key, by which a row is known."""
+    return [_number(docs).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")]
+
+
+def _fresh(batches):
+    """Batches of (doc, text_key, text) without rows that this task has had."""
+    seen: set[tuple[int, int]] = set()
+    for batch in batches:
+        rows = []
+        for r, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            if key not in seen:
+                seen.add(key)
+                rows.append(r)
+        yield batch.take(pa.array(rows, pa.int64())) if len(rows) < batch.num_rows else batch
 
-    def run(batches):
-        for part, data, offsets in text_slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_keys(data, offsets))], names=[*part.schema.names, "text_key"])
 
-    # keys that can't be null get no filter of their own, so both joins can read one shuffle of the texts
-    fields = [f if f.name != "doc" else T.StructField("doc", T.LongType(), False) for f in rows.schema.fields]
-    return rows.mapInArrow(run, T.StructType([*fields, T.StructField("text_key", T.LongType(), False)]))
+def _run_key(signature: np.ndarray, doc: np.ndarray, text_key: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash that names one run."""
+    u = lambda x: x.astype(np.int64).view(np.uint64)
+    return mix(mix(mix(u(signature) + _SEEDS[1]) ^ u(doc)) + u(text_key) ^ mix(u(at) + _SEEDS[2])).view(np.int64)
+
+
+def _first_runs(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray):
+    """A slice's runs, once a document, signature and content: (row, signature, content, at, first, last), and the first window starts of further occurrences."""
+    found = signature_runs(data, offsets)
+    keep, cuts, others = once_a_row(found[0], [found[1], found[2]], found[4])
+    return [x[keep] for x in found], pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(others, pa.int32()))
 
 
 def _runs(docs: DataFrame) -> DataFrame:
     """A row per document, signature and content; `again` holds the first window starts of its further occurrences in the document."""
 
     def run(batches):
-        for part, data, offsets in text_slices(batches, "text"):
-            found = signature_runs(data, offsets)
-            keep, cuts, others = once_a_row(found[0], [found[1], found[2]], found[4])
-            again = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(others, pa.int32()))
-            row, signature, content, at, first, last = (x[keep] for x in found)
-            doc = np.asarray(part.column(0), np.int64)[row]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (signature, content)), pa.array(doc), pa.array(_keys(data, offsets)[row]), *(pa.array(x.astype(np.int32)) for x in (at, first, last)), again], names=_RUN)
+        for part, data, offsets in text_slices(_fresh(batches), "text"):
+            (row, signature, content, at, first, last), again = _first_runs(part, data, offsets)
+            doc, key = (np.asarray(part.column(c), np.int64)[row] for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (signature, content)), pa.array(doc), pa.array(key), *(pa.array(x.astype(np.int32)) for x in (at, first, last)), again], names=_RUN)
 
-    return docs.select(_number(docs).alias("doc"), "text").mapInArrow(run, "signature long, content long, doc long, text_key long, at int, first int, last int, again array<int>")
+    return docs.select(*_keyed(docs), "text").mapInArrow(run, "signature long, content long, doc long, text_key long, at int, first int, last int, again array<int>")
 
 
 def _marked(runs: DataFrame) -> DataFrame:
@@ -166,7 +176,10 @@ def _marked(runs: DataFrame) -> DataFrame:
         places = [np.flatnonzero(m) for m in (verbatim, partial, sample)]
         at = np.concatenate(places)
         kind = np.repeat([VERBATIM, PARTIAL, SAMPLE], [len(p) for p in places]).astype(np.int32)
-        marks = x.drop_columns(["content"]).take(pa.array(at)).append_column("kind", pa.array(kind)).append_column("other", pa.array(doc[head[run[at]]])).append_column("many", pa.array(many[at]))
+        key = _run_key(signature[at], doc[at], np.asarray(x["text_key"])[at], np.asarray(x["at"])[at])
+        marks = x.drop_columns(["content", "at"]).take(pa.array(at))
+        for name, values in (("kind", kind), ("other", doc[head[run[at]]]), ("many", many[at]), ("key", key)):
+            marks = marks.append_column(name, pa.array(values))
         yield from marks.combine_chunks().to_batches()
 
     def run(batches):
@@ -185,39 +198,40 @@ def _marked(runs: DataFrame) -> DataFrame:
         if held is not None:
             yield from classify(held.combine_chunks(), part)
 
-    return runs.repartition("signature").sortWithinPartitions("signature", "content", "doc", "first").mapInArrow(run, "signature long, doc long, text_key long, at int, first int, last int, again array<int>, kind int, other long, many boolean")
+    return runs.repartition("signature").sortWithinPartitions("signature", "content", "doc", "first").mapInArrow(run, "signature long, doc long, text_key long, first int, last int, again array<int>, kind int, other long, many boolean, key long")
 
 
-def _dealt(marks: DataFrame) -> DataFrame:
-    """The marks that are compared, with cells (i, j) of their signature and their own block: each pair of blocks is a cell, so any two marks of a signature meet in one."""
-    rows = marks.filter(F.col("kind") != VERBATIM)
-    sizes = rows.filter("many").groupBy("signature").agg(F.ceil(F.count("*") / MAX_GROUP).cast("int").alias("blocks"))  # a row for MAX_GROUP marks or more
-    dealt = rows.join(F.broadcast(sizes), "signature", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    block = F.pmod(F.xxhash64("doc", "text_key", "first"), F.col("blocks")).cast("int")
-    meets = dealt.withColumn("block", block).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return meets.withColumn("i", F.least("block", "_o")).withColumn("j", F.greatest("block", "_o"))
-
+def _contexts(marks: DataFrame, docs: DataFrame) -> DataFrame:
+    """The runs that are compared with their words, in cells (i, j) of their signature with their own block.
 
-def _contexts(marks: DataFrame, texts: DataFrame) -> DataFrame:
-    """The marks with the words of their runs."""
-    plain = ["signature", "i", "j", "block", "at", "first", "last"]
-    each = marks.groupBy("doc", "text_key").agg(F.collect_list(F.struct(*plain, "again")).alias("marks"))
-    rows = texts.join(each, ["doc", "text_key"])
-    where = {c: rows.columns.index(c) for c in ("doc", "text_key", "marks")}
+    Each pair of blocks is a cell, so any two runs of a signature meet in one.
+    Runs are found anew in the texts, and a Bloom filter of the marks says which
+    to send; the few that it takes for marks are runs of the signature too.
+    """
+    compared = marks.filter(F.col("kind") != VERBATIM)
+    shared = docs.sparkSession.sparkContext.broadcast(bloom_words(compared.select("key")))
+    names = ["signature", "at", "first", "last", "doc", "text_key", "bytes", "again"]
 
     def run(batches):
-        for part, data, offsets in text_slices(batches, "text"):
+        for part, data, offsets in text_slices(_fresh(batches), "text"):
+            (row, signature, _, at, first, last), again = _first_runs(part, data, offsets)
+            doc, key = (np.asarray(part.column(c), np.int64)[row] for c in (0, 1))
+            wanted = np.flatnonzero(maybe_in(shared.value, _run_key(signature.view(np.int64), doc, key, at)))
+            if not len(wanted):
+                continue
+            row, signature, at, first, last, doc, key = (x[wanted] for x in (row, signature, at, first, last, doc, key))
             starts, ends, begin = word_spans(data, offsets, NOT_SPACE)
-            lists, raw = part.column(where["marks"]), data.tobytes()
-            parent = np.asarray(lists.value_parent_indices())
-            *columns, again = lists.flatten().flatten()
-            first, last = map(np.asarray, columns[-2:])
-            a, b = starts[begin[parent] + first], ends[begin[parent] + last + TOKENS + SHINGLE - 2]
-            cut = [raw[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
-            doc, key = (np.asarray(part.column(where[c]))[parent] for c in ("doc", "text_key"))
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(doc), pa.array(key), pa.array(cut, pa.binary()), again.cast(pa.list_(pa.int32()))], names=[*plain, "doc", "text_key", "bytes", "again"])
+            a, b = starts[begin[row] + first], ends[begin[row] + last + TOKENS + SHINGLE - 2]
+            raw = data.tobytes()
+            cut = pa.array([raw[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (at, first, last)), pa.array(doc), pa.array(key), cut, again.take(pa.array(wanted))], names=names)
 
-    return rows.mapInArrow(run, "signature long, i int, j int, block int, at int, first int, last int, doc long, text_key long, bytes binary, again array<int>")
+    rows = docs.select(*_keyed(docs), "text").mapInArrow(run, "signature long, at int, first int, last int, doc long, text_key long, bytes binary, again array<int>")
+    sizes = compared.filter("many").groupBy("signature").agg(F.ceil(F.count("*") / MAX_GROUP).cast("int").alias("blocks"))  # a row for MAX_GROUP marks or more
+    dealt = rows.join(F.broadcast(sizes), "signature", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    block = F.pmod(F.xxhash64("doc", "text_key", "first"), F.col("blocks")).cast("int")
+    meets = dealt.withColumn("block", block).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return meets.withColumn("i", F.least("block", "_o")).withColumn("j", F.greatest("block", "_o")).drop("_o", "blocks")
 
 
 def _supported(tokens: np.ndarray, group: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -433,14 +447,13 @@ def _verified(contexts: DataFrame) -> DataFrame:
     return contexts.repartition(*cell).sortWithinPartitions(*cell, "doc", "first").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def repeated_passages(docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+def repeated_passages(docs: DataFrame) -> DataFrame:
     """(doc, text_key, first, end, other): passages that repeat one of a document of a smaller id."""
-    texts = _documents(docs.select("doc_id", "text")) if texts is None else texts
     marks = cut(_marked(_runs(docs)))
     every = F.explode(F.concat(F.array("first"), F.col("again"))).alias("start")
     verbatim = marks.filter(F.col("kind") == VERBATIM).select("doc", "text_key", (F.col("last") - F.col("first")).alias("width"), "other", every)
     verbatim = verbatim.select("doc", "text_key", F.col("start").cast("long").alias("first"), (F.col("start") + F.col("width") + TOKENS + SHINGLE - 1).cast("long").alias("end"), "other")
-    return verbatim.unionByName(_verified(_contexts(_dealt(marks), texts)))
+    return verbatim.unionByName(_verified(_contexts(marks, docs)))
 
 
 def _word_spans_of(repeats: DataFrame) -> DataFrame:
@@ -449,12 +462,12 @@ def _word_spans_of(repeats: DataFrame) -> DataFrame:
 
 def _counted(docs: DataFrame) -> DataFrame:
     """doc_id, doc, text_key and n_words of every row, without its text."""
-    rows = docs.select("doc_id", _number(docs).alias("doc"), "text")
+    rows = docs.select("doc_id", *_keyed(docs), "text")
 
     def run(batches):
         for part, data, offsets in text_slices(batches, "text"):
             words = np.diff(word_spans(data, offsets, NOT_SPACE)[2])
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(_keys(data, offsets)), pa.array(words, pa.int64())], names=["doc_id", "doc", "text_key", "n_words"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(words, pa.int64())], names=["doc_id", "doc", "text_key", "n_words"])
 
     return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, doc long, text_key long, n_words long")
 
@@ -500,13 +513,30 @@ def _without(columns: list[str]):
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """The rows with repeated passages cut out of `text`, and n_words, n_removed and spans (first and end word of each cut, in turn)."""
+    """The rows with repeated passages cut out of `text`, and n_words, n_removed and spans (first and end word of each cut, in turn).
+
+    Rows without repeats, as a Bloom filter of those with them says, are not shuffled.
+    """
     own = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed", "spans", "doc", "text_key", "repeats")]
-    texts = _documents(docs.select(*[F.col(f"`{c}`") for c in own])).repartition("doc", "text_key")
-    spans = _word_spans_of(repeated_passages(docs, texts)).drop("others")
-    rows = texts.join(spans, ["doc", "text_key"], "left").select(*[F.col(f"`{c}`") for c in own], "repeats")
+    rows = docs.select(*[F.col(f"`{c}`") for c in own], *_keyed(docs))
+    spans = cut(_word_spans_of(repeated_passages(docs.select("doc_id", "text"))).drop("others"))
+    shared = docs.sparkSession.sparkContext.broadcast(bloom_words(spans.select(F.xxhash64("doc", "text_key").alias("h"))))
     kinds = dict(docs.dtypes)
-    return rows.mapInArrow(_without(own), ", ".join([*(f"`{c}` {kinds[c]}" for c in own), "n_words long, n_removed long, spans array<long>"]))
+    given = ", ".join(f"`{c}` {kinds[c]}" for c in own)
+
+    def picked(wanted: bool):
+        def run(batches):
+            for batch in batches:
+                held = maybe_in(shared.value, np.asarray(batch.column(batch.num_columns - 1)))
+                yield batch.take(pa.array(np.flatnonzero(held == wanted))).select(range(batch.num_columns - 1))
+
+        hashed = rows.select(*[F.col(f"`{c}`") for c in rows.columns], F.xxhash64("doc", "text_key").alias("_h"))
+        return hashed.mapInArrow(run, f"{given}, doc long, text_key long")
+
+    with_spans = picked(True).join(spans, ["doc", "text_key"], "left").select(*[F.col(f"`{c}`") for c in own], "repeats")
+    without = picked(False).select(*[F.col(f"`{c}`") for c in own], F.lit(None).cast("array<struct<first:bigint,end:bigint>>").alias("repeats"))
+    made = f"{given}, n_words long, n_removed long, spans array<long>"
+    return with_spans.mapInArrow(_without(own), made).unionByName(without.mapInArrow(_without(own), made))
 
 
 def passage_classes(docs: DataFrame) -> DataFrame:

@@ -156,12 +156,34 @@ def test_factorization_machine_learns_a_pair():
         a, b = rng.random() < 0.5, rng.random() < 0.5
         rows.append(np.array([*([1] if a else []), *([2] if b else []), 3 + int(rng.integers(20))]))
         labels.append(int(a and b))
-    model = toxicity.train(rows, np.array(labels))
+    model = toxicity.train(rows, np.array(labels), np.arange(30))
     place = {int(t): k for k, t in enumerate(model.terms)}
     p = [1 / (1 + np.exp(-model.logits(np.array([place[t] for t in ts]), np.zeros(len(ts), int), 1)[0])) for ts in ([1], [2], [1, 2])]
     assert p[0] < 0.5 and p[1] < 0.5 and p[2] > 0.7
 
 
+def test_factorization_equals_the_sum_over_all_pairs():
+    rng = np.random.default_rng(2)
+    m = toxicity.FactorizationMachine(np.arange(12), 0.3, rng.normal(size=12), rng.normal(size=(12, toxicity.FACTORS)))
+    rows = [np.sort(rng.choice(12, k, replace=False)) for k in (0, 1, 2, 7, 12)]
+    want = [0.3 + sum(m.w[i] for i in r) + sum(m.v[i] @ m.v[j] for i, j in itertools.combinations(r, 2)) for r in rows]
+    row, term = np.repeat(np.arange(5), [len(r) for r in rows]), np.concatenate(rows)
+    assert m.logits(term, row, 5) == pytest.approx(want)
+
+
+def test_toxicity_edges(spark):
+    """Ids of strings, a repeated id, other columns, an empty table; the class weights undo the sample's shares."""
+    rows = [(f"d{i}", f"plain words {i % 9} " + ("scum" if i % 4 == 0 else "fine"), 1) for i in range(300)] + [("d3", "again", 2), ("x", "word " * 90_000, 3)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, Terms int")
+    labels = spark.createDataFrame([(f"d{i}", int(i % 4 == 0)) for i in range(300)], "doc_id string, toxic int")
+    got = toxicity.toxicity_scores(docs, labels).collect()
+    assert len(got) == 302 and all(r.predicted == int("scum" in t) for r, t in zip(sorted(got, key=lambda r: (r.doc_id, r.score)), [t for _, t, _ in sorted(rows, key=lambda r: (r[0], "scum" in r[1]))]) if r.doc_id != "d3")
+    assert toxicity.toxicity_scores(docs.limit(0), labels).count() == 0
+    y = np.array([1] * 40 + [0] * 40)
+    even = toxicity.train([np.zeros(0, int)] * 80, y, np.arange(1), np.where(y == 1, 1.0, 9.0))
+    assert even.bias == pytest.approx(np.log(1 / 9), abs=0.05)
+
+
 def test_toxicity_query(spark):
     rows = [(i, f"clean words here {i % 7} " + ("scum idiot" if i % 5 == 0 else "nice")) for i in range(400)] + [(None, None), (900, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
