@@ -6,7 +6,8 @@ histograms are compared by Jensen-Shannon distance with those of its language,
 which are summed over all documents of that language; texts under the length
 guards are not compared, as short histograms are noise.
 
-Null text: no words, so `base_failed`.  Null lang: a language of its own.
+Null text: no words, so `base_failed`.  Null lang: a language of its own.  A
+table without a column lang is one language.
 """
 
 from __future__ import annotations
@@ -14,10 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .textcore import cut
+
 # Frequent function words of the four languages.
 COMMON_WORDS = ["the", "of", "and", "to", "in", "is", "that", "for", "it", "on", "de", "la", "le", "et", "les", "des", "un", "une", "que", "der", "die", "und", "den", "von", "zu", "das", "mit", "sich", "el", "y", "los", "del", "se", "las", "con"]
 CHAR_CLASSES = ["upper", "digit", "punctuation", "space", "other"]
 
+MAX_BROADCAST = 10_000
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
@@ -49,10 +53,11 @@ def repeated_words(words: Column, grams: Column) -> Column:
     return F.when(grams.isNull() | (F.size(grams) == F.size(F.array_distinct(grams))), 0).otherwise(_let(ordered, covered)).cast("long")
 
 
-def measured(docs: DataFrame, repeats: bool = True) -> DataFrame:
+def measured(docs: DataFrame) -> DataFrame:
     """doc_id, lang, the base counts and the two histograms (`chars`, `common`) of every text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    split = docs.select("doc_id", "lang", text.alias("text"), word_array(text).alias("words"), F.regexp_replace(text, r"\P{Punct}+", "").alias("marks"))
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
+    split = docs.select("doc_id", lang, text.alias("text"), word_array(text).alias("words"), F.regexp_replace(text, r"\P{Punct}+", "").alias("marks"))
     hits = F.filter("words", lambda w: F.lower(w).isin(COMMON_WORDS))
     gram = lambda i: F.xxhash64(*[F.col("words")[i + k] for k in range(WINDOW)])
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[^ \t-\r]"))
@@ -69,7 +74,8 @@ def measured(docs: DataFrame, repeats: bool = True) -> DataFrame:
         F.length(F.regexp_replace("text", "[^0-9]+", "")).cast("long").alias("n_digits"),
         F.size(hits).alias("n_hits"),
         F.array_join(F.transform(hits, lambda w: F.concat(F.lit(" "), F.lower(w), F.lit(" "))), "").alias("hits"),
-        *([_let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), F.when(F.size("words") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("words") - WINDOW), gram)).alias("grams")] if repeats else []),
+        _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        F.when(F.size("words") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("words") - WINDOW), gram)).alias("grams"),
     )
     each = [(F.length("hits") - F.length(F.replace("hits", F.lit(f" {w} "), F.lit("")))) / (len(w) + 2) for w in COMMON_WORDS]
     spaces = F.col("n_all") - F.col("word_chars")
@@ -78,15 +84,17 @@ def measured(docs: DataFrame, repeats: bool = True) -> DataFrame:
         "lang",
         "n_words",
         "n_all",
-        *(["word_chars", "n_symbols", "n_dup_lines", repeated_words(F.col("words"), F.col("grams")).alias("n_repeat_words")] if repeats else []),
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        repeated_words(F.col("words"), F.col("grams")).alias("n_repeat_words"),
         F.array(*[x.cast("double") for x in (F.col("n_upper"), F.col("n_digits"), F.col("n_marks"), spaces, F.col("n_all") - F.col("n_upper") - F.col("n_digits") - F.col("n_marks") - spaces)]).alias("chars"),
         F.array(*[x.cast("double") for x in (*each, F.size("words") - F.col("n_hits"))]).alias("common"),
     )
 
 
-def references(docs: DataFrame) -> DataFrame:
-    """lang, ref_chars, ref_common: the summed histograms of each language over all its documents."""
-    counts = measured(docs, repeats=False)
+def references(counts: DataFrame) -> DataFrame:
+    """lang, ref_chars, ref_common: the summed histograms of each language, from the rows of `measured`; a table that can be saved and used for other documents."""
     sums = lambda name, n: F.array(*[F.sum(F.col(name)[i]) for i in range(n)])
     return counts.groupBy("lang").agg(sums("chars", len(CHAR_CLASSES)).alias("ref_chars"), sums("common", len(COMMON_WORDS) + 1).alias("ref_common"))
 
@@ -106,13 +114,19 @@ def js_distance(p: Column, q: Column) -> Column:
 def quality_rules(docs: DataFrame, refs: DataFrame | None = None) -> DataFrame:
     """doc_id, n_words, the base counts, base_failed, both distances and kept, a row per input row.
 
-    `refs` are the language references, by default those of `docs` itself: one
-    row a language, so its join is a broadcast wherever Spark measures it as
-    small and a shuffle otherwise.
+    `refs` are the language references: a table of `references` fitted before,
+    so that a verdict depends on its own text alone, or by default those of all
+    of `docs`, whose counts are then written once and read for both.  One row a
+    language: broadcast where counted as few, else joined by shuffle.
     """
-    refs = references(docs) if refs is None else refs
+    counts = measured(docs)
+    if refs is None:
+        counts = cut(counts)
+        refs = references(counts)
     refs = refs.withColumnRenamed("lang", "ref_lang")
-    rows = measured(docs).join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
+    if refs.select("ref_lang").limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+        refs = F.broadcast(refs)
+    rows = counts.join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     near = lambda col, guard, limit: (F.col(guard[0]) < guard[1]) | (F.col(col) <= limit)
     return rows.select(

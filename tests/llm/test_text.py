@@ -141,6 +141,18 @@ def test_quality_counts_against_brute_force(spark):
     assert quality.quality_rules(rows.limit(0)).count() == 0
 
 
+def test_quality_edges(spark):
+    """A table without languages, a very long text, and references fitted on other documents."""
+    rows = [(1, "the cat and the dog went to the house in the rain " * 20_000), (2, None), (3, "alpha beta gamma delta of the and to in is that for it on " * 12)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.quality_rules(frame).collect()}
+    assert got[1].n_words == 240_000 and got[1].base_failed and got[2].base_failed and got[3].n_words == 168
+    english = quality.references(quality.measured(frame.filter("doc_id = 3")))
+    alone = quality.quality_rules(frame.filter("doc_id = 3"), english).first()
+    among = {r.doc_id: r for r in quality.quality_rules(frame, english).collect()}[3]
+    assert alone == among and alone.char_distance == 0
+
+
 def test_js_distance(spark):
     from pyspark.sql import functions as F
 
