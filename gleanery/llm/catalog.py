@@ -84,10 +84,15 @@ lens AS (SELECT DISTINCT n FROM win),
 pos AS (SELECT doc_id, s, n, list_slice(w, s, s + n - 1) AS g FROM dw, lens, unnest(range(1, len(w) - n + 2)) AS t(s) WHERE len(w) >= n),
 occ AS (SELECT pos.doc_id, pos.s, pos.n, win.item FROM pos JOIN win ON pos.n = win.n AND pos.g = win.g),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM occ, unnest(range(s, s + n)) AS t(p) GROUP BY doc_id),
+bp AS (SELECT b, s AS p, least(13, len(w)) AS n, list_slice(w, s, s + least(13, len(w)) - 1) AS g FROM (SELECT *, row_number() OVER () AS b FROM bw), unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS t(s) WHERE len(w) > 0),
+al AS (SELECT pos.doc_id, b, pos.s, pos.s - p AS shift, pos.s - row_number() OVER (PARTITION BY pos.doc_id, b, pos.s - p ORDER BY pos.s) AS island, pos.n FROM pos JOIN bp ON pos.n = bp.n AND pos.g = bp.g),
+run AS (SELECT doc_id, min(s) - 1 AS st, count(*) + min(n) - 1 AS words FROM al GROUP BY doc_id, b, shift, island),
+lon AS (SELECT doc_id, words, st FROM run QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY words DESC, st) = 1),
 its AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM occ GROUP BY doc_id)
 SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+  CAST(coalesce(lon.words, 0) AS BIGINT) AS longest_words, CAST(lon.st AS BIGINT) AS longest_at
+FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN lon USING (doc_id)
 """
 
 _COMMON = ", ".join(f"'{w}'" for w in quality.COMMON_WORDS)

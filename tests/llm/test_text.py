@@ -101,7 +101,19 @@ def brute_contamination(docs, items):
                 if tuple(w[s : s + len(g)]) == g:
                     hit |= set(range(s, s + len(g)))
                     found |= ids
-        out[doc] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w))
+        runs = [(0, None)]
+        for _, item in items:
+            v = words(item)
+            least = min(13, len(v))
+            for a in range(len(w)):
+                for b in range(len(v)):
+                    n = 0
+                    while a + n < len(w) and b + n < len(v) and w[a + n] == v[b + n]:
+                        n += 1
+                    if n and n >= least and (n >= 13 or n == len(v)):
+                        runs.append((n, a))
+        most = max(n for n, _ in runs)
+        out[doc] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w), most, min(a for n, a in runs if n == most) if most else None)
     return out
 
 
@@ -111,7 +123,7 @@ def test_contamination_against_brute_force(spark, limit, monkeypatch):
     vocabulary_ = [f"w{k}" for k in range(6)]
     text = lambda n: " ".join(rng.choice(vocabulary_, n))
     items = [(10, text(14)), (2, text(20)), (3, "w1 W2"), (4, ""), (5, None), (2, text(13))]
-    docs = [(k, text(int(rng.integers(0, 60)))) for k in range(30)] + [(100, "x " * 50 + items[0][1].upper() + " y"), (101, items[1][1]), (102, None), (103, "")]
+    docs = [(k, text(int(rng.integers(0, 60)))) for k in range(30)] + [(100, "x " * 50 + items[0][1].upper() + " y"), (101, items[1][1]), (102, None), (103, ""), (104, f"w9 {items[1][1][3:]} w9")]
     monkeypatch.setattr(decontaminate.find_matches, "__defaults__", (limit,))
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r[0]: tuple(r[1:]) for r in decontaminate.contamination(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
@@ -123,6 +135,12 @@ def test_contamination_without_benchmark(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert {tuple(r) for r in decontaminate.contamination(docs, none).select("n_words", "n_hit", "contaminated").collect()} == {(2, 0, False), (0, 0, False)}
     assert decontaminate.decontaminated(docs, none).count() == 2
+    clash = spark.createDataFrame([(1, "one two three " * 40_000, "m", 5)], "doc_id long, text string, Match_Items string, match_words int")
+    found = decontaminate.find_matches(clash, spark.createDataFrame([(7, "two three one two three")], "item_id long, text string"))
+    assert [c.lower() for c in found.columns] == ["doc_id", "text", "match_words", "match_spans", "match_items", "match_longest"]
+    row = found.first()
+    assert row.match_words == 120_000 and row.match_spans == [1, 120_000] and row.match_longest.words == 5 and row.match_longest.at == 1
+    assert decontaminate.contamination(docs.limit(0), none).count() == 0
 
 
 def brute_quality(text):
