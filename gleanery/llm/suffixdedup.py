@@ -234,7 +234,7 @@ def _spans(docs: DataFrame) -> DataFrame:
     """text_key, n_bytes and repeats (first and last start of repeated windows) of every text that has any."""
     copies = docs.filter(F.octet_length("text") >= LENGTH).select(*_keyed()).groupBy(*_KEYS).agg(F.count("*").alias("n")).filter("n > 1")
     whole_text = copies.select(*_KEYS, F.lit(0).cast("long").alias("first"), (F.col("n_bytes") - LENGTH).alias("last"))
-    marks = _marked(_anchor_rows(docs))
+    marks = cut(_marked(_anchor_rows(docs)))
     every = F.explode(F.concat(F.array("first"), F.col("again"))).alias("start")
     whole = marks.filter(F.col("kind") == REPEAT).select(*_KEYS, (F.col("last") - F.col("first")).alias("width"), every).select(*_KEYS, F.col("start").cast("long").alias("first"), (F.col("start") + F.col("width")).cast("long").alias("last"))
     partial = _partial_repeats(_contexts(marks.filter(F.col("kind") != REPEAT).withColumn("context_id", F.xxhash64(*_KEYS, "at")), docs))
