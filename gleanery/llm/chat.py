@@ -239,7 +239,7 @@ def fit_on(rows: DataFrame) -> list[RoleModel]:
     found = rows.mapInArrow(run, "part int, place int, conv string, fold int, first int, last int, counts array<long>")
     sums = found.filter("counts IS NOT NULL").select(F.posexplode("counts").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).orderBy("k").toArrow()["n"].to_numpy()
     sizes = [int(np.prod(shape)) for shape in _TABLES]
-    tables = np.split(np.asarray(sums, np.int64) if len(sums) else np.zeros(2 * sum(sizes), np.int64), np.cumsum([*sizes, *sizes])[:-1])
+    tables = np.split(np.array(sums, np.int64) if len(sums) else np.zeros(2 * sum(sizes), np.int64), np.cumsum([*sizes, *sizes])[:-1])
     tables = [t.reshape(shape) for t, shape in zip(tables, [*_TABLES, *_TABLES], strict=True)]
     counts = [tables[: len(_TABLES)], tables[len(_TABLES) :]]
     before = None
