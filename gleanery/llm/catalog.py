@@ -130,7 +130,9 @@ def _canonical_sql(x: str) -> str:
 
 
 OP1_SQL = rf"""
-WITH k AS (SELECT {_canonical_sql("t")} AS d, min(id) AS id FROM (VALUES {", ".join(f"({_LITERAL(n)}, {_LITERAL(t)})" for n, ts in licenses.KNOWN.items() for t in ts)}) AS v(id, t) GROUP BY 1),
+WITH k0 AS (SELECT {_canonical_sql("t")} AS d, id FROM (VALUES {", ".join(f"({_LITERAL(n)}, {_LITERAL(t)})" for n, ts in licenses.KNOWN.items() for t in ts)}) AS v(id, t)
+  UNION ALL SELECT d, id FROM (VALUES {", ".join(f"('{n}', '{d}')" for n, ds in licenses.DIGESTS.items() for d in ds)}) AS v(id, d)),
+k AS (SELECT d, min(id) AS id FROM k0 GROUP BY 1),
 d AS (SELECT row_number() OVER () AS row, doc_id, text, {_canonical_sql("text")} AS digest FROM documents),
 l AS (SELECT row, {_canonical_sql("x")} AS d FROM (SELECT row, unnest(string_split(coalesce(text, ''), chr(10))) AS x FROM d) WHERE regexp_matches(lower(x), 'licen[cs]')),
 n AS (SELECT row, count(*) AS n, list_sort(list_distinct(list(k.id))) AS ids FROM l JOIN k ON l.d = k.d GROUP BY row)

@@ -7,15 +7,20 @@ the best score and its number of pieces.  Ties follow the tokenizer's rule: of
 equal scores the piece that starts first wins.  A character without a piece of
 its own costs the least score less UNKNOWN, and neighbouring ones are one token.
 
-Pieces and scores come from a SentencePiece file, whose path is a parameter;
-control, unknown and byte pieces are left out.  A map over rows: no shuffle.
-
-Null and empty texts count no words and no tokens.
+Pieces come from a SentencePiece file, whose path is a parameter; control,
+unknown and byte pieces are left out.  A unigram file's scores are taken as they
+are.  A BPE file has ranks for scores, so a piece gets the log probability that
+the Zipf-Mandelbrot law gives its rank, 1 / (rank + ZIPF) over their sum: pieces
+come in the order of how often they were merged.  A map over rows: no shuffle.
+
+Null and empty texts count no words and no tokens.  Repeated rows get a row
+each, and a null key stays.
 """
 
 from __future__ import annotations
 
 import re
+from math import log
 
 import ahocorasick
 import pyarrow as pa
@@ -23,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = 10.0
+ZIPF = 2.7
 MARK = "▁"
 CACHED_WORDS = 150_000
 LONG_WORD = 400
@@ -30,12 +36,16 @@ _WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 
 
 def read_pieces(path: str) -> list[tuple[str, float]]:
-    """(piece, score) of a SentencePiece model's ordinary pieces, in order of id."""
+    """(piece, log probability) of a SentencePiece model's ordinary pieces, in order of id."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     special = lambda i: model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)
-    return [(model.id_to_piece(i), float(model.get_score(i))) for i in range(model.get_piece_size()) if not special(i)]
+    pieces = [(model.id_to_piece(i), float(model.get_score(i))) for i in range(model.get_piece_size()) if not special(i)]
+    if not all(score.is_integer() for _, score in pieces):
+        return pieces
+    total = log(sum(1 / (rank + ZIPF) for rank in range(len(pieces))))
+    return [(piece, -log(rank + ZIPF) - total) for rank, (piece, _) in enumerate(pieces)]
 
 
 class UnigramCounter:

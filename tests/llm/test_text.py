@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import re
 import unicodedata
 
@@ -75,6 +76,26 @@ def test_unigram_matches_library():
         assert counter.best(unigram.MARK + word)[0] == len(model.tokenize(unigram.MARK + word)), word
 
 
+def test_unigram_counts_whole_texts_as_the_library_does(spark):
+    """The whole vocabulary, on texts of four languages with unknown characters."""
+    import duckdb
+
+    pieces = unigram.read_pieces(vocabulary("piece_bpe_32k.model"))
+    assert sum(np.exp(s) for _, s in pieces) == pytest.approx(1)
+    library = tokenizers.Tokenizer(tokenizers.models.Unigram([("<unk>", 0.0), *pieces], unk_id=0, byte_fallback=False))
+    texts = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.001/documents.parquet' WHERE length(text) < 6000").fetchall()] + ["日本 語\U0001f600\U0001f601x", "aaaa" * 300, "\u0378\u0379a\u0378 b"]
+    counter = unigram.UnigramCounter(pieces)
+    for text in texts:
+        each = [len(library.encode(unigram.MARK + w).ids) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+        assert counter.count(text)[:2] == (len(each), sum(each))
+
+
+def test_unigram_edges(spark):
+    rows = spark.createDataFrame([(None, "a b", 1), (1, "w " * 200_000, 2), (1, "w " * 200_000, 2), (2, None, 3)], "doc_id long, text string, N_Tokens int")
+    got = sorted(map(tuple, unigram.token_counts(rows, vocabulary("piece_bpe_32k.model")).select("doc_id", "n_words", "n_tokens").collect()), key=str)
+    assert got == [(1, 200_000, 200_000), (1, 200_000, 200_000), (2, 0, 0), (None, 2, 2)]
+
+
 def test_unigram_query(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(EDGES)], "doc_id long, text string")
     got = {r.doc_id: r for r in unigram.token_counts(rows, vocabulary("piece_bpe_32k.model")).collect()}
@@ -226,7 +247,7 @@ def test_toxicity_query(spark):
 
 
 def test_licenses(spark):
-    mit = licenses.KNOWN["MIT"][1]
+    mit = next(t for t in licenses.KNOWN["MIT"] if t.startswith("MIT License"))
     rows = [(1, "Copyright (c) 2020 Someone\n" + mit.upper().replace(",", " ;")), (2, "text\nReleased under the MIT Licence!\nmore"), (3, None), (4, ""), (5, "no terms"), (2, "text\nReleased under the MIT Licence!\nmore"), (6, "Copyright 2001 X")]
     got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), licenses.known_licenses(spark)).collect()
     assert len(got) == len(rows)
@@ -235,6 +256,19 @@ def test_licenses(spark):
     assert by[3].digest == by[4].digest == by[6].digest == hashlib.sha256(b"").hexdigest() and by[3].license_id is None
 
 
+def test_license_edges(spark):
+    """Long licences by digest, two ids of one digest, SPDX tags, long texts, clashing names, an empty table."""
+    long = "/usr/share/common-licenses/GPL-3"
+    full = open(long).read() if os.path.exists(long) else None
+    rows = [(1, full or "", 1), (2, "x\n# SPDX-License-Identifier: MIT\n", 2), (3, "license " + "word " * 100_000, 3), (4, "same text", 4)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, DIGEST int")
+    got = {r.doc_id: r for r in licenses.scan(frame, licenses.known_licenses(spark)).collect()}
+    assert got[1].license_id == ("GPL-3.0" if full else None) and got[2].notice_ids == ["MIT"] and got[3].n_notices == 0
+    two = licenses.known_licenses(spark, {"B-1": ["same text"], "A-1": ["Same, text!"]})
+    assert two.count() == 1 and {r.doc_id: r for r in licenses.scan(frame, two).collect()}[4].license_id == "A-1"
+    assert licenses.scan(frame.limit(0), two).count() == 0
+
+
 def talk(conversations, turns=None):
     rng = np.random.default_rng(3)
     rows = []
