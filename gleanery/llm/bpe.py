@@ -49,32 +49,44 @@ NO_MARKS = [
 ]
 
 
-def _class_of(kind: str, more: list[tuple[int, int]]) -> str:
-    """The members of a character class: Python's general category, and what the library has besides."""
-    member = np.fromiter((unicodedata.category(chr(c))[0] == kind for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+#: Below, the library's tables and Python's agree.
+COMMON = 0x7FD
+
+
+def _class_of(kind: str, more: list[tuple[int, int]], end: int) -> str:
+    """The members of a character class below `end`: Python's general category, and what the library has besides."""
+    member = np.fromiter((unicodedata.category(chr(c))[0] == kind for c in range(end)), bool, end)
     for a, b in more:
         member[a : b + 1] = True
     edges = np.flatnonzero(np.diff(np.concatenate([[False], member, [False]]).astype(np.int8))).reshape(-1, 2)
     return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.tolist())
 
 
-_ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+").findall
-_LOWER = {c: c + more for a, b, more in MORE_LOWER for c in range(a, b + 1)}
-_RAISED = re.compile("[" + "".join(map(chr, _LOWER)) + "]").search
-_PARTS = re.compile("([" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in NO_MARKS) + "])")
+@cache
+def _pieces(end: int = sys.maxunicode + 1):
+    """Splits a normal text of characters below `end`."""
+    letters, numbers = _class_of("L", MORE_LETTERS, end), _class_of("N", MORE_NUMBERS, end)
+    return re.compile(rf"[{letters}]+|'(?:[stmd]|re|ve|ll)|[{numbers}]|[^{SPACES}{letters}{numbers}]+").findall
 
 
-@cache
-def _pieces():
-    letters, numbers = _class_of("L", MORE_LETTERS), _class_of("N", MORE_NUMBERS)
-    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{SPACES}{letters}{numbers}]+").findall
+_ASCII_PIECES = re.compile(r"[a-z]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^\t-\r a-z0-9]+").findall
+_LOWER = {c: c + more for a, b, more in MORE_LOWER for c in range(a, b + 1)}
+_RARE = re.compile(f"[\\U{COMMON:08x}-\\U{sys.maxunicode:08x}]").search
+_PARTS = re.compile("([" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in NO_MARKS) + "])")
 
 
 def normal(text: str) -> str:
     """NFC and lower case as the library has them; each character by itself, so that a final sigma is none."""
-    text = unicodedata.normalize("NFC", text) if not _PARTS.search(text) else "".join(unicodedata.normalize("NFC", x) for x in _PARTS.split(text))
+    rare = _RARE(text)
+    text = "".join(unicodedata.normalize("NFC", x) for x in _PARTS.split(text)) if rare else unicodedata.normalize("NFC", text)
     lower = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
-    return lower.translate(_LOWER) if _RAISED(lower) else lower
+    return lower.translate(_LOWER) if rare else lower
+
+
+def pieces_of(text: str) -> list[str]:
+    """The words and marks of a text that is not ASCII."""
+    text = normal(text)
+    return _pieces()(text) if _RARE(text) else _pieces(COMMON)(text)
 
 
 def byte_symbols() -> list[str]:
@@ -177,7 +189,7 @@ class RankArrayBpe:
             if part.isascii():
                 pieces = _ASCII_PIECES(part.lower())
             else:
-                pieces = _pieces()(normal(part))
+                pieces = pieces_of(part)
             for piece in pieces:
                 out += self.cache.get(piece) or self.word_ids(piece)
         return out
