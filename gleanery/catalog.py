@@ -12,8 +12,8 @@ from gleanery.adapters import COLLECTED, ORDER, ORDER_SQL, REVIEWS_SQL, reviews,
 from gleanery.functions import text as tx
 from gleanery.functions.lexicon import NEGATIVE, POSITIVE
 from gleanery.operators import clean, graph, history, metrics, provenance, ranking, segments
-from gleanery.plans import benchmark, ml, scorer, stats
-from gleanery.sources.reviews import align, union_categories
+from gleanery.plans import benchmark, ml, scorer, stats, study
+from gleanery.sources.reviews import align, manifest, peek, union_categories
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -100,17 +100,36 @@ def temporal_split_counts(spark, sf_dir):
     return rows.groupBy("split").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.round(F.avg("label"), 6).alias("base_rate"))
 
 
-@_query("SELECT count(*) AS reviews, count(DISTINCT user_id) AS users FROM r WHERE user_id % 10 < 3")
+def _hash_sql(key, share, seed=42):
+    return f"substr(md5('{seed}:' || {key}), 1, 8) < '{int(share * (1 << 32)):08x}'"
+
+
+@_query(f"SELECT count(*) AS reviews, count(DISTINCT user_id) AS users FROM r WHERE {_hash_sql('user_id', 0.3)}")
 def cluster_sample_users(spark, sf_dir):
-    return reviews(spark, sf_dir).filter(F.col("user_id") % 10 < 3).agg(F.count("*").alias("reviews"), F.countDistinct("user_id").alias("users"))
+    return history.sample_users(reviews(spark, sf_dir), "user_id", 0.3).agg(F.count("*").alias("reviews"), F.countDistinct("user_id").alias("users"))
 
 
-@_query()
+@_query(f"SELECT {_hash_sql('user_id', 0.8)} AS in_train, count(*) AS reviews, count(DISTINCT user_id) AS users FROM r GROUP BY 1")
 def hash_split(spark, sf_dir):
     rows = history.hash_split(reviews(spark, sf_dir), "user_id", 0.8)
     return rows.groupBy("in_train").agg(F.count("*").alias("reviews"), F.countDistinct("user_id").alias("users"))
 
 
+@_query(f"SELECT product_type, count(*) AS reviews FROM r WHERE (product_type = 'search' AND {_hash_sql('l_orderkey', 0.5)}) OR (product_type = 'experience' AND {_hash_sql('l_orderkey', 0.1)}) GROUP BY 1")
+def stratified_sample(spark, sf_dir):
+    return history.stratified_sample(reviews(spark, sf_dir), "product_type", {"search": 0.5, "experience": 0.1}, "l_orderkey").groupBy("product_type").agg(F.count("*").alias("reviews"))
+
+
+@_query("SELECT Category, count(*) AS reviews, count(DISTINCT user_id) AS users, count(DISTINCT parent_asin) AS items FROM r GROUP BY Category")
+def corpus_manifest(spark, sf_dir):
+    return manifest(reviews(spark, sf_dir))
+
+
+@_query("SELECT CAST(year(event_time) AS INT) AS year, count(*) AS reviews, round(avg(helpful_vote), 6) AS avg_votes, round(avg(CAST(helpful_vote >= 1 AS INT)), 6) AS share_any FROM r GROUP BY 1")
+def corpus_peek(spark, sf_dir):
+    return _r6(peek(reviews(spark, sf_dir).withColumn("timestamp", F.col("ts"))), "avg_votes", "share_any")
+
+
 # --- cleaning, targets -----------------------------------------------------
 
 
@@ -540,30 +559,60 @@ def leakage_decomposition(spark, sf_dir):
 
 @_query()
 def block_ablation(spark, sf_dir):
-    rows = history.temporal_split(_featured(spark, sf_dir), "ts").select(*tx.ALL_NUMERIC, "label", "split", "l_orderkey").cache()
-    out = ml.ablation(rows.filter("split = 'train'"), rows.filter("split = 'test'"), "l_orderkey")
+    rows = history.temporal_split(_featured(spark, sf_dir), "ts").select(*tx.ALL_NUMERIC, "text", "label", "split", "l_orderkey").cache()
+    out = ml.ablation(rows.filter("split = 'train'"), rows.filter("split = 'test'"), "l_orderkey", text="text")
+    rows.unpersist()
     return spark.createDataFrame([(r["model"], r["step"], r["n_features"], r["pr_auc"], r["marginal_pr_auc"], r["roc_auc"]) for r in out], "block string, step int, n_features int, pr_auc double, marginal_pr_auc double, roc_auc double")
 
 
 @_query()
 def model_comparison(spark, sf_dir):
-    rows = history.temporal_split(_featured(spark, sf_dir), "ts").select(*_MODEL_COLUMNS, "Category", "label", "split", "l_orderkey").cache()
-    zoo = {**ml.linear_classifiers(max_iter=20), **ml.tree_classifiers(trees=10, rounds=5)}
-    return ml.model_comparison(rows.filter("split = 'train'"), rows.filter("split = 'test'"), _MODEL_COLUMNS, "l_orderkey", category="Category", zoo=zoo)[1]
+    rows = history.temporal_split(_featured(spark, sf_dir), "ts").select(*_MODEL_COLUMNS, "text", "Category", "parent_asin", "helpful_vote", "label", "split", "l_orderkey").cache()
+    out = ml.model_comparison(rows.filter("split = 'train'"), rows.filter("split = 'test'"), _MODEL_COLUMNS, "l_orderkey", text="text", category="Category", group="parent_asin", relevance="helpful_vote")[1]
+    rows.unpersist()
+    return out
 
 
-@_query()
+_TEST = f""", f AS (SELECT *, date_diff('day', CAST(event_time AS DATE), DATE '{COLLECTED}') AS d, CAST(helpful_vote >= 1 AS INT) AS y FROM r WHERE date_diff('day', CAST(event_time AS DATE), DATE '{COLLECTED}') >= 365),
+t AS (SELECT * FROM f WHERE ts >= (SELECT quantile_disc(ts, 0.85) FROM f))"""
+
+
+@_query(f"""{_TEST}, l AS (SELECT 'majority' AS model, 0.0::DOUBLE AS s, y FROM t UNION ALL SELECT 'length', length(title), y FROM t UNION ALL SELECT 'exposure', d, y FROM t UNION ALL SELECT 'rating', rating, y FROM t),
+ g AS (SELECT model, s, count(*) AS n, sum(y) AS pos FROM l GROUP BY 1, 2), c AS (SELECT *, sum(pos) OVER w AS tp, sum(n - pos) OVER w AS fp, sum(pos) OVER (PARTITION BY model) AS p, sum(n - pos) OVER (PARTITION BY model) AS q FROM g WINDOW w AS (PARTITION BY model ORDER BY s DESC))
+ SELECT model, CAST(max(p + q) AS BIGINT) AS n, round(CAST(max(p) / max(p + q) AS DOUBLE), 6) AS base_rate, round(CAST(sum(pos * tp::DOUBLE / (tp + fp)) / max(p) AS DOUBLE), 6) AS pr_auc, round(CAST(sum(pos * (q - fp + (n - pos) / 2.0::DOUBLE)) / (max(p) * max(q)) AS DOUBLE), 6) AS roc_auc,
+  round(max(2.0::DOUBLE * tp / (tp + fp + p)), 6) AS f1 FROM c WHERE EXISTS (SELECT 1 FROM r) GROUP BY model""")
 def trivial_baselines(spark, sf_dir):
-    rows = history.temporal_split(_featured(spark, sf_dir), "ts").filter("split = 'test'")
-    return ml.baselines(rows, {"length": "review_length", "exposure": "log_exposure_days", "rating": "rating"}, "l_orderkey")
+    rows = history.temporal_split(_featured(spark, sf_dir), "ts").filter("split = 'test'").select("review_length", "log_exposure_days", "rating", "label", "l_orderkey").cache()
+    out = ml.baselines(rows, {"length": "review_length", "exposure": "log_exposure_days", "rating": "rating"}, "l_orderkey")
+    rows.unpersist()
+    return _r6(out.select("model", "n", "base_rate", "pr_auc", "roc_auc", "f1"), "base_rate", "pr_auc", "roc_auc", "f1")
+
+
+@_query(f"{_TEST} SELECT count(*) AS rows, round(avg(CAST(helpful_vote = 0 AS DOUBLE)), 6) AS zero_share FROM t WHERE EXISTS (SELECT 1 FROM r)")
+def zero_share(spark, sf_dir):
+    rows = history.temporal_split(clean.exposure(reviews(spark, sf_dir), COLLECTED), "ts").filter("split = 'test'")
+    return _r6(ml.zero_share(rows, "helpful_vote"), "zero_share")
+
+
+def _category_fits(spark, sf_dir):
+    columns = [*_MODEL_COLUMNS, *study.DEPTH[:2]]
+    rows = history.temporal_split(_featured(spark, sf_dir), "ts").select(*dict.fromkeys(columns), "Category", "product_type", "label", "split", "l_orderkey").cache()
+    fits = ml.per_category(rows.filter("split = 'train'"), rows.filter("split = 'test'"), list(dict.fromkeys(columns)), "Category", tiebreak="l_orderkey")
+    types = spark.createDataFrame(rows.select("Category", "product_type").distinct().collect(), "Category string, product_type string")  # a row a category
+    rows.unpersist()
+    return fits, types
 
 
 @_query()
 def per_category(spark, sf_dir):
-    rows = history.temporal_split(_featured(spark, sf_dir), "ts").select(*_MODEL_COLUMNS, "Category", "label", "split", "l_orderkey").cache()
-    out = ml.per_category(rows.filter("split = 'train'"), rows.filter("split = 'test'"), _MODEL_COLUMNS, "Category", tiebreak="l_orderkey")
-    flat = [(r["model"], t, c, r["pr_auc"]) for r in out for t, c in r["coefficients"].items()]
-    return spark.createDataFrame(flat, "category string, term string, coefficient double, pr_auc double")
+    fits, _ = _category_fits(spark, sf_dir)
+    return spark.createDataFrame([(r["model"], t, c, r["pr_auc"]) for r in fits for t, c in r["coefficients"].items()], "category string, term string, coefficient double, pr_auc double")
+
+
+@_query()
+def construct_contrast(spark, sf_dir):
+    fits, types = _category_fits(spark, sf_dir)
+    return study.construct_table(study.coefficient_table(spark, fits, types))
 
 
 @_query("SELECT Category, round(regr_slope(helpful_vote, rating), 6) AS slope, round(regr_intercept(helpful_vote, rating), 6) AS intercept, round(regr_r2(helpful_vote, rating), 6) AS r2 FROM r GROUP BY Category")
@@ -579,8 +628,8 @@ def regression_metrics(spark, sf_dir):
 
 @_query()
 def regression_zoo(spark, sf_dir):
-    rows = history.temporal_split(_featured(spark, sf_dir), "ts").select(*_MODEL_COLUMNS, "log_helpful_vote", "split").cache()
-    return ml.regression_zoo(rows.filter("split = 'train'"), rows.filter("split = 'test'"), _MODEL_COLUMNS, "log_helpful_vote", ml.regressors(trees=10, rounds=5))
+    rows = history.temporal_split(_featured(spark, sf_dir), "ts").select(*_MODEL_COLUMNS, "log_helpful_vote", "split", "Category").cache()
+    return ml.regression_zoo(rows.filter("split = 'train'"), rows.filter("split = 'test'"), _MODEL_COLUMNS, "log_helpful_vote", category="Category")
 
 
 # --- inference, registry ---------------------------------------------------
@@ -594,14 +643,24 @@ def logit_inference(spark, sf_dir):
 
 @_query()
 def claim_verdicts(spark, sf_dir):
-    frame = stats.estimation_frame(_featured(spark, sf_dir)).cache()
-    # terms without variation in this synthetic frame can't be estimated and come out as not testable
-    want = ["rating_extremity", "log_prior_review_count", "rating_deviation_from_product", "log_exposure_days", "log_arrival_position", "verified_int", "has_images", "is_experience", "extremity_x_experience"]
-    estimates = spark.createDataFrame(stats.logit(frame, want)).select("term", "coefficient", "p_value", "effect_at_mean")
-    return stats.verdicts(stats.registry_table(spark), estimates, stats.testability(frame))
+    """All terms that vary; text features come from titles here, so some do not."""
+    return stats.replication(spark, _featured(spark, sf_dir), stats.registry_table(spark))
+
+
+@_query()
+def claim_verdict_counts(spark, sf_dir):
+    return stats.verdict_counts(claim_verdicts(spark, sf_dir))
+
+
+@_query()
+def interaction_model(spark, sf_dir):
+    return study.table_of(spark, stats.interaction_model(_featured(spark, sf_dir)))
+
+
+_CLAIMS = ", ".join(f"({f.id!r}, {f.claim!r}, {f.term!r}, {f.expected!r}, " + (f"{f.requires!r}" if f.requires else "NULL") + f", {f.source!r}, {f.scale!r})" for f in stats.REGISTRY)
 
 
-@_query(f"SELECT * FROM (VALUES {', '.join(f'({f.id!r}, {f.claim!r}, {f.term!r}, {f.expected!r}, ' + (f'{f.requires!r})' if f.requires else 'NULL)') for f in stats.REGISTRY)}) AS t(id, claim, term, expected, requires)")
+@_query(f"SELECT * FROM (VALUES {_CLAIMS.replace(chr(34), chr(39))}) AS t(id, claim, term, expected, requires, source, scale)")
 def registry_table(spark, sf_dir):
     return stats.registry_table(spark)
 

@@ -42,11 +42,26 @@ def temporal_split(df: DataFrame, time: str, train: float = 0.70, valid: float =
     return df.crossJoin(F.broadcast(cuts)).withColumn("split", which).drop("cuts")  # one row
 
 
+def hash_share(key: str, share: Column | float, seed: int = 42) -> Column:
+    """True for a hashed share of keys: by the first eight hex digits of the MD5 of seed and key, which any engine can redo."""
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, 8)
+    bound = F.lit(share) if isinstance(share, float) else share
+    limit = F.floor(bound * F.lit(float(1 << 32))).cast("long")
+    return F.when(limit >= 1 << 32, True).otherwise(digits < F.lower(F.lpad(F.hex(limit), 8, "0")))
+
+
 def hash_split(df: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:
-    """Adds `in_train` by a hash of the key, so that a key's rows stay together whatever the layout."""
-    return df.withColumn("in_train", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) < int(share * 1_000_000))
+    """Adds `in_train` by a hash of the key, so that a key's rows stay together whatever the layout; null keys are not in it."""
+    return df.withColumn("in_train", F.coalesce(hash_share(key, float(share), seed), F.lit(False)))
 
 
 def sample_users(df: DataFrame, user: str, share: float, seed: int = 42) -> DataFrame:
     """All rows of a hashed share of users: a filter, with no join and no shuffle."""
     return hash_split(df, user, share, seed).filter("in_train").drop("in_train")
+
+
+def stratified_sample(df: DataFrame, by: str, shares: dict, key: str, seed: int = 42) -> DataFrame:
+    """Rows by a share for each value of `by` (0 where none is given), picked by a hash of the row's key."""
+    entries = [F.lit(x) for pair in shares.items() for x in (pair[0], float(pair[1]))]
+    share = F.coalesce(F.try_element_at(F.create_map(*entries), F.col(by)), F.lit(0.0))
+    return df.filter(F.coalesce(hash_share(key, share, seed), F.lit(False)))

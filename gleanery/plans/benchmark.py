@@ -33,6 +33,34 @@ def timed(df: DataFrame, repeats: int = 3) -> float:
     return median(times)
 
 
+def pandas_workloads(key: str, order: list[str], value: str, text: str) -> dict:
+    """The same three workloads on a pandas frame."""
+    return {
+        "group": lambda d: d.groupby(key)[value].agg(["size", "mean"]),
+        "history": lambda d: d.sort_values([key, *order]).groupby(key)[value].transform(lambda v: v.shift().expanding().mean()),
+        "scan": lambda d: (d[text].str.contains(r"\d", na=False).sum(), d[text].str.len().sum()),
+    }
+
+
+def sweep(df: DataFrame, key: str, order: list[str], value: str, text: str, sizes: tuple[int, ...] = (1_000, 10_000, 100_000), repeats: int = 3) -> DataFrame:
+    """(workload, rows, spark_s, other_s): median seconds of each workload on the first `sizes` rows, here and in pandas, which holds them on the driver."""
+    found, spark = [], df.sparkSession
+    there = df.count()
+    for n in sorted({min(n, there) for n in sizes}):
+        part = df.limit(n).persist()
+        local = part.toPandas()
+        plans = {"group": group_by(part, key, [value]), "history": windowed_history(part, key, order, value), "scan": text_scan(part, text)}
+        for name, run in pandas_workloads(key, order, value, text).items():
+            times = []
+            for k in range(repeats + 1):
+                start = perf_counter()
+                run(local)
+                times += [perf_counter() - start] if k else []
+            found.append((name, n, timed(plans[name], repeats), median(times)))
+        part.unpersist()
+    return spark.createDataFrame(found, "workload string, rows long, spark_s double, other_s double")
+
+
 def crossover(results: DataFrame) -> DataFrame:
     """From (workload, rows, spark_s, other_s): the least rows at which Spark is faster, and whether its ratio falls."""
     ratio = F.col("spark_s") / F.col("other_s")

@@ -174,6 +174,44 @@ def test_graph_summary_is_of_all_orders(spark, tmp_path):
     assert (row.vertices, row.reviewers, row.products, row.edges, row.components, row.largest) == (6, 3, 3, 6, 2, 4)
 
 
+def test_interaction_model_finds_planted_moderation(spark):
+    """Depth helps search goods more, so its interaction with experience is negative."""
+    rng = np.random.default_rng(4)
+    n = 4000
+    kind = rng.random(n) < 0.5
+    depth, extremity = rng.normal(size=n), rng.normal(size=n)
+    eta = -0.5 + depth * np.where(kind, 0.2, 1.2) + 0.3 * extremity
+    label = (rng.random(n) < 1 / (1 + np.exp(-eta))).astype(int)
+    rows = [(float(d), float(e), "experience" if k else "search", int(y), float(i % 3 == 0), float(i % 4 == 0)) for i, (d, e, k, y) in enumerate(zip(depth, extremity, kind, label))]
+    df = spark.createDataFrame(rows, "log_review_length double, rating_extremity double, product_type string, label int, verified_int double, has_images double")
+    found = {r["term"]: r for r in stats.interaction_model(df)}
+    assert found["depth_x_experience"]["coefficient"] < -0.7 and found["depth_x_experience"]["hypothesis"] == "supported"
+    assert found["extremity_x_experience"]["hypothesis"] == "not supported" or abs(found["extremity_x_experience"]["coefficient"]) < 0.3
+    assert stats.interaction_model(df.limit(500)) == []
+    # effects at the mean by finite differences
+    fit = {r["term"]: r for r in stats.logit(df.select("label", "log_review_length", "rating_extremity"), ["log_review_length", "rating_extremity"])}
+    beta = np.array([fit[t]["coefficient"] for t in ("intercept", "log_review_length", "rating_extremity")])
+    at = np.array([1.0, depth.mean(), extremity.mean()])
+    p = lambda x: 1 / (1 + np.exp(-x @ beta))
+    step = np.array([0, 1e-5, 0])
+    assert fit["log_review_length"]["effect_at_mean"] == pytest.approx((p(at + step) - p(at - step)) / 2e-5, rel=1e-4)
+
+
+def test_replication_needs_rows_and_counts_verdicts(spark):
+    frame = spark.createDataFrame([(0.1 * i, float(i % 5), "search", i % 2) for i in range(50)], "log_review_length double, rating_extremity double, product_type string, label int").withColumns({c: F.lit(0.5) for c in ("flesch_reading_ease", "log_prior_review_count", "type_token_ratio", "rating_deviation_from_product", "sentiment_polarity", "log_exposure_days", "verified_int", "has_images")}).withColumn("arrival_position", F.lit(1))
+    out = stats.replication(spark, frame, stats.registry_table(spark))
+    assert [tuple(r) for r in stats.verdict_counts(out).collect()] == [("NOT TESTABLE", 12, 1.0)]
+
+
+def test_samples_by_hash(spark):
+    df = spark.range(4000).withColumn("g", F.when(F.col("id") % 2 == 0, "a").otherwise("b"))
+    some = history.stratified_sample(df, "g", {"a": 0.25, "b": 1.0}, "id")
+    n = {r.g: r["count"] for r in some.groupBy("g").count().collect()}
+    assert n["b"] == 2000 and 420 < n["a"] < 580
+    assert history.stratified_sample(df, "g", {"c": 1.0}, "id").count() == 0
+    assert sorted(r.id for r in some.repartition(3).collect()) == sorted(r.id for r in some.collect())
+
+
 def test_running_totals_equal_a_plain_scan(spark):
     rng = random.Random(3)
     keys = [None, *{round(rng.gauss(0, 50), 2) for _ in range(700)}]
