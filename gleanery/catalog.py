@@ -660,7 +660,7 @@ def interaction_model(spark, sf_dir):
 _CLAIMS = ", ".join(f"({f.id!r}, {f.claim!r}, {f.term!r}, {f.expected!r}, " + (f"{f.requires!r}" if f.requires else "NULL") + f", {f.source!r}, {f.scale!r})" for f in stats.REGISTRY)
 
 
-@_query(f"SELECT * FROM (VALUES {_CLAIMS.replace(chr(34), chr(39))}) AS t(id, claim, term, expected, requires, source, scale)")
+@_query(f"SELECT * FROM (VALUES {_CLAIMS}) AS t(id, claim, term, expected, requires, source, scale)")
 def registry_table(spark, sf_dir):
     return stats.registry_table(spark)
 

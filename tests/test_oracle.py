@@ -1,4 +1,4 @@
-"""Every query with SQL against DuckDB, on the smallest tables."""
+"""Every query of the engine with SQL against DuckDB, on the two smaller tables; those of gleanery/llm are in tests/llm."""
 
 import math
 import os
@@ -9,6 +9,7 @@ import pytest
 from gleanery import catalog
 
 SF = "/root/testdata/sf0.001"
+SIZES = [SF, "/root/testdata/sf0.01"]
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -20,17 +21,18 @@ def plain(v):
     return tuple(map(plain, v)) if isinstance(v, (list, tuple)) else v
 
 
-@pytest.fixture(scope="module")
-def duck():
-    c = duckdb.connect()
+@pytest.fixture(scope="module", params=SIZES)
+def tables(request):
+    duck = duckdb.connect()
     for t in TABLES:
-        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    return c
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{request.param}/{t}.parquet'")
+    return request.param, duck
 
 
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
-def test_query_equals_sql(spark, duck, name):
-    df = catalog.queries()[name](spark, SF)
+def test_query_equals_sql(spark, tables, name):
+    sf, duck = tables
+    df = catalog.queries()[name](spark, sf)
     names = sorted(df.columns)
     got = sorted(str(tuple(plain(r[c]) for c in names)) for r in df.collect())
     found = duck.execute(catalog.oracle_sql()[name])
