@@ -7,9 +7,11 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, chat, decontaminate, jaccard, licenses, passages, quality, suffixdedup, toxicity, unigram
+from .textcore import bounded_batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 SLICE_BYTES = 2 << 20
+ARROW_ROWS = 1_000
 PAD = 8
 
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -162,6 +163,13 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of ARROW_ROWS texts, where the session has Spark's own 10,000: Python workers and buffers then hold a tenth as much."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut at files in the shared folder."""
     shared_folder(df.sparkSession)
