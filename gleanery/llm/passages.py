@@ -50,7 +50,7 @@ from .anchors import window_least
 from .components import components
 from .members import bloom_words, maybe_in
 from .spans import joined, last_change, once_a_row
-from .textcore import LOWER_ASCII, NOT_SPACE, chain, cut, mix, span_hash, text_slices, word_spans
+from .textcore import LOWER_ASCII, NOT_SPACE, chain, cut, mix, one_of, span_hash, text_slices, word_spans
 
 SHINGLE = 5
 TOKENS = 46
@@ -483,13 +483,13 @@ def _joined_spans(batches):
         yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.int64()))], names=[*part.schema.names[:-1], "n_removed", "spans"])
 
 
-def _without(columns: list[str]):
-    """A map that cuts the spans in `repeats` (the last column but one) out of `text` and gives their counts."""
+def _without(columns: list[str], names: tuple[str, str, str]):
+    """A map that cuts the spans in the last column out of `text` and gives their counts under `names`."""
 
     def run(batches):
         for part, data, offsets in text_slices(batches, "text"):
             starts, ends, begin = word_spans(data, offsets, NOT_SPACE)
-            raw, lists = data.tobytes(), part.column(part.schema.get_field_index("repeats"))
+            raw, lists = data.tobytes(), part.column(len(columns))
             words, at = np.diff(begin), part.schema.get_field_index("text")
             given = part.column(at).is_valid().to_pylist()
             text, removed, spans = [], [], []
@@ -506,21 +506,24 @@ def _without(columns: list[str]):
                 text.append(b"".join(raw[i:j] for i, j in zip([a, *cut_to], [*cut_from, b], strict=True)))
                 removed.append(int((end - start).sum()))
                 spans.append(np.stack([start, end], 1).ravel().tolist())
-            made = [pa.array(text, pa.binary()).cast(pa.string()) if k == at else c for k, c in enumerate(part.columns) if part.schema.names[k] != "repeats"]
-            yield pa.RecordBatch.from_arrays([*made, pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.int64()))], names=[*columns, "n_words", "n_removed", "spans"])
+            made = [pa.array(text, pa.binary()).cast(pa.string()) if k == at else c for k, c in enumerate(part.columns[: len(columns)])]
+            yield pa.RecordBatch.from_arrays([*made, pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.int64()))], names=[*columns, *names])
 
     return run
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """The rows with repeated passages cut out of `text`, and n_words, n_removed and spans (first and end word of each cut, in turn).
+def without_repeats(docs: DataFrame, names: tuple[str, str, str] = ("n_words", "n_removed", "spans")) -> DataFrame:
+    """The rows with repeated passages cut out of `text`, and under `names` their words, words removed and spans (first and end word of each cut, in turn); an input column of such a name is replaced.
 
     Rows without repeats, as a Bloom filter of those with them says, are not shuffled.
     """
-    own = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed", "spans", "doc", "text_key", "repeats")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in own], *_keyed(docs))
-    spans = cut(_word_spans_of(repeated_passages(docs.select("doc_id", "text"))).drop("others"))
-    shared = docs.sparkSession.sparkContext.broadcast(bloom_words(spans.select(F.xxhash64("doc", "text_key").alias("h"))))
+    own = [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
+    doc, text_key, mark = (one_of([*own, *names, "repeats"], c) for c in ("doc", "text_key", "hash"))
+    number, key = _keyed(docs)
+    rows = docs.select(*[F.col(f"`{c}`") for c in own], number.alias(doc), key.alias(text_key))
+    found = repeated_passages(docs.select("doc_id", "text"))
+    spans = cut(_word_spans_of(found).drop("others").withColumnsRenamed({"doc": doc, "text_key": text_key, "repeats": f"{doc}_repeats"}))
+    shared = docs.sparkSession.sparkContext.broadcast(bloom_words(spans.select(F.xxhash64(doc, text_key).alias("h"))))
     kinds = dict(docs.dtypes)
     given = ", ".join(f"`{c}` {kinds[c]}" for c in own)
 
@@ -530,13 +533,13 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 held = maybe_in(shared.value, np.asarray(batch.column(batch.num_columns - 1)))
                 yield batch.take(pa.array(np.flatnonzero(held == wanted))).select(range(batch.num_columns - 1))
 
-        hashed = rows.select(*[F.col(f"`{c}`") for c in rows.columns], F.xxhash64("doc", "text_key").alias("_h"))
-        return hashed.mapInArrow(run, f"{given}, doc long, text_key long")
+        hashed = rows.select(*[F.col(f"`{c}`") for c in rows.columns], F.xxhash64(doc, text_key).alias(mark))
+        return hashed.mapInArrow(run, f"{given}, `{doc}` long, `{text_key}` long")
 
-    with_spans = picked(True).join(spans, ["doc", "text_key"], "left").select(*[F.col(f"`{c}`") for c in own], "repeats")
-    without = picked(False).select(*[F.col(f"`{c}`") for c in own], F.lit(None).cast("array<struct<first:bigint,end:bigint>>").alias("repeats"))
-    made = f"{given}, n_words long, n_removed long, spans array<long>"
-    return with_spans.mapInArrow(_without(own), made).unionByName(without.mapInArrow(_without(own), made))
+    with_spans = picked(True).join(spans, [doc, text_key], "left").select(*[F.col(f"`{c}`") for c in own], f"{doc}_repeats")
+    without = picked(False).select(*[F.col(f"`{c}`") for c in own], F.lit(None).cast("array<struct<first:bigint,end:bigint>>").alias(f"{doc}_repeats"))
+    made = f"{given}, `{names[0]}` long, `{names[1]}` long, `{names[2]}` array<long>"
+    return with_spans.mapInArrow(_without(own, names), made).unionByName(without.mapInArrow(_without(own, names), made))
 
 
 def passage_classes(docs: DataFrame) -> DataFrame:

@@ -41,3 +41,30 @@ def test_stages_take_effect_in_turn(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == set(seen["decontamination"])
     assert all(r.n_tokens == len(r.token_ids) for r in out)
+
+
+def test_stages_with_empty_tables_nulls_and_other_columns(spark, tmp_path):
+    """Empty documents, labels or benchmark; repeated rows; columns named like what the stages add."""
+    write(spark, str(tmp_path))
+    full = catalog.table(spark, str(tmp_path), "documents")
+    more = full.union(full.limit(60)).selectExpr("doc_id", "text", "lang", "source", "n_chars", "1 AS Score", "2 AS stays", "3 AS n_removed", "4 AS Spans", "5 AS match_items", "6 AS token_ids", "7 AS doc", "8 AS text_key")
+    more = more.union(spark.createDataFrame([(None, "no id " * 30, None, None, None, *range(1, 9))], more.schema))
+    frame, names = more, more.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        frame = stage(spark, frame, str(tmp_path))
+        assert frame.columns == names, name
+        frame = spark.createDataFrame(frame.collect(), frame.schema)
+    rows = frame.collect()
+    assert len({r.doc_id for r in rows}) == len(rows) and all((r.Score, r.stays, r.text_key) == (1, 2, 8) for r in rows)
+    assert sum(r.doc_id is None for r in rows) == 1
+    last = corpus_pipeline.STAGES[-1][1](spark, frame, str(tmp_path))
+    assert {"doc_id", "Score", "doc", "n_tokens"} <= set(last.columns) and last.count() == len(rows)
+    empty = tmp_path / "empty"
+    for name in ("documents", "labels", "benchmark"):
+        catalog.table(spark, str(tmp_path), name).limit(0).write.parquet(f"{empty}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
+    nothing = tmp_path / "nothing"
+    full.write.parquet(f"{nothing}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        catalog.table(spark, str(tmp_path), name).limit(0).write.parquet(f"{nothing}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(nothing)).count() == full.count() - 1
