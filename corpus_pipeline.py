@@ -34,10 +34,11 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages that an earlier document has; drops documents of which no word is left."""
-    cut = passages.without_repeats(docs)
+    words, removed, spans = (one_of(docs.columns, c) for c in ("n_words", "n_removed", "spans"))
+    cut = passages.without_repeats(docs, (words, removed, spans))
     length = {c: F.length("text").cast(t) for c, t in docs.dtypes if c == "n_chars"}
-    counts = [F.when(F.col("n_removed") > 0, length[c]).otherwise(F.col(c)).alias(c) if c in length else F.col(f"`{c}`") for c in docs.columns]
-    return cut.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words"))).select(*counts)
+    counts = [F.when(F.col(removed) > 0, length[c]).otherwise(F.col(c)).alias(c) if c in length else F.col(f"`{c}`") for c in docs.columns]
+    return cut.filter((F.col(removed) == 0) | (F.col(removed) < F.col(words))).select(*counts)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
