@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spans import joined
-from .textcore import ALNUM_OR_HIGH, LOWER_ASCII, span_hash, text_slices, utf8, word_spans
+from .textcore import ALNUM_OR_HIGH, LOWER_ASCII, one_of, span_hash, text_slices, utf8, word_spans
 
 WINDOW = 13
 BLOCK_BYTES = 8 << 20
@@ -223,8 +223,10 @@ def _contaminated(hit, words):
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of which less than a twentieth of the words repeat a benchmark window; columns as given."""
-    return find_matches(docs, benchmark).filter(~_contaminated(_hit_words(), F.col("match_words"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of which less than a twentieth of the words repeat a benchmark window; columns as given, those named like the matches too."""
+    aside = {c: one_of([*docs.columns, *_MADE], f"own_{c}") for c in docs.columns if c.lower() in _MADE}
+    found = find_matches(docs.withColumnsRenamed(aside), benchmark).filter(~_contaminated(_hit_words(), F.col("match_words")))
+    return found.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
