@@ -16,12 +16,17 @@ _EDGE_L, _EDGE_R = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 
 def _runs(text: Column, pattern: str) -> Column:
     """How often the pattern matches."""
-    return (F.size(F.split(text, pattern)) - 1).cast("double")
+    return F.regexp_count(text, F.lit(pattern)).cast("double")
 
 
-def _dropped(text: Column, pattern: str) -> Column:
-    """How many characters match the one-character pattern."""
-    return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("double")
+def _dropped(text: Column, members: str) -> Column:
+    """How many characters are of a class."""
+    return (F.length(text) - F.length(F.regexp_replace(text, f"[{members}]+", ""))).cast("double")
+
+
+def _times(text: Column, mark: str) -> Column:
+    """How often one ASCII character stands in a text."""
+    return (F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))).cast("double")
 
 
 def _at_least_one(x: Column) -> Column:
@@ -32,8 +37,18 @@ def word_count(text: Column) -> Column:
     return F.when(F.trim(text) == "", 0.0).otherwise(F.size(F.split(F.trim(text), r"\s+")).cast("double"))
 
 
+def any_of(words: list[str]) -> str:
+    """A pattern of the words by common beginnings, so that a text's word is compared letter by letter and not word by word."""
+    heads: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        heads.setdefault(w[:1], []).append(w[1:])
+    ways = [h + any_of(rest) if h else "" for h, rest in heads.items() if h] + ([""] if "" in heads else [])
+    return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
+
+
 def lexicon_hits(text: Column, words: list[str]) -> Column:
-    return _runs(text, f"(?i){_EDGE_L}({'|'.join(words)}){_EDGE_R}")
+    """How many of a text's words are in the list, in any case of ASCII letters."""
+    return _runs(text, f"(?i){_EDGE_L}{any_of(words)}{_EDGE_R}")
 
 
 def structural(df: DataFrame, text: str = "text", title: str = "title", images: str = "images") -> DataFrame:
@@ -51,11 +66,11 @@ def lexical(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumns({
         "type_token_ratio": F.size(F.array_distinct(F.split(F.lower(F.trim(t)), r"\s+"))).cast("double") / words,
         "long_word_ratio": _runs(t, _EDGE_L + r"\w{7,}" + _EDGE_R) / words,
-        "uppercase_ratio": _dropped(t, "[A-Z]") / chars,
-        "digit_ratio": _dropped(t, "[0-9]") / chars,
-        "punctuation_density": _dropped(t, r"[^\w\s]") / chars,
-        "exclamation_count": _dropped(t, "!"),
-        "question_count": _dropped(t, r"\?"),
+        "uppercase_ratio": _dropped(t, "A-Z") / chars,
+        "digit_ratio": _dropped(t, "0-9") / chars,
+        "punctuation_density": _dropped(t, r"^\w\s") / chars,
+        "exclamation_count": _times(t, "!"),
+        "question_count": _times(t, "?"),
         "flesch_reading_ease": 206.835 - 1.015 * F.col("review_word_count") / _at_least_one(F.col("sentence_count")) - 84.6 * syllables / words,
     })
 
