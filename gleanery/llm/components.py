@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,3 +47,39 @@ def cells(items: DataFrame, key: str, item: str, most: int) -> DataFrame:
     block = F.pmod(F.xxhash64(item), F.col("_k"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1))
     return dealt.withColumn("_b", block).withColumn("_o", other).withColumn("cell", F.struct(F.col(key).alias("k"), F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"))).drop("_n", "_k", "_b", "_o")
+
+
+DRAWN = 4
+
+
+def connections(items: DataFrame, key: str, item: str, most: int, compare: Callable[[DataFrame], DataFrame], members: DataFrame | None = None) -> DataFrame:
+    """(a, b): edges that connect what links connect among the items of each key.
+
+    `members` has the key of every item where that is cheaper to count.  `compare` takes items with a column `cell` (k, i, j) and returns enough
+    edges to connect all linked items of each cell.  A key of up to `most` items
+    is one cell.  The items of a larger one are dealt into blocks and compared
+    within them; then a few of each component so found are compared with those
+    of the others; and only keys that still have several components deal all
+    their items over pairs of blocks.  A group of near copies, however large,
+    is one component after the second step, at a cost in proportion to it.
+    """
+    counts = cut((items if members is None else members).groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > most))
+    alone = lambda df, block: df.withColumn("cell", F.struct(F.col(key).alias("k"), block.alias("i"), block.alias("j")))
+    whole = F.lit(0).cast("long")
+    if not counts.limit(1).count():
+        return compare(alone(items, whole))
+    small = compare(alone(items.join(counts, key, "left_anti"), whole))
+    columns = items.columns
+    large = items.join(counts, key)
+    within = cut(compare(alone(large, F.pmod(F.xxhash64(item), F.ceil(F.col("_n") / most))).drop("_n")))
+    known = components(within).withColumnsRenamed({"node": item, "root": "_root"})
+    named = large.drop("_n").join(known, item, "left").withColumn("_root", F.coalesce("_root", F.col(item)))
+    drawn = F.array_distinct(F.array(*[F.min_by(F.struct(*columns), F.xxhash64(item, F.lit(k))) for k in range(DRAWN)]))
+    few = named.groupBy(key, "_root").agg(drawn.alias("_few")).select(F.explode("_few").alias("_x")).select("_x.*")
+    between = cut(compare(cells(few, key, item, most)))
+    both = within.unionByName(between)
+    known = components(both).withColumnsRenamed({"node": item, "root": "_root"})
+    roots = large.select(key, item).join(known, item, "left").select(key, F.coalesce("_root", F.col(item)).alias("_root"))
+    open_ = cut(roots.groupBy(key).agg(F.min("_root").alias("_a"), F.max("_root").alias("_b")).filter("_a <> _b").select(key))
+    rest = compare(cells(items.join(open_, key, "left_semi"), key, item, most))
+    return small.unionByName(both).unionByName(rest)

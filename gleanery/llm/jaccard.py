@@ -15,9 +15,9 @@ one shingle where there are fewer).  Documents link when
    a dual traversal drops pairs of tree nodes by the most that they can share
    or as already joined, and leaves are compared exactly.
 
-Groups of more than MAX_GROUP nodes are dealt over pairs of blocks, and the
-nodes of a shingle are streamed beyond HELD_NODES, so no task holds an unbounded
-group.  Shingles are 64-bit hashes, sets 128-bit digests.  Only the texts of
+Groups of more than MAX_GROUP nodes are dealt into blocks and connected in steps
+(see `components.connections`), and the nodes of a shingle are streamed beyond
+HELD_NODES, so no task holds an unbounded group.  Shingles are 64-bit hashes, sets 128-bit digests.  Only the texts of
 clustered nodes are shuffled: a Bloom filter of bounded size picks them before.
 
 Null or empty texts, and texts without words, have no set: n_shingles 0 and
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .components import cells, components
+from .components import components, connections
 from .members import bloom_words, maybe_in
 from .textcore import LOWER_ASCII, NOT_SPACE, binaries, cut, mix, one_of, shingle_sets, span_hash, text_slices, word_spans
 
@@ -214,8 +214,7 @@ class Forest:
 
 def likely_links(groups: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): enough edges to connect all nodes of a group that size and parity bitmaps allow to link."""
-    rows = cells(groups, "grp", "node", MAX_GROUP).join(nodes.select("node", "n_shingles", "sketch"), "node")
-    flat = rows.select("cell.k", "cell.i", "cell.j", "node", "n_shingles", "sketch").repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "n_shingles")
+    sketched = nodes.select("node", "n_shingles", "sketch")
 
     def run(batches):
         left, right = [], []
@@ -244,7 +243,11 @@ def likely_links(groups: DataFrame, nodes: DataFrame, percent: int = PERCENT) ->
                 left, right = [], []
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    return flat.mapInArrow(run, "a long, b long")
+    def compare(celled: DataFrame) -> DataFrame:
+        flat = celled.select("cell.k", "cell.i", "cell.j", "node").join(sketched, "node")
+        return flat.select("k", "i", "j", "node", "n_shingles", "sketch").repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "n_shingles").mapInArrow(run, "a long, b long")
+
+    return connections(groups.select("grp", "node"), "grp", "node", MAX_GROUP, compare)
 
 
 def _may_link(x: np.ndarray, y: np.ndarray, total: int, percent: int) -> bool:
@@ -353,7 +356,6 @@ def exact_links(clusters: DataFrame, docs: DataFrame, nodes: DataFrame, shingle:
     wanted = cut(clusters.join(nodes.select("node", "digest", F.col("doc_id").alias("rep")), "node"))
     texts = _digested(docs.select("doc_id", "text"), bloom_words(wanted.select(F.xxhash64("rep").alias("h"))), shingle, "digest")
     one = texts.join(wanted, (texts["digest"] == wanted["digest"]) & texts["doc_id"].eqNullSafe(wanted["rep"])).select("root", "node", "text").dropDuplicates(["node"])
-    flat = cells(one, "root", "node", MAX_GROUP).select("cell.k", "cell.i", "cell.j", "node", "text").repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
 
     def run(batches):
         for table in grouped(batches, 3):
@@ -366,7 +368,10 @@ def exact_links(clusters: DataFrame, docs: DataFrame, nodes: DataFrame, shingle:
             if forest.edges:
                 yield pa.RecordBatch.from_arrays([pa.array([int(node[a]) for a, _ in forest.edges]), pa.array([int(node[b]) for _, b in forest.edges])], names=["a", "b"])
 
-    return flat.mapInArrow(run, "a long, b long")
+    def compare(celled: DataFrame) -> DataFrame:
+        return celled.select("cell.k", "cell.i", "cell.j", "node", "text").repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(run, "a long, b long")
+
+    return connections(one, "root", "node", MAX_GROUP, compare, clusters)
 
 
 def _placed(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -374,7 +379,7 @@ def _placed(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     rows = cut(profiles(docs, shingle, percent))
     filled = rows.filter("n_shingles > 0")
     nodes = cut(filled.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")).withColumn("node", F.monotonically_increasing_id()))
-    clusters = components(likely_links(sharing(nodes), nodes, percent))
+    clusters = components(likely_links(cut(sharing(nodes)), nodes, percent))
     roots = components(exact_links(clusters, docs, nodes, shingle, percent))
     named = nodes.select("node", "digest", "doc_id").join(roots, "node", "left").select("digest", "doc_id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
