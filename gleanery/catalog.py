@@ -55,7 +55,9 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EV = "OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
 
-@_query(f"SELECT event_type, count(*) AS events, round(avg(c), 6) AS avg_prior_count, round(avg(v), 6) AS avg_prior_value FROM (SELECT event_type, count(*) {_EV} AS c, avg(value) {_EV} AS v FROM events) GROUP BY event_type")
+@_query(f"""SELECT event_type, count(*) AS events, round(avg(c), 6) AS avg_prior_count, round(avg(v), 6) AS avg_prior_value
+  FROM (SELECT event_type, count(*) {_EV} AS c, avg(value) {_EV} AS v FROM events)
+  GROUP BY event_type""")
 def flagship_history_by_type(spark, sf_dir):
     return entry(spark, sf_dir)
 
@@ -65,7 +67,8 @@ def prior_history_user(spark, sf_dir):
     return _events_history(spark, sf_dir).select("event_id", "prior_count", F.round("prior_avg_value", 9).alias("prior_avg_value"))
 
 
-@_query("SELECT event_id, count(*) OVER w AS prior_count FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+@_query("""SELECT event_id, count(*) OVER w AS prior_count FROM events WINDOW w AS (PARTITION BY user_id
+  ORDER BY epoch_us(ts) RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def prior_history_strict(spark, sf_dir):
     rows = table(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
     return history.prior_history(rows, "user_id", ["us"], {}, "prior_count", strict=True).select("event_id", "prior_count")
@@ -82,13 +85,16 @@ def prior_history_item(spark, sf_dir):
     return _r6(rows.select(*_IDS, "product_prior_review_count", "product_prior_avg_rating"), "product_prior_avg_rating")
 
 
-@_query(f"SELECT event_id, CAST(count(*) {_EV} = 0 AS INT) AS is_first, round(ln(1 + count(*) {_EV}), 6) AS log_prior_count, round(coalesce(avg(value) {_EV}, 0.0), 9) AS prior_avg_value FROM events")
+@_query(f"""SELECT event_id, CAST(count(*) {_EV} = 0 AS INT) AS is_first, round(ln(1 + count(*) {_EV}), 6) AS log_prior_count,
+  round(coalesce(avg(value) {_EV}, 0.0), 9) AS prior_avg_value
+  FROM events""")
 def no_history_flags(spark, sf_dir):
     rows = history.no_history_flags(_events_history(spark, sf_dir), "prior_count", ["prior_avg_value"], "is_first")
     return _r6(rows.select("event_id", "is_first", "log_prior_count", F.round("prior_avg_value", 9).alias("prior_avg_value")), "log_prior_count")
 
 
-@_query(f"SELECT {_ID}, round(avg(helpful_vote) OVER (PARTITION BY user_id), 6) AS LEAKY_user_avg_helpful, count(*) OVER (PARTITION BY user_id) AS LEAKY_user_review_count FROM r")
+@_query(f"""SELECT {_ID}, round(avg(helpful_vote) OVER (PARTITION BY user_id), 6) AS LEAKY_user_avg_helpful, count(*) OVER (PARTITION BY user_id) AS LEAKY_user_review_count
+  FROM r""")
 def leaky_history(spark, sf_dir):
     return _r6(history.whole_history(reviews(spark, sf_dir), "user_id", "helpful_vote").select(*_IDS, "LEAKY_user_avg_helpful", "LEAKY_user_review_count"), "LEAKY_user_avg_helpful")
 
@@ -115,7 +121,8 @@ def hash_split(spark, sf_dir):
     return rows.groupBy("in_train").agg(F.count("*").alias("reviews"), F.countDistinct("user_id").alias("users"))
 
 
-@_query(f"SELECT product_type, count(*) AS reviews FROM r WHERE (product_type = 'search' AND {_hash_sql('l_orderkey', 0.5)}) OR (product_type = 'experience' AND {_hash_sql('l_orderkey', 0.1)}) GROUP BY 1")
+@_query(f"""SELECT product_type, count(*) AS reviews FROM r WHERE (product_type = 'search' AND {_hash_sql('l_orderkey', 0.5)}) OR (product_type = 'experience' AND {_hash_sql('l_orderkey', 0.1)})
+  GROUP BY 1""")
 def stratified_sample(spark, sf_dir):
     return history.stratified_sample(reviews(spark, sf_dir), "product_type", {"search": 0.5, "experience": 0.1}, "l_orderkey").groupBy("product_type").agg(F.count("*").alias("reviews"))
 
@@ -125,7 +132,8 @@ def corpus_manifest(spark, sf_dir):
     return manifest(reviews(spark, sf_dir))
 
 
-@_query("SELECT CAST(year(event_time) AS INT) AS year, count(*) AS reviews, round(avg(helpful_vote), 6) AS avg_votes, round(avg(CAST(helpful_vote >= 1 AS INT)), 6) AS share_any FROM r GROUP BY 1")
+@_query("""SELECT CAST(year(event_time) AS INT) AS year, count(*) AS reviews, round(avg(helpful_vote), 6) AS avg_votes, round(avg(CAST(helpful_vote >= 1 AS INT)), 6) AS share_any
+  FROM r GROUP BY 1""")
 def corpus_peek(spark, sf_dir):
     return _r6(peek(reviews(spark, sf_dir).withColumn("timestamp", F.col("ts"))), "avg_votes", "share_any")
 
@@ -147,24 +155,31 @@ f AS (SELECT *, row_number() OVER (PARTITION BY user_id, parent_asin, tm, early
 g AS (SELECT *, CASE WHEN early < 2 THEN early WHEN turn > 1 THEN 2 WHEN text IS NULL OR trim(text) = '' THEN 3 WHEN length(text) < 20 THEN 4 WHEN v < 0 THEN 5 ELSE 6 END AS stage FROM f)"""
 
 
-@_query(f"{_DIRTY} SELECT k AS step_no, step, (SELECT count(*) FROM g WHERE stage >= k) AS rows FROM (VALUES {', '.join(f'({k}, {s!r})' for k, s in enumerate(clean.STEPS))}) AS t(k, step), (SELECT 1 FROM r LIMIT 1)")
+@_query(f"""{_DIRTY} SELECT k AS step_no, step, (SELECT count(*) FROM g WHERE stage >= k) AS rows
+  FROM (VALUES {', '.join(f'({k}, {s!r})' for k, s in enumerate(clean.STEPS))}) AS t(k, step), (SELECT 1
+  FROM r LIMIT 1)""")
 def clean_audit(spark, sf_dir):
     return clean.audit(clean.staged(_dirty(spark, sf_dir), _IDS))
 
 
-@_query(f"{_DIRTY} SELECT user_id, count(*) AS n, CAST(sum(v) AS BIGINT) AS votes FROM g WHERE stage = 6 AND user_id IN (SELECT user_id FROM r) GROUP BY user_id")
+@_query(f"""{_DIRTY} SELECT user_id, count(*) AS n, CAST(sum(v) AS BIGINT) AS votes
+  FROM g WHERE stage = 6 AND user_id IN (SELECT user_id FROM r) GROUP BY user_id""")
 def cleaned_by_user(spark, sf_dir):
     return clean.clean(_dirty(spark, sf_dir), _IDS).groupBy("user_id").agg(F.count("*").alias("n"), F.sum("helpful_vote").alias("votes"))
 
 
-@_query("SELECT event_id, CASE WHEN t IN ('NA', 'null', 'None') THEN NULL ELSE t END AS token FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'NA' WHEN 1 THEN 'null' WHEN 2 THEN 'None' ELSE event_type END AS t FROM events)")
+@_query("""SELECT event_id, CASE WHEN t IN ('NA', 'null', 'None') THEN NULL ELSE t END AS token
+  FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'NA' WHEN 1 THEN 'null' WHEN 2 THEN 'None' ELSE event_type END AS t
+  FROM events)""")
 def na_token_null(spark, sf_dir):
     k = F.col("event_id") % 5
     token = F.when(k == 0, "NA").when(k == 1, "null").when(k == 2, "None").otherwise(F.col("event_type"))
     return table(spark, sf_dir, "events").select("event_id", clean.nullify(token).alias("token"))
 
 
-@_query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS k FROM lineitem) WHERE k = 1")
+@_query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+  ORDER BY l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS k FROM lineitem)
+  WHERE k = 1""")
 def dedupe_first(spark, sf_dir):
     from pyspark.sql import Window as W
 
@@ -172,12 +187,15 @@ def dedupe_first(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").withColumn("k", keep).filter("k = 1").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
 
-@_query(f"SELECT count(*) AS n, min(d) AS least, max(d) AS most, round(avg(ln(1 + d)), 6) AS avg_log FROM (SELECT CAST(date_diff('day', CAST(event_time AS DATE), DATE '{COLLECTED}') AS DOUBLE) AS d FROM r) WHERE d >= 365")
+@_query(f"""SELECT count(*) AS n, min(d) AS least, max(d) AS most, round(avg(ln(1 + d)), 6) AS avg_log
+  FROM (SELECT CAST(date_diff('day', CAST(event_time AS DATE), DATE '{COLLECTED}') AS DOUBLE) AS d
+  FROM r) WHERE d >= 365""")
 def exposure_censor(spark, sf_dir):
     return clean.exposure(reviews(spark, sf_dir), COLLECTED).agg(F.count("*").alias("n"), F.min("exposure_days").alias("least"), F.max("exposure_days").alias("most"), F.round(F.avg("log_exposure_days"), 6).alias("avg_log"))
 
 
-@_query("SELECT CAST(year(event_time) AS INT) AS year, count(*) AS n, round(avg(helpful_vote), 6) AS avg_votes, round(avg(CAST(helpful_vote >= 1 AS INT)), 6) AS share_any FROM r GROUP BY 1 HAVING count(*) >= 100")
+@_query("""SELECT CAST(year(event_time) AS INT) AS year, count(*) AS n, round(avg(helpful_vote), 6) AS avg_votes, round(avg(CAST(helpful_vote >= 1 AS INT)), 6) AS share_any
+  FROM r GROUP BY 1 HAVING count(*) >= 100""")
 def exposure_by_year(spark, sf_dir):
     return reviews(spark, sf_dir).groupBy(F.year("event_time").alias("year")).agg(F.count("*").alias("n"), F.round(F.avg("helpful_vote"), 6).alias("avg_votes"), F.round(F.avg((F.col("helpful_vote") >= 1).cast("int")), 6).alias("share_any")).filter("n >= 100")
 
@@ -188,12 +206,15 @@ def schema_align(spark, sf_dir):
     return align(rows).select("user_id", "title", "rating", "timestamp")
 
 
-@_query("SELECT label, count(*) AS n, round(avg(ln(1 + helpful_vote)), 6) AS avg_log FROM (SELECT *, CAST(helpful_vote >= 1 AS INT) AS label FROM r) GROUP BY label")
+@_query("""SELECT label, count(*) AS n, round(avg(ln(1 + helpful_vote)), 6) AS avg_log
+  FROM (SELECT *, CAST(helpful_vote >= 1 AS INT) AS label FROM r) GROUP BY label""")
 def targets_binary_log(spark, sf_dir):
     return clean.targets(reviews(spark, sf_dir)).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("log_helpful_vote"), 6).alias("avg_log"))
 
 
-@_query(f"SELECT {_ID}, count(*) OVER (PARTITION BY parent_asin) AS product_review_count, CASE WHEN count(*) OVER (PARTITION BY parent_asin) >= 5 THEN round(percent_rank() OVER (PARTITION BY parent_asin ORDER BY helpful_vote), 6) END AS within_product_pct_rank FROM r")
+@_query(f"""SELECT {_ID}, count(*) OVER (PARTITION BY parent_asin) AS product_review_count,
+  CASE WHEN count(*) OVER (PARTITION BY parent_asin) >= 5 THEN round(percent_rank() OVER (PARTITION BY parent_asin
+  ORDER BY helpful_vote), 6) END AS within_product_pct_rank FROM r""")
 def within_item_pct_rank(spark, sf_dir):
     return _r6(clean.item_percentile(reviews(spark, sf_dir), "parent_asin", "helpful_vote").select(*_IDS, "product_review_count", "within_product_pct_rank"), "within_product_pct_rank")
 
@@ -211,7 +232,9 @@ def unmapped_list(spark, sf_dir):
     return clean.product_type(reviews(spark, sf_dir).drop("product_type"), mapping=_TYPES).filter("product_type = 'unmapped'").select("Category").distinct()
 
 
-@_query("SELECT event_type, count(*) AS n, count(props) AS with_props FROM (SELECT event_type, props FROM events WHERE event_type IN ('click', 'view') UNION ALL SELECT event_type, NULL FROM events WHERE event_type NOT IN ('click', 'view')) GROUP BY event_type")
+@_query("""SELECT event_type, count(*) AS n, count(props) AS with_props FROM (SELECT event_type, props
+  FROM events WHERE event_type IN ('click', 'view') UNION ALL SELECT event_type, NULL
+  FROM events WHERE event_type NOT IN ('click', 'view')) GROUP BY event_type""")
 def union_categories_by_name(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     some = F.col("event_type").isin("click", "view")
@@ -219,7 +242,8 @@ def union_categories_by_name(spark, sf_dir):
     return union_categories(parts).groupBy("event_type").agg(F.count("*").alias("n"), F.count("props").alias("with_props"))
 
 
-@_query("SELECT Category, product_type, count(*) AS reviews, round(avg(helpful_vote), 6) AS avg_votes, round(100 * avg(CAST(helpful_vote >= 1 AS INT)), 6) AS pct_any FROM r GROUP BY 1, 2")
+@_query("""SELECT Category, product_type, count(*) AS reviews, round(avg(helpful_vote), 6) AS avg_votes, round(100 * avg(CAST(helpful_vote >= 1 AS INT)), 6) AS pct_any
+  FROM r GROUP BY 1, 2""")
 def category_descriptives(spark, sf_dir):
     rows = clean.targets(reviews(spark, sf_dir)).groupBy("Category", "product_type").agg(F.count("*").alias("reviews"), F.round(F.avg("helpful_vote"), 6).alias("avg_votes"), F.round(100 * F.avg("label"), 6).alias("pct_any"))
     return rows.orderBy(F.desc("reviews"), "Category")
@@ -278,31 +302,40 @@ def feature_lexicon(spark, sf_dir):
     return tx.sentiment(tx.structural(_docs(spark, sf_dir))).select("doc_id", "positive_hits", "negative_hits")
 
 
-@_query(f"WITH {_T}, h AS (SELECT *, {_hits(POSITIVE)} AS p, {_hits(NEGATIVE)} AS n FROM t) SELECT doc_id, round(p / w1, 6) AS sentiment_positive_ratio, round(n / w1, 6) AS sentiment_negative_ratio, round((p - n) / greatest(1.0::DOUBLE, p + n), 6) AS sentiment_polarity FROM h")
+@_query(f"""WITH {_T}, h AS (SELECT *, {_hits(POSITIVE)} AS p, {_hits(NEGATIVE)} AS n
+  FROM t) SELECT doc_id, round(p / w1, 6) AS sentiment_positive_ratio, round(n / w1, 6) AS sentiment_negative_ratio, round((p - n) / greatest(1.0::DOUBLE, p + n),
+  6) AS sentiment_polarity
+  FROM h""")
 def sentiment_ratios(spark, sf_dir):
     names = ["sentiment_positive_ratio", "sentiment_negative_ratio", "sentiment_polarity"]
     return _r6(tx.sentiment(tx.structural(_docs(spark, sf_dir))).select("doc_id", *names), *names)
 
 
-@_query(f"SELECT {_ID}, abs(rating - 3.0) AS rating_extremity, CAST(rating IN (1.0, 5.0) AS DOUBLE) AS is_extreme_rating, CAST(rating IN (2.0, 3.0, 4.0) AS DOUBLE) AS is_moderate_rating, CASE WHEN images = '[]' THEN 0.0 ELSE 1.0 END::DOUBLE AS has_images FROM r")
+@_query(f"""SELECT {_ID}, abs(rating - 3.0) AS rating_extremity, CAST(rating IN (1.0, 5.0) AS DOUBLE) AS is_extreme_rating,
+  CAST(rating IN (2.0, 3.0, 4.0) AS DOUBLE) AS is_moderate_rating, CASE WHEN images = '[]' THEN 0.0 ELSE 1.0 END::DOUBLE AS has_images
+  FROM r""")
 def feature_affective(spark, sf_dir):
     rows = tx.affective(tx.structural(reviews(spark, sf_dir), text="title"))
     return rows.select(*_IDS, "rating_extremity", "is_extreme_rating", "is_moderate_rating", "has_images")
 
 
-@_query(f"SELECT {_ID}, CAST(verified_purchase AS DOUBLE) AS verified_int, CASE WHEN c = 0 THEN 0.0::DOUBLE ELSE round(abs(rating - a), 6) END AS rating_deviation_from_product FROM (SELECT *, count(*) {_IT} AS c, avg(rating) {_IT} AS a FROM r)")
+@_query(f"""SELECT {_ID}, CAST(verified_purchase AS DOUBLE) AS verified_int, CASE WHEN c = 0 THEN 0.0::DOUBLE ELSE round(abs(rating - a), 6) END AS rating_deviation_from_product
+  FROM (SELECT *, count(*) {_IT} AS c, avg(rating) {_IT} AS a FROM r)""")
 def contextual_features(spark, sf_dir):
     rows = history.prior_history(reviews(spark, sf_dir), "parent_asin", ORDER, {"product_prior_avg_rating": "rating"}, "product_prior_review_count")
     rows = history.no_history_flags(rows, "product_prior_review_count", ["product_prior_avg_rating"], "is_first_review_of_product")
     return _r6(tx.contextual(rows).select(*_IDS, "verified_int", "rating_deviation_from_product"), "rating_deviation_from_product")
 
 
-@_query(f"WITH {_T}, s AS (SELECT unnest([{{'f': 'review_length', 'x': len}}, {{'f': 'review_word_count', 'x': wc}}, {{'f': 'sentence_count', 'x': sc}}]) AS u FROM t) SELECT u.f AS feature, round(avg(u.x), 6) AS mean, round(stddev_samp(u.x), 6) AS std, min(u.x) AS min, max(u.x) AS max FROM s GROUP BY 1")
+@_query(f"""WITH {_T}, s AS (SELECT unnest([{{'f': 'review_length', 'x': len}}, {{'f': 'review_word_count', 'x': wc}}, {{'f': 'sentence_count', 'x': sc}}]) AS u
+  FROM t) SELECT u.f AS feature, round(avg(u.x), 6) AS mean, round(stddev_samp(u.x), 6) AS std, min(u.x) AS min, max(u.x) AS max
+  FROM s GROUP BY 1""")
 def feature_summary(spark, sf_dir):
     return _r6(tx.feature_summary(tx.structural(_docs(spark, sf_dir)), ["review_length", "review_word_count", "sentence_count"]), "mean", "std")
 
 
-@_query("SELECT doc_id, quality, round(CASE WHEN quality = 1 THEN (SELECT count(*) FILTER (WHERE quality = 0) / count(*) FILTER (WHERE quality = 1) FROM labels) ELSE 1.0 END::DOUBLE, 6) AS weight FROM labels")
+@_query("""SELECT doc_id, quality, round(CASE WHEN quality = 1 THEN (SELECT count(*) FILTER (WHERE quality = 0) / count(*) FILTER (WHERE quality = 1)
+  FROM labels) ELSE 1.0 END::DOUBLE, 6) AS weight FROM labels""")
 def class_weights(spark, sf_dir):
     return _r6(ml.class_weights(table(spark, sf_dir, "labels"), "quality").select("doc_id", "quality", "weight"), "weight")
 
@@ -350,12 +383,15 @@ def roc_auc_baseline(spark, sf_dir):
     return _r6(metrics.roc_auc(metrics.curve(_labelled(spark, sf_dir), "label", "score")), "roc_auc")
 
 
-@_query(f"{_C} SELECT round(f1, 6) AS f1, s::DOUBLE AS threshold, round(tp::DOUBLE / (tp + fp), 6) AS precision, round(tp::DOUBLE / p, 6) AS recall FROM (SELECT *, 2.0::DOUBLE * tp / (tp + fp + p) AS f1 FROM c) ORDER BY f1 DESC, s DESC LIMIT 1")
+@_query(f"""{_C} SELECT round(f1, 6) AS f1, s::DOUBLE AS threshold, round(tp::DOUBLE / (tp + fp), 6) AS precision, round(tp::DOUBLE / p, 6) AS recall
+  FROM (SELECT *, 2.0::DOUBLE * tp / (tp + fp + p) AS f1 FROM c) ORDER BY f1 DESC, s DESC LIMIT 1""")
 def best_f1_baseline(spark, sf_dir):
     return _r6(metrics.best_f1(metrics.curve(_labelled(spark, sf_dir), "label", "score")), "f1", "precision", "recall")
 
 
-@_query("WITH l AS (SELECT doc_id, quality AS y, n_chars AS s FROM labels JOIN documents USING (doc_id)), k AS (SELECT y, row_number() OVER (ORDER BY s DESC, doc_id) AS i FROM l) SELECT round(avg(y) FILTER (WHERE i <= greatest(1, floor((SELECT count(*) FROM l) * 0.10))) / avg(y), 6) AS lift FROM k")
+@_query("""WITH l AS (SELECT doc_id, quality AS y, n_chars AS s FROM labels JOIN documents USING (doc_id)), k AS (SELECT y, row_number() OVER (ORDER BY s DESC, doc_id) AS i
+  FROM l) SELECT round(avg(y) FILTER (WHERE i <= greatest(1, floor((SELECT count(*)
+  FROM l) * 0.10))) / avg(y), 6) AS lift FROM k""")
 def lift_at_10(spark, sf_dir):
     return _r6(metrics.lift_at(_labelled(spark, sf_dir), "label", "score", "doc_id"), "lift")
 
@@ -380,7 +416,8 @@ def _stats(spark, sf_dir):
     return ranking.product_stats(reviews(spark, sf_dir), ["parent_asin"], "rating", "helpful_vote")
 
 
-@_query(f"{_P} SELECT parent_asin, n, round(a, 6) AS avg_rating, round(p, 6) AS p_positive, np AS n_positive, round(h, 6) AS avg_helpful FROM s WHERE parent_asin IN (SELECT parent_asin FROM r)")
+@_query(f"""{_P} SELECT parent_asin, n, round(a, 6) AS avg_rating, round(p, 6) AS p_positive, np AS n_positive, round(h, 6) AS avg_helpful
+  FROM s WHERE parent_asin IN (SELECT parent_asin FROM r)""")
 def product_stats(spark, sf_dir):
     return _r6(_stats(spark, sf_dir), "avg_rating", "p_positive", "avg_helpful")
 
@@ -426,17 +463,23 @@ def provenance_summary(spark, sf_dir):
     return _r6(provenance.summary(reviews(spark, sf_dir), "user_id", "parent_asin"), "reviews_per_reviewer", "reviews_per_product", "pct_single_review_users", "pct_single_review_products")
 
 
-@_query(f"SELECT analysis, CASE needs WHEN 'item' THEN rpp >= 1.5 WHEN 'user' THEN rpu >= 1.15 ELSE true END AS supported FROM (VALUES {', '.join(f'({a!r}, {n or str()!r})' for a, n in provenance.ANALYSES)}) AS t(analysis, needs), (SELECT count(*) / count(DISTINCT user_id) AS rpu, count(*) / count(DISTINCT parent_asin) AS rpp FROM r)")
+@_query(f"""SELECT analysis, CASE needs WHEN 'item' THEN rpp >= 1.5 WHEN 'user' THEN rpu >= 1.15 ELSE true END AS supported
+  FROM (VALUES {', '.join(f'({a!r}, {n or str()!r})' for a, n in provenance.ANALYSES)}) AS t(analysis, needs),
+  (SELECT count(*) / count(DISTINCT user_id) AS rpu, count(*) / count(DISTINCT parent_asin) AS rpp
+  FROM r)""")
 def support_matrix(spark, sf_dir):
     return provenance.support_matrix(provenance.summary(reviews(spark, sf_dir), "user_id", "parent_asin"))
 
 
-@_query("SELECT reviews_written, n_users, round(100.0 * n_users / sum(n_users) OVER (), 6)::DOUBLE AS pct_of_reviewers FROM (SELECT c AS reviews_written, count(*) AS n_users FROM (SELECT user_id, count(*) AS c FROM r GROUP BY 1) GROUP BY 1) ORDER BY reviews_written LIMIT 10")
+@_query("""SELECT reviews_written, n_users, round(100.0 * n_users / sum(n_users) OVER (), 6)::DOUBLE AS pct_of_reviewers
+  FROM (SELECT c AS reviews_written, count(*) AS n_users FROM (SELECT user_id, count(*) AS c
+  FROM r GROUP BY 1) GROUP BY 1) ORDER BY reviews_written LIMIT 10""")
 def reviewer_frequency(spark, sf_dir):
     return _r6(provenance.frequency(reviews(spark, sf_dir), "user_id"), "pct_of_reviewers")
 
 
-@_query("SELECT k, round(1 - pow(0.9::DOUBLE, k) - k * 0.1::DOUBLE * pow(0.9::DOUBLE, k - 1), 6) AS survives FROM (SELECT user_id, count(*) AS k FROM r GROUP BY 1) GROUP BY k")
+@_query("""SELECT k, round(1 - pow(0.9::DOUBLE, k) - k * 0.1::DOUBLE * pow(0.9::DOUBLE, k - 1), 6) AS survives
+  FROM (SELECT user_id, count(*) AS k FROM r GROUP BY 1) GROUP BY k""")
 def singleton_theory(spark, sf_dir):
     k = reviews(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("k")).select("k").distinct()
     return k.select("k", F.round(provenance.history_survives(F.lit(0.1), F.col("k")), 6).alias("survives"))
@@ -509,7 +552,8 @@ def graph_summary(spark, sf_dir):
     return _r6(graph.guards(graph.summary(e, graph.components(e)), reviews(spark, sf_dir)), "largest_share", "edge_share")
 
 
-@_query(f"{_label_sql(12)} SELECT c AS component, count(*) AS size, round(count(*)::DOUBLE / (SELECT count(*) FROM l12), 6) AS share FROM l12 GROUP BY c ORDER BY size DESC, c LIMIT 10")
+@_query(f"""{_label_sql(12)} SELECT c AS component, count(*) AS size, round(count(*)::DOUBLE / (SELECT count(*)
+  FROM l12), 6) AS share FROM l12 GROUP BY c ORDER BY size DESC, c LIMIT 10""")
 def component_top(spark, sf_dir):
     return _r6(graph.top_components(graph.components(_edges(spark, sf_dir))), "share")
 
@@ -615,13 +659,17 @@ def construct_contrast(spark, sf_dir):
     return study.construct_table(study.coefficient_table(spark, fits, types))
 
 
-@_query("SELECT Category, round(regr_slope(helpful_vote, rating), 6) AS slope, round(regr_intercept(helpful_vote, rating), 6) AS intercept, round(regr_r2(helpful_vote, rating), 6) AS r2 FROM r GROUP BY Category")
+@_query("""SELECT Category, round(regr_slope(helpful_vote, rating), 6) AS slope, round(regr_intercept(helpful_vote, rating), 6) AS intercept,
+  round(regr_r2(helpful_vote, rating), 6) AS r2
+  FROM r GROUP BY Category""")
 def linear_regression_simple(spark, sf_dir):
     y, x = F.col("helpful_vote"), F.col("rating")
     return reviews(spark, sf_dir).groupBy("Category").agg(F.round(F.regr_slope(y, x), 6).alias("slope"), F.round(F.regr_intercept(y, x), 6).alias("intercept"), F.round(F.regr_r2(y, x), 6).alias("r2"))
 
 
-@_query("SELECT count(*) AS n, round(sqrt(avg((helpful_vote - rating) * (helpful_vote - rating))), 6) AS rmse, round(avg(abs(helpful_vote - rating)), 6) AS mae, round(1 - avg((helpful_vote - rating) * (helpful_vote - rating)) / var_pop(helpful_vote), 6) AS r2 FROM r")
+@_query("""SELECT count(*) AS n, round(sqrt(avg((helpful_vote - rating) * (helpful_vote - rating))), 6) AS rmse, round(avg(abs(helpful_vote - rating)), 6) AS mae,
+  round(1 - avg((helpful_vote - rating) * (helpful_vote - rating)) / var_pop(helpful_vote), 6) AS r2
+  FROM r""")
 def regression_metrics(spark, sf_dir):
     return _r6(ml.regression_metrics(reviews(spark, sf_dir), "helpful_vote", "rating"), "rmse", "mae", "r2")
 
@@ -665,14 +713,20 @@ def registry_table(spark, sf_dir):
     return stats.registry_table(spark)
 
 
-@_query("SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'NOT TESTABLE' WHEN p >= 0.001 THEN 'FAILS' WHEN coef <= 0 THEN 'REVERSES' WHEN abs(coef / 100) < 0.01 THEN 'WEAKENS' ELSE 'REPLICATES' END AS verdict FROM (SELECT event_id, CAST(event_id % 5 - 2 AS DOUBLE) AS coef, (event_id % 3) / 1500.0::DOUBLE AS p FROM events)")
+@_query("""SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'NOT TESTABLE' WHEN p >= 0.001 THEN 'FAILS' WHEN coef <= 0 THEN 'REVERSES' WHEN abs(coef / 100) < 0.01 THEN 'WEAKENS' ELSE 'REPLICATES' END AS verdict
+  FROM (SELECT event_id, CAST(event_id % 5 - 2 AS DOUBLE) AS coef, (event_id % 3) / 1500.0::DOUBLE AS p
+  FROM events)""")
 def verdict_rule(spark, sf_dir):
     k = F.col("event_id")
     coef = F.when(k % 7 != 0, (k % 5 - 2).cast("double"))
     return table(spark, sf_dir, "events").select("event_id", stats.verdict(coef, (k % 3) / 1500.0, coef / 100, F.lit("positive")).alias("verdict"))
 
 
-@_query(f"WITH h AS (SELECT * FROM (SELECT *, count(*) {_IT} AS c, avg(rating) {_IT} AS a, count(*) OVER (PARTITION BY user_id ORDER BY {ORDER_SQL} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS u FROM r)) SELECT 'reviewer_history' AS requirement, round(avg(CAST(u > 0 AS DOUBLE)), 6) AS share, avg(CAST(u > 0 AS DOUBLE)) >= 0.1 AS testable FROM h UNION ALL SELECT 'product_history', round(avg(CAST(c > 0 AND rating <> a AS DOUBLE)), 6), avg(CAST(c > 0 AND rating <> a AS DOUBLE)) >= 0.1 FROM h".replace("WITH h AS", ", h AS"))
+@_query(f"""WITH h AS (SELECT * FROM (SELECT *, count(*) {_IT} AS c, avg(rating) {_IT} AS a, count(*) OVER (PARTITION BY user_id
+  ORDER BY {ORDER_SQL} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS u
+  FROM r)) SELECT 'reviewer_history' AS requirement, round(avg(CAST(u > 0 AS DOUBLE)), 6) AS share, avg(CAST(u > 0 AS DOUBLE)) >= 0.1 AS testable
+  FROM h UNION ALL SELECT 'product_history', round(avg(CAST(c > 0 AND rating <> a AS DOUBLE)), 6), avg(CAST(c > 0 AND rating <> a AS DOUBLE)) >= 0.1
+  FROM h""".replace("WITH h AS", ", h AS"))
 def testability_checks(spark, sf_dir):
     rows = history.prior_history(reviews(spark, sf_dir), "user_id", ORDER, {}, "prior_review_count")
     rows = history.no_history_flags(rows, "prior_review_count", [], "is_first_review_by_user")
@@ -684,7 +738,9 @@ def testability_checks(spark, sf_dir):
 _Z = "round((rating - avg(rating) OVER ()) / stddev_samp(rating) OVER (), 6)"
 
 
-@_query(f"SELECT {_ID}, CASE WHEN z = 0 THEN 0 ELSE z END AS z, CASE WHEN z = 0 OR product_type IS DISTINCT FROM 'experience' THEN 0 ELSE z END AS z_x_experience FROM (SELECT *, {_Z} AS z FROM r)")
+@_query(f"""SELECT {_ID}, CASE WHEN z = 0 THEN 0 ELSE z END AS z, CASE WHEN z = 0 OR product_type IS DISTINCT
+  FROM 'experience' THEN 0 ELSE z END AS z_x_experience FROM (SELECT *, {_Z} AS z
+  FROM r)""")
 def zscore_interaction(spark, sf_dir):
     rows = stats.standardised(reviews(spark, sf_dir).withColumn("z", F.col("rating")), ["z"])
     plain = lambda x: F.when(x == 0, 0.0).otherwise(x)  # noqa: E731  no negative zero
@@ -723,7 +779,8 @@ _S = rf"""WITH {_T}, f AS (SELECT doc_id, len, wc, sc, CAST(doc_id % 4 = 0 AS IN
  g AS (SELECT *, CAST(rating IN (1, 5) AS INT) AS ext FROM f), z AS (SELECT *, 1 / (1 + exp(-(-1.2::DOUBLE + 0.55::DOUBLE * least(ln(1 + len) / 5, 1.5::DOUBLE) + 0.30::DOUBLE * ttr + 0.25::DOUBLE * ver + 0.40::DOUBLE * img + 0.20::DOUBLE * least(dig * 50, 1.0::DOUBLE) - 0.15::DOUBLE * ext - 0.10::DOUBLE * least(exc / 5, 1.0::DOUBLE) - greatest(up - 0.1::DOUBLE, 0.0::DOUBLE)))) AS p FROM g)"""
 
 
-@_query(f"{_S} SELECT doc_id, round(p, 6) AS probability, CASE WHEN p < 0.15 THEN '{scorer.OUTLOOKS[0]}' WHEN p < 0.35 THEN '{scorer.OUTLOOKS[1]}' WHEN p < 0.6 THEN '{scorer.OUTLOOKS[2]}' ELSE '{scorer.OUTLOOKS[3]}' END AS verdict FROM z")
+@_query(f"""{_S} SELECT doc_id, round(p, 6) AS probability, CASE WHEN p < 0.15 THEN '{scorer.OUTLOOKS[0]}' WHEN p < 0.35 THEN '{scorer.OUTLOOKS[1]}' WHEN p < 0.6 THEN '{scorer.OUTLOOKS[2]}' ELSE '{scorer.OUTLOOKS[3]}' END AS verdict
+  FROM z""")
 def scorer_probability(spark, sf_dir):
     return _r6(scorer.score(_drafts(spark, sf_dir)).select("doc_id", "probability", "verdict"), "probability")
 
