@@ -121,10 +121,12 @@ def test_signature_tree_prunes_nothing_that_links():
     assert same(find) == same(lambda i: int(forest.root[i]))
 
 
-def test_components_of_a_long_path_and_a_star(spark):
-    edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
+@pytest.mark.parametrize("hub", [2000, 3])
+def test_components_of_a_long_path_and_a_star(spark, hub, monkeypatch):
+    monkeypatch.setattr("gleanery.llm.components.HUB", hub)
+    edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7)] + [(k, 300) for k in range(200, 240)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 160), 100)}
+    assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 160), 100), **dict.fromkeys([*range(200, 240), 300], 200)}
 
 
 def test_deep_shallow_orders_suffixes():
