@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, jaccard, licenses, passages, quality, suffixdedup, toxicity, unigram
+from . import bpe, chat, decontaminate, importance, jaccard, langid, licenses, negatives, passages, quality, suffixdedup, toxicity, unigram
 from .textcore import bounded_batches
 
 
@@ -65,6 +65,18 @@ def op10_quality(spark, sf_dir):
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_language(spark, sf_dir):
+    return langid.predicted_languages(table(spark, sf_dir, "documents"))
+
+
+def op12_importance(spark, sf_dir):
+    return importance.importance_ranks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_negatives(spark, sf_dir):
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_substring_dedup": op2_substring_dedup,
@@ -76,6 +88,9 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_chat": op9_chat,
     "op10_quality": op10_quality,
+    "op11_language": op11_language,
+    "op12_importance": op12_importance,
+    "op13_negatives": op13_negatives,
 }
 
 OP5_SQL = r"""
@@ -141,4 +156,36 @@ n AS (SELECT row, count(*) AS n, list_sort(list_distinct(list(k.id))) AS ids FRO
 SELECT doc_id, digest, k.id AS license_id, coalesce(n, 0) AS n_notices, coalesce(ids, CAST([] AS VARCHAR[])) AS notice_ids FROM d LEFT JOIN k ON k.d = digest LEFT JOIN n ON n.row = d.row
 """
 
-ORACLE_SQL = {"op1_licenses": OP1_SQL, "op5_decontamination": OP5_SQL, "op10_quality": OP10_SQL}
+OP12_SQL = r"""
+WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(CAST(i AS UBIGINT), CAST(range(8) AS UBIGINT[])), lambda c, x: xor(c >> 1, 3988292384 * (c & 1)))) AS t),
+every AS (
+  SELECT row_number() OVER () AS row, doc_id, text, FALSE AS aim FROM documents UNION ALL SELECT -row_number() OVER (), NULL, text, TRUE FROM benchmark),
+words AS (SELECT row, aim, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM every),
+runs AS (SELECT row, aim, array_to_string(w[s:s + k - 1], ' ') AS f FROM words, unnest([1, 2, 3]) AS o(k), unnest(range(1, len(w) - k + 2)) AS p(s)),
+kinds AS (SELECT DISTINCT f FROM runs),
+bytes AS (SELECT f, hex(f) AS h FROM kinds),
+crc AS (SELECT f, xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(range(0, len(h) // 2), lambda i: CAST(16 * (instr('0123456789ABCDEF', h[2 * i + 1]) - 1) + instr('0123456789ABCDEF', h[2 * i + 2]) - 1 AS UBIGINT))),
+    lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INT) + 1])), 4294967295) % 10000 AS bucket FROM bytes, tab),
+found AS (SELECT row, aim, bucket, count(*) AS n FROM runs JOIN crc USING (f) GROUP BY ALL),
+sums AS (SELECT bucket, sum(n) FILTER (NOT aim) AS s, sum(n) FILTER (aim) AS t FROM found GROUP BY bucket),
+alls AS (SELECT coalesce(sum(s), 0) AS all_s, coalesce(sum(t), 0) AS all_t FROM sums),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (all_s + 10000)::DOUBLE / ((s + 1)::DOUBLE * (all_t + 10000)::DOUBLE))) AS g FROM sums, alls WHERE s > 0),
+weight AS (SELECT row, sum(n * g) AS weight FROM found JOIN gain USING (bucket) WHERE NOT aim GROUP BY row),
+scored AS (SELECT row, doc_id, len(w) AS n_words, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || left(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM every JOIN words USING (row) LEFT JOIN weight USING (row) WHERE NOT every.aim),
+placed AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST) AS r, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, CAST(n_words + greatest(n_words - 1, 0) + greatest(n_words - 2, 0) AS BIGINT) AS n_features, weight, score, CASE WHEN r <= 5 * n // 100 THEN r END AS rank FROM scored LEFT JOIN placed USING (row)
+"""
+
+OP13_SQL = r"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+n AS (SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INT) AS rank, other AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT * FROM n WHERE rank <= 5
+"""
+
+ORACLE_SQL = {"op1_licenses": OP1_SQL, "op5_decontamination": OP5_SQL, "op10_quality": OP10_SQL, "op12_importance": OP12_SQL, "op13_negatives": OP13_SQL}
