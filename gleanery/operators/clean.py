@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import scan
+
 # Tokens that stand for a missing text, and the category taxonomy.
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 SEARCH = ["Cell Phones", "Cell_Phones_and_Accessories", "Electronics", "Office Products", "Tools and Home Improvement"]
@@ -59,10 +61,10 @@ def targets(df: DataFrame, votes: str = "helpful_vote", threshold: int = 1) -> D
     return df.withColumns({"label": (F.col(votes) >= threshold).cast("int"), "log_helpful_vote": F.log1p(votes)})
 
 
-def item_percentile(df: DataFrame, item: str, votes: str, min_rows: int = 5) -> DataFrame:
+def item_percentile(df: DataFrame, item: str, votes: str, min_rows: int = 5, most: int = scan.MOST) -> DataFrame:
     """product_review_count and the percent rank of votes within the item, null under min_rows; an evaluation target, never a feature."""
-    whole = W.partitionBy(item)
-    return df.withColumns({"product_review_count": F.count("*").over(whole), "within_product_pct_rank": F.when(F.count("*").over(whole) >= min_rows, F.percent_rank().over(whole.orderBy(votes)))})
+    rows = scan.percent_ranks(df, item, votes, "within_product_pct_rank", "product_review_count", most)
+    return rows.withColumn("within_product_pct_rank", F.when(F.col("product_review_count") >= min_rows, F.col("within_product_pct_rank")))
 
 
 def product_type(df: DataFrame, category: str = "Category", mapping: dict[str, str] | None = None) -> DataFrame:

@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import scan
 
-def prior_history(df: DataFrame, key: str, order: list[str], measures: dict[str, Column | str], count: str, strict: bool = False) -> DataFrame:
+
+def prior_history(df: DataFrame, key: str, order: list[str], measures: dict[str, Column | str], count: str, strict: bool = False, most: int = scan.MOST) -> DataFrame:
     """Count and averages over the rows of the same key strictly before each row.
 
     `order` must be total for a result that does not depend on the layout.  With
     `strict` rows of the same instant (the first of `order`) are left out too.
-    Averages without history are null.
+    Averages without history are null.  Keys of more than `most` rows are
+    scanned in ranges (operators/scan.py), so no task holds a whole large key.
     """
-    window = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    if strict:
-        window = W.partitionBy(key).orderBy(F.col(order[0]).cast("long")).rangeBetween(W.unboundedPreceding, -1)
-    return df.withColumns({count: F.count("*").over(window)} | {name: F.avg(value).over(window) for name, value in measures.items()})
+    value = {name: F.col(v) if isinstance(v, str) else v for name, v in measures.items()}
+    sums = {f"_s_{name}": v.cast("double") for name, v in value.items()} | {f"_c_{name}": F.when(v.isNotNull(), 1) for name, v in value.items()}
+    rows = scan.prior_sums(df, key, order, {count: F.lit(1), **sums}, most, strict)
+    return rows.withColumns({count: F.coalesce(count, F.lit(0)).cast("long")} | {name: F.col(f"_s_{name}") / F.col(f"_c_{name}") for name in measures}).drop(*sums)
 
 
 def no_history_flags(df: DataFrame, count: str, averages: list[str], flag: str) -> DataFrame:
@@ -25,14 +27,13 @@ def no_history_flags(df: DataFrame, count: str, averages: list[str], flag: str)
     return df.withColumns({flag: (F.col(count) == 0).cast("int"), f"log_{count}": F.log1p(count)} | {a: F.coalesce(F.col(a), F.lit(0.0)) for a in averages})
 
 
-def whole_history(df: DataFrame, key: str, value: str, prefix: str = "LEAKY_user") -> DataFrame:
+def whole_history(df: DataFrame, key: str, value: str, prefix: str = "LEAKY_user", most: int = scan.MOST) -> DataFrame:
     """Average and count over all rows of the key, present and future included; only to measure leakage."""
-    whole = W.partitionBy(key)
-    return df.withColumns({f"{prefix}_avg_helpful": F.avg(value).over(whole), f"{prefix}_review_count": F.count("*").over(whole)})
+    return scan.key_totals(df, key, {f"{prefix}_avg_helpful": F.avg(value), f"{prefix}_review_count": F.count("*")}, most)
 
 
-def arrival_position(df: DataFrame, item: str, order: list[str]) -> DataFrame:
-    return df.withColumn("arrival_position", F.row_number().over(W.partitionBy(item).orderBy(*order)))
+def arrival_position(df: DataFrame, item: str, order: list[str], most: int = scan.MOST) -> DataFrame:
+    return scan.positions(df, item, order, "arrival_position", most)
 
 
 def temporal_split(df: DataFrame, time: str, train: float = 0.70, valid: float = 0.85) -> DataFrame:
