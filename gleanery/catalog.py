@@ -12,7 +12,9 @@ from gleanery.adapters import COLLECTED, ORDER, ORDER_SQL, REVIEWS_SQL, reviews,
 from gleanery.functions import text as tx
 from gleanery.functions.lexicon import NEGATIVE, POSITIVE
 from gleanery.operators import clean, graph, history, metrics, provenance, ranking, segments
+from gleanery.operators.lineage import cut, new_folder, remove_folder
 from gleanery.plans import benchmark, ml, scorer, stats, study
+from gleanery.sources import layout, sketches
 from gleanery.sources.reviews import align, manifest, peek, union_categories
 
 QUERIES: dict = {}
@@ -132,6 +134,28 @@ def corpus_manifest(spark, sf_dir):
     return manifest(reviews(spark, sf_dir))
 
 
+@_query("SELECT Category, count(*) AS reviews, true AS users_within, true AS items_within FROM r GROUP BY Category")
+def sketch_manifest(spark, sf_dir):
+    """Counts from sketches of thirds of the corpus, merged; whether they lie within 6 % (about four standard errors) of exact ones."""
+    rows = reviews(spark, sf_dir).withColumn("timestamp", F.col("ts"))
+    parts = [sketches.sketched(rows.filter(F.col("l_orderkey") % 3 == k)) for k in range(3)]
+    found = sketches.estimates(sketches.merged(union_categories(parts))).withColumnsRenamed({"users": "_users", "items": "_items"})
+    near = lambda a, b: (F.abs(F.col(a) - F.col(b)) <= F.greatest(0.06 * F.col(b), F.lit(1.0)))
+    both = found.join(manifest(rows).drop("reviews"), "Category")
+    return both.select("Category", "reviews", near("_users", "users").alias("users_within"), near("_items", "items").alias("items_within"))
+
+
+@_query(ORACLE["prior_history_user"])
+def prior_history_laid_out(spark, sf_dir):
+    """The history of users over a table that is laid out by user: no exchange below the window."""
+    path = new_folder(spark, "by-user")
+    laid = layout.lay_out(table(spark, sf_dir, "events"), path, "user_id", ["ts", "event_id"], buckets=8)
+    found = history.prior_history(laid, "user_id", ["ts", "event_id"], {"prior_avg_value": "value"}, "prior_count")
+    out = cut(found.select("event_id", "prior_count", F.round("prior_avg_value", 9).alias("prior_avg_value")))
+    remove_folder(spark, path)
+    return out
+
+
 @_query("""SELECT CAST(year(event_time) AS INT) AS year, count(*) AS reviews, round(avg(helpful_vote), 6) AS avg_votes, round(avg(CAST(helpful_vote >= 1 AS INT)), 6) AS share_any
   FROM r GROUP BY 1""")
 def corpus_peek(spark, sf_dir):
@@ -162,6 +186,15 @@ def clean_audit(spark, sf_dir):
     return clean.audit(clean.staged(_dirty(spark, sf_dir), _IDS))
 
 
+@_query(ORACLE["clean_audit"])
+def clean_audit_written(spark, sf_dir):
+    """The audit as it is gathered while the cleaned rows are written."""
+    path = new_folder(spark, "cleaned")
+    out = clean.write_audited(spark, _dirty(spark, sf_dir), path, _IDS)
+    remove_folder(spark, path)
+    return out
+
+
 @_query(f"""{_DIRTY} SELECT user_id, count(*) AS n, CAST(sum(v) AS BIGINT) AS votes
   FROM g WHERE stage = 6 AND user_id IN (SELECT user_id FROM r) GROUP BY user_id""")
 def cleaned_by_user(spark, sf_dir):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -51,6 +51,24 @@ def audit(marked: DataFrame) -> DataFrame:
     return counts.select(pairs.alias("x")).select("x.*")
 
 
+def write_audited(spark: SparkSession, df: DataFrame, path: str, tiebreak: list[str], collected: str | None = None, min_days: int = MIN_EXPOSURE_DAYS, **kw) -> DataFrame:
+    """Writes the cleaned rows (with `collected` also censored by exposure) as Parquet, and returns the audit (step_no, step, rows).
+
+    The counts are gathered while the rows are written, so one job reads the
+    corpus once; with `collected` the audit ends in the step "exposed".
+    """
+    seen, kept = Observation("cleaning"), Observation("exposure")
+    marked = staged(df, tiebreak, **kw).observe(seen, *[F.count_if(F.col("stage") >= k).alias(str(k)) for k in range(len(STEPS))])
+    rows = marked.filter(F.col("stage") == len(STEPS) - 1).drop("stage").withColumn("event_time", F.timestamp_millis("timestamp"))
+    if collected:
+        rows = exposure(rows, collected, min_days=min_days)
+    rows.observe(kept, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+    counts = [(k, step, int(seen.get[str(k)])) for k, step in enumerate(STEPS)]
+    if collected:
+        counts.append((len(STEPS), "exposed", int(kept.get["n"])))
+    return spark.createDataFrame(counts, "step_no int, step string, rows long")
+
+
 def exposure(df: DataFrame, collected: str, event_time: str = "event_time", min_days: int = MIN_EXPOSURE_DAYS) -> DataFrame:
     """Rows visible for `min_days` or more before collection, with exposure_days and its log."""
     days = F.datediff(F.to_timestamp(F.lit(collected)), F.col(event_time)).cast("double")

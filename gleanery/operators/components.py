@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
+#: A node with more neighbours than HUB gets its minimum by a broadcast table, of the MAX_HUBS largest at most; the others by a join.
+HUB, MAX_HUBS = 2_000, 100_000
+
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut at files in spark.checkpoint.dir; a temporary folder only on one machine."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+def _with_least(rows: DataFrame, node: str, own: bool) -> DataFrame:
+    """Adds `low` to rows (node, other): the least other of the node, or the node itself if `own` and less.
+
+    The rows of a hub meet its minimum where they are; only those of other
+    nodes are shuffled for it, so no task gets all edges of a hub.
+    """
+    other = next(c for c in rows.columns if c != node)
+    low = F.least(F.col(node), F.col("_low")) if own else F.col("_low")
+    least = rows.groupBy(node).agg(F.min(other).alias("_low"), F.count("*").alias("_n"))
+    hubs = least.filter(F.col("_n") > HUB).orderBy(F.desc("_n"), node).limit(MAX_HUBS).select(node, low.alias("low"))
+    seen = rows.join(F.broadcast(hubs), node, "left")
+    plain = seen.filter("low IS NULL").drop("low").join(least.select(node, low.alias("low")), node)
+    return seen.filter("low IS NOT NULL").unionByName(plain)
 
 
 def star_components(edges: DataFrame) -> DataFrame:
@@ -30,16 +37,14 @@ def star_components(edges: DataFrame) -> DataFrame:
     now = cut(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).filter("v <> m").distinct())
     state = _state(now)
     while state[0]:
-        both = now.union(now.select("m", "v"))
-        least = both.groupBy("v").agg(F.min("m").alias("low")).select(F.col("v").alias("u"), F.least("v", "low").alias("low"))
-        large = both.withColumnsRenamed({"v": "u", "m": "w"}).join(least, "u").filter("w > u").select(F.col("w").alias("v"), F.col("low").alias("m")).filter("v <> m").distinct()
-        small = large.join(large.groupBy("v").agg(F.min("m").alias("low")), "v")
+        both = now.select(F.col("v").alias("u"), F.col("m").alias("w")).union(now.select("m", "v"))
+        large = _with_least(both, "u", True).filter("w > u").select(F.col("w").alias("v"), F.col("low").alias("m")).filter("v <> m").distinct()
+        small = _with_least(large, "v", False)
         now = cut(small.select("v", F.col("low").alias("m")).union(small.filter("m <> low").select(F.col("m").alias("v"), F.col("low").alias("m"))).distinct())
         before, state = state, _state(now)
         if before == state:
             break
-    pairs = F.explode(F.array(F.struct(F.col("v").alias("node"), F.col("m").alias("root")), F.struct(F.col("m").alias("node"), F.col("m").alias("root")))).alias("x")
-    return now.select(pairs).select("x.*").distinct()
+    return now.select(F.col("v").alias("node"), F.col("m").alias("root")).union(now.select(F.col("m").alias("node"), F.col("m").alias("root")).distinct())
 
 
 def _state(edges: DataFrame) -> tuple:

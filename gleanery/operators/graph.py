@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import cut, star_components
+from .components import star_components
+from .lineage import cut
 
 # Fewer vertices or edges are no graph to speak of; below this share of reviews kept it is sparse;
 # the largest degree that the vertex cap asks for; the share of a giant component; correlations of rank and activity.

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .components import cut
+from .lineage import cut
 
 #: Rows of a key that one task may hold.
 MOST = 1_000_000
