@@ -8,16 +8,22 @@ added, summed in Spark over all rows; a conversation is read by the model of
 the half of conversations that it is not in.  Viterbi recovers the roles, and
 the lines are rendered as turns.
 
+Transcripts are made from labelled turns: speaker words, whether a turn has one,
+and whether turns are parted by a blank line or a mere line break are drawn by
+hashes of the conversation, so no feature tells where a turn begins.  A turn's
+own blank lines stay within it; those at its ends go.  A speaker word is taken
+off the line that begins a turn of its role, and stays in any other line.
+
 Rows are dealt in ranges of (conversation, turn), so a conversation of any
 length is spread over tasks.  Where one crosses partitions, each part sends the
 best scores from its first to its last state, a matrix of fixed size; the chain
 of these matrices gives the states at the cuts, and the parts are read between
-them.  The result is the Viterbi path of the whole conversation.
+them.  The result is the Viterbi path of the whole conversation, and its
+canonical text in pieces, one a turn, that give the whole when put together.
 
-Turns with null text or a role other than ROLES are counted as skipped and
-leave the rest as it is; a conversation of such turns alone has no others.
-Turns of equal number are read in the order of role and text.  A null or empty
-transcript has no turns.
+Turns with null text or a role other than ROLES are skipped: they come back
+without a piece and leave the rest as it is.  Turns of equal number are read in
+the order of role and text.  A null or empty transcript has no turns.
 """
 
 from __future__ import annotations
@@ -30,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.operators.scan import positions
+
 from .textcore import cut
 
 ROLES = ["system", "user", "assistant"]
@@ -37,28 +45,48 @@ ROLES = ["system", "user", "assistant"]
 MARKERS = {"system": "system", "instruction": "system", "user": "user", "human": "user", "q": "user", "assistant": "assistant", "bot": "assistant", "ai": "assistant", "a": "assistant"}
 PRIOR, MARK_PRIOR, TINY = 8, 100, 1e-12
 _MARKED = re.compile(r"^\s*(?:#+\s*|\[|<\|?)?(" + "|".join(MARKERS) + r")(?:\]|\|?>)?\s*:\s*", re.I)
+START, END = "<|im_start|>", "<|im_end|>\n"
 TURNS = "turns array<struct<role:string,text:string>>"
 _STATES = 2 * len(ROLES)
 _EVERY = np.arange(_STATES)
 _MARKS, _SHAPES = len(ROLES) + 1, 6
 
 
-def observe(lines: list[str]) -> tuple[list[int], list[str], np.ndarray]:
-    """(numbers of the lines that are not blank, those lines without markers, a row of (marker, after blank, shape) for each)."""
-    numbers, texts, rows, blank = [], [], [], True
-    for k, line in enumerate(lines):
+@dataclass
+class Lines:
+    """The lines that are not blank: as they are, without their marker, and how many blank lines stand before each; features: a row of (marker, after blank, shape) for each."""
+
+    raw: list[str]
+    bare: list[str]
+    blanks: list[int]
+    features: np.ndarray
+
+    def shown(self, k: int, state: int) -> str:
+        """What line k adds to the canonical form in a state, without the end of the turn before."""
+        role, goes_on = divmod(int(state), 2)
+        if goes_on:
+            return "\n" * (1 + self.blanks[k]) + self.raw[k]
+        own = self.features[k, 0] == 1 + role
+        return f"{START}{ROLES[role]}\n{self.bare[k] if own else self.raw[k]}"
+
+
+def observe(lines: list[str], blank: bool = False) -> Lines:
+    """`blank`: whether a blank line stands before the first."""
+    raw, bare, blanks, rows, before = [], [], [], [], int(blank)
+    for line in lines:
         if not line.strip():
-            blank = True
+            before += 1
             continue
         found = _MARKED.match(line)
         text = line[found.end() :] if found else line
         mark = 1 + ROLES.index(MARKERS[found[1].lower()]) if found else 0
         size = 0 if len(text) < 80 else 1 if len(text) < 300 else 2
-        rows.append((mark, int(blank), 2 * size + text.rstrip().endswith("?")))
-        numbers.append(k)
-        texts.append(text)
-        blank = False
-    return numbers, texts, np.array(rows, np.int64).reshape(-1, 3)
+        rows.append((mark, int(before > 0), 2 * size + text.rstrip().endswith("?")))
+        raw.append(line)
+        bare.append(text)
+        blanks.append(before)
+        before = 0
+    return Lines(raw, bare, blanks, np.array(rows, np.int64).reshape(-1, 3))
 
 
 @dataclass
@@ -100,15 +128,14 @@ class RoleModel:
         """The turns in order: role and text."""
         if not transcript:
             return []
-        lines = transcript.split("\n")
-        numbers, texts, rows = observe(lines)
+        lines = observe(transcript.split("\n"))
         turns: list[dict] = []
-        for text, state in zip(texts, self.viterbi(rows), strict=True):
+        for k, state in enumerate(self.viterbi(lines.features)):
             role, goes_on = ROLES[state // 2], state % 2
             if goes_on and turns and turns[-1]["role"] == role:
-                turns[-1]["text"] += "\n" + text
+                turns[-1]["text"] += lines.shown(k, state)
             else:
-                turns.append({"role": role, "text": text})
+                turns.append({"role": role, "text": lines.shown(k, state - goes_on).split("\n", 1)[1]})
         return turns
 
 
@@ -160,23 +187,23 @@ def parse_transcripts(df: DataFrame, model: RoleModel, text: str = "transcript")
 
 def render(turns: Column) -> Column:
     """The canonical form: each turn between role and end marks."""
-    return F.array_join(F.transform(turns, lambda t: F.concat(F.lit("<|im_start|>"), t["role"], F.lit("\n"), t["text"], F.lit("<|im_end|>\n"))), "")
+    return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(START), t["role"], F.lit("\n"), t["text"], F.lit(END))), "")
 
 
 def ordered_turns(turns: DataFrame) -> DataFrame:
-    """conv, conv_id, turn, role (its number), shown (a turn's lines, marked) and fold, in ranges of conversation and turn; `part` numbers the partitions.
+    """conv, conv_id, turn, role (its number), shown (a turn's lines, marked), gap (a blank line parts turns) and fold, in ranges of conversation and turn; `part` numbers the partitions.
 
-    Speaker words vary by conversation, and about a fifth of the turns have none.
+    Speaker words and gaps vary by conversation, and about a fifth of the turns have no speaker word.
     """
     rows = _known(turns).filter("role IS NOT NULL")
     words = F.when(F.pmod(F.xxhash64("conv_id"), F.lit(2)) == 0, _one_of(["System", "User", "Assistant"])).otherwise(_one_of(["Instruction", "Human", "AI"]))
     bare = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(5)) == 0
-    body = F.regexp_replace("text", r"\n[ \t]*(?=\n|$)", "")
-    shown = F.when(bare, body).otherwise(F.concat(words, F.lit(": "), body))
+    shown = F.when(bare, F.col("text")).otherwise(F.concat(words, F.lit(": "), "text"))
     order = ["conv_id", "turn", "role", "tie"]
-    made = rows.select("conv_id", "turn", "role", F.xxhash64("text").alias("tie"), shown.alias("shown"), F.pmod(F.xxhash64("conv_id", F.lit(9)), F.lit(2)).cast("int").alias("fold"))
+    drawn = lambda seed: F.pmod(F.xxhash64("conv_id", F.lit(seed)), F.lit(2)).cast("int")
+    made = rows.select("conv_id", "turn", "role", F.xxhash64("text").alias("tie"), shown.alias("shown"), drawn(11).alias("gap"), drawn(9).alias("fold"))
     ranged = made.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    return cut(ranged.select(F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("")).alias("conv"), "conv_id", "turn", "tie", "role", "shown", "fold", "part"))
+    return cut(ranged.select(F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("")).alias("conv"), "conv_id", "turn", "tie", "role", "shown", "gap", "fold", "part"))
 
 
 def _known(turns: DataFrame) -> DataFrame:
@@ -208,17 +235,16 @@ def _segments(batches):
         yield whole()
 
 
-def _observed(table: pa.Table) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
-    """(turn of each line, lines without markers, features, true states) of a conversation's rows."""
-    turn, texts, rows = [], [], []
-    for k, shown in enumerate(table["shown"].to_pylist()):
-        _, found, features = observe(shown.split("\n"))
-        turn += [k] * len(found)
-        texts += found
-        rows.append(features)
+def _observed(table: pa.Table) -> tuple[np.ndarray, Lines, np.ndarray]:
+    """(turn of each line, the lines, true states) of a conversation's rows."""
+    turn, parts = [], []
+    for k, (shown, gap) in enumerate(zip(table["shown"].to_pylist(), table["gap"].to_pylist(), strict=True)):
+        parts.append(observe(shown.strip("\n").split("\n"), bool(gap)))
+        turn += [k] * len(parts[-1].raw)
     turn = np.array(turn, np.int64)
     first = np.concatenate([[True], turn[1:] != turn[:-1]])[: len(turn)]
-    return turn, texts, np.concatenate(rows), 2 * np.asarray(table["role"], np.int64)[turn] + ~first
+    joined = Lines([x for p in parts for x in p.raw], [x for p in parts for x in p.bare], [x for p in parts for x in p.blanks], np.concatenate([p.features for p in parts]))
+    return turn, joined, 2 * np.asarray(table["role"], np.int64)[turn] + ~first
 
 
 def fit_on(rows: DataFrame) -> list[RoleModel]:
@@ -227,10 +253,10 @@ def fit_on(rows: DataFrame) -> list[RoleModel]:
     def run(batches):
         counts, edges, part = [counted([]), counted([])], [], 0
         for table in _segments(batches):
-            _, _, features, states = _observed(table)
+            _, lines, states = _observed(table)
             part, fold, conv = (table[c][0].as_py() for c in ("part", "fold", "conv"))
             if len(states):
-                counts[fold] = [a + b for a, b in zip(counts[fold], counted([(states, features)]), strict=True)]
+                counts[fold] = [a + b for a, b in zip(counts[fold], counted([(states, lines.features)]), strict=True)]
                 edges = [*edges[:1], (conv, fold, int(states[0]), int(states[-1]))]
         for place, (conv, fold, first, last) in enumerate(edges):
             yield pa.RecordBatch.from_pylist([{"part": part, "place": place, "conv": conv, "fold": fold, "first": first, "last": last}], _EDGES)
@@ -254,8 +280,8 @@ def fit_on(rows: DataFrame) -> list[RoleModel]:
 _EDGES = pa.schema([("part", pa.int32()), ("place", pa.int32()), ("conv", pa.string()), ("fold", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("counts", pa.list_(pa.int64()))])
 
 
-def _states_at_cuts(rows: DataFrame, models: list[RoleModel]) -> dict[tuple[int, str], tuple[int, int]]:
-    """(state before, last state) of each part of a conversation that crosses partitions; two a partition at most."""
+def _states_at_cuts(rows: DataFrame, models: list[RoleModel]) -> dict[tuple[int, str], tuple[int, int, bool]]:
+    """(state before, last state, whether it is the end) of each part of a conversation that crosses partitions; two a partition at most."""
 
     def run(batches):
         before = None
@@ -269,7 +295,7 @@ def _states_at_cuts(rows: DataFrame, models: list[RoleModel]) -> dict[tuple[int,
 
     def ends(table):
         part, fold, conv = (table[c][0].as_py() for c in ("part", "fold", "conv"))
-        features = _observed(table)[2]
+        features = _observed(table)[1].features
         best = models[fold].between(features).ravel().tolist() if len(features) else []
         return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([conv]), pa.array([fold], pa.int32()), pa.array([best], pa.list_(pa.float64()))], names=["part", "conv", "fold", "best"])
 
@@ -292,13 +318,13 @@ def _states_at_cuts(rows: DataFrame, models: list[RoleModel]) -> dict[tuple[int,
         last = int(score.argmax())
         for r, back in zip(reversed(chain), reversed(ways), strict=True):
             entry = int(back[last]) if r is not chain[0] else -1
-            cuts[r["part"], conv] = (entry, last)
+            cuts[r["part"], conv] = (entry, last, r is chain[-1])
             last = entry
     return cuts
 
 
 def read_turns(rows: DataFrame, models: list[RoleModel]) -> DataFrame:
-    """conv_id, turn, tie, recovered (the turn is read as one, in its role) and piece (its share of the canonical form)."""
+    """conv_id, turn, role, tie, recovered (the turn is read as one, in its role) and piece (its share of the canonical form)."""
     cuts = _states_at_cuts(rows, models)
     shared = rows.sparkSession.sparkContext.broadcast((models, cuts))
 
@@ -306,25 +332,32 @@ def read_turns(rows: DataFrame, models: list[RoleModel]) -> DataFrame:
         models, cuts = shared.value
         for table in _segments(batches):
             part, fold, conv = (table[c][0].as_py() for c in ("part", "fold", "conv"))
-            entry, end = cuts.get((part, conv), (-1, -1))
-            turn, texts, features, truth = _observed(table)
-            states = np.array(models[fold].viterbi(features, entry, end), np.int64)
-            lines = np.bincount(turn, minlength=table.num_rows)
-            right = (np.bincount(turn, states == truth, table.num_rows) == lines) & (lines > 0)
+            entry, end, closes = cuts.get((part, conv), (-1, -1, True))
+            turn, lines, truth = _observed(table)
+            states = np.array(models[fold].viterbi(lines.features, entry, end), np.int64)
+            n = np.bincount(turn, minlength=table.num_rows)
+            right = (np.bincount(turn, states == truth, table.num_rows) == n) & (n > 0)
             pieces = [""] * table.num_rows
-            for k, (t, state, text) in enumerate(zip(turn.tolist(), states.tolist(), texts, strict=True)):
-                close = "<|im_end|>\n" if k or entry >= 0 else ""
-                pieces[t] += f"\n{text}" if state % 2 else f"{close}<|im_start|>{ROLES[state // 2]}\n{text}"
-            yield pa.RecordBatch.from_arrays([*(table[c].combine_chunks() for c in ("conv_id", "turn", "tie")), pa.array(right), pa.array(pieces)], names=["conv_id", "turn", "tie", "recovered", "piece"])
+            for k, (t, state) in enumerate(zip(turn.tolist(), states.tolist(), strict=True)):
+                close = END if state % 2 == 0 and (k or entry >= 0) else ""
+                pieces[t] += close + lines.shown(k, state)
+            if closes and (len(states) or entry >= 0):
+                pieces[-1] += END
+            yield pa.RecordBatch.from_arrays([*(table[c].combine_chunks() for c in ("conv_id", "turn", "role", "tie")), pa.array(right), pa.array(pieces)], names=["conv_id", "turn", "role", "tie", "recovered", "piece"])
 
     kinds = dict(rows.dtypes)
-    return rows.mapInArrow(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, tie long, recovered boolean, piece string")
+    return rows.mapInArrow(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role int, tie long, recovered boolean, piece string")
 
 
 def formatted(conversations: DataFrame) -> DataFrame:
-    """conv_id, n_turns, n_skipped, n_recovered (turns read in the role given) and rendered_sum (the sum of hashes of its canonical form's pieces), a row per conversation."""
+    """conv_id, turn, place, recovered, piece: a row per turn.
+
+    The pieces of a conversation, put together in the order of `place` (from 1),
+    are its canonical text; a piece opens and closes turns as they are read, so
+    it may hold none, or more than one.  Skipped turns have neither.
+    """
     rows = ordered_turns(conversations)
-    read = read_turns(rows, fit_on(rows)).select("conv_id", F.lit(1).alias("n"), F.col("recovered").cast("int").alias("ok"), F.xxhash64("turn", "tie", "piece").bitwiseAND(F.lit((1 << 32) - 1)).alias("h"))
-    skipped = _known(conversations).filter("role IS NULL").select("conv_id", F.lit(0).alias("n"), F.lit(0).alias("ok"), F.lit(0).cast("long").alias("h"))
-    every = read.unionByName(skipped).groupBy("conv_id")
-    return every.agg(F.sum("n").alias("n_turns"), F.sum(1 - F.col("n")).alias("n_skipped"), F.sum("ok").alias("n_recovered"), F.sum("h").alias("rendered_sum"))
+    read = cut(read_turns(rows, fit_on(rows)))
+    placed = positions(read, "conv_id", ["turn", "role", "tie"], "place").select("conv_id", "turn", "place", "recovered", "piece")
+    skipped = _known(conversations).filter("role IS NULL")
+    return placed.unionByName(skipped.select("conv_id", "turn", F.lit(None).cast("int").alias("place"), F.lit(None).cast("boolean").alias("recovered"), F.lit(None).cast("string").alias("piece")))
