@@ -4,7 +4,12 @@ Native DataFrame expressions only.  Words are runs of characters other than
 the space and \t-\r.  Every document's character-class and common-word
 histograms are compared by Jensen-Shannon distance with those of its language,
 which are summed over all documents of that language; texts under the length
-guards are not compared, as short histograms are noise.
+guards are not compared, as short histograms are noise.  How far is too far is
+a language's own too: the median of the distances of its documents (those that
+the base rules and the guards let through), in thousandths, plus a number of
+times what lies between the median and the upper quartile.  Both are exact,
+from counts by thousandth.  Histograms and cuts make a small table that can be
+saved, and used for other documents.
 
 Null text: no words, so `base_failed`.  Null lang: a language of its own.  A
 table without a column lang is one language.
@@ -13,6 +18,7 @@ table without a column lang is one language.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .textcore import cut
@@ -26,9 +32,10 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 MIN_CHARS = 200
-MIN_COMMON = 100
-MAX_CHAR_DISTANCE = 0.35
-MAX_WORD_DISTANCE = 0.6
+MIN_COMMON = 50
+#: Cuts: the median plus so many times the upper quartile's distance from it, which counts as LEAST_SPREAD thousandths at least.
+CHAR_FENCE, WORD_FENCE = 16, 6
+LEAST_SPREAD = 5
 
 
 def _let(value: Column, body) -> Column:
@@ -94,7 +101,7 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def references(counts: DataFrame) -> DataFrame:
-    """lang, ref_chars, ref_common: the summed histograms of each language, from the rows of `measured`; a table that can be saved and used for other documents."""
+    """lang, ref_chars, ref_common: the summed histograms of each language, from the rows of `measured`."""
     sums = lambda name, n: F.array(*[F.sum(F.col(name)[i]) for i in range(n)])
     return counts.groupBy("lang").agg(sums("chars", len(CHAR_CLASSES)).alias("ref_chars"), sums("common", len(COMMON_WORDS) + 1).alias("ref_common"))
 
@@ -111,31 +118,57 @@ def js_distance(p: Column, q: Column) -> Column:
     return _let(F.struct(total(p).alias("p"), total(q).alias("q")), distance)
 
 
+def thousandths(distance: str) -> Column:
+    return F.ceil(1000 * F.col(distance)).cast("int")
+
+
+def _fence(rows: DataFrame, distance: str, times: int, out: str) -> DataFrame:
+    """(fence_lang, out): each language's cut in thousandths, from counts by thousandth."""
+    each = rows.groupBy("lang", thousandths(distance).alias("at")).agg(F.count("*").alias("n"))  # 1001 rows a language
+    by = W.partitionBy("lang")
+    summed = each.withColumns({"upto": F.sum("n").over(by.orderBy("at")), "total": F.sum("n").over(by)})
+    half, upper = F.min(F.when(2 * F.col("upto") >= F.col("total"), F.col("at"))), F.min(F.when(4 * F.col("upto") >= 3 * F.col("total"), F.col("at")))
+    return summed.groupBy(F.col("lang").alias(f"{out}_lang")).agg((half + times * F.greatest(upper - half, F.lit(LEAST_SPREAD))).alias(out))
+
+
+def _small(table: DataFrame, column: str) -> DataFrame:
+    """A row a language: broadcast where counted as few, else joined by shuffle."""
+    return F.broadcast(table) if table.select(column).limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else table
+
+
+def _distances(counts: DataFrame, refs: DataFrame) -> DataFrame:
+    """The rows of `measured` with base_failed, both distances, and the reference columns."""
+    named = refs.withColumnRenamed("lang", "ref_lang")
+    rows = counts.join(_small(named, "ref_lang"), F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    return rows.withColumns({"base_failed": failed, "char_distance": F.round(js_distance(F.col("chars"), F.col("ref_chars")), 9), "word_distance": F.round(js_distance(F.col("common"), F.col("ref_common")), 9)})
+
+
+def fitted(counts: DataFrame) -> DataFrame:
+    """lang, ref_chars, ref_common, char_cut, word_cut: the references of `measured` rows, with each language's cuts; a language without a text to take a cut from has none."""
+    refs = references(counts)
+    rows = _distances(counts, refs).filter("NOT base_failed")
+    chars = _fence(rows.filter(F.col("n_all") >= MIN_CHARS), "char_distance", CHAR_FENCE, "char_cut")
+    words = _fence(rows.filter(F.col("n_words") >= MIN_COMMON), "word_distance", WORD_FENCE, "word_cut")
+    both = refs.join(chars, F.col("lang").eqNullSafe(F.col("char_cut_lang")), "left").join(words, F.col("lang").eqNullSafe(F.col("word_cut_lang")), "left")
+    return both.select("lang", "ref_chars", "ref_common", "char_cut", "word_cut")
+
+
 def quality_rules(docs: DataFrame, refs: DataFrame | None = None) -> DataFrame:
-    """doc_id, n_words, the base counts, base_failed, both distances and kept, a row per input row.
+    """doc_id, n_words, the base counts, base_failed, kept, both distances, a row per input row.
 
-    `refs` are the language references: a table of `references` fitted before,
-    so that a verdict depends on its own text alone, or by default those of all
-    of `docs`, whose counts are then written once and read for both.  One row a
-    language: broadcast where counted as few, else joined by shuffle.
+    `refs` is a table of `fitted` made before, so that a verdict depends on its
+    own text alone; by default it is that of all of `docs`, whose counts are
+    then written once and read again.  A text in a language that `refs` lacks is
+    judged by the base rules alone.
     """
     counts = measured(docs)
     if refs is None:
         counts = cut(counts)
-        refs = references(counts)
-    refs = refs.withColumnRenamed("lang", "ref_lang")
-    if refs.select("ref_lang").limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
-        refs = F.broadcast(refs)
-    rows = counts.join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    near = lambda col, guard, limit: (F.col(guard[0]) < guard[1]) | (F.col(col) <= limit)
-    return rows.select(
-        "doc_id", "n_words", "n_all", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"),
-        F.round(js_distance(F.col("chars"), F.col("ref_chars")), 9).alias("char_distance"),
-        F.round(js_distance(F.col("common"), F.col("ref_common")), 9).alias("word_distance"),
-    ).select(
+        refs = cut(fitted(counts))
+    near = lambda col, guard, limit: (F.col(guard[0]) < guard[1]) | F.col(limit).isNull() | (thousandths(col) <= F.col(limit))
+    return _distances(counts, refs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & near("char_distance", ("n_all", MIN_CHARS), MAX_CHAR_DISTANCE) & near("word_distance", ("n_words", MIN_COMMON), MAX_WORD_DISTANCE)).alias("kept"),
+        (~F.col("base_failed") & near("char_distance", ("n_all", MIN_CHARS), "char_cut") & near("word_distance", ("n_words", MIN_COMMON), "word_cut")).alias("kept"),
         "char_distance", "word_distance",
     )
