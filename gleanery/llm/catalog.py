@@ -50,7 +50,7 @@ def op6_suffix_dedup(spark, sf_dir):
 
 
 def op7_token_counts(spark, sf_dir):
-    return unigram.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return unigram.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), scores="rank")
 
 
 def op8_bpe(spark, sf_dir):
@@ -129,10 +129,14 @@ m AS (SELECT d.row, doc_id, lang, len(w) AS n_words, length(text) AS n_all, leng
   FROM d LEFT JOIN cov ON d.row = cov.row),
 h AS (SELECT *, [CAST(up AS DOUBLE), dig, mk, n_all - word_chars, word_chars - up - dig - mk] AS chars, list_append(each, n_words - list_sum(each)) AS common FROM m),
 r AS (SELECT lang, [{", ".join(f"sum(chars[{i + 1}])" for i in range(5))}] AS rc, [{", ".join(f"sum(common[{i + 1}])" for i in range(len(quality.COMMON_WORDS) + 1))}] AS rw FROM h GROUP BY lang),
-j AS (SELECT doc_id, n_words, n_all, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-    {_JS.format(p="chars", q="rc")} AS char_distance, {_JS.format(p="common", q="rw")} AS word_distance FROM h JOIN r ON h.lang IS NOT DISTINCT FROM r.lang)
+j AS (SELECT doc_id, h.lang, n_words, n_all, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    {_JS.format(p="chars", q="rc")} AS char_distance, {_JS.format(p="common", q="rw")} AS word_distance FROM h JOIN r ON h.lang IS NOT DISTINCT FROM r.lang),
+th AS (SELECT *, CAST(ceil(1000 * char_distance) AS INT) AS ca, CAST(ceil(1000 * word_distance) AS INT) AS wa FROM j),
+cc AS (SELECT lang, quantile_disc(ca, 0.5) AS h, quantile_disc(ca, 0.75) AS u FROM th WHERE NOT base_failed AND n_all >= {quality.MIN_CHARS} GROUP BY lang),
+wc AS (SELECT lang, quantile_disc(wa, 0.5) AS h, quantile_disc(wa, 0.75) AS u FROM th WHERE NOT base_failed AND n_words >= {quality.MIN_COMMON} GROUP BY lang)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-  NOT base_failed AND (n_all < {quality.MIN_CHARS} OR char_distance <= {quality.MAX_CHAR_DISTANCE}) AND (n_words < {quality.MIN_COMMON} OR word_distance <= {quality.MAX_WORD_DISTANCE}) AS kept, char_distance, word_distance FROM j
+  NOT base_failed AND (n_all < {quality.MIN_CHARS} OR cc.h IS NULL OR ca <= cc.h + {quality.CHAR_FENCE} * greatest(cc.u - cc.h, {quality.LEAST_SPREAD})) AND (n_words < {quality.MIN_COMMON} OR wc.h IS NULL OR wa <= wc.h + {quality.WORD_FENCE} * greatest(wc.u - wc.h, {quality.LEAST_SPREAD})) AS kept, char_distance, word_distance
+FROM th LEFT JOIN cc ON th.lang IS NOT DISTINCT FROM cc.lang LEFT JOIN wc ON th.lang IS NOT DISTINCT FROM wc.lang
 """
 
 _LITERAL = lambda t: "'" + t.replace("'", "''") + "'"

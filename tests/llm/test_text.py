@@ -80,7 +80,7 @@ def test_unigram_counts_whole_texts_as_the_library_does(spark):
     """The whole vocabulary, on texts of four languages with unknown characters."""
     import duckdb
 
-    pieces = unigram.read_pieces(vocabulary("piece_bpe_32k.model"))
+    pieces = unigram.read_pieces(vocabulary("piece_bpe_32k.model"), "rank")
     assert sum(np.exp(s) for _, s in pieces) == pytest.approx(1)
     library = tokenizers.Tokenizer(tokenizers.models.Unigram([("<unk>", 0.0), *pieces], unk_id=0, byte_fallback=False))
     texts = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.001/documents.parquet' WHERE length(text) < 6000").fetchall()] + ["日本 語\U0001f600\U0001f601x", "aaaa" * 300, "\u0378\u0379a\u0378 b"]
@@ -92,15 +92,15 @@ def test_unigram_counts_whole_texts_as_the_library_does(spark):
 
 def test_unigram_edges(spark):
     rows = spark.createDataFrame([(None, "a b", 1), (1, "w " * 200_000, 2), (1, "w " * 200_000, 2), (2, None, 3)], "doc_id long, text string, N_Tokens int")
-    got = sorted(map(tuple, unigram.token_counts(rows, vocabulary("piece_bpe_32k.model")).select("doc_id", "n_words", "n_tokens").collect()), key=str)
+    got = sorted(map(tuple, unigram.token_counts(rows, vocabulary("piece_bpe_32k.model"), scores="rank").select("doc_id", "n_words", "n_tokens").collect()), key=str)
     assert got == [(1, 200_000, 200_000), (1, 200_000, 200_000), (2, 0, 0), (None, 2, 2)]
 
 
 def test_unigram_query(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(EDGES)], "doc_id long, text string")
-    got = {r.doc_id: r for r in unigram.token_counts(rows, vocabulary("piece_bpe_32k.model")).collect()}
+    got = {r.doc_id: r for r in unigram.token_counts(rows, vocabulary("piece_bpe_32k.model"), scores="rank").collect()}
     assert got[0].n_tokens == got[2].n_tokens == 0 and got[5].n_words == 12
-    assert unigram.token_counts(rows.limit(0), vocabulary("piece_bpe_32k.model")).count() == 0
+    assert unigram.token_counts(rows.limit(0), vocabulary("piece_bpe_32k.model"), scores="rank").count() == 0
 
 
 def words(text):
@@ -186,12 +186,40 @@ def test_quality_edges(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r for r in quality.quality_rules(frame).collect()}
     assert got[1].n_words == 240_000 and got[1].base_failed and got[2].base_failed and got[3].n_words == 168
-    english = quality.references(quality.measured(frame.filter("doc_id = 3")))
+    english = quality.fitted(quality.measured(frame.filter("doc_id = 3")))
     alone = quality.quality_rules(frame.filter("doc_id = 3"), english).first()
     among = {r.doc_id: r for r in quality.quality_rules(frame, english).collect()}[3]
     assert alone == among and alone.char_distance == 0
 
 
+def test_quality_rejects_junk_and_texts_of_another_language(spark):
+    """Cuts from saved references: planted junk and wrong languages go, clean texts stay."""
+    if not os.path.isdir(SF01):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text", "lang")
+    saved = quality.cut(quality.fitted(quality.cut(quality.measured(docs))))
+    clean = docs.filter("length(text) > 700 AND NOT text RLIKE '[#$%&*|<>]|!!|token|http|@' AND lang IN ('en', 'fr')")
+    other = clean.selectExpr("doc_id", "text", "CASE lang WHEN 'en' THEN 'fr' ELSE 'en' END AS lang")
+    marked = clean.selectExpr("doc_id", "regexp_replace(text, ' ', '%%% ') AS text", "lang")
+    share = lambda df: (lambda rows: sum(r.kept for r in rows) / len(rows))([r for r in quality.quality_rules(df, saved).collect() if not r.base_failed])
+    assert share(clean) > 0.99 and share(marked) < 0.02 and share(other) < 0.1
+    unknown = quality.quality_rules(clean.selectExpr("doc_id", "text", "'xx' AS lang"), saved)
+    assert unknown.filter("kept = base_failed").count() == 0
+
+
+def test_a_long_word_takes_little_memory():
+    import tracemalloc
+
+    counter = unigram.UnigramCounter(unigram.read_pieces(vocabulary("piece_bpe_32k.model"), "rank"))
+    one, many = counter.best("zq" * 50), counter.best("zq" * 5_000)
+    tracemalloc.start()
+    assert counter.best("zq" * 100_000)[0] - counter.best("zq" * 90_000)[0] == 2 * (many[0] - counter.best("zq" * 0)[0]) and one[0] < many[0]
+    assert tracemalloc.get_traced_memory()[1] < 4_000_000
+    tracemalloc.stop()
+    with pytest.raises(ValueError):
+        unigram.read_pieces(vocabulary("piece_bpe_32k.model"), "guess")
+
+
 def test_js_distance(spark):
     from pyspark.sql import functions as F
 
@@ -281,18 +309,84 @@ def talk(conversations, turns=None):
 CHAT = "conv_id long, turn int, role string, text string"
 
 
+def canonical(conversation):
+    """(conv_id, text): pieces put together."""
+    rows = sorted((r for r in conversation if r.place is not None), key=lambda r: r.place)
+    assert [r.place for r in rows] == list(range(1, len(rows) + 1))
+    return "".join(r.piece for r in rows)
+
+
+def by_conversation(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r.conv_id, []).append(r)
+    return out
+
+
 def test_chat_roles_are_recovered(spark):
     rows = talk(300) + [(7, None, "user", None), (None, 0, "user", "hi"), (8, 1, "nobody", "x"), (900, 0, "tool", "{}"), (901, 0, "user", ""), (7, 0, "user", "short question 1?"), (7, 0, "user", "short question 1?")]
     frame = spark.createDataFrame([(*r, 1, 2) for r in rows], f"{CHAT}, Part int, SHOWN int")
-    out = {r.conv_id: r for r in chat.formatted(frame).collect()}
-    assert sum(r.n_turns + r.n_skipped for r in out.values()) == len(rows) and len(out) == 303
-    assert sum(r.n_recovered for r in out.values()) >= 0.95 * sum(r.n_turns for r in out.values())
-    assert (out[900].n_turns, out[900].n_skipped, out[8].n_skipped, out[7].n_skipped) == (0, 1, 1, 1)
+    got = chat.formatted(frame).collect()
+    out = by_conversation(got)
+    skipped = {k: sum(r.place is None for r in v) for k, v in out.items()}
+    assert len(got) == len(rows) and len(out) == 303 and (skipped[900], skipped[8], skipped[7], skipped[5]) == (1, 1, 1, 0)
+    assert sum(bool(r.recovered) for r in got) >= 0.9 * sum(r.place is not None for r in got)
+    assert canonical(out[900]) == "" and canonical(out[901]) in ("", "<|im_start|>user\n<|im_end|>\n") and canonical(out[None]) in ("<|im_start|>user\nhi<|im_end|>\n", "<|im_start|>assistant\nhi<|im_end|>\n")
     assert chat.formatted(frame.limit(0)).count() == 0
     assert chat.fit().parse(None) == [] and chat.fit().parse("\n\n") == []
     assert [t["role"] for t in chat.fit().parse("System: be nice\n\nUser: hi\nthere\n\nAssistant: hello")] == ["system", "user", "assistant"]
 
 
+SF01 = "/root/testdata/sf0.01"
+
+
+def test_pieces_are_the_rendered_parse_of_each_transcript(spark):
+    """Each conversation of a whole table: its pieces are what parse and render make of its transcript."""
+    if not os.path.isdir(SF01):
+        pytest.skip("no test tables")
+    table = spark.read.parquet(f"{SF01}/conversations.parquet")
+    got = {k: canonical(v) for k, v in by_conversation(chat.formatted(table).collect()).items()}
+    ordered = chat.ordered_turns(table)
+    models = chat.fit_on(ordered)
+    transcripts, fold = {}, {}
+    for r in sorted(ordered.collect(), key=lambda r: (r.conv_id, r.turn, r.role, r.tie)):
+        gap = "\n\n" if r.gap else "\n"
+        transcripts[r.conv_id] = transcripts[r.conv_id] + gap + r.shown.strip("\n") if r.conv_id in transcripts else "\n" * r.gap + r.shown.strip("\n")
+        fold[r.conv_id] = r.fold
+    for k in (0, 1):
+        some = spark.createDataFrame([(c, t, "x") for c, t in transcripts.items() if fold[c] == k], "conv_id long, transcript string, Turns string")
+        parsed = chat.parse_transcripts(some, models[k])
+        assert parsed.columns == ["conv_id", "transcript", "turns"]
+        for r in parsed.select("conv_id", chat.render("turns").alias("text")).collect():
+            assert got[r.conv_id] == r.text, r.conv_id
+
+
+@pytest.mark.parametrize("gap", ["\n", "\n\n"])
+def test_marked_turns_are_read_whatever_parts_them(spark, gap):
+    """95 of 100 conversations whose turns are all marked, and no word of them is lost."""
+    if not os.path.isdir(SF01):
+        pytest.skip("no test tables")
+    table = spark.read.parquet(f"{SF01}/conversations.parquet").filter("text IS NOT NULL")
+    models = chat.fit_on(chat.ordered_turns(table))
+    talks = {}
+    for r in sorted(table.collect(), key=lambda r: (r.conv_id, r.turn)):
+        talks.setdefault(r.conv_id, []).append((r.role, r.text.strip("\n")))
+    right = 0
+    for turns in talks.values():
+        parsed = models[0].parse(gap.join(f"{role.capitalize()}: {text}" for role, text in turns))
+        right += [(t["role"], t["text"]) for t in parsed] == turns
+    assert right >= 0.95 * len(talks)
+
+
+def test_lines_like_markers_and_blank_lines_stay_within_a_turn():
+    """A speaker word is taken only off the line that begins a turn of its role; blank lines within a turn stay."""
+    model = chat.fit()
+    text = "User: how do I write it?\n\nAssistant: like this\n\nfirst part\n\n\nsecond part"
+    assert model.parse(text) == [{"role": "user", "text": "how do I write it?"}, {"role": "assistant", "text": "like this\n\nfirst part\n\n\nsecond part"}]
+    lines = chat.observe(["Q: what", "", "plain"])
+    assert lines.shown(0, 0) == "<|im_start|>system\nQ: what" and lines.shown(0, 2) == "<|im_start|>user\nwhat" and lines.shown(0, 3) == "\nQ: what" and lines.shown(1, 3) == "\n\nplain"
+
+
 def test_viterbi_is_the_best_of_all_paths():
     rng = np.random.default_rng(8)
     model = chat.fit(chat.counted([(rng.integers(0, 6, 40), np.stack([rng.integers(0, n, 40) for n in (4, 2, 6)], 1)) for _ in range(5)]))
@@ -309,7 +403,7 @@ def test_viterbi_is_the_best_of_all_paths():
 
 
 def test_a_conversation_over_many_partitions_is_one(spark):
-    """One of 2500 turns beside short ones: the same result in one partition as in twenty, and one row each."""
+    """One of 2500 turns beside short ones: the same result in one partition as in twenty."""
     rows = [(5000, t, r, x) for _, t, r, x in talk(1, 2500)] + talk(60)
     frame, found = spark.createDataFrame(rows, CHAT), []
     for parts in ("1", "20"):
@@ -321,8 +415,8 @@ def test_a_conversation_over_many_partitions_is_one(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert found[0][:3] == found[1][:3] and found[0][4] == found[1][4] and found[1][3] > 10
-    big = [r for r in found[1][4] if r[0] == 5000]
-    assert len(big) == 1 and big[0][1] == 2500
+    big = sorted((r[2], r[4]) for r in found[1][4] if r[0] == 5000)
+    assert [p for p, _ in big] == list(range(1, 2501)) and "".join(t for _, t in big).count(chat.END) == "".join(t for _, t in big).count(chat.START) > 2000
 
 
 def test_span_hash_tells_words_apart():
