@@ -1,4 +1,4 @@
-"""Connected components of an edge table, wholly in Spark."""
+"""Groups dealt into cells of pairs of blocks, and what connects their items."""
 
 from __future__ import annotations
 
@@ -7,63 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import cut
+from gleanery.operators.components import star_components as components
+from gleanery.operators.lineage import cut
 
-
-#: A node with more neighbours than HUB gets its minimum by a broadcast table, of MAX_HUBS nodes at most; the others by a join.
-HUB, MAX_HUBS = 2_000, 100_000
-
-
-def _with_least(rows: DataFrame, node: str, own: bool) -> DataFrame:
-    """Adds `low` to rows (node, other): the least other of the node, or the node itself if `own` and less.
-
-    The rows of a hub meet its minimum where they are; only those of other
-    nodes are shuffled for it, so no task gets all edges of a hub.
-    """
-    other = next(c for c in rows.columns if c != node)
-    low = F.least(F.col(node), F.col("_low")) if own else F.col("_low")
-    least = rows.groupBy(node).agg(F.min(other).alias("_low"), F.count("*").alias("_n"))
-    hubs = least.filter(F.col("_n") > HUB).limit(MAX_HUBS).select(node, low.alias("low"))
-    seen = rows.join(F.broadcast(hubs), node, "left")
-    plain = seen.filter("low IS NULL").drop("low").join(least.select(node, low.alias("low")), node)
-    return seen.filter("low IS NOT NULL").unionByName(plain)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the edges (a, b): root is the least node that it reaches.
-
-    Alternating large-star and small-star rounds; each keeps as many rows as
-    edges, whatever the degrees, and is cut at the shared folder.  Stops at the
-    fixed point, where every node points straight at its root.
-    """
-    now = cut(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).filter("v <> m").distinct())
-    state = _state(now)
-    while state[0]:
-        both = now.select(F.col("v").alias("u"), F.col("m").alias("w")).union(now.select("m", "v"))
-        large = _with_least(both, "u", True).filter("w > u").select(F.col("w").alias("v"), F.col("low").alias("m")).filter("v <> m").distinct()
-        small = _with_least(large, "v", False)
-        now = cut(small.select("v", F.col("low").alias("m")).union(small.filter("m <> low").select(F.col("m").alias("v"), F.col("low").alias("m"))).distinct())
-        before, state = state, _state(now)
-        if before == state:
-            break
-    return now.select(F.col("v").alias("node"), F.col("m").alias("root")).union(now.select(F.col("m").alias("node"), F.col("m").alias("root")).distinct())
-
-
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum((F.xxhash64("v", "m") / 1024).cast("decimal(38,0)"))).first())
+__all__ = ["cells", "components", "connections"]
 
 
 def cells(items: DataFrame, key: str, item: str, most: int) -> DataFrame:
-    """Adds `cell` so that any two items of a key share a cell of at most about 2 * `most` items.
+    """Adds `cell` (k, i, j) and `block` so that any two items of a key share a cell of at most about 2 * `most` items.
 
     A key of up to `most` items is one cell.  A larger one is dealt into blocks,
     with a cell for each pair of blocks, so that no task holds the whole key.
     """
     counts = items.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > most)
     dealt = items.join(counts, key, "left").withColumn("_k", F.coalesce(F.ceil(F.col("_n") / most), F.lit(1)).cast("long"))
-    block = F.pmod(F.xxhash64(item), F.col("_k"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1))
-    return dealt.withColumn("_b", block).withColumn("_o", other).withColumn("cell", F.struct(F.col(key).alias("k"), F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"))).drop("_n", "_k", "_b", "_o")
+    return dealt.withColumn("block", F.pmod(F.xxhash64(item), F.col("_k"))).withColumn("_o", other).withColumn("cell", F.struct(F.col(key).alias("k"), F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"))).drop("_n", "_k", "_o")
 
 
 DRAWN = 4
@@ -72,16 +31,19 @@ DRAWN = 4
 def connections(items: DataFrame, key: str, item: str, most: int, compare: Callable[[DataFrame], DataFrame], members: DataFrame | None = None) -> DataFrame:
     """(a, b): edges that connect what links connect among the items of each key.
 
-    `members` has the key of every item where that is cheaper to count.  `compare` takes items with a column `cell` (k, i, j) and returns enough
-    edges to connect all linked items of each cell.  A key of up to `most` items
-    is one cell.  The items of a larger one are dealt into blocks and compared
-    within them; then a few of each component so found are compared with those
-    of the others; and only keys that still have several components deal all
-    their items over pairs of blocks.  A group of near copies, however large,
-    is one component after the second step, at a cost in proportion to it.
+    `members` has the key of every item where that is cheaper to count.
+    `compare` takes items with `cell` (k, i, j) and `block`, and returns enough
+    edges to connect all linked items of each cell: any two where i = j, else
+    those of different blocks only.  A key of up to `most` items is one cell.
+    The items of a larger one are dealt into blocks and compared within them;
+    then a few of each component so found are compared with those of the others;
+    and only keys that still have several components, and items that were not
+    drawn, compare all items across blocks.  A group of near copies, however
+    large, is one component after the second step, at a cost in proportion to
+    it; where nothing links, no pair is compared twice.
     """
     counts = cut((items if members is None else members).groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > most))
-    alone = lambda df, block: df.withColumn("cell", F.struct(F.col(key).alias("k"), block.alias("i"), block.alias("j")))
+    alone = lambda df, block: df.withColumn("block", block).withColumn("cell", F.struct(F.col(key).alias("k"), F.col("block").alias("i"), F.col("block").alias("j")))
     whole = F.lit(0).cast("long")
     if not counts.limit(1).count():
         return compare(alone(items, whole))
@@ -92,11 +54,15 @@ def connections(items: DataFrame, key: str, item: str, most: int, compare: Calla
     known = components(within).withColumnsRenamed({"node": item, "root": "_root"})
     named = large.drop("_n").join(known, item, "left").withColumn("_root", F.coalesce("_root", F.col(item)))
     drawn = F.array_distinct(F.array(*[F.min_by(F.struct(*columns), F.xxhash64(item, F.lit(k))) for k in range(DRAWN)]))
-    few = named.groupBy(key, "_root").agg(drawn.alias("_few")).select(F.explode("_few").alias("_x")).select("_x.*")
-    between = cut(compare(cells(few, key, item, most)))
+    few = cut(named.groupBy(key, "_root").agg(drawn.alias("_few")).select(F.explode("_few").alias("_x")).select("_x.*"))
+    drawn_of = few.groupBy(key).agg(F.count("*").alias("_drawn"))
+    all_drawn = cut(counts.join(drawn_of, key).filter("_drawn = _n").select(key, F.lit(True).alias("_all")))  # blocks are as before: what lies within them is compared
+    meeting = cells(few, key, item, most).join(all_drawn, key, "left").filter("_all IS NULL OR cell.i <> cell.j").drop("_all")
+    between = cut(compare(meeting))
     both = within.unionByName(between)
     known = components(both).withColumnsRenamed({"node": item, "root": "_root"})
     roots = large.select(key, item).join(known, item, "left").select(key, F.coalesce("_root", F.col(item)).alias("_root"))
-    open_ = cut(roots.groupBy(key).agg(F.min("_root").alias("_a"), F.max("_root").alias("_b")).filter("_a <> _b").select(key))
-    rest = compare(cells(items.join(open_, key, "left_semi"), key, item, most))
+    several = roots.groupBy(key).agg(F.min("_root").alias("_a"), F.max("_root").alias("_b")).filter("_a <> _b").select(key)
+    open_ = cut(several.join(all_drawn, key, "left_anti"))
+    rest = compare(cells(items.join(open_, key, "left_semi"), key, item, most).filter("cell.i <> cell.j"))
     return small.unionByName(both).unionByName(rest)

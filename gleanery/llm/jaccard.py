@@ -219,7 +219,8 @@ def likely_links(groups: DataFrame, nodes: DataFrame, percent: int = PERCENT) ->
     def run(batches):
         left, right = [], []
         for table in grouped(batches, 3):
-            node, size = np.asarray(table["node"]), np.asarray(table["n_shingles"])
+            node, size, block = np.asarray(table["node"]), np.asarray(table["n_shingles"]), np.asarray(table["block"])
+            across = table["i"][0] != table["j"][0]
             raw = table["sketch"].to_pylist()
             forest = Forest(len(node))
             words = np.array([len(x) // 8 for x in raw])
@@ -229,7 +230,8 @@ def likely_links(groups: DataFrame, nodes: DataFrame, percent: int = PERCENT) ->
             stop = np.searchsorted(100 * size, percent * size, "left") if len(size) else []
             for i in range(1, len(node)):
                 lo = int(stop[i])
-                other = np.flatnonzero(forest.root[lo:i] != forest.root[i]) + lo
+                open_ = forest.root[lo:i] != forest.root[i]
+                other = np.flatnonzero(open_ & (block[lo:i] != block[i]) if across else open_) + lo
                 if not len(other):
                     continue
                 apart = np.bitwise_count(folded[other] ^ folded[i]).sum(axis=1, dtype=np.int64)
@@ -244,8 +246,8 @@ def likely_links(groups: DataFrame, nodes: DataFrame, percent: int = PERCENT) ->
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     def compare(celled: DataFrame) -> DataFrame:
-        flat = celled.select("cell.k", "cell.i", "cell.j", "node").join(sketched, "node")
-        return flat.select("k", "i", "j", "node", "n_shingles", "sketch").repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "n_shingles").mapInArrow(run, "a long, b long")
+        flat = celled.select("cell.k", "cell.i", "cell.j", "block", "node").join(sketched, "node")
+        return flat.select("k", "i", "j", "block", "node", "n_shingles", "sketch").repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "n_shingles").mapInArrow(run, "a long, b long")
 
     return connections(groups.select("grp", "node"), "grp", "node", MAX_GROUP, compare)
 
@@ -264,8 +266,9 @@ class SignatureTree:
     the elements of the one with fewer beyond one a bit (its spill).
     """
 
-    def __init__(self, sets: list[np.ndarray], percent: int = PERCENT):
-        n, self.percent = len(sets), percent
+    def __init__(self, sets: list[np.ndarray], percent: int = PERCENT, block: np.ndarray | None = None):
+        """With `block` (sorted), only items of different blocks are compared."""
+        n, self.percent, self.block = len(sets), percent, block
         self.size = np.array([len(s) for s in sets])
         bits = min(1 << 14, max(512, 1 << int(4 * self.size.max() - 1).bit_length()))
         maps = np.zeros((n, bits // 64), np.uint64)
@@ -304,6 +307,8 @@ class SignatureTree:
             roots = forest.root[first[a] : end[a]]
             if (roots == roots[0]).all() and (forest.root[first[b] : end[b]] == roots[0]).all():
                 continue
+            if self.block is not None and self.block[first[a]] == self.block[end[b] - 1] == self.block[first[b]] == self.block[end[a] - 1]:
+                continue
             if not self.possible(level, a, b):
                 continue
             if level == 0:
@@ -319,6 +324,8 @@ class SignatureTree:
         for x in range(a0, a1):
             ys = np.arange(max(b0, x + 1) if a0 == b0 else b0, b1)
             s = size[x]
+            if self.block is not None:
+                ys = ys[self.block[ys] != self.block[x]]
             ys = ys[(forest.root[ys] != forest.root[x]) & (100 * size[ys] >= percent * s) & (100 * s >= percent * size[ys])]
             if not len(ys):
                 continue
@@ -362,14 +369,16 @@ def exact_links(clusters: DataFrame, docs: DataFrame, nodes: DataFrame, shingle:
             node, sets = np.asarray(table["node"]), []
             for _, data, offsets in text_slices(table.to_batches(), "text"):
                 sets += sets_of(data, offsets, shingle)
-            order = np.lexsort([[int(s[0] >> np.uint64(1)) for s in sets], [len(s) for s in sets]])
-            forest = SignatureTree([sets[i] for i in order], percent).links()
+            block = np.asarray(table["block"])
+            across = table["i"][0] != table["j"][0]
+            order = np.lexsort([[int(s[0] >> np.uint64(1)) for s in sets], [len(s) for s in sets], *([block] if across else [])])
+            forest = SignatureTree([sets[i] for i in order], percent, block[order] if across else None).links()
             node = node[order]
             if forest.edges:
                 yield pa.RecordBatch.from_arrays([pa.array([int(node[a]) for a, _ in forest.edges]), pa.array([int(node[b]) for _, b in forest.edges])], names=["a", "b"])
 
     def compare(celled: DataFrame) -> DataFrame:
-        return celled.select("cell.k", "cell.i", "cell.j", "node", "text").repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(run, "a long, b long")
+        return celled.select("cell.k", "cell.i", "cell.j", "block", "node", "text").repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(run, "a long, b long")
 
     return connections(one, "root", "node", MAX_GROUP, compare, clusters)
 
