@@ -48,6 +48,7 @@ from pyspark.sql import types as T
 
 from .anchors import window_least
 from .components import components
+from .hot import content_hash, frequent, is_in, portions, salts
 from .members import bloom_words, maybe_in
 from .spans import joined, last_change, once_a_row
 from .textcore import LOWER_ASCII, NOT_SPACE, chain, cut, mix, one_of, span_hash, text_slices, word_spans
@@ -147,58 +148,86 @@ def _first_runs(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray):
     return [x[keep] for x in found], pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(others, pa.int32()))
 
 
-def _runs(docs: DataFrame) -> DataFrame:
-    """A row per document, signature and content; `again` holds the first window starts of its further occurrences in the document."""
+def _frequent(docs: DataFrame) -> np.ndarray:
+    """The hashes of very frequent contents of runs."""
 
     def run(batches):
+        for _, data, offsets in text_slices(batches, "text"):
+            _, signature, content, *_ = signature_runs(data, offsets)
+            yield pa.RecordBatch.from_arrays([pa.array(content_hash(signature, content))], names=["h"])
+
+    return frequent(docs.select("text"), lambda some: some.mapInArrow(run, "h long"))
+
+
+def _runs(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """A row per document, signature and content; `again` holds the first window starts of its further occurrences in the document.
+
+    Of a very frequent content a task sends the run of its least document the
+    general way (salt 0).  Its others surely repeat that one (`other`), and have
+    a salt that deals them over parts of their own.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches):
+        least: dict[int, pa.RecordBatch] = {}
         for part, data, offsets in text_slices(_fresh(batches), "text"):
             (row, signature, content, at, first, last), again = _first_runs(part, data, offsets)
             doc, key = (np.asarray(part.column(c), np.int64)[row] for c in (0, 1))
-            yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (signature, content)), pa.array(doc), pa.array(key), *(pa.array(x.astype(np.int32)) for x in (at, first, last)), again], names=_RUN)
-
-    return docs.select(*_keyed(docs), "text").mapInArrow(run, "signature long, content long, doc long, text_key long, at int, first int, last int, again array<int>")
+            h = content_hash(signature, content)
+            often = is_in(shared.value, h)
+            salt, other = np.where(often, salts(key), 0).astype(np.int32), doc.copy()
+            rows = pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (signature, content)), pa.array(doc), pa.array(key), *(pa.array(x.astype(np.int32)) for x in (at, first, last)), again], names=_RUN)
+            settled = lambda x, s, o: pa.RecordBatch.from_arrays([*x.columns, pa.array(s, pa.int32()), pa.array(o, pa.int64())], names=[*_RUN, "salt", "other"])
+            for r in np.flatnonzero(often).tolist():
+                name, known = int(h[r]), least.get(int(h[r]))
+                if known is None or doc[r] < known.column(2)[0].as_py():
+                    if known is not None:
+                        yield settled(known, [1], [int(doc[r])])
+                    least[name] = rows.slice(r, 1)
+                    salt[r] = -1  # goes at the end
+                else:
+                    other[r] = known.column(2)[0].as_py()
+                    if other[r] == doc[r]:  # another text of the same id: it repeats what is of a lesser one still, if any is
+                        salt[r] = -1 if doc[r] == NO_ID else 0
+            going = np.flatnonzero(salt >= 0)
+            yield settled(rows, salt, other).take(pa.array(going))
+        for known in least.values():
+            yield settled(known, [0], [known.column(2)[0].as_py()])
+
+    return docs.select(*_keyed(docs), "text").mapInArrow(run, "signature long, content long, doc long, text_key long, at int, first int, last int, again array<int>, salt int, other long")
 
 
 def _marked(runs: DataFrame) -> DataFrame:
     """Runs whose signature repeats.  VERBATIM: equal to an earlier document's run (`other`); PARTIAL: content is alone; SAMPLE: the earliest of equal runs, where other documents share the signature.  `many`: the signature may have more than MAX_GROUP contents."""
 
     def classify(x: pa.Table, forced: bool):
-        signature, content, doc = (np.asarray(x[c]) for c in ("signature", "content", "doc"))
-        group_new = np.concatenate([[True], signature[1:] != signature[:-1]])
+        signature, content, doc, salt = (np.asarray(x[c]) for c in ("signature", "content", "doc", "salt"))
+        group_new = np.concatenate([[True], (signature[1:] != signature[:-1]) | (salt[1:] != salt[:-1])])
         new = group_new | np.concatenate([[True], content[1:] != content[:-1]])
         run, group = np.cumsum(new) - 1, np.cumsum(group_new) - 1
-        size, head = np.bincount(run), np.flatnonzero(new)
+        size, head, plain = np.bincount(run), np.flatnonzero(new), salt == 0
         contents, heads = np.bincount(group, new), np.flatnonzero(group_new)
         several = ((contents >= 2) & (np.minimum.reduceat(doc, heads) != np.maximum.reduceat(doc, heads)))[group] | forced
         many = (contents > MAX_GROUP)[group] | forced
-        verbatim = (size[run] >= 2) & (doc != doc[head[run]])
-        partial, sample = (size[run] == 1) & several, (size[run] >= 2) & new & several
+        other = np.where(plain, doc[head[run]], np.asarray(x["other"]))
+        verbatim = ((size[run] >= 2) | ~plain) & (doc != other)
+        partial, sample = plain & (size[run] == 1) & several, plain & (size[run] >= 2) & new & several
         places = [np.flatnonzero(m) for m in (verbatim, partial, sample)]
         at = np.concatenate(places)
         kind = np.repeat([VERBATIM, PARTIAL, SAMPLE], [len(p) for p in places]).astype(np.int32)
         key = _run_key(signature[at], doc[at], np.asarray(x["text_key"])[at], np.asarray(x["at"])[at])
-        marks = x.drop_columns(["content", "at"]).take(pa.array(at))
-        for name, values in (("kind", kind), ("other", doc[head[run[at]]]), ("many", many[at]), ("key", key)):
+        marks = x.drop_columns(["content", "at", "salt", "other"]).take(pa.array(at))
+        for name, values in (("kind", kind), ("other", other[at]), ("many", many[at]), ("key", key)):
             marks = marks.append_column(name, pa.array(values))
         yield from marks.combine_chunks().to_batches()
 
+    most = HELD_ROWS
+
     def run(batches):
-        held, part = None, False
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = pa.Table.from_batches([batch])
-            held = (x if held is None else pa.concat_tables([held, x])).combine_chunks()
-            forced, cut = False, last_change(np.asarray(held["signature"]))
-            if not cut and held.num_rows > HELD_ROWS:  # a signature of very many rows goes in parts
-                forced, cut = True, last_change(np.asarray(held["content"]))
-            if cut:
-                yield from classify(held.slice(0, cut).combine_chunks(), forced or part)
-                part, held = forced, held.slice(cut)
-        if held is not None:
-            yield from classify(held.combine_chunks(), part)
+        for rows, part in portions(batches, ["signature", "salt"], "content", most):
+            yield from classify(rows, part)
 
-    return runs.repartition("signature").sortWithinPartitions("signature", "content", "doc", "first").mapInArrow(run, "signature long, doc long, text_key long, first int, last int, again array<int>, kind int, other long, many boolean, key long")
+    return runs.repartition("signature", "salt").sortWithinPartitions("signature", "salt", "content", "doc", "first").mapInArrow(run, "signature long, doc long, text_key long, first int, last int, again array<int>, kind int, other long, many boolean, key long")
 
 
 def _contexts(marks: DataFrame, docs: DataFrame) -> DataFrame:
@@ -449,7 +478,7 @@ def _verified(contexts: DataFrame) -> DataFrame:
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """(doc, text_key, first, end, other): passages that repeat one of a document of a smaller id."""
-    marks = cut(_marked(_runs(docs)))
+    marks = cut(_marked(_runs(docs, _frequent(docs))))
     every = F.explode(F.concat(F.array("first"), F.col("again"))).alias("start")
     verbatim = marks.filter(F.col("kind") == VERBATIM).select("doc", "text_key", (F.col("last") - F.col("first")).alias("width"), "other", every)
     verbatim = verbatim.select("doc", "text_key", F.col("start").cast("long").alias("first"), (F.col("start") + F.col("width") + TOKENS + SHINGLE - 1).cast("long").alias("end"), "other")

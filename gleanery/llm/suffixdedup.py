@@ -34,15 +34,18 @@ from pyspark.sql import functions as F
 from .anchors import GRAM, LENGTH, anchors
 from .components import cells
 from .deepshallow import deep_shallow
+from .hot import MOST, content_hash, frequent, is_in, portions, salts
 from .jaccard import grouped
 from .members import bloom_words, maybe_in
-from .spans import joined, last_change, once_a_row
-from .textcore import cut, text_slices
+from .spans import joined, once_a_row
+from .textcore import cut, one_of, text_slices
 
 MAX_GROUP = 20_000
 EACH_AGAINST_ALL = 100
 HELD_ROWS = 1 << 20
+OFTEN = 64
 REPEAT, PARTIAL, SAMPLE = 0, 1, 2
+_ANCHOR = ["gram", "context", "text_key", "n_bytes", "at", "first", "last", "again", "salt"]
 _MARK = "gram long, text_key long, n_bytes long, at int, first int, last int, again array<int>, kind int"
 
 
@@ -65,11 +68,29 @@ def _once(seen: set, keys: np.ndarray) -> np.ndarray:
     return np.array(rows, np.int64)
 
 
-def _anchor_rows(docs: DataFrame) -> DataFrame:
-    """A row per text and context; `again` holds the first window starts of its further occurrences in the text."""
+def _frequent(docs: DataFrame) -> np.ndarray:
+    """The hashes of very frequent contexts."""
+
+    def run(batches):
+        for _, data, offsets in text_slices(batches, "text"):
+            *_, gram, context = anchors(data, offsets)
+            yield pa.RecordBatch.from_arrays([pa.array(content_hash(gram, context))], names=["h"])
+
+    return frequent(docs.select("text"), lambda some: some.mapInArrow(run, "h long"))
+
+
+def _anchor_rows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """A row per text and context; `again` holds the first window starts of its further occurrences in the text.
+
+    Of a very frequent context a task sends one row a slice the general way
+    (salt 0), twice if the slice has more of it; the others surely repeat, and
+    have a salt that deals them over parts of their own.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
         seen: set[int] = set()
+        sent: dict[int, int] = {}
         for batch in batches:
             fresh = batch.take(pa.array(_once(seen, np.asarray(batch.column(1)))))
             for part, data, offsets in text_slices([fresh], "text"):
@@ -78,48 +99,53 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
                 again = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(others, pa.int32()))
                 row, at, first, last, gram, context = (x[keep] for x in (row, at, first, last, gram, context))
                 key, size = (np.asarray(part.column(c))[row] for c in (1, 2))
-                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (gram.view(np.int64), context.view(np.int64), key, size, at.astype(np.int32), first.astype(np.int32), last.astype(np.int32))), again], names=["gram", "context", "text_key", "n_bytes", "at", "first", "last", "again"])
+                h = content_hash(gram, context)
+                often = np.flatnonzero(is_in(shared.value, h))
+                salt, twice = np.zeros(len(h), np.int32), []
+                if len(often):
+                    salt[often] = salts(key[often])
+                    names, heads, n = np.unique(h[often], return_index=True, return_counts=True)
+                    for name, head, times in zip(names.tolist(), often[heads].tolist(), n.tolist(), strict=True):
+                        if sent.get(name, 0) < 2:
+                            salt[head] = 0
+                            twice += [head] * (times > 1)
+                            sent[name] = sent.get(name, 0) + 1 + (times > 1)
+                rows = pa.RecordBatch.from_arrays([*(pa.array(x) for x in (gram.view(np.int64), context.view(np.int64), key, size, at.astype(np.int32), first.astype(np.int32), last.astype(np.int32))), again, pa.array(salt)], names=_ANCHOR)
+                yield rows
+                if twice:
+                    yield rows.take(pa.array(twice))
 
     rows = docs.filter(F.octet_length("text") >= LENGTH).select("text", *_keyed())
-    return rows.mapInArrow(run, "gram long, context long, text_key long, n_bytes long, at int, first int, last int, again array<int>")
+    return rows.mapInArrow(run, "gram long, context long, text_key long, n_bytes long, at int, first int, last int, again array<int>, salt int")
 
 
 def _marked(rows: DataFrame) -> DataFrame:
     """Anchors that repeat: wholly (REPEAT), perhaps in part (PARTIAL), and one of each whole repeat to compare those with (SAMPLE)."""
 
     def classify(x: pa.Table, forced: bool):
-        gram, context = np.asarray(x["gram"]), np.asarray(x["context"])
+        gram, context, settled = (np.asarray(x[c]) for c in ("gram", "context", "salt"))
         times = 1 + np.asarray(pc.list_value_length(x["again"]))
-        new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])])
-        run = np.cumsum(new) - 1
-        whole = (np.bincount(run, times) >= 2)[run]
-        group = np.cumsum(np.concatenate([[True], gram[1:] != gram[:-1]])) - 1
+        group_new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (settled[1:] != settled[:-1])])
+        new = group_new | np.concatenate([[True], context[1:] != context[:-1]])
+        run, group = np.cumsum(new) - 1, np.cumsum(group_new) - 1
+        plain = settled == 0
+        whole = (np.bincount(run, times) >= 2)[run] | ~plain
         several = (np.bincount(group, new) >= 2)[group] | forced
         partial = ~whole & several
         mixed = (np.bincount(group, partial) > 0)[group] | forced
-        sample = whole & new & mixed
+        sample = whole & new & mixed & plain
         places = [np.flatnonzero(m) for m in (whole, partial, sample)]
         kind = np.repeat([REPEAT, PARTIAL, SAMPLE], [len(m) for m in places]).astype(np.int32)
-        marks = x.drop_columns(["context"]).take(pa.array(np.concatenate(places))).append_column("kind", pa.array(kind))
+        marks = x.drop_columns(["context", "salt"]).take(pa.array(np.concatenate(places))).append_column("kind", pa.array(kind))
         yield from marks.combine_chunks().to_batches()
 
+    most = HELD_ROWS
+
     def run(batches):
-        held, part = None, False
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = pa.Table.from_batches([batch])
-            held = (x if held is None else pa.concat_tables([held, x])).combine_chunks()
-            forced, cut = False, last_change(np.asarray(held["gram"]))
-            if not cut and held.num_rows > HELD_ROWS:  # a gram of very many rows: its contexts so far go as a part of it
-                forced, cut = True, last_change(np.asarray(held["context"]))
-            if cut:
-                yield from classify(held.slice(0, cut).combine_chunks(), forced or part)
-                part, held = forced, held.slice(cut)
-        if held is not None:
-            yield from classify(held.combine_chunks(), part)
+        for rows, part in portions(batches, ["gram", "salt"], "context", most):
+            yield from classify(rows, part)
 
-    return rows.repartition("gram").sortWithinPartitions("gram", "context").mapInArrow(run, _MARK)
+    return rows.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "context").mapInArrow(run, _MARK)
 
 
 def _picked_texts(docs: DataFrame, words: np.ndarray) -> DataFrame:
@@ -230,11 +256,23 @@ def _partial_repeats(contexts: DataFrame) -> DataFrame:
     return contexts.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(run, "text_key long, n_bytes long, first long, last long")
 
 
-def _spans(docs: DataFrame) -> DataFrame:
+def _copies(docs: DataFrame) -> DataFrame:
+    """text_key, n_bytes and n of the texts of LENGTH bytes or more that occur again."""
+    return docs.filter(F.octet_length("text") >= LENGTH).select(*_keyed()).groupBy(*_KEYS).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def _often_copied(copies: DataFrame) -> np.ndarray:
+    """The sorted hashes of (text_key, n_bytes) of the texts that a 2^-16 share of all copies, or more, are of: 2^16 at most."""
+    total = copies.agg(F.sum("n").alias("total"))
+    often = copies.crossJoin(F.broadcast(total)).filter((F.col("n") >= OFTEN) & (F.col("n") * MOST >= F.col("total")))  # one row
+    found = often.select(*_KEYS).toArrow()
+    return np.sort(content_hash(*(np.asarray(found[c], np.int64) for c in _KEYS)))
+
+
+def _spans(docs: DataFrame, copies: DataFrame) -> DataFrame:
     """text_key, n_bytes and repeats (first and last start of repeated windows) of every text that has any."""
-    copies = docs.filter(F.octet_length("text") >= LENGTH).select(*_keyed()).groupBy(*_KEYS).agg(F.count("*").alias("n")).filter("n > 1")
     whole_text = copies.select(*_KEYS, F.lit(0).cast("long").alias("first"), (F.col("n_bytes") - LENGTH).alias("last"))
-    marks = cut(_marked(_anchor_rows(docs)))
+    marks = cut(_marked(_anchor_rows(docs, _frequent(docs))))
     every = F.explode(F.concat(F.array("first"), F.col("again"))).alias("start")
     whole = marks.filter(F.col("kind") == REPEAT).select(*_KEYS, (F.col("last") - F.col("first")).alias("width"), every).select(*_KEYS, F.col("start").cast("long").alias("first"), (F.col("start") + F.col("width")).cast("long").alias("last"))
     partial = _partial_repeats(_contexts(marks.filter(F.col("kind") != REPEAT).withColumn("context_id", F.xxhash64(*_KEYS, "at")), docs))
@@ -245,21 +283,32 @@ _MADE = ["n_bytes", "n_removed", "n_spans", "removed", "kept"]
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """Adds to every row: n_bytes, n_removed, n_spans, removed (first and end byte of each span, in turn) and kept (the remaining bytes)."""
-    columns = [c for c in docs.columns if c.lower() not in (*_MADE, "text_key", "repeats")]
+    """Adds to every row: n_bytes, n_removed, n_spans, removed (first and end byte of each span, in turn) and kept (the remaining bytes).
+
+    Input columns stay, but for ones of these names.  Rows of a text that is
+    copied very often lose all their bytes where they are; other texts with
+    repeats are joined with their spans.
+    """
+    columns = [c for c in docs.columns if c.lower() not in _MADE]
     kinds = dict(docs.dtypes)
+    key, size, found = (one_of([*columns, *_MADE], c) for c in ("text_key", "text_bytes", "repeats"))
     own = ", ".join(f"`{c}` {kinds[c]}" for c in columns)
-    spans = _spans(docs.select("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(bloom_words(spans.select("text_key")))
-    rows = docs.select(*[F.col(f"`{c}`") for c in columns], *_keyed())
+    copies = cut(_copies(docs.select("text")))
+    spans = _spans(docs.select("text"), copies).withColumnsRenamed({"text_key": key, "n_bytes": size, "repeats": found})
+    shared = docs.sparkSession.sparkContext.broadcast((bloom_words(spans.select(key)), _often_copied(copies)))
+    named = [F.col(f"`{c}`") for c in columns]
+    rows = docs.select(*named, *[c.alias(n) for c, n in zip(_keyed(), (key, size), strict=True)])
+
+    def picked(kind: int):
+        """0: rows without repeats, 1: that may have spans, 2: of texts that are copied very often."""
 
-    def picked(wanted: bool):
         def run(batches):
             for batch in batches:
-                held = maybe_in(shared.value, np.asarray(batch.column(len(columns))))
-                yield batch.take(pa.array(np.flatnonzero(held == wanted)))
+                keys, sizes = (np.asarray(batch.column(batch.num_columns - k), np.int64) for k in (2, 1))
+                which = np.where(is_in(shared.value[1], content_hash(keys, sizes)), 2, maybe_in(shared.value[0], keys).astype(int))
+                yield batch.take(pa.array(np.flatnonzero(which == kind)))
 
-        return rows.mapInArrow(run, f"{own}, text_key long, n_bytes long")
+        return rows.mapInArrow(run, f"{own}, `{key}` long, `{size}` long")
 
     def run(batches):
         for part, data, offsets in text_slices(batches, "text"):
@@ -282,12 +331,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 spans.append(len(start))
             yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], pa.array(np.diff(offsets)), pa.array(n, pa.int64()), pa.array(spans, pa.int64()), pa.array(removed, pa.list_(pa.int64())), pa.array(kept, pa.binary())], names=[*columns, *_MADE])
 
-    joined_rows = picked(True).join(spans, _KEYS, "left").select(*[F.col(f"`{c}`") for c in columns], "repeats")
+    joined_rows = picked(1).join(spans, [key, size], "left").select(*named, found)
     cut_rows = joined_rows.mapInArrow(run, f"{own}, n_bytes long, n_removed long, n_spans long, removed array<long>, kept binary")
-    zero = F.lit(0).cast("long")
-    kept = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    whole = picked(False).select(*[F.col(f"`{c}`") for c in columns], "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.array().cast("array<bigint>").alias("removed"), kept.alias("kept"))
-    return cut_rows.unionByName(whole)
+    zero, all_bytes = F.lit(0).cast("long"), F.col(f"`{size}`")
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    whole = picked(0).select(*named, all_bytes.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.array().cast("array<bigint>").alias("removed"), text.alias("kept"))
+    gone = picked(2).select(*named, all_bytes.alias("n_bytes"), all_bytes.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.array(zero, all_bytes).alias("removed"), F.lit("").cast("binary").alias("kept"))
+    return cut_rows.unionByName(whole).unionByName(gone)
 
 
 def repeat_digests(docs: DataFrame) -> DataFrame:

@@ -7,9 +7,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from gleanery.llm import jaccard, passages, suffixdedup
-from gleanery.llm.components import components
+from gleanery.llm import hot, jaccard, passages, suffixdedup
+from gleanery.llm.components import components, connections
 from gleanery.llm.deepshallow import deep_shallow
 
 WORDS = [f"{a}{b}" for a in ("in", "the", "on", "er", "at", "re") for b in ("ta", "so", "mi", "ne", "lu", "ka")]
@@ -123,7 +124,7 @@ def test_signature_tree_prunes_nothing_that_links():
 
 @pytest.mark.parametrize("hub", [2000, 3])
 def test_components_of_a_long_path_and_a_star(spark, hub, monkeypatch):
-    monkeypatch.setattr("gleanery.llm.components.HUB", hub)
+    monkeypatch.setattr("gleanery.operators.components.HUB", hub)
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7)] + [(k, 300) for k in range(200, 240)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 160), 100), **dict.fromkeys([*range(200, 240), 300], 200)}
@@ -361,3 +362,85 @@ def test_thousands_of_copies(spark):
     got = {r.doc_id: r for r in suffixdedup.repeat_digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()}
     assert all(got[i].n_removed == len(page) and got[i].n_spans == 1 for i in range(3000))
     assert 300 <= got[5000].n_removed < 330 and got[5001].n_removed == 0 and got[5003].n_removed == 400 * len(page)
+
+
+@pytest.mark.parametrize("linked", [False, True])
+def test_connections_compare_no_pair_twice(spark, linked):
+    """All pairs, and not over 1.1 times as many, where nothing links; far fewer where all do."""
+    n, most, seen = 900, 90, []
+
+    def compare(celled):
+        rows = [(r.k, r.i, r.j, r.block, r.node) for r in celled.select("cell.k", "cell.i", "cell.j", "block", "node").collect()]
+        by = collections.defaultdict(list)
+        for k, i, j, block, node in rows:
+            by[(k, i, j)].append((block, node))
+        edges = []
+        for (_, i, j), members in by.items():
+            for a, (block, x) in enumerate(members):
+                for other, y in members[a + 1 :]:
+                    if i == j or block != other:
+                        seen.append((min(x, y), max(x, y)))
+                        if linked or {x, y} <= {1, 5, 800}:
+                            edges.append((max(x, y), min(x, y)))
+        return spark.createDataFrame(edges, "a long, b long")
+
+    items = spark.range(n).selectExpr("7 AS grp", "id AS node")
+    edges = connections(items, "grp", "node", most, compare)
+    roots = {r.node: r.root for r in components(edges).collect()}
+    every = n * (n - 1) // 2
+    if linked:
+        assert len(seen) < every / 4 and set(roots.values()) == {0} and len(roots) == n
+    else:
+        assert len(set(seen)) == every and len(seen) <= 1.1 * every and roots == {1: 1, 5: 1, 800: 1}
+
+
+def frequent_rows():
+    """A passage in most documents, copies, one document id of several texts, no id at all."""
+    rng = random.Random(12)
+    passage, other = text(rng, 90), text(rng, 70)
+    rows = [(i, f"{text(rng, rng.randint(0, 30))} {passage} {text(rng, rng.randint(0, 30))}") for i in range(90, 0, -1)]
+    rows += [(200 + i, f"{other} {text(rng, 20)} {other}") for i in range(20)] + [(300 + i, rows[0][1]) for i in range(15)]
+    rows += [(5, f"{text(rng, 12)} {passage}"), (5, f"{passage} {text(rng, 12)}"), (None, f"{passage} zz"), (None, f"yy {passage}"), (400, text(rng, 200)), (401, None)]
+    return rows
+
+
+@pytest.mark.parametrize("held", [1 << 20, 4])
+def test_very_frequent_contents_are_settled_by_tasks(spark, held, monkeypatch):
+    rows = frequent_rows()
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    plain = sorted(map(str, passages.passage_classes(frame).collect()))
+    monkeypatch.setattr(hot, "ONE_IN", 1)
+    monkeypatch.setattr(hot, "LEAST_SAMPLED", 4)
+    monkeypatch.setattr(suffixdedup, "OFTEN", 2)
+    for module in (passages, suffixdedup):
+        monkeypatch.setattr(module, "HELD_ROWS", held)
+    assert len(passages._frequent(frame)) > 10 and len(suffixdedup._frequent(frame)) > 1
+    assert sorted(map(str, passages.passage_classes(frame).collect())) == plain
+    got = suffixdedup.repeat_digests(frame.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1)))).collect()
+    want = brute_removed(list(enumerate(t for _, t in rows)))
+    assert sorted(tuple(r) for r in got) == sorted((-1 if i is None else i, *want[k]) for k, (i, _) in enumerate(rows))
+
+
+def test_portions_copy_rows_a_fixed_number_of_times():
+    import time
+
+    import pyarrow as pa
+
+    def run(n):
+        batches = (pa.RecordBatch.from_pydict({"g": np.zeros(1000, np.int64), "c": np.full(1000, 7), "v": np.arange(k, k + 1000)}) for k in range(0, n, 1000))
+        start, rows = time.perf_counter(), 0
+        for table, part in hot.portions(batches, ["g"], "c", 1 << 16):
+            rows += table.num_rows
+            assert table.num_rows <= (1 << 16) + 1001 and (part or rows == n)
+        assert n <= rows <= n + n // (1 << 15)
+        return time.perf_counter() - start
+
+    run(200_000)
+    assert run(2_000_000) < 6 * run(500_000) + 0.5
+
+
+def test_suffix_dedup_keeps_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(1, "ab " * 200, 5, 6, 7), (2, "x" + "ab " * 200, 5, 6, 7)], "doc_id long, text string, text_key int, repeats int, N_Spans int")
+    out = suffixdedup.remove_repeats(rows)
+    assert out.columns == ["doc_id", "text", "text_key", "repeats", "n_bytes", "n_removed", "n_spans", "removed", "kept"]
+    assert {(r.text_key, r.repeats, r.n_spans) for r in out.collect()} == {(5, 6, 1)}
