@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textcore import release
+
 BITS_EACH = 12
 LEAST_BITS = 1 << 12
 MAX_BITS = 1 << 27
@@ -29,6 +31,8 @@ def bloom_words(hashes: DataFrame) -> np.ndarray:
     found = hashes.select(place).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()  # bits / 64 rows at most
     words = np.zeros(bits // 64, np.uint64)
     words[np.asarray(found["word"], np.int64)] = np.asarray(found["bits"], np.int64).view(np.uint64)
+    del found
+    release()
     return words
 
 

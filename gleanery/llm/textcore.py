@@ -7,16 +7,19 @@ A null text counts as an empty one.
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-SLICE_BYTES = 2 << 20
-ARROW_ROWS = 1_000
+from gleanery.operators.lineage import cut, remove_folder, shared_folder  # noqa: F401  for the operators
+
+SLICE_BYTES = 1 << 20
+#: What bounds an Arrow batch of texts, where the session has no setting of its own: Python workers and buffers then hold a tenth as much.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 PAD = 8
 
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -58,15 +61,19 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_slices(batches, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, bytes, offsets) of consecutive rows with about `limit` bytes of text."""
-    for batch in batches:
-        data, offsets = utf8(batch.column(batch.schema.get_field_index(column)))
-        lo = 0
-        while lo < batch.num_rows:
-            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
-            hi = min(hi, lo + 4096)
-            yield batch.slice(lo, hi - lo), data[offsets[lo] : offsets[hi] + PAD], offsets[lo : hi + 1] - offsets[lo]
-            lo = hi
+    """(rows, bytes, offsets) of consecutive rows with about `limit` bytes of text; free memory goes back to the system at the end."""
+    try:
+        for batch in batches:
+            data, offsets = utf8(batch.column(batch.schema.get_field_index(column)))
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
+                hi = min(hi, lo + 4096)
+                yield batch.slice(lo, hi - lo), data[offsets[lo] : offsets[hi] + PAD], offsets[lo : hi + 1] - offsets[lo]
+                lo = hi
+            del data
+    finally:
+        release()
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,35 +152,29 @@ def binaries(items) -> pa.Array:
     return pa.array([x.tobytes() for x in items], pa.binary())
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only on one machine."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
-    return context.getCheckpointDir()
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets the BATCHES that the session has no value of its own for."""
+    own = spark._jsparkSession.sessionState().conf()
+    for key, value in BATCHES.items():
+        if not own.contains(key):
+            spark.conf.set(key, value)
 
 
-def remove_folder(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of intermediate rows, through Spark's own file systems."""
-    context = spark.sparkContext
-    where = context._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+def release() -> None:
+    """Gives memory that is not in use back to the system, where the C library can; workers wait for their next task without it."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of ARROW_ROWS texts, where the session has Spark's own 10,000: Python workers and buffers then hold a tenth as much."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(ARROW_ROWS))
+def _trimmer():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library than GNU's
+        return None
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut at files in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+_TRIM = _trimmer()
 
 
 def one_of(names, wanted: str) -> str:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import ALNUM_OR_HIGH, LOWER_ASCII, cut, span_hash, text_slices, word_spans
+from .textcore import ALNUM_OR_HIGH, LOWER_ASCII, cut, release, span_hash, text_slices, word_spans
 
 MAX_POSITIVE, MAX_NEGATIVE = 4_000, 8_000
 MAX_TERMS, LEAST_ROWS = 1_024, 3
@@ -215,7 +215,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> FactorizationMachine:
     taken = np.bincount(y, minlength=2) if len(y) else np.ones(2)
     weights = np.array([total.get(t, 0) / max(taken[t], 1) for t in (0, 1)])[y] if len(y) else np.zeros(0)
     terms, least, decay = chosen(rows, y, ids, weights, hashes)
-    return train(rows, y, ids, weights, terms, least, decay)
+    model = train(rows, y, ids, weights, terms, least, decay)
+    del got, rows
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: FactorizationMachine, text: str = "text", out: str = "score") -> DataFrame:
