@@ -13,7 +13,7 @@ from gleanery.functions import text as tx
 from gleanery.functions.lexicon import NEGATIVE, POSITIVE
 from gleanery.operators import clean, graph, history, metrics, provenance, ranking, segments
 from gleanery.operators.lineage import cut, new_folder, remove_folder
-from gleanery.plans import benchmark, ml, scorer, stats, study
+from gleanery.plans import benchmark, gram, grouped, ml, scorer, stats, study
 from gleanery.sources import layout, sketches
 from gleanery.sources.reviews import align, manifest, peek, union_categories
 
@@ -674,7 +674,7 @@ def zero_share(spark, sf_dir):
 def _category_fits(spark, sf_dir):
     columns = [*_MODEL_COLUMNS, *study.DEPTH[:2]]
     rows = history.temporal_split(_featured(spark, sf_dir), "ts").select(*dict.fromkeys(columns), "Category", "product_type", "label", "split", "l_orderkey").cache()
-    fits = ml.per_category(rows.filter("split = 'train'"), rows.filter("split = 'test'"), list(dict.fromkeys(columns)), "Category", tiebreak="l_orderkey")
+    fits = ml.per_category(rows.filter("split = 'train'"), rows.filter("split = 'test'"), list(dict.fromkeys(columns)), "Category")
     types = spark.createDataFrame(rows.select("Category", "product_type").distinct().collect(), "Category string, product_type string")  # a row a category
     rows.unpersist()
     return fits, types
@@ -713,6 +713,64 @@ def regression_zoo(spark, sf_dir):
     return ml.regression_zoo(rows.filter("split = 'train'"), rows.filter("split = 'test'"), _MODEL_COLUMNS, "log_helpful_vote", category="Category")
 
 
+_LINEAR = {"rating": ["rating", "extremity"], "purchase": ["verified", "images"], "title": ["title_length"], "exposure": ["days"]}
+
+
+def _linear_frame(spark, sf_dir):
+    rows = reviews(spark, sf_dir)
+    days = F.datediff(F.to_date(F.lit(COLLECTED)), F.col("event_time")).cast("double")
+    return rows.select("rating", F.abs(F.col("rating") - 3).alias("extremity"), F.col("verified_purchase").cast("double").alias("verified"), (F.col("images") != "[]").cast("double").alias("images"), F.length("title").cast("double").alias("title_length"), days.alias("days"), F.log1p("helpful_vote").alias("label"))
+
+
+def _sweep_sql(ridge: float) -> str:
+    """The sweep operator as a chain of tables (i, j, v), one a term; the squared error of a step from its coefficients and the products."""
+    name, k = ("r" if ridge else "l"), sum(map(len, _LINEAR.values()))
+    steps = [f"{name}0 AS (SELECT i, j, CASE WHEN i = j AND i < {k} THEN v * {1 + ridge}::DOUBLE ELSE v END AS v FROM p0)"]
+    for t in range(k):
+        steps.append(f"""{name}{t + 1} AS (SELECT a.i, a.j, CASE WHEN a.i = {t} AND a.j = {t} THEN -1 / d.v WHEN a.i = {t} OR a.j = {t} THEN a.v / d.v ELSE a.v - r.v * c.v / d.v END AS v
+  FROM {name}{t} a JOIN {name}{t} d ON d.i = {t} AND d.j = {t} JOIN {name}{t} r ON r.i = a.i AND r.j = {t} JOIN {name}{t} c ON c.i = {t} AND c.j = a.j)""")
+    taken, ends = 0, []
+    for step, (block, terms) in enumerate(_LINEAR.items()):
+        taken += len(terms)
+        ends.append(f"""SELECT '{"ridge" if ridge else "linear"}' AS model, {step + 1} AS step, '{block}' AS block, {taken} AS n_terms, (SELECT v FROM p0 WHERE i = {k} AND j = {k})
+    - 2 * (SELECT sum(b.v * x.v) FROM {name}{taken} b JOIN p0 x ON x.i = b.i AND x.j = {k} WHERE b.j = {k} AND b.i < {taken})
+    + (SELECT sum(b.v * x.v * c.v) FROM {name}{taken} b JOIN p0 x ON x.i = b.i JOIN {name}{taken} c ON c.i = x.j AND c.j = {k} WHERE b.j = {k} AND b.i < {taken} AND c.i < {taken}) AS sse""")
+    return ", ".join(steps) + f", {name}e AS ({' UNION ALL '.join(ends)})"
+
+
+_LINEAR_COLUMNS = [t for block in _LINEAR.values() for t in block] + ["label"]
+_PRODUCTS = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, covar_pop({a}, {b}) * count(*) AS v FROM f" for i, a in enumerate(_LINEAR_COLUMNS) for j, b in enumerate(_LINEAR_COLUMNS))
+
+
+@_query(f"""WITH {REVIEWS_SQL}, f AS (SELECT rating, abs(rating - 3) AS extremity, CAST(verified_purchase AS DOUBLE) AS verified, CAST(images <> '[]' AS DOUBLE) AS images, CAST(length(title) AS DOUBLE) AS title_length,
+  CAST(date_diff('day', CAST(event_time AS DATE), DATE '{COLLECTED}') AS DOUBLE) AS days, ln(1 + helpful_vote) AS label FROM r), p0 AS ({_PRODUCTS}), {_sweep_sql(0.0)}, {_sweep_sql(0.1)}, n AS (SELECT count(*) AS n, var_pop(label) * count(*) AS total FROM f)
+ SELECT model, step, block, n, n_terms, round(sqrt(greatest(sse, 0) / n), 6) AS rmse, round(1 - sse / total, 6) AS r2 FROM (SELECT * FROM le UNION ALL SELECT * FROM re), n""")
+def nested_linear(spark, sf_dir):
+    """Linear and ridge models of blocks taken in one by one, from one pass."""
+    return _r6(gram.nested_models(_linear_frame(spark, sf_dir), _LINEAR, "label"), "rmse", "r2")
+
+
+@_query(f"""WITH {REVIEWS_SQL}, g AS (SELECT Category, rating AS s, count(*) AS n, sum(CAST(helpful_vote >= 1 AS INT)) AS pos FROM r GROUP BY 1, 2),
+ c AS (SELECT *, sum(pos) OVER w AS tp, sum(n - pos) OVER w AS fp, sum(pos) OVER (PARTITION BY Category) AS p, sum(n - pos) OVER (PARTITION BY Category) AS q FROM g WINDOW w AS (PARTITION BY Category ORDER BY s DESC))
+ SELECT Category, CAST(sum(n) AS BIGINT) AS n, round(CAST(max(p) / sum(n) AS DOUBLE), 6) AS base_rate, round(CAST(sum(pos * tp::DOUBLE / (tp + fp)) / max(p) AS DOUBLE), 6) AS pr_auc, round(CAST(sum(pos * tp::DOUBLE / (tp + fp)) / max(p) / (max(p) / sum(n)) AS DOUBLE), 6) AS pr_auc_lift,
+  round(CAST(sum(pos * (q - fp + (n - pos) / 2.0::DOUBLE)) / (max(p) * max(q)) AS DOUBLE), 6) AS roc_auc FROM c GROUP BY Category""")
+def measures_by_category(spark, sf_dir):
+    """Rank measures of every category in one pass."""
+    return _r6(metrics.evaluate_by(clean.targets(reviews(spark, sf_dir)), "Category", "label", "rating"), "base_rate", "pr_auc", "pr_auc_lift", "roc_auc")
+
+
+@_query(f"WITH {REVIEWS_SQL} SELECT Category, unnest(['intercept', 'rating', 'extremity', 'verified']) AS term, 0.0::DOUBLE AS slope, CAST(count(*) AS BIGINT) AS n FROM r GROUP BY Category")
+def grouped_logit_gradient(spark, sf_dir):
+    """The slope of the log loss at each category's fitted coefficients: 0 for every term, to six places."""
+    terms = ["rating", "extremity", "verified"]
+    rows = reviews(spark, sf_dir).select("Category", "rating", F.abs(F.col("rating") - 3).alias("extremity"), F.col("verified_purchase").cast("double").alias("verified"), (F.col("helpful_vote") >= 1).cast("double").alias("label"))
+    found = grouped.scored(rows, grouped.logit(rows, "Category", terms), "Category", terms, "p")
+    error = F.col("p") - F.col("label")
+    slopes = found.groupBy("Category").agg(F.count("*").alias("n"), *[F.avg(error * c).alias(t) for t, c in {"intercept": F.lit(1.0), **{t: F.col(t) for t in terms}}.items()])
+    tall = slopes.select("Category", "n", F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.col(t).alias("slope")) for t in ["intercept", *terms]])).alias("x")).select("Category", "x.term", F.round("x.slope", 6).alias("slope"), "n")
+    return tall.withColumn("slope", F.when(F.col("slope") == 0, 0.0).otherwise(F.col("slope")))
+
+
 # --- inference, registry ---------------------------------------------------
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import star_components
-from .lineage import cut
+from .lineage import cut, new_folder, remove_folder
 
 # Fewer vertices or edges are no graph to speak of; below this share of reviews kept it is sparse;
 # the largest degree that the vertex cap asks for; the share of a giant component; correlations of rank and activity.
@@ -32,19 +34,63 @@ def symmetric(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, cut_every: int = 3) -> DataFrame:
-    """(id, rank), undirected; ranks sum to 1.  Each round is one join and one aggregation; the vertex table rides along in the union, so no outer join is needed."""
+#: Neighbours in a block of an adjacency list; files that the lists are dealt to.
+BLOCK, LINK_BUCKETS = 1_000, 64
+
+
+def adjacency(edges: DataFrame, path: str, block: int = BLOCK, buckets: int = LINK_BUCKETS) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(links, vertices, names of the tables): the undirected graph, laid out so that ranks come to the links and links never move.
+
+    links: src, part and dsts, `block` neighbours or fewer, so a hub is split
+    over many rows and files; bucketed by (src, part).  vertices: id, degree and
+    its parts; bucketed by id.
+    """
+    spark = edges.sparkSession
     both = cut(symmetric(edges))
-    degree = both.groupBy("src").agg(F.count("*").alias("degree"))
-    links = cut(both.join(degree, "src"))
-    n = max(1, degree.count())
-    ranks = degree.select(F.col("src").alias("id"), F.lit(1.0 / n).alias("rank"))
+    degrees = both.groupBy("src").agg(F.count("*").alias("degree")).withColumn("parts", F.ceil(F.col("degree") / block).cast("int"))
+    dealt = both.join(degrees, "src").withColumn("part", F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int"))
+    links = dealt.groupBy("src", "part").agg(F.collect_list("dst").alias("dsts"))
+    kept = []
+    for rows, keys in ((links, ["src", "part"]), (degrees.withColumnRenamed("src", "id"), ["id"])):
+        name = f"graph_{uuid.uuid4().hex}"
+        rows.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", f"{path}/{keys[0]}").format("parquet").saveAsTable(name)
+        kept.append(name)
+    return spark.table(kept[0]), spark.table(kept[1]), kept
+
+
+def pagerank_round(links: DataFrame, vertices: DataFrame, ranks: DataFrame, n: int, damping: float) -> DataFrame:
+    """(id, degree, parts, rank, before) after a round: a vertex sends its share to each block of its links, and the blocks to their neighbours."""
+    sent = ranks.select(F.col("id").alias("src"), (F.col("rank") / F.col("degree")).alias("share"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    got = links.join(sent, ["src", "part"]).select(F.explode("dsts").alias("id"), "share").groupBy("id").agg(F.sum("share").alias("r"))
+    old = ranks.select("id", F.col("rank").alias("before"))
+    return vertices.join(got, "id").join(old, "id").select("id", "degree", "parts", ((1 - damping) / n + damping * F.col("r")).alias("rank"), "before")
+
+
+def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, cut_every: int = 3, tolerance: float | None = None, buckets: int = LINK_BUCKETS, block: int = BLOCK) -> DataFrame:
+    """(id, rank), undirected; ranks sum to 1.  At most `rounds` rounds; with a tolerance, no more once ranks move by less than it in sum.
+
+    The links are shuffled once, into a layout that every round reads where it
+    lies; a round shuffles ranks and pre-summed shares.
+    """
+    spark = edges.sparkSession
+    path = new_folder(spark, "graph")
+    links, vertices, names = adjacency(edges, path, block, buckets)
+    n = max(1, vertices.count())
+    ranks = vertices.withColumn("rank", F.lit(1.0 / n))
     for k in range(rounds):
-        sent = links.join(ranks, links["src"] == ranks["id"]).select(F.col("dst").alias("id"), (F.col("rank") / F.col("degree")).alias("r"))
-        ranks = sent.groupBy("id").agg(F.sum("r").alias("r")).select("id", ((1 - damping) / n + damping * F.col("r")).alias("rank"))
-        if (k + 1) % cut_every == 0 and k + 1 < rounds:
+        ranks = pagerank_round(links, vertices, ranks, n, damping)
+        last = k + 1 == rounds
+        if (k + 1) % cut_every == 0 or last:
             ranks = cut(ranks)
-    return ranks
+            if tolerance is not None and not last and (ranks.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] or 0.0) < tolerance:
+                break
+        if not last:
+            ranks = ranks.drop("before")
+    out = ranks.select("id", "rank") if rounds else cut(ranks.select("id", "rank"))
+    for name in names:
+        spark.sql(f"DROP TABLE {name}")
+    remove_folder(spark, path)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -106,7 +106,7 @@ def build(spark: SparkSession, reviews: DataFrame, s: Settings, cleaning: DataFr
     zoo = {**ml.linear_classifiers(max_iter=s.max_iter), **ml.tree_classifiers(trees=s.trees, rounds=s.rounds)}
     stage("fitted", "train", "test")(lambda a, b: ml.model_comparison(a, b, numeric, TIEBREAK, text=text, category="Category", zoo=zoo, group=s.item, relevance="helpful_vote"))
     stage("models", "fitted", "test")(lambda fitted, b: fitted[1].unionByName(ml.baselines(b, {"length alone": "review_length", "exposure alone": "log_exposure_days", "rating alone": "rating"}, TIEBREAK), allowMissingColumns=True))
-    stage("per_category", "train", "test")(lambda a, b: ml.per_category(a, b, numeric, "Category", tiebreak=TIEBREAK))
+    stage("per_category", "train", "test")(lambda a, b: ml.per_category(a, b, numeric, "Category"))
     stage("category_models", "per_category")(lambda fits: table_of(spark, [{k: v for k, v in r.items() if k != "coefficients"} for r in fits]))
     stage("category_coefficients", "per_category", "frame")(lambda fits, f: coefficient_table(spark, fits, f.select("Category", "product_type")))
     stage("constructs", "category_coefficients")(construct_table)
