@@ -631,7 +631,9 @@ def leakage_decomposition(spark, sf_dir):
     rows = history.hash_split(history.temporal_split(rows, "ts"), "l_orderkey", 0.8).select(*_MODEL_COLUMNS, "LEAKY_user_avg_helpful", "LEAKY_user_review_count", "label", "split", "in_train", "l_orderkey").cache()
     leaky = [*_MODEL_COLUMNS, "LEAKY_user_avg_helpful", "LEAKY_user_review_count"]
     random, temporal = (rows.filter("in_train"), rows.filter("not in_train")), (rows.filter("split = 'train'"), rows.filter("split = 'test'"))
-    return ml.leakage_decomposition({"A random, leaky": (*random, leaky), "B temporal, leaky": (*temporal, leaky), "C random, honest": (*random, _MODEL_COLUMNS), "D temporal, honest": (*temporal, _MODEL_COLUMNS)}, "l_orderkey")
+    out = ml.leakage_decomposition({"A random, leaky": (*random, leaky), "B temporal, leaky": (*temporal, leaky), "C random, honest": (*random, _MODEL_COLUMNS), "D temporal, honest": (*temporal, _MODEL_COLUMNS)}, "l_orderkey")
+    rows.unpersist()
+    return out
 
 
 @_query()
@@ -796,10 +798,10 @@ def interaction_model(spark, sf_dir):
     return study.table_of(spark, stats.interaction_model(_featured(spark, sf_dir)))
 
 
-_CLAIMS = ", ".join(f"({f.id!r}, {f.claim!r}, {f.term!r}, {f.expected!r}, " + (f"{f.requires!r}" if f.requires else "NULL") + f", {f.source!r}, {f.scale!r})" for f in stats.REGISTRY)
+_CLAIMS = ", ".join(f"({f.id!r}, {f.claim!r}, {f.term!r}, {f.expected!r}, " + (f"{f.requires!r}" if f.requires else "NULL") + f", {f.source!r}, " + ", ".join("CAST(NULL AS INT)" if n is None else str(n) for n in (f.rows, f.items)) + ")" for f in stats.REGISTRY)
 
 
-@_query(f"SELECT * FROM (VALUES {_CLAIMS}) AS t(id, claim, term, expected, requires, source, scale)")
+@_query(f"SELECT * FROM (VALUES {_CLAIMS}) AS t(id, claim, term, expected, requires, source, rows, items)")
 def registry_table(spark, sf_dir):
     return stats.registry_table(spark)
 

@@ -105,14 +105,14 @@ def top_components(labels: DataFrame, k: int = 10) -> DataFrame:
     return component_sizes(labels).crossJoin(F.broadcast(total)).select("component", "size", (F.col("size") / F.col("_n")).alias("share")).orderBy(F.desc("size"), "component").limit(k)  # one row
 
 
-def capped(df: DataFrame, user: str, item: str, weight: str, most: int) -> tuple[DataFrame, int]:
-    """(edges, least degree): the bipartite graph under the first least degree from 2 to MOST_DEGREE that leaves `most` vertices or fewer, else under the last.
+def capped(df: DataFrame, user: str, item: str, weight: str, most: int | None = None) -> tuple[DataFrame, int]:
+    """(edges, least degree): the bipartite graph under the first least degree from 2 to MOST_DEGREE that leaves `most` vertices or fewer, else under the last; without a `most`, under 2.
 
     No row is sampled: a smaller graph is a denser core, and the degree says which.
     """
     for degree in range(2, MOST_DEGREE + 1):
         edges = cut(bipartite(df, user, item, weight, degree, degree))
-        if vertices(edges).count() <= most:
+        if most is None or vertices(edges).count() <= most:
             break
     return edges, degree
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
 from .running import running_totals
 
 Z = 1.96
@@ -59,7 +60,7 @@ def arrival_bias(df: DataFrame, measures: dict[str, Column]) -> DataFrame:
 def _cumulated(df: DataFrame, value: str) -> DataFrame:
     """Distinct values with counts and what lies below each."""
     groups = df.select(F.col(value).cast("double").alias("x")).filter("x is not null").groupBy("x").agg(F.count("*").alias("n"))
-    return running_totals(groups, "x", {"upto": "n"}).select("x", "n", (F.col("upto") - F.col("n")).alias("below"))
+    return cut(running_totals(groups, "x", {"upto": "n"}).select("x", "n", (F.col("upto") - F.col("n")).alias("below")))
 
 
 def gini(df: DataFrame, value: str) -> DataFrame:

@@ -42,7 +42,7 @@ def pandas_workloads(key: str, order: list[str], value: str, text: str) -> dict:
     }
 
 
-def sweep(df: DataFrame, key: str, order: list[str], value: str, text: str, sizes: tuple[int, ...] = (1_000, 10_000, 100_000), repeats: int = 3) -> DataFrame:
+def sweep(df: DataFrame, key: str, order: list[str], value: str, text: str, sizes: tuple[int, ...] = (10_000, 50_000, 100_000, 250_000, 500_000), repeats: int = 3) -> DataFrame:
     """(workload, rows, spark_s, other_s): median seconds of each workload on the first `sizes` rows, here and in pandas, which holds them on the driver."""
     found, spark = [], df.sparkSession
     there = df.count()

@@ -15,6 +15,7 @@ class Results:
     def __init__(self, tables: dict[str, DataFrame | None]):
         self.tables = tables
         self.held: dict[str, tuple[list[str], list]] = {}
+        self.longer: set[str] = set()
 
     def rows(self, name: str) -> list:
         """At most MOST rows of a result table."""
@@ -22,7 +23,10 @@ class Results:
         if df is None:
             return []
         if name not in self.held:
-            self.held[name] = (df.columns, df.limit(MOST).collect())
+            rows = df.limit(MOST + 1).collect()
+            if len(rows) > MOST:
+                self.longer.add(name)
+            self.held[name] = (df.columns, rows[:MOST])
         return self.held[name][1]
 
     def shown(self, name: str, title: str, columns: list[str] | None = None) -> list[str]:
@@ -30,7 +34,8 @@ class Results:
         if not rows:
             return []
         columns = [c for c in columns or self.held[name][0] if c in self.held[name][0]]
-        return [f"### {title}", report.table(columns, [[r[c] for c in columns] for r in rows])]
+        more = [f"_The first {MOST} rows._"] if name in self.longer else []
+        return [f"### {title}", report.table(columns, [[r[c] for c in columns] for r in rows]), *more]
 
 
 def _section(title: str, *parts: list[str] | str) -> str:
@@ -82,7 +87,7 @@ def fairness(r: Results) -> str:
 def replication(r: Results) -> str:
     counts = ", ".join(f"{x['claims']} {x['verdict']}" for x in r.rows("verdict_counts"))
     note = f"A claim holds if its term has the registered sign at p < {stats.ALPHA} and moves the chance by {100 * stats.MIN_EFFECT:g} point or more. Verdicts: {counts}." if counts else ""
-    return _section("Registered claims", note, r.shown("registry", "Claims", ["id", "claim", "source", "scale", "term", "expected"]), r.shown("replication", "Estimates", ["id", "expected", "coefficient", "std_error", "p_value", "effect_at_mean", "verdict"]))
+    return _section("Registered claims", note, r.shown("registry", "Claims", ["id", "claim", "source", "rows", "items", "term", "expected"]), r.shown("replication", "Estimates", ["id", "expected", "coefficient", "std_error", "p_value", "effect_at_mean", "verdict"]))
 
 
 SECTIONS = [data, leakage, ablation, models, moderation, fairness, replication]

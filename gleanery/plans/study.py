@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gleanery.functions import text as tx
 from gleanery.operators import clean, graph, history, provenance, ranking, segments
 from gleanery.plans import benchmark, ml, stats
-from gleanery.plans.runner import Study
+from gleanery.plans.runner import Store, Study
 
 TIEBREAK = "row_id"
 DEPTH = ["review_length", "log_review_length", "review_word_count"]
@@ -31,7 +31,8 @@ class Settings:
     text_features: bool = True
     interaction: bool = True
     bench: bool = True
-    most_vertices: int = 2_000_000
+    #: The most vertices of the graph, beyond which it is cut to a denser core; None: all.
+    most_vertices: int | None = None
     trees: int = 100
     rounds: int = 60
     max_iter: int = 50
@@ -85,16 +86,29 @@ def construct_table(coefficients: DataFrame) -> DataFrame:
     return ml.construct_contrast(coefficients.withColumn("term", construct).filter("term IS NOT NULL")).withColumnRenamed("term", "construct")
 
 
-def build(spark: SparkSession, reviews: DataFrame, s: Settings, cleaning: DataFrame | None = None) -> Study:
-    """All stages, not yet run; `reviews` are cleaned rows with event_time, Category and product_type, `cleaning` the audit to report."""
-    study = Study()
+def top_ranked(ranks: DataFrame, rows: DataFrame, user: str, most: int = 20) -> DataFrame:
+    """The users of highest rank, with their reviews, votes and share of reviews with any vote: a report's limit."""
+    top = ranks.filter(F.col("id").startswith("u:")).orderBy(F.desc("rank"), "id").limit(most)
+    own = rows.join(F.broadcast(top.select(F.col("id").alias("_id"))), F.concat(F.lit("u:"), F.col(user).cast("string")) == F.col("_id"))  # `most` rows
+    activity = own.groupBy(F.col("_id").alias("id")).agg(F.count("*").alias("reviews"), F.sum("helpful_vote").alias("votes"), F.avg("label").alias("hit_rate"))
+    return top.join(activity, "id").orderBy(F.desc("rank"), "id")
+
+
+def build(spark: SparkSession, reviews: DataFrame, s: Settings, cleaning: DataFrame | None = None, store: str | None = None) -> Study:
+    """All stages, not yet run; `reviews` are cleaned rows with event_time, Category and product_type, `cleaning` the audit to report.
+
+    With `store`, a path that driver and executors share, finished stages are
+    kept there by a fingerprint of the settings and the reviews, and a study
+    that is built again on the same goes on where the last one ended.
+    """
+    study = Study(Store(spark, store, Store.fingerprint(s, reviews)) if store else None)
     numeric = tx.ALL_NUMERIC
     stage = study.stage
     if cleaning is not None:
         stage("cleaning")(lambda: cleaning)
     stage("frame")(lambda: frame(reviews, s).persist(StorageLevel.MEMORY_AND_DISK))
-    stage("train", "frame")(lambda f: f.filter("split = 'train'"))
-    stage("test", "frame")(lambda f: f.filter("split = 'test'"))
+    stage("train", "frame", view=True)(lambda f: f.filter("split = 'train'"))
+    stage("test", "frame", view=True)(lambda f: f.filter("split = 'test'"))
     stage("provenance", "frame")(lambda f: provenance.summary(f, s.user, s.item))
     stage("provenance_checks", "provenance")(provenance.support_matrix)
     stage("reviewer_frequency", "frame")(lambda f: provenance.frequency(f, s.user))
@@ -130,7 +144,7 @@ def build(spark: SparkSession, reviews: DataFrame, s: Settings, cleaning: DataFr
     stage("components", "labels")(graph.top_components)
     stage("ranks", "edges")(lambda e: graph.pagerank(e, s.pagerank_rounds))
     stage("centrality", "ranks", "edges")(lambda r, e: graph.activity_link(r, e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"), F.sum("weight").alias("votes")), "n", "votes"))
-    stage("top_ranked", "ranks")(lambda r: r.filter(F.col("id").startswith("u:")).orderBy(F.desc("rank"), "id").limit(20))
+    stage("top_ranked", "ranks", "frame")(lambda r, f: top_ranked(r, f, s.user))
     stage("zero_share", "test")(lambda b: ml.zero_share(b, "helpful_vote"))
     stage("regression", "train", "test")(lambda a, b: ml.regression_zoo(a, b, numeric, "log_helpful_vote", ml.regressors(s.trees, s.rounds), category="Category"))
     if s.bench:
@@ -148,7 +162,7 @@ def tables(study: Study) -> dict[str, DataFrame]:
 def finish(study: Study) -> None:
     """Gives back what the stages held."""
     for name in ("frame", "profiles"):
-        if name in study.results:
+        if name in study.results and not study.store:
             study.results[name].unpersist()
 
 

@@ -212,7 +212,8 @@ def test_samples_by_hash(spark):
     assert sorted(r.id for r in some.repartition(3).collect()) == sorted(r.id for r in some.collect())
 
 
-def test_running_totals_equal_a_plain_scan(spark):
+def test_running_totals_equal_a_plain_scan(spark, monkeypatch):
+    monkeypatch.setattr(running, "FEW", 3)
     rng = random.Random(3)
     keys = [None, *{round(rng.gauss(0, 50), 2) for _ in range(700)}]
     rows = [(k, rng.randint(0, 9)) for k in keys]
@@ -318,13 +319,13 @@ def test_regression_metrics_and_mean(spark):
 
 
 def test_segment_names_go_to_the_largest_gaps(spark):
-    rows = [(k, 5 * k + 6, *[v if m != "n_reviews" else 3.0 for m in segments.TRAITS]) for k, v in enumerate((1.0, 2.0, 9.0))]
-    summary = spark.createDataFrame(rows, f"prediction int, reviewers long, {', '.join(f'{m} double' for m in segments.TRAITS)}")
+    rows = [(k, 5 * k + 6, *[v if m != "n_reviews" else 3.0 for m in segments.FEATURES]) for k, v in enumerate((1.0, 2.0, 9.0))]
+    summary = spark.createDataFrame(rows, f"prediction int, reviewers long, {', '.join(f'{m} double' for m in segments.FEATURES)}")
     got = {r.prediction: r for r in segments.name_segments(summary).collect()}
-    assert len({r.segment for r in got.values()}) == 3 and got[2].segment == "write at length" and got[0].segment == "write briefly"
+    assert len({r.segment for r in got.values()}) == 3 and got[2].segment == "high avg_helpful" and got[0].segment == "low avg_helpful"
     assert [got[k].isolated for k in range(3)] == [True, False, False]
     alone = segments.name_segments(summary.limit(1)).first()
-    assert alone.segment == "write at length" and segments.name_segments(summary.limit(0)).count() == 0
+    assert alone.segment == "high avg_helpful" and segments.name_segments(summary.limit(0)).count() == 0
     assert len(segments.warnings(10, 1000, {2: 0.5, 3: 0.52}, 1)) == 4 and segments.warnings(500, 600, {2: 0.1, 3: 0.5}) == []
 
 
