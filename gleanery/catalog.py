@@ -367,6 +367,18 @@ def feature_summary(spark, sf_dir):
     return _r6(tx.feature_summary(tx.structural(_docs(spark, sf_dir)), ["review_length", "review_word_count", "sentence_count"]), "mean", "std")
 
 
+_SUMMED = [*tx.BLOCKS["structural"], *tx.BLOCKS["lexical"], "sentiment_positive_ratio", "sentiment_negative_ratio", "sentiment_polarity"]
+
+
+@_query(f"""WITH {_T}, h AS (SELECT *, {_hits(POSITIVE)} AS p, {_hits(NEGATIVE)} AS n FROM t), a AS (SELECT {_STRUCT.replace("round(", "(").replace(", 6)", ")")}, {_LEX.replace("round(", "(").replace(", 6)", ")")}, {_FLESCH.replace("round(", "(").replace(", 6)", ")")} AS flesch_reading_ease,
+  p / w1 AS sentiment_positive_ratio, n / w1 AS sentiment_negative_ratio, (p - n) / greatest(1.0::DOUBLE, p + n) AS sentiment_polarity FROM h), u AS (UNPIVOT (SELECT {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _SUMMED)} FROM a) ON COLUMNS(*) INTO NAME feature VALUE x)
+ SELECT feature, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, round(min(x), 6) AS min, round(max(x), 6) AS max FROM u GROUP BY feature""")
+def feature_summary_text(spark, sf_dir):
+    """The study's summary over every text feature."""
+    rows = tx.sentiment(tx.lexical(tx.structural(_docs(spark, sf_dir))))
+    return _r6(tx.feature_summary(rows, _SUMMED), "mean", "std", "min", "max")
+
+
 @_query("""SELECT doc_id, quality, round(CASE WHEN quality = 1 THEN (SELECT count(*) FILTER (WHERE quality = 0) / count(*) FILTER (WHERE quality = 1)
   FROM labels) ELSE 1.0 END::DOUBLE, 6) AS weight FROM labels""")
 def class_weights(spark, sf_dir):
@@ -377,11 +389,8 @@ def class_weights(spark, sf_dir):
  df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= 10), n AS (SELECT count(*) AS n FROM documents) SELECT term, df, round(sum(tf * ln((n + 1.0) / (df + 1.0))), 6) AS tfidf_total FROM tf JOIN df USING (term), n GROUP BY term, df""")
 def tfidf_dictionary(spark, sf_dir):
     """TF-IDF over a dictionary: the terms of ten documents or more, with ln((n + 1) / (df + 1))."""
-    d = table(spark, sf_dir, "documents")
-    tf = d.select("doc_id", F.explode(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) >= 2)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).filter("df >= 10")
-    n = d.agg(F.count("*").alias("n"))
-    return df.crossJoin(F.broadcast(n)).select("term", "df", F.round(F.col("total") * F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)), 6).alias("tfidf_total"))
+    found = tx.tfidf_totals(table(spark, sf_dir, "documents"), "doc_id", "text", ml.MIN_DOC_FREQ)
+    return _r6(found, "tfidf_total")
 
 
 @_query()
@@ -481,6 +490,15 @@ def arrival_bias(spark, sf_dir):
     return _r6(out, "avg_votes", "pct_any", "avg_rating")
 
 
+@_query(f"""SELECT b AS arrival_bucket, count(*) AS reviews, round(100 * avg(CAST(helpful_vote >= 1 AS INT)), 6) AS pct_any_vote, round(avg(helpful_vote), 6) AS avg_votes, round(avg(rating), 6) AS avg_rating, round(avg(length(title)), 6) AS avg_length, round(100 * avg(CAST(verified_purchase AS INT)), 6) AS pct_verified,
+  round(avg(date_diff('day', CAST(event_time AS DATE), DATE '{COLLECTED}')), 6) AS avg_exposure_days, CASE b WHEN '1-5 (earliest)' THEN 1 WHEN '6-20' THEN 2 WHEN '21-50' THEN 3 WHEN '51-200' THEN 4 ELSE 5 END AS bucket_no FROM (
+ SELECT *, CASE WHEN k <= 5 THEN '1-5 (earliest)' WHEN k <= 20 THEN '6-20' WHEN k <= 50 THEN '21-50' WHEN k <= 200 THEN '51-200' ELSE '200+ (latest)' END AS b FROM (SELECT *, row_number() OVER (PARTITION BY parent_asin ORDER BY {ORDER_SQL}) AS k FROM r WHERE date_diff('day', CAST(event_time AS DATE), DATE '{COLLECTED}') >= 365)) GROUP BY b""")
+def arrival_bias_by_item(spark, sf_dir):
+    """All six measures of the study's table, by the item's order of arrival."""
+    rows = clean.exposure(clean.targets(reviews(spark, sf_dir)), COLLECTED).withColumns({"review_length": F.length("title"), "verified_int": F.col("verified_purchase").cast("int")})
+    return _r6(ranking.arrival_bias(history.arrival_position(rows, "parent_asin", ORDER), study.arrival_measures()), *study.arrival_measures())
+
+
 @_query("""SELECT round((2 * sum(i * v) / (max(n) * sum(v)) - (max(n) + 1.0) / max(n))::DOUBLE, 6) AS gini, round(sum(CASE WHEN i > floor(n * 0.99) THEN v END)::DOUBLE / sum(v), 6) AS top1_share, round(sum(CASE WHEN i > floor(n * 0.90) THEN v END)::DOUBLE / sum(v), 6) AS top10_share
  FROM (SELECT helpful_vote::DOUBLE AS v, row_number() OVER (ORDER BY helpful_vote) AS i, count(*) OVER () AS n FROM r)""")
 def gini_votes(spark, sf_dir):
@@ -627,11 +645,12 @@ _MODEL_COLUMNS = ["rating", "rating_extremity", "verified_int", "has_images", "t
 
 @_query()
 def leakage_decomposition(spark, sf_dir):
+    """Random and temporal splits, with leaky and honest history, on all features."""
     rows = history.whole_history(_featured(spark, sf_dir), "user_id", "helpful_vote").withColumn("LEAKY_user_review_count", F.col("LEAKY_user_review_count").cast("double"))
-    rows = history.hash_split(history.temporal_split(rows, "ts"), "l_orderkey", 0.8).select(*_MODEL_COLUMNS, "LEAKY_user_avg_helpful", "LEAKY_user_review_count", "label", "split", "in_train", "l_orderkey").cache()
-    leaky = [*_MODEL_COLUMNS, "LEAKY_user_avg_helpful", "LEAKY_user_review_count"]
+    rows = history.hash_split(history.temporal_split(rows, "ts"), "l_orderkey", 0.8).select(*tx.ALL_NUMERIC, "LEAKY_user_avg_helpful", "LEAKY_user_review_count", "label", "split", "in_train", "l_orderkey").cache()
+    leaky = [*tx.ALL_NUMERIC, "LEAKY_user_avg_helpful", "LEAKY_user_review_count"]
     random, temporal = (rows.filter("in_train"), rows.filter("not in_train")), (rows.filter("split = 'train'"), rows.filter("split = 'test'"))
-    out = ml.leakage_decomposition({"A random, leaky": (*random, leaky), "B temporal, leaky": (*temporal, leaky), "C random, honest": (*random, _MODEL_COLUMNS), "D temporal, honest": (*temporal, _MODEL_COLUMNS)}, "l_orderkey")
+    out = ml.leakage_decomposition({"A random, leaky": (*random, leaky), "B temporal, leaky": (*temporal, leaky), "C random, honest": (*random, tx.ALL_NUMERIC), "D temporal, honest": (*temporal, tx.ALL_NUMERIC)}, "l_orderkey")
     rows.unpersist()
     return out
 
@@ -746,10 +765,11 @@ _PRODUCTS = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, covar_pop({a}, {b})
 
 @_query(f"""WITH {REVIEWS_SQL}, f AS (SELECT rating, abs(rating - 3) AS extremity, CAST(verified_purchase AS DOUBLE) AS verified, CAST(images <> '[]' AS DOUBLE) AS images, CAST(length(title) AS DOUBLE) AS title_length,
   CAST(date_diff('day', CAST(event_time AS DATE), DATE '{COLLECTED}') AS DOUBLE) AS days, ln(1 + helpful_vote) AS label FROM r), p0 AS ({_PRODUCTS}), {_sweep_sql(0.0)}, {_sweep_sql(0.1)}, n AS (SELECT count(*) AS n, var_pop(label) * count(*) AS total FROM f)
- SELECT model, step, block, n, n_terms, round(sqrt(greatest(sse, 0) / n), 6) AS rmse, round(1 - sse / total, 6) AS r2 FROM (SELECT * FROM le UNION ALL SELECT * FROM re), n""")
+ SELECT model, step, block, n, n_terms, round(sqrt(greatest(sse, 0) / n), 6) AS rmse, round(1 - sse / total, 6) AS r2, round(1 - sse / total - coalesce(lag(1 - sse / total) OVER (PARTITION BY model ORDER BY step), 0), 6) AS marginal_r2
+ FROM (SELECT * FROM le UNION ALL SELECT * FROM re), n""")
 def nested_linear(spark, sf_dir):
     """Linear and ridge models of blocks taken in one by one, from one pass."""
-    return _r6(gram.nested_models(_linear_frame(spark, sf_dir), _LINEAR, "label"), "rmse", "r2")
+    return _r6(gram.nested_models(_linear_frame(spark, sf_dir), _LINEAR, "label"), "rmse", "r2", "marginal_r2")
 
 
 @_query(f"""WITH {REVIEWS_SQL}, g AS (SELECT Category, rating AS s, count(*) AS n, sum(CAST(helpful_vote >= 1 AS INT)) AS pos FROM r GROUP BY 1, 2),

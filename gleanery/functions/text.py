@@ -116,3 +116,12 @@ def feature_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     stats = {"mean": F.avg, "std": F.stddev, "min": F.min, "max": F.max}
     row = df.agg(*[F.struct(*[f(c).cast("double").alias(n) for n, f in stats.items()]).alias(c) for c in columns])
     return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("s")) for c in columns])).alias("x")).select("x.feature", "x.s.*")
+
+
+def tfidf_totals(df: DataFrame, key: str, text: str, least_documents: int, least_letters: int = 2) -> DataFrame:
+    """(term, df, tfidf_total) of every term (a run of a-z) in least_documents documents or more: the sum of count times ln((n + 1) / (df + 1))."""
+    terms = F.explode(F.filter(F.split(F.lower(text), "[^a-z]+"), lambda x: F.length(x) >= least_letters)).alias("term")
+    tf = df.select(key, terms).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    each = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= least_documents)
+    n = df.agg(F.count("*").alias("n"))
+    return each.crossJoin(F.broadcast(n)).select("term", "df", (F.col("total") * F.log((F.col("n") + 1.0) / (F.col("df") + 1.0))).alias("tfidf_total"))  # one row

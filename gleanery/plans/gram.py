@@ -11,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 TINY = 1e-9
@@ -77,7 +78,7 @@ def nested(n: int, products: np.ndarray, blocks: list[list[int]], ridge: float =
 
 
 def nested_models(rows: DataFrame, blocks: dict[str, list[str]], label: str, ridge: float = 0.1) -> DataFrame:
-    """(model, step, block, n, n_terms, rmse, r2) of linear and ridge models of the blocks taken in one by one; one pass over the rows."""
+    """(model, step, block, n, n_terms, rmse, r2, marginal_r2) of linear and ridge models of the blocks taken in one by one; one pass over the rows."""
     terms = [t for block in blocks.values() for t in block]
     n, _, products = gram(rows, terms, label)
     places, at = [], 0
@@ -88,7 +89,8 @@ def nested_models(rows: DataFrame, blocks: dict[str, list[str]], label: str, rid
     for model, share in (("linear", 0.0), ("ridge", ridge)):
         for step, (name, row) in enumerate(zip(blocks, nested(n, products, places, share), strict=True)):
             found.append((model, step + 1, name, n, row["terms"], float(np.sqrt(max(row["mse"], 0.0))), row["r2"]))
-    return rows.sparkSession.createDataFrame(found, "model string, step int, block string, n long, n_terms int, rmse double, r2 double")
+    table = rows.sparkSession.createDataFrame(found, "model string, step int, block string, n long, n_terms int, rmse double, r2 double")
+    return table.withColumn("marginal_r2", F.col("r2") - F.coalesce(F.lag("r2").over(W.partitionBy("model").orderBy("step")), F.lit(0.0)))
 
 
 def linear_coefficients(rows: DataFrame, terms: list[str], label: str, ridge: float = 0.0) -> DataFrame:
