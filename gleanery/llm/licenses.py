@@ -102,8 +102,11 @@ def scan(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "te
     lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.lower(x).rlike("licen[cs]"))
     rows = docs.select(F.col(key), digest(F.col(text)).alias("digest"), F.transform(lines, digest).alias("lines"))
     whole = rows.join(known, rows["digest"] == known["known_digest"], "left").drop("known_digest")
-    some = whole.filter(F.size("lines") > 0).withColumn("row", F.monotonically_increasing_id())
+    own = [F.col(c).alias(f"_{k}") for k, c in enumerate([key, "digest", "license_id", "lines"])]  # what a row is known by: equal rows are one, with a count
+    some = whole.filter(F.size("lines") > 0).groupBy(*own).agg(F.count("*").alias("_times"))
     line = known.select(F.col("known_digest").alias("line"), F.col("license_id").alias("notice"))
-    found = some.withColumn("line", F.explode("lines")).join(line, "line", "left").groupBy("row").agg(F.first(key).alias(key), F.first("digest").alias("digest"), F.first("license_id").alias("license_id"), F.count("notice").alias("n_notices"), F.array_sort(F.collect_set("notice")).alias("notice_ids"))
+    by = [*[f"_{k}" for k in range(4)], "_times"]
+    found = some.withColumn("line", F.explode("_3")).join(line, "line", "left").groupBy(*by).agg(F.count("notice").alias("n_notices"), F.array_sort(F.collect_set("notice")).alias("notice_ids"))
+    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).withColumnsRenamed({"_0": key, "_1": "digest", "_2": "license_id"})
     none = whole.filter(F.size("lines") == 0).select(key, "digest", "license_id", F.lit(0).cast("long").alias("n_notices"), F.array().cast("array<string>").alias("notice_ids"))
     return none.unionByName(found.select(*none.columns))
