@@ -255,14 +255,75 @@ def _contexts(marks: DataFrame, docs: DataFrame) -> DataFrame:
             cut = pa.array([raw[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (at, first, last)), pa.array(doc), pa.array(key), cut, again.take(pa.array(wanted))], names=names)
 
-    rows = docs.select(*_keyed(docs), "text").mapInArrow(run, "signature long, at int, first int, last int, doc long, text_key long, bytes binary, again array<int>")
-    sizes = compared.filter("many").groupBy("signature").agg(F.ceil(F.count("*") / MAX_GROUP).cast("int").alias("blocks"))  # a row for MAX_GROUP marks or more
-    dealt = rows.join(F.broadcast(sizes), "signature", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = docs.select(*_keyed(docs), "text").mapInArrow(run, _CONTEXT)
+    large = cut(compared.filter("many").groupBy("signature").agg(F.count("*").alias("n")).filter(F.col("n") > MAX_GROUP).select("signature"))  # a row for MAX_GROUP marks or more
+    if large.limit(1).count():
+        rows = cut(rows)
+        alive = cut(_with_support(rows.join(F.broadcast(large), "signature", "left_semi")))
+        rows = rows.join(F.broadcast(large), "signature", "left_anti").unionByName(alive)
+        sizes = alive.groupBy("signature").agg(F.ceil(F.count("*") / MAX_GROUP).cast("int").alias("blocks"))
+        rows = rows.join(F.broadcast(sizes), "signature", "left")
+    else:
+        rows = rows.withColumn("blocks", F.lit(None).cast("int"))
+    dealt = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     block = F.pmod(F.xxhash64("doc", "text_key", "first"), F.col("blocks")).cast("int")
     meets = dealt.withColumn("block", block).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return meets.withColumn("i", F.least("block", "_o")).withColumn("j", F.greatest("block", "_o")).drop("_o", "blocks")
 
 
+_CONTEXT = "signature long, at int, first int, last int, doc long, text_key long, bytes binary, again array<int>"
+
+
+def _tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of each row's words, and where each row's begin (n + 1)."""
+    parts, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for _, data, offsets in text_slices([pa.RecordBatch.from_arrays([column], names=["bytes"])], "bytes"):
+        low = LOWER_ASCII[data]
+        starts, ends, begin = word_spans(low, offsets, NOT_SPACE)
+        chained = chain(span_hash(low, starts, ends, seed=2), SHINGLE)
+        size = np.diff(begin) - SHINGLE + 1
+        parts.append(chained[np.repeat(begin[:-1] - (np.cumsum(size) - size), size) + np.arange(size.sum())])
+        sizes.append(size)
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+
+def _with_support(rows: DataFrame) -> DataFrame:
+    """The runs of large signatures with a window that may be similar to one of another document.
+
+    A token that no other document of the signature has can't be shared.  Tokens
+    are counted by signature, with partial aggregation, before any run is copied
+    to blocks; a Bloom filter of those in two documents or more, of bounded size,
+    judges the runs where they are, and keeps what it is not sure of.
+    """
+
+    def named(signature: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        return mix(tokens ^ mix(signature.view(np.uint64))).view(np.int64)
+
+    def tokens(batches):
+        for batch in batches:
+            if batch.num_rows:
+                found, begin = _tokens_of(batch.column(6))
+                row = np.repeat(np.arange(batch.num_rows), np.diff(begin))
+                signature, doc = (np.asarray(batch.column(k), np.int64)[row] for k in (0, 4))
+                yield pa.RecordBatch.from_arrays([pa.array(named(signature, found)), pa.array(doc)], names=["h", "doc"])
+
+    each = rows.mapInArrow(tokens, "h long, doc long").groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b"))
+    shared = rows.sparkSession.sparkContext.broadcast(bloom_words(cut(each.filter("a <> b").select("h"))))
+
+    def judged(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found, begin = _tokens_of(batch.column(6))
+            signature, at, first, doc = (np.asarray(batch.column(k), np.int64) for k in (0, 1, 2, 4))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(begin))
+            supported = maybe_in(shared.value, named(signature[row], found))
+            contexts = Contexts(found, begin, at - first, np.zeros(batch.num_rows, np.int64), doc, supported)
+            yield batch.take(pa.array(np.flatnonzero(contexts.alive)))
+
+    return rows.mapInArrow(judged, _CONTEXT)
+
+
 def _supported(tokens: np.ndarray, group: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Which tokens stand in runs of two documents or more of their group."""
     if not len(tokens):
@@ -282,7 +343,8 @@ class Contexts:
 
     SPAN = 2 * TOKENS - 1
 
-    def __init__(self, tokens: np.ndarray, begin: np.ndarray, center: np.ndarray, group: np.ndarray, doc: np.ndarray):
+    def __init__(self, tokens: np.ndarray, begin: np.ndarray, center: np.ndarray, group: np.ndarray, doc: np.ndarray, supported: np.ndarray | None = None):
+        """`supported`: which tokens other documents of the group have, where that is known."""
         n, length = len(center), np.diff(begin)
         row = np.repeat(np.arange(n), length)
         self.low, self.high = TOKENS - 1 - center, length - 1 - center  # first and last start of a window
@@ -304,7 +366,7 @@ class Contexts:
         self.within = (start >= self.low[:, None]) & (start <= self.high[:, None])
         self.different = self._counted(row, place, before, np.ones(len(row), bool))
         self.fewest = np.where(self.within, self.different, TOKENS).min(axis=1).astype(np.int64)
-        self._reach(row, place, before, _supported(tokens, group[row], doc[row]))
+        self._reach(row, place, before, _supported(tokens, group[row], doc[row]) if supported is None else supported)
 
     def _counted(self, row: np.ndarray, place: np.ndarray, before: np.ndarray, which: np.ndarray) -> np.ndarray:
         """By row and start of a window: how many different tokens of those in `which` it has; a token counts at its first place in the window."""
@@ -410,18 +472,11 @@ def _joined_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 def _compared(x: pa.Table) -> tuple[np.ndarray, ...]:
     """(row, first and last distance from its minimum, other row) of rows sorted by cell and document: the repeats of each row and links that connect what pairs connect."""
     signature, i, j, block, doc = (np.asarray(x[c]) for c in ("signature", "i", "j", "block", "doc"))
-    n, parts, sizes = len(doc), [], []
-    for _, data, offsets in text_slices(x.select(["bytes"]).to_batches(), "bytes"):
-        low = LOWER_ASCII[data]
-        starts, ends, begin = word_spans(low, offsets, NOT_SPACE)
-        chained = chain(span_hash(low, starts, ends, seed=2), SHINGLE)
-        size = np.diff(begin) - SHINGLE + 1
-        parts.append(chained[np.repeat(begin[:-1] - (np.cumsum(size) - size), size) + np.arange(size.sum())])
-        sizes.append(size)
+    n = len(doc)
+    tokens, begin = _tokens_of(x["bytes"].combine_chunks())
     new = np.concatenate([[True], (signature[1:] != signature[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
     group = np.cumsum(new) - 1
-    begin = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-    contexts = Contexts(np.concatenate(parts), begin, np.asarray(x["at"], np.int64) - np.asarray(x["first"]), group, doc)
+    contexts = Contexts(tokens, begin, np.asarray(x["at"], np.int64) - np.asarray(x["first"]), group, doc)
     rows = np.flatnonzero(contexts.alive)
     heads = np.flatnonzero(np.concatenate([[True], group[rows][1:] != group[rows][:-1]])[: len(rows)])
     end = np.repeat(np.append(heads[1:], len(rows))[: len(heads)], np.diff(np.append(heads, len(rows))))

@@ -444,3 +444,21 @@ def test_suffix_dedup_keeps_columns_of_any_name(spark):
     out = suffixdedup.remove_repeats(rows)
     assert out.columns == ["doc_id", "text", "text_key", "repeats", "n_bytes", "n_removed", "n_spans", "removed", "kept"]
     assert {(r.text_key, r.repeats, r.n_spans) for r in out.collect()} == {(5, 6, 1)}
+
+
+def test_runs_without_support_are_dropped_before_they_are_copied(spark, monkeypatch):
+    """Around one frequent line, only contexts that share more than it with another document stay."""
+    monkeypatch.setattr(passages, "MAX_GROUP", 10)
+    rng = random.Random(31)
+    line = " ".join(f"line{k}" for k in range(30))
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    shared = fresh(50)
+    rows = [(i, f"{fresh(60)} {line} {fresh(60)}") for i in range(60)] + [(100 + i, f"{fresh(20)} {shared} {line} {fresh(60)}") for i in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = passages.cut(passages._marked(passages._runs(frame, passages._frequent(frame))))
+    large = marks.filter("many").groupBy("signature").count().filter("count > 10").select("signature")
+    before = marks.filter("kind > 0").join(large, "signature").select("doc").distinct().count()
+    kept = {r.doc for r in passages._contexts(marks, frame).join(large, "signature").select("doc").distinct().collect()}
+    assert before > 50 and kept <= {100, 101, 102}
+    got = {r.doc_id for r in passages.passage_classes(frame).filter("repeats").collect()}
+    assert got == {100, 101, 102}
