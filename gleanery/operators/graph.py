@@ -34,11 +34,11 @@ def symmetric(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-#: Neighbours in a block of an adjacency list; files that the lists are dealt to.
-BLOCK, LINK_BUCKETS = 1_000, 64
+#: Neighbours in a block of an adjacency list.
+BLOCK = 1_000
 
 
-def adjacency(edges: DataFrame, path: str, block: int = BLOCK, buckets: int = LINK_BUCKETS) -> tuple[DataFrame, DataFrame, list[str]]:
+def adjacency(edges: DataFrame, path: str, block: int, buckets: int) -> tuple[DataFrame, DataFrame, list[str]]:
     """(links, vertices, names of the tables): the undirected graph, laid out so that ranks come to the links and links never move.
 
     links: src, part and dsts, `block` neighbours or fewer, so a hub is split
@@ -59,34 +59,34 @@ def adjacency(edges: DataFrame, path: str, block: int = BLOCK, buckets: int = LI
 
 
 def pagerank_round(links: DataFrame, vertices: DataFrame, ranks: DataFrame, n: int, damping: float) -> DataFrame:
-    """(id, degree, parts, rank, before) after a round: a vertex sends its share to each block of its links, and the blocks to their neighbours."""
+    """(id, degree, parts, rank) after a round: a vertex sends its share to each block of its links, and the blocks to their neighbours."""
     sent = ranks.select(F.col("id").alias("src"), (F.col("rank") / F.col("degree")).alias("share"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     got = links.join(sent, ["src", "part"]).select(F.explode("dsts").alias("id"), "share").groupBy("id").agg(F.sum("share").alias("r"))
-    old = ranks.select("id", F.col("rank").alias("before"))
-    return vertices.join(got, "id").join(old, "id").select("id", "degree", "parts", ((1 - damping) / n + damping * F.col("r")).alias("rank"), "before")
+    return vertices.join(got, "id").select("id", "degree", "parts", ((1 - damping) / n + damping * F.col("r")).alias("rank"))
 
 
-def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, cut_every: int = 3, tolerance: float | None = None, buckets: int = LINK_BUCKETS, block: int = BLOCK) -> DataFrame:
-    """(id, rank), undirected; ranks sum to 1.  At most `rounds` rounds; with a tolerance, no more once ranks move by less than it in sum.
+def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, cut_every: int = 3, tolerance: float | None = None, buckets: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(id, rank), undirected; ranks sum to 1.  At most `rounds` rounds; with a tolerance, no more once ranks move by less than it in sum over cut_every rounds.
 
-    The links are shuffled once, into a layout that every round reads where it
-    lies; a round shuffles ranks and pre-summed shares.
+    The links are shuffled once, into a layout of as many files as the session
+    has shuffle partitions, and every round reads them where they lie; a round
+    shuffles ranks and pre-summed shares.
     """
     spark = edges.sparkSession
     path = new_folder(spark, "graph")
-    links, vertices, names = adjacency(edges, path, block, buckets)
+    links, vertices, names = adjacency(edges, path, block, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
     n = max(1, vertices.count())
-    ranks = vertices.withColumn("rank", F.lit(1.0 / n))
+    ranks = before = vertices.withColumn("rank", F.lit(1.0 / n))
     for k in range(rounds):
         ranks = pagerank_round(links, vertices, ranks, n, damping)
-        last = k + 1 == rounds
-        if (k + 1) % cut_every == 0 or last:
+        if (k + 1) % cut_every == 0 and k + 1 < rounds:
             ranks = cut(ranks)
-            if tolerance is not None and not last and (ranks.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] or 0.0) < tolerance:
-                break
-        if not last:
-            ranks = ranks.drop("before")
-    out = ranks.select("id", "rank") if rounds else cut(ranks.select("id", "rank"))
+            if tolerance is not None:
+                moved = ranks.join(before.select("id", F.col("rank").alias("before")), "id").agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0]
+                if (moved or 0.0) < tolerance:
+                    break
+                before = ranks
+    out = cut(ranks.select("id", "rank"))
     for name in names:
         spark.sql(f"DROP TABLE {name}")
     remove_folder(spark, path)
