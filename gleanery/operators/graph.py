@@ -34,19 +34,21 @@ def symmetric(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-#: Neighbours in a block of an adjacency list.
-BLOCK = 1_000
+#: Neighbours in a block of an adjacency list; links in a file of them, of which there are LEAST_FILES at least.
+BLOCK, LINKS, LEAST_FILES = 1_000, 1_000_000, 8
 
 
-def adjacency(edges: DataFrame, path: str, block: int, buckets: int) -> tuple[DataFrame, DataFrame, list[str]]:
+def adjacency(edges: DataFrame, path: str, block: int, buckets: int | None) -> tuple[DataFrame, DataFrame, list[str]]:
     """(links, vertices, names of the tables): the undirected graph, laid out so that ranks come to the links and links never move.
 
     links: src, part and dsts, `block` neighbours or fewer, so a hub is split
     over many rows and files; bucketed by (src, part).  vertices: id, degree and
-    its parts; bucketed by id.
+    its parts; bucketed by id.  There are as many files as LINKS asks for, and no
+    more than the session has shuffle partitions.
     """
     spark = edges.sparkSession
     both = cut(symmetric(edges))
+    buckets = buckets or min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(LEAST_FILES, -(-both.count() // LINKS)))
     degrees = both.groupBy("src").agg(F.count("*").alias("degree")).withColumn("parts", F.ceil(F.col("degree") / block).cast("int"))
     dealt = both.join(degrees, "src").withColumn("part", F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int"))
     links = dealt.groupBy("src", "part").agg(F.collect_list("dst").alias("dsts"))
@@ -68,13 +70,12 @@ def pagerank_round(links: DataFrame, vertices: DataFrame, ranks: DataFrame, n: i
 def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, cut_every: int = 3, tolerance: float | None = None, buckets: int | None = None, block: int = BLOCK) -> DataFrame:
     """(id, rank), undirected; ranks sum to 1.  At most `rounds` rounds; with a tolerance, no more once ranks move by less than it in sum over cut_every rounds.
 
-    The links are shuffled once, into a layout of as many files as the session
-    has shuffle partitions, and every round reads them where they lie; a round
-    shuffles ranks and pre-summed shares.
+    The links are shuffled once, into a layout that every round reads where it
+    lies; a round shuffles ranks and pre-summed shares.
     """
     spark = edges.sparkSession
     path = new_folder(spark, "graph")
-    links, vertices, names = adjacency(edges, path, block, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    links, vertices, names = adjacency(edges, path, block, buckets)
     n = max(1, vertices.count())
     ranks = before = vertices.withColumn("rank", F.lit(1.0 / n))
     for k in range(rounds):
